@@ -194,3 +194,49 @@ market AS (
   SELECT s.category, CASE WHEN t.calibration_factor IS NOT NULL THEN s.median_price * t.calibration_factor
                           ELSE s.median_price END market_price, s.q1, s.q3
   FROM stats s LEFT JOIN settings t USING (category))"""
+
+
+def title(col: str) -> str:
+    """DuckDB spelling of Spark ``initcap(trim(col))`` (words split on spaces)."""
+    return (f"list_aggregate(list_transform(string_split(lower(trim({col})), ' '), "
+            f"lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')")
+
+
+def mode(col: str, src: str, by: str | None = None) -> str:
+    """Most frequent non-NULL value (smallest on ties), per ``by`` if given."""
+    if by is None:
+        return (f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} "
+                f"ORDER BY count(*) DESC, {col} ASC LIMIT 1)")
+    return (f"(SELECT {by}, arg_max({col}, c) AS {col} FROM (SELECT {by}, {col}, count(*) c, "
+            f"row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, {col}) rn FROM {src} "
+            f"WHERE {col} IS NOT NULL GROUP BY {by}, {col}) WHERE rn = 1 GROUP BY {by})")
+
+
+DIRTY_COLS = ["product_id", "product_name", "brand", "product_type", "category", "discounted_price",
+              "actual_price", "manufacturing_cost", "discount_percentage", "rating_count",
+              "estimated_units_sold", "rating", "feature_count", "technology_level", "value_score",
+              "brand_strength", "price_elasticity", "market_saturation", "brand_level"]
+
+# C12 on products_dirty: global median fill (columns with NULLs), mode fill,
+# dedup, abs, clip, title, swap -- the same fixed order as the engine.
+CLEAN = PRODUCTS_DIRTY + f""",
+fills AS (
+  SELECT {q(xs('discounted_price'), 0.5)} f_dp, {q(xs('rating'), 0.5)} f_rating,
+         {mode('brand', 'products_dirty')} f_brand
+  FROM products_dirty),
+c1 AS (
+  SELECT * REPLACE (coalesce(discounted_price, f_dp) AS discounted_price,
+                    coalesce(rating, f_rating) AS rating, coalesce(brand, f_brand) AS brand)
+  FROM products_dirty, fills),
+c2 AS (SELECT DISTINCT {', '.join(DIRTY_COLS)} FROM c1),
+c3 AS (
+  SELECT * REPLACE (abs(discounted_price) AS discounted_price, abs(actual_price) AS actual_price,
+                    abs(manufacturing_cost) AS manufacturing_cost,
+                    CASE WHEN discount_percentage < 0 THEN 0e0 WHEN discount_percentage > 100 THEN 100e0
+                         ELSE discount_percentage END AS discount_percentage,
+                    {title('category')} AS category)
+  FROM c2),
+clean AS (
+  SELECT * REPLACE (CASE WHEN actual_price < discounted_price THEN discounted_price ELSE actual_price END AS actual_price,
+                    CASE WHEN actual_price < discounted_price THEN actual_price ELSE discounted_price END AS discounted_price)
+  FROM c3)"""

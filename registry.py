@@ -70,3 +70,197 @@ SELECT * REPLACE ({O.rnd(O.REC_DOUBLES)}) FROM rec""")
 def g07_recommend(spark, d):
     """G4+G7-G16: every product priced against its category market (median x calibration)."""
     return M.recommend_products(P(spark, d), settings_table(spark))
+
+
+# ---------------------------------------------------------------- B gates
+from pricelens.operators import cleaning as C  # noqa: E402
+from pricelens.operators import gates as B  # noqa: E402
+from pricelens import settings as S  # noqa: E402
+
+
+@register("b02_segment", W(O.PRODUCTS) + """
+SELECT category, count(*) n, min(discounted_price) min_price, max(discounted_price) max_price
+FROM products GROUP BY category""")
+def b02_segment(spark, d):
+    """B2: category as the grouping key."""
+    return B.segment_summary(P(spark, d))
+
+
+@register("b03_sample_gate", W(O.PRODUCTS) + """
+SELECT category, market_saturation, brand_level, count(*) n,
+       CASE WHEN count(*) < 30 THEN 'skip' WHEN count(*) < 50 THEN 'warn' ELSE 'ok' END status
+FROM products GROUP BY ALL""")
+def b03_sample_gate(spark, d):
+    """Minimum-sample gate per segment."""
+    return B.sample_gate(P(spark, d), ["category", "market_saturation", "brand_level"])
+
+
+@register("b05_drop_identifiers", W(O.PRODUCTS) + """
+SELECT * EXCLUDE (product_id, product_name, discounted_price, category, product_type) FROM products""")
+def b05_drop_identifiers(spark, d):
+    """Identifier and target columns removed."""
+    return B.drop_identifiers(P(spark, d))
+
+
+@register("b06_variation_gate", W(O.PRODUCTS) + """
+SELECT category || '/' || brand AS category, min(discounted_price) min_value, max(discounted_price) max_value,
+       CASE WHEN max(discounted_price) - min(discounted_price) > 0 THEN 'ok' ELSE 'no_variation' END status
+FROM products WHERE product_id % 13 <> 0 GROUP BY ALL
+UNION ALL
+SELECT category || '/' || brand, min(actual_price * 0 + 1), max(actual_price * 0 + 1), 'no_variation'
+FROM products WHERE product_id % 13 = 0 GROUP BY ALL""")
+def b06_variation_gate(spark, d):
+    """No-variation gate; the rows of key%13=0 form constant-price groups."""
+    p = P(spark, d)
+    k = F.col("product_id") % 13 == 0
+    x = p.select(F.concat_ws("/", "category", "brand").alias("category"),
+                 F.when(k, F.lit(1.0)).otherwise(F.col("discounted_price")).alias("discounted_price"),
+                 F.when(k, F.lit("c")).otherwise(F.lit("v")).alias("_g"))
+    x = x.withColumn("category", F.when(F.col("_g") == "c", F.concat("category", F.lit("")))
+                     .otherwise(F.col("category")))
+    g1 = B.variation_gate(x.where(F.col("_g") == "v"))
+    g2 = B.variation_gate(x.where(F.col("_g") == "c"))
+    return g1.unionByName(g2)
+
+
+@register("b07_unknown_categories", W(O.PRODUCTS_DIRTY, O.settings_cte()) + """
+SELECT product_id, category, 'unknown category' reject_reason
+FROM products_dirty d WHERE NOT EXISTS (SELECT 1 FROM settings s WHERE s.category = d.category)""")
+def b07_unknown_categories(spark, d):
+    """Requests whose category has no settings are rejected (anti join)."""
+    req = PD(spark, d).select("product_id", "category")
+    _, rejects = B.unknown_categories(req, settings_table(spark))
+    return rejects
+
+
+@register("b08_with_defaults", W(O.PRODUCTS) + """
+SELECT category, product_name, manufacturing_cost, 4.0e0 rating, 100 rating_count,
+       15.0e0 discount_percentage, 2.5e0 price_to_cost_ratio, 40.0e0 margin_percentage,
+       'Medium' market_saturation, 'Medium' brand_strength FROM products""")
+def b08_with_defaults(spark, d):
+    """Optional request columns get their defaults when absent."""
+    req = P(spark, d).select("category", "product_name", "manufacturing_cost")
+    return B.with_defaults(req, S.REQUEST_DEFAULTS)
+
+
+# ---------------------------------------------------------------- C cleaning
+@register("c01_missing_report", W(O.PRODUCTS_DIRTY) + " SELECT column_name AS \"column\", missing, "
+          "missing / n * 100 AS missing_pct FROM (SELECT " +
+          ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in O.DIRTY_COLS) +
+          ", count(*) n FROM products_dirty) UNPIVOT (missing FOR column_name IN (" +
+          ", ".join(O.DIRTY_COLS) + ")) ORDER BY 1")
+def c01_missing_report(spark, d):
+    """Missing values per column."""
+    return C.missing_report(PD(spark, d))
+
+
+@register("c02_fill_median_by_category", W(O.PRODUCTS_DIRTY) + f"""
+, f AS (SELECT category, {O.q(O.xs('discounted_price'), 0.5)} fdp, {O.q(O.xs('rating'), 0.5)} fr
+       FROM products_dirty GROUP BY category)
+SELECT product_id, category, coalesce(discounted_price, fdp) discounted_price, coalesce(rating, fr) rating
+FROM products_dirty JOIN f USING (category)""")
+def c02_fill_median_by_category(spark, d):
+    """Per-category median fill."""
+    x = C.fill_median(PD(spark, d), ["discounted_price", "rating"], by="category")
+    return x.select("product_id", "category", "discounted_price", "rating")
+
+
+@register("c03_fill_median_global", W(O.PRODUCTS_DIRTY) + f"""
+, f AS (SELECT {O.q(O.xs('discounted_price'), 0.5)} fdp, {O.q(O.xs('rating'), 0.5)} fr FROM products_dirty)
+SELECT product_id, coalesce(discounted_price, fdp) discounted_price, coalesce(rating, fr) rating
+FROM products_dirty, f""")
+def c03_fill_median_global(spark, d):
+    """Global median fill of the numeric columns that have NULLs."""
+    return C.fill_median(PD(spark, d)).select("product_id", "discounted_price", "rating")
+
+
+@register("c04_fill_mode", W(O.PRODUCTS_DIRTY) + f"""
+, m AS {O.mode('brand', 'products_dirty', 'category')}
+SELECT p.product_id, p.category, coalesce(p.brand, m.brand) brand
+FROM products_dirty p LEFT JOIN m USING (category)""")
+def c04_fill_mode(spark, d):
+    """C4: per-category mode fill of a string column (ties -> smallest)."""
+    return C.fill_mode(PD(spark, d), ["brand"], by="category").select("product_id", "category", "brand")
+
+
+@register("c05_dedup", W(O.PRODUCTS_DIRTY) + " SELECT DISTINCT * FROM products_dirty")
+def c05_dedup(spark, d):
+    """Exact duplicate rows removed."""
+    return C.dedup(PD(spark, d))
+
+
+@register("c06_abs_prices", W(O.PRODUCTS_DIRTY) + """
+SELECT product_id, abs(discounted_price) discounted_price, abs(actual_price) actual_price,
+       abs(manufacturing_cost) manufacturing_cost FROM products_dirty""")
+def c06_abs_prices(spark, d):
+    """Negative prices -> absolute value."""
+    return C.abs_prices(PD(spark, d)).select("product_id", *C.PRICE_COLS)
+
+
+@register("c07_clip_discount", W(O.PRODUCTS_DIRTY) + """
+SELECT product_id, CASE WHEN discount_percentage < 0 THEN 0e0 WHEN discount_percentage > 100 THEN 100e0
+                   ELSE discount_percentage END discount_percentage FROM products_dirty""")
+def c07_clip_discount(spark, d):
+    """Discount clipped to [0, 100]."""
+    return C.clip_discount(PD(spark, d)).select("product_id", "discount_percentage")
+
+
+@register("c08_standardise_category", W(O.PRODUCTS_DIRTY) +
+          f" SELECT product_id, {O.title('category')} category FROM products_dirty")
+def c08_standardise_category(spark, d):
+    """Category trimmed and title-cased."""
+    return C.standardise_category(PD(spark, d)).select("product_id", "category")
+
+
+@register("c09_swap_inverted_prices", W(O.PRODUCTS_DIRTY) + """
+SELECT product_id,
+  CASE WHEN actual_price < discounted_price THEN discounted_price ELSE actual_price END actual_price,
+  CASE WHEN actual_price < discounted_price THEN actual_price ELSE discounted_price END discounted_price
+FROM products_dirty""")
+def c09_swap_inverted_prices(spark, d):
+    """Inverted list/selling prices swapped."""
+    return C.swap_inverted_prices(PD(spark, d)).select("product_id", "actual_price", "discounted_price")
+
+
+@register("c10_repair_nonpositive", W(O.PRODUCTS_DIRTY) + """
+, m AS (SELECT category, min(discounted_price) FILTER (WHERE discounted_price > 0) mp
+        FROM products_dirty GROUP BY category)
+SELECT product_id, category,
+  CASE WHEN discounted_price <= 0 THEN greatest(manufacturing_cost * 1.1, mp) ELSE discounted_price END discounted_price
+FROM products_dirty JOIN m USING (category)""")
+def c10_repair_nonpositive(spark, d):
+    """Non-positive prices repaired per category."""
+    return C.repair_nonpositive(PD(spark, d)).select("product_id", "category", "discounted_price")
+
+
+@register("c11_cleaning_audit", W(O.CLEAN) + f"""
+, dd AS (SELECT DISTINCT {', '.join(O.DIRTY_COLS)} FROM c1)
+SELECT (SELECT count(*) FROM products_dirty) rows_in,
+       (SELECT count(*) FROM products_dirty WHERE {' OR '.join(f'{c} IS NULL' for c in O.DIRTY_COLS)}) rows_with_missing,
+       (SELECT count(*) FROM dd) rows_out,
+       (SELECT count(*) FROM dd WHERE discounted_price < 0) negative_discounted_price,
+       (SELECT count(*) FROM dd WHERE actual_price < 0) negative_actual_price,
+       (SELECT count(*) FROM dd WHERE manufacturing_cost < 0) negative_manufacturing_cost,
+       (SELECT count(*) FROM dd WHERE discount_percentage < 0 OR discount_percentage > 100) invalid_discounts,
+       (SELECT count(*) FROM dd WHERE abs(actual_price) < abs(discounted_price)) price_swaps,
+       (SELECT count(*) FROM products_dirty) - (SELECT count(*) FROM dd) duplicates_removed""")
+def c11_cleaning_audit(spark, d):
+    """C11: counts of what the cleaning changes."""
+    return C.cleaning_audit(PD(spark, d))
+
+
+@register("c12_clean", W(O.CLEAN) + " SELECT * FROM clean")
+def c12_clean(spark, d):
+    """The composite cleaning pipeline in its fixed order."""
+    return C.clean(PD(spark, d))
+
+
+@register("c13_quality_report", W(O.CLEAN) + " SELECT 'nulls' \"check\", column_name \"column\", cnt \"count\" FROM "
+          "(SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in O.DIRTY_COLS) +
+          " FROM clean) UNPIVOT (cnt FOR column_name IN (" + ", ".join(O.DIRTY_COLS) + ")) UNION ALL "
+          "SELECT 'non_positive', column_name, cnt FROM (SELECT " +
+          ", ".join(f"count(*) FILTER (WHERE {c} <= 0) AS {c}" for c in C.PRICE_COLS) +
+          " FROM clean) UNPIVOT (cnt FOR column_name IN (" + ", ".join(C.PRICE_COLS) + "))")
+def c13_quality_report(spark, d):
+    """Post-clean verification."""
+    return C.quality_report(C.clean(PD(spark, d)))
