@@ -163,7 +163,8 @@ def q(xs: str, p: float) -> str:
     """Quantile ``p`` of the sorted DOUBLE list ``xs`` (linear interpolation
     between order statistics, combined in the same floating-point order as
     Spark's ``percentile`` so rounded outputs agree bit for bit)."""
-    pos = f"((len({xs}) - 1) * {float(p)!r}e0)".replace("e0e0", "e0")
+    pv = p if isinstance(p, str) else f"{float(p)!r}::DOUBLE"
+    pos = f"((len({xs}) - 1) * {pv})"
     lo, hi = f"floor({pos})", f"ceil({pos})"
     lk, hk = f"{xs}[({lo})::BIGINT + 1]", f"{xs}[({hi})::BIGINT + 1]"
     return (f"(CASE WHEN len({xs}) = 0 THEN NULL WHEN {lo} = {hi} OR {lk} = {hk} THEN {lk} "
@@ -240,3 +241,61 @@ clean AS (
   SELECT * REPLACE (CASE WHEN actual_price < discounted_price THEN discounted_price ELSE actual_price END AS actual_price,
                     CASE WHEN actual_price < discounted_price THEN actual_price ELSE discounted_price END AS discounted_price)
   FROM c3)"""
+
+
+SPLIT = PRODUCTS + """,
+split_t AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY md5('42-' || product_id::VARCHAR), product_id) - 1
+                      < ceil(0.2e0 * count(*) OVER (PARTITION BY category)) THEN 'test' ELSE 'train' END split
+  FROM products)"""
+
+
+def benchmarks_cte(src: str, name: str = "bm", floor: bool = True) -> str:
+    d = (lambda a, b: fd(a, b)) if floor else (lambda a, b: f"{a} / NULLIF({b}, 0)")
+    return f"""{name}0 AS (
+  SELECT category, {xs('discounted_price')} xp, {xs('manufacturing_cost')} xc,
+         avg(discounted_price) mean_price, min(discounted_price) min_price, max(discounted_price) max_price,
+         avg({d('discounted_price', 'manufacturing_cost')}) mean_profit_margin
+  FROM {src} GROUP BY category),
+{name} AS (
+  SELECT category, {q('xp', 0.5)} median_price, mean_price, min_price, max_price,
+         {q('xp', 0.25)} q25_price, {q('xp', 0.75)} q75_price, {q('xp', 0.25)} lowest_quartile_upper_bound,
+         {q('xc', 0.5)} median_manufacturing_cost, mean_profit_margin,
+         {d(q('xp', 0.25), q('xc', 0.5))} competitive_price_factor
+  FROM {name}0)"""
+
+
+def fd(a: str, b: str) -> str:
+    """a / max(b, 1e-6) with NULL b staying NULL."""
+    return f"({a}) / (CASE WHEN ({b}) IS NOT NULL THEN greatest(({b}), 1e-6) END)"
+
+
+FEATURE_SQL = {
+    "price_competitiveness_ratio": fd("discounted_price", "median_price"),
+    "profit_margin_ratio": fd("discounted_price", "manufacturing_cost"),
+    "competitor_undercut_potential": fd("discounted_price - manufacturing_cost * 1.1", "discounted_price"),
+    "is_budget_segment": "coalesce(discounted_price <= q25_price, false)::INTEGER",
+    "is_mid_segment": "coalesce(discounted_price > q25_price AND discounted_price <= q75_price, false)::INTEGER",
+    "is_premium_segment": "coalesce(discounted_price > q75_price, false)::INTEGER",
+    "customer_attraction_score": "value_score + " + fd("brand_strength", "bmax") + " - " +
+                                 fd("discounted_price", "median_price") + " * 0.5",
+    "feature_to_price_ratio": fd("feature_count", "discounted_price"),
+    "tech_value_proposition": fd("technology_level", fd("discounted_price", "median_price")),
+    "relative_to_lowest_quartile": fd("discounted_price", "q25_price"),
+    "value_adjusted_price": "discounted_price * (1 - value_score)",
+    "category_price_index": fd("discounted_price", "median_price"),
+    "demand_indicator": fd("estimated_units_sold * rating", "discounted_price"),
+    "brand_power_price_ratio": fd("brand_strength", fd("discounted_price", "median_price") + " * 10"),
+    "new_seller_competitive_price": "discounted_price * 0.8",
+    "sustainable_price": "manufacturing_cost * 1.1",
+    "ideal_customer_attraction_price": "greatest(lowest_quartile_upper_bound * 0.85, manufacturing_cost * 1.1)",
+    "market_penetration_potential": "(1 - " + fd("discounted_price", "actual_price") + ") * value_score",
+    "elasticity_adjusted_value": fd("value_score", "price_elasticity"),
+}
+
+# products with split, benchmarks from the train rows and the features E3-E19
+FEATURES = SPLIT + ",\n" + benchmarks_cte("split_t WHERE split = 'train'") + """,
+bmax AS (SELECT category, split, max(brand_strength) bmax FROM split_t GROUP BY ALL),
+feat AS (
+  SELECT s.product_id, s.category, s.split, """ + ",\n    ".join(f"{v} AS {k}" for k, v in FEATURE_SQL.items()) + """
+  FROM split_t s JOIN bm USING (category) JOIN bmax USING (category, split))"""

@@ -264,3 +264,332 @@ def c12_clean(spark, d):
 def c13_quality_report(spark, d):
     """Post-clean verification."""
     return C.quality_report(C.clean(PD(spark, d)))
+
+
+# ---------------------------------------------------------------- D profiling
+from pricelens.operators import features as E  # noqa: E402
+from pricelens.operators import split as SP  # noqa: E402
+
+
+def SPL(spark, d):
+    return SP.hash_split(P(spark, d))
+
+
+IQR = "{c}_q1 - {k} * ({c}_q3 - {c}_q1)"
+
+
+@register("d01_flag_iqr", W(O.PRODUCTS) + f"""
+, s AS (SELECT category, {O.q(O.xs('discounted_price'), 0.25)} q1, {O.q(O.xs('discounted_price'), 0.75)} q3
+        FROM products GROUP BY category)
+SELECT product_id, category, discounted_price < q1 - 1.5 * (q3 - q1) OR discounted_price > q3 + 1.5 * (q3 - q1) is_outlier
+FROM products JOIN s USING (category)""")
+def d01_flag_iqr(spark, d):
+    """IQR outlier flag per category (no zero floor)."""
+    return D.flag_iqr(P(spark, d)).select("product_id", "category", "is_outlier")
+
+
+_D2 = W(O.PRODUCTS) + f"""
+, long AS (UNPIVOT (SELECT category, discounted_price, actual_price, manufacturing_cost FROM products)
+           ON discounted_price, actual_price, manufacturing_cost INTO NAME "column" VALUE value),
+s0 AS (SELECT category, "column", {O.q(O.xs('value'), 0.25)} "Q1", {O.q(O.xs('value'), 0.75)} "Q3"
+       FROM long GROUP BY ALL),
+s AS (SELECT *, "Q3" - "Q1" "IQR", greatest(0e0, "Q1" - 1.5 * ("Q3" - "Q1")) lower_bound,
+             "Q3" + 1.5 * ("Q3" - "Q1") upper_bound FROM s0)"""
+
+
+@register("d02_iqr_stats", _D2 + """
+SELECT s.category, s."column", "Q1", "Q3", "IQR", lower_bound, upper_bound,
+       count(*) FILTER (WHERE value < lower_bound) outliers_lower,
+       count(*) FILTER (WHERE value > upper_bound) outliers_upper,
+       count(*) FILTER (WHERE value < lower_bound) + count(*) FILTER (WHERE value > upper_bound) total_outliers,
+       (count(*) FILTER (WHERE value < lower_bound) + count(*) FILTER (WHERE value > upper_bound)) / count(*) * 100 percentage_outliers
+FROM long JOIN s USING (category, "column") GROUP BY ALL""")
+def d02_iqr_stats(spark, d):
+    """IQR statistics per category x price column."""
+    return D.iqr_stats(P(spark, d))
+
+
+@register("d03_cap_iqr", _D2 + """
+, w AS (SELECT category, """ + ", ".join(
+    f"max(lower_bound) FILTER (WHERE \"column\" = '{c}') {c}_lo, max(upper_bound) FILTER (WHERE \"column\" = '{c}') {c}_hi"
+    for c in D.PRICE_COLS) + """ FROM s GROUP BY category)
+SELECT product_id, category,
+  least(greatest(discounted_price, discounted_price_lo), discounted_price_hi) discounted_price,
+  least(greatest(actual_price, actual_price_lo), actual_price_hi) actual_price,
+  least(greatest(manufacturing_cost, manufacturing_cost_lo), manufacturing_cost_hi) manufacturing_cost
+FROM products JOIN w USING (category)""")
+def d03_cap_iqr(spark, d):
+    """D3: price columns capped to their category IQR bounds."""
+    return D.cap_iqr(P(spark, d)).select("product_id", "category", *D.PRICE_COLS)
+
+
+@register("d04_drop_iqr", W(O.SPLIT) + f"""
+, t AS (SELECT * FROM split_t WHERE split = 'train'),
+s AS (SELECT category, {O.q(O.xs('discounted_price'), 0.25)} q1, {O.q(O.xs('discounted_price'), 0.75)} q3, count(*) n
+      FROM t GROUP BY category)
+SELECT product_id, category, discounted_price FROM t JOIN s USING (category)
+WHERE n < 50 OR (discounted_price >= greatest(0e0, q1 - 1.5 * (q3 - q1)) AND discounted_price <= q3 + 1.5 * (q3 - q1))""")
+def d04_drop_iqr(spark, d):
+    """IQR outliers removed from training rows of categories with >= 50 rows."""
+    train = SPL(spark, d).where("split = 'train'")
+    return D.drop_iqr(train).select("product_id", "category", "discounted_price")
+
+
+@register("d06_extreme_count", W(O.PRODUCTS) + f"""
+, s AS (SELECT category, {O.q(O.xs('estimated_units_sold'), 0.25)} q1, {O.q(O.xs('estimated_units_sold'), 0.75)} q3
+        FROM products GROUP BY category)
+SELECT category, count(*) FILTER (WHERE estimated_units_sold < q1 - 3 * (q3 - q1) OR estimated_units_sold > q3 + 3 * (q3 - q1)) extreme_outliers
+FROM products JOIN s USING (category) GROUP BY category""")
+def d06_extreme_count(spark, d):
+    """3 x IQR extreme outliers per category (units sold)."""
+    return D.extreme_count(P(spark, d), "estimated_units_sold")
+
+
+@register("d07_winsorise", W(O.SPLIT) + f"""
+, s AS (SELECT category, split, {O.q(O.xs('discounted_price'), 0.01)} a1, {O.q(O.xs('discounted_price'), 0.99)} b1,
+               {O.q(O.xs('rating_count'), 0.01)} a2, {O.q(O.xs('rating_count'), 0.99)} b2
+        FROM split_t GROUP BY ALL),
+t AS (SELECT category, split,
+        CASE WHEN coalesce(a1,0e0) >= coalesce(b1,1000e0) THEN least(coalesce(a1,0e0), 0e0) ELSE coalesce(a1,0e0) END lo1,
+        CASE WHEN coalesce(a1,0e0) >= coalesce(b1,1000e0) THEN greatest(coalesce(b1,1000e0), 1e0) ELSE coalesce(b1,1000e0) END hi1,
+        CASE WHEN coalesce(a2,0e0) >= coalesce(b2,1000e0) THEN least(coalesce(a2,0e0), 0e0) ELSE coalesce(a2,0e0) END lo2,
+        CASE WHEN coalesce(a2,0e0) >= coalesce(b2,1000e0) THEN greatest(coalesce(b2,1000e0), 1e0) ELSE coalesce(b2,1000e0) END hi2
+      FROM s)
+SELECT product_id, category, split,
+  CASE WHEN discounted_price < lo1 THEN lo1 WHEN discounted_price > hi1 THEN hi1 ELSE discounted_price END discounted_price,
+  CASE WHEN rating_count < lo2 THEN lo2 WHEN rating_count > hi2 THEN hi2 ELSE rating_count END rating_count
+FROM split_t JOIN t USING (category, split)""")
+def d07_winsorise(spark, d):
+    """1 %/99 % clipping per category and split."""
+    x = D.winsorise(SPL(spark, d), ["discounted_price", "rating_count"])
+    return x.select("product_id", "category", "split", "discounted_price", F.col("rating_count").cast("double"))
+
+
+DESC = ["discounted_price", "manufacturing_cost", "rating"]
+
+
+@register("d08_describe", W(O.PRODUCTS) + f"""
+, long AS (UNPIVOT (SELECT category, discounted_price, manufacturing_cost, rating FROM products)
+           ON discounted_price, manufacturing_cost, rating INTO NAME "column" VALUE value)
+SELECT category, "column", count(value) "count", avg(value) mean, stddev_samp(value) std, min(value) "min",
+       {O.q(O.xs('value'), 0.25)} p25, {O.q(O.xs('value'), 0.5)} p50, {O.q(O.xs('value'), 0.75)} p75, max(value) "max"
+FROM long GROUP BY ALL""")
+def d08_describe(spark, d):
+    """describe() per category."""
+    return D.describe_by(P(spark, d), DESC)
+
+
+CORR = ["discounted_price", "actual_price", "manufacturing_cost", "rating", "rating_count",
+        "estimated_units_sold", "value_score"]
+
+
+@register("d09_top_correlations", W(O.PRODUCTS) + """
+, c AS (SELECT category, """ + ", ".join(f"corr({c}, discounted_price) AS {c}" for c in CORR) + """ FROM products GROUP BY category),
+l AS (UNPIVOT c ON """ + ", ".join(CORR) + """ INTO NAME feature VALUE "corr"),
+r AS (SELECT category, feature, "corr", row_number() OVER (PARTITION BY category ORDER BY "corr" DESC NULLS LAST,
+        list_position(""" + "[" + ", ".join(f"'{c}'" for c in CORR) + """], feature)) "rank" FROM l)
+SELECT category, "rank", feature, "corr" FROM r WHERE "rank" <= 6""")
+def d09_top_correlations(spark, d):
+    """Top-6 correlations with price (the price itself first)."""
+    return D.top_correlations(P(spark, d), "discounted_price", CORR, "category", 6)
+
+
+_PAIRS = [(a, b) for i, a in enumerate(CORR[:4]) for b in CORR[:4][i:]]
+
+
+@register("d10_correlation_matrix", W(O.PRODUCTS) + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT category, '{a}' col_a, '{b}' col_b, corr({a}, {b}) \"corr\" FROM products GROUP BY category"
+    for a, b in _PAIRS) + ")")
+def d10_correlation_matrix(spark, d):
+    """Correlation matrix per category (pairs a <= b)."""
+    return D.correlation_matrix(P(spark, d), CORR[:4])
+
+
+@register("d11_histogram", W(O.PRODUCTS) + """
+, r AS (SELECT category, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END lo,
+               CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END hi
+        FROM (SELECT category, ln(1 + discounted_price) v FROM products) GROUP BY category),
+b AS (SELECT category, lo, hi, least(floor((ln(1 + discounted_price) - lo) * 20 / (hi - lo)), 19)::INTEGER bin
+      FROM products JOIN r USING (category))
+SELECT category, bin, lo + bin * ((hi - lo) / 20) bin_lo, lo + (bin + 1) * ((hi - lo) / 20) bin_hi, count(*) "count"
+FROM b GROUP BY category, bin, lo, hi""")
+def d11_histogram(spark, d):
+    """20-bin histogram of log1p(price) per category."""
+    return D.histogram(P(spark, d), "discounted_price", "category", bins=20, log=True)
+
+
+@register("d12_five_number", W(O.PRODUCTS) + f"""
+SELECT category, {O.q(O.xs('discounted_price'), 0.0)} "min", {O.q(O.xs('discounted_price'), 0.25)} q1,
+       {O.q(O.xs('discounted_price'), 0.5)} median, {O.q(O.xs('discounted_price'), 0.75)} q3,
+       {O.q(O.xs('discounted_price'), 1.0)} "max" FROM products GROUP BY category""")
+def d12_five_number(spark, d):
+    """Box-plot summary per category."""
+    return D.five_number(P(spark, d), "discounted_price")
+
+
+# ---------------------------------------------------------------- E features
+@register("e01_benchmarks", W(O.SPLIT, O.benchmarks_cte("split_t WHERE split = 'train'")) + " SELECT * FROM bm")
+def e01_benchmarks(spark, d):
+    """Category benchmarks from the training rows."""
+    return E.benchmarks(SPL(spark, d).where("split = 'train'"))
+
+
+@register("e02_repair_benchmarks", W(O.PRODUCTS, """
+holes AS (SELECT * REPLACE (CASE WHEN category = 'Audio' THEN NULL ELSE discounted_price END AS discounted_price,
+                            CASE WHEN category = 'Cameras' THEN NULL ELSE manufacturing_cost END AS manufacturing_cost)
+          FROM products)""", O.benchmarks_cte("holes")) + """
+SELECT category,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) ELSE coalesce(median_price, mean_price) END median_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) ELSE mean_price END mean_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.5 ELSE coalesce(min_price, mean_price) END min_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 2.0 ELSE coalesce(max_price, mean_price) END max_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.75 ELSE coalesce(q25_price, mean_price * 0.75) END q25_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 1.25 ELSE coalesce(q75_price, mean_price * 1.25) END q75_price,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.75 ELSE coalesce(lowest_quartile_upper_bound, mean_price * 0.75) END lowest_quartile_upper_bound,
+  CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.5 ELSE coalesce(median_manufacturing_cost, 1e0) END median_manufacturing_cost,
+  CASE WHEN mean_price IS NULL THEN 2e0 ELSE coalesce(mean_profit_margin, 1e0) END mean_profit_margin,
+  CASE WHEN mean_price IS NULL THEN 0.75e0 ELSE coalesce(competitive_price_factor, 1e0) END competitive_price_factor
+FROM bm""")
+def e02_repair_benchmarks(spark, d):
+    """Undefined benchmarks repaired (Audio has no prices, Cameras no costs)."""
+    p = P(spark, d)
+    holes = p.withColumns({
+        "discounted_price": F.when(F.col("category") != "Audio", F.col("discounted_price")),
+        "manufacturing_cost": F.when(F.col("category") != "Cameras", F.col("manufacturing_cost"))})
+    return E.repair_benchmarks(E.benchmarks(holes))
+
+
+@register("e03_price_features", W(O.FEATURES) + " SELECT * FROM feat")
+def e03_price_features(spark, d):
+    """Pricing features against train-split benchmarks."""
+    x = SPL(spark, d)
+    bm = E.repair_benchmarks(E.benchmarks(x.where("split = 'train'")))
+    return E.price_features(x, bm).select("product_id", "category", "split", *E.FEATURE_COLS)
+
+
+@register("e21_price_ratios", W(O.PRODUCTS) + """
+SELECT product_id, discounted_price / NULLIF(manufacturing_cost, 0) price_to_cost_ratio,
+       (discounted_price - manufacturing_cost) / NULLIF(discounted_price, 0) * 100 margin_percentage,
+       actual_price - discounted_price discount_amount FROM products""")
+def e21_price_ratios(spark, d):
+    """Basic price ratios."""
+    return E.price_ratios(P(spark, d)).select("product_id", "price_to_cost_ratio", "margin_percentage",
+                                              "discount_amount")
+
+
+@register("e22_log_prices", W(O.PRODUCTS) + """
+SELECT product_id, ln(1 + discounted_price) log_discounted_price, ln(1 + actual_price) log_actual_price,
+       ln(1 + manufacturing_cost) log_manufacturing_cost FROM products""")
+def e22_log_prices(spark, d):
+    """log1p of the price columns."""
+    return E.log_prices(P(spark, d)).select("product_id", "log_discounted_price", "log_actual_price",
+                                            "log_manufacturing_cost")
+
+
+_PE = "[" + ", ".join(f"{p!r}::DOUBLE" for p in E.PERCENT_EDGES) + "]"
+_SE = "[" + ", ".join(f"{p!r}::DOUBLE" for p in E.SEGMENT_EDGES) + "]"
+
+
+def _edges(lst):
+    return "list_transform(" + lst + ", lambda pp: " + O.q("xp", "pp") + ")"
+
+
+@register("e23_price_segments", W(O.PRODUCTS) + f"""
+, e AS (SELECT category, {O.xs('discounted_price')} xp FROM products GROUP BY category),
+e2 AS (SELECT category, {_edges(_PE)} pe, {_edges(_SE)} se, {O.q('xp', 0.5)} med FROM e),
+r AS (SELECT product_id, category, discounted_price,
+        greatest(len(list_filter(list_distinct(pe), lambda v: v < discounted_price)), 1) - 1 price_percentile,
+        greatest(len(list_filter(list_distinct(se), lambda v: v < discounted_price)), 1) - 1 seg,
+        discounted_price / med - 1 price_relative_to_median
+      FROM products JOIN e2 USING (category))
+SELECT product_id, category, price_percentile::INTEGER price_percentile, seg::INTEGER price_segment_numeric,
+       CASE seg WHEN 0 THEN 'budget' WHEN 1 THEN 'mid-range' WHEN 2 THEN 'premium' END price_segment,
+       price_relative_to_median FROM r""")
+def e23_price_segments(spark, d):
+    """Price percentile bin, price segment, price relative to median."""
+    return E.price_segments(P(spark, d)).select("product_id", "category", "price_percentile",
+                                                "price_segment_numeric", "price_segment",
+                                                "price_relative_to_median")
+
+
+@register("e26_brand_tier", W(O.PRODUCTS) + f"""
+, b AS (SELECT brand, avg(discounted_price) a FROM products GROUP BY brand),
+e AS (SELECT {O.xs('a')} xp FROM b),
+ed AS (SELECT {_edges('[0.0::DOUBLE, ' + repr(1/3) + '::DOUBLE, ' + repr(2/3) + '::DOUBLE, 1.0::DOUBLE]')} te FROM e),
+t AS (SELECT brand, greatest(len(list_filter(list_distinct(te), lambda v: v < a)), 1) - 1 tier FROM b, ed)
+SELECT product_id, brand, CASE tier WHEN 0 THEN 'budget' WHEN 1 THEN 'mid-tier' WHEN 2 THEN 'premium' END brand_tier
+FROM products LEFT JOIN t USING (brand)""")
+def e26_brand_tier(spark, d):
+    """Brand tiers from brand mean prices."""
+    return E.brand_tier(P(spark, d)).select("product_id", "brand", "brand_tier")
+
+
+@register("e27_one_hot", W(O.PRODUCTS) + " SELECT product_id, " + ", ".join(
+    [f"(category = '{c}')::INTEGER AS \"category_{c}\"" for c in sorted(S.CATEGORIES)] +
+    [f"(brand_level = '{c}')::INTEGER AS \"brand_level_{c}\"" for c in ["high", "low", "medium"]]) +
+    " FROM products")
+def e27_one_hot(spark, d):
+    """One-hot encoding with all levels kept."""
+    x = E.one_hot(P(spark, d).select("product_id", "category", "brand_level"), ["category", "brand_level"])
+    return x
+
+
+@register("e28_one_hot_aligned", W(O.SPLIT) + " SELECT product_id, split, " + ", ".join(
+    [f"(market_saturation = '{c}')::INTEGER AS \"market_saturation_{c}\"" for c in ["low", "medium"]] +
+    [f"(brand_level = '{c}')::INTEGER AS \"brand_level_{c}\"" for c in ["low", "medium"]]) +
+    " FROM split_t")
+def e28_one_hot_aligned(spark, d):
+    """First level dropped per split, columns aligned across splits."""
+    x = SPL(spark, d).select("product_id", "split", "market_saturation", "brand_level")
+    tr, te = E.one_hot_aligned(x.where("split = 'train'"), x.where("split = 'test'"),
+                               ["market_saturation", "brand_level"])
+    return tr.unionByName(te)
+
+
+@register("e29_standardise", W(O.SPLIT) + """
+, s AS (SELECT category, avg(discounted_price) m1, stddev_pop(discounted_price) s1, avg(rating) m2, stddev_pop(rating) s2
+        FROM split_t WHERE split = 'train' GROUP BY category)
+SELECT product_id, category, split,
+  (discounted_price - m1) / CASE WHEN s1 = 0 THEN 1e0 ELSE s1 END discounted_price,
+  (rating - m2) / CASE WHEN s2 = 0 THEN 1e0 ELSE s2 END rating
+FROM split_t JOIN s USING (category)""")
+def e29_standardise(spark, d):
+    """Standard scaling fitted on the training rows of each category."""
+    x = E.standardise(SPL(spark, d), ["discounted_price", "rating"], F.col("split") == "train", by="category")
+    return x.select("product_id", "category", "split", "discounted_price", "rating")
+
+
+@register("e30_derived_inputs", W(O.PRODUCTS) + f"""
+, b AS (SELECT brand, avg(discounted_price) brand_avg_price, count(*) brand_product_count FROM products GROUP BY brand),
+c AS (SELECT category, {O.q(O.xs('discounted_price'), 0.5)} category_median_price FROM products GROUP BY category)
+SELECT product_id, rating * rating_count rating_x_count, rating / 5.0e0 quality_tier,
+  ln(1 + manufacturing_cost) log_manufacturing_cost, brand_avg_price, brand_product_count, category_median_price,
+  discounted_price / NULLIF(category_median_price, 0) price_to_category_median_ratio,
+  discounted_price / NULLIF(brand_avg_price, 0) price_to_brand_avg_ratio
+FROM products JOIN b USING (brand) JOIN c USING (category)""")
+def e30_derived_inputs(spark, d):
+    """Derived model inputs."""
+    return E.derived_inputs(P(spark, d)).select(
+        "product_id", "rating_x_count", "quality_tier", "log_manufacturing_cost", "brand_avg_price",
+        "brand_product_count", "category_median_price", "price_to_category_median_ratio",
+        "price_to_brand_avg_ratio")
+
+
+# ---------------------------------------------------------------- F1-F3
+@register("f01_hash_split", W(O.SPLIT) + " SELECT product_id, category, split FROM split_t")
+def f01_hash_split(spark, d):
+    """exact 80/20 split per category, one table with a split column."""
+    return SPL(spark, d).select("product_id", "category", "split")
+
+
+@register("f02_stratified_split", W(O.PRODUCTS) + """
+, seg AS (SELECT *, CASE WHEN rating < 2.5 THEN 'low' WHEN rating < 4 THEN 'mid' ELSE 'high' END stratum FROM products)
+SELECT product_id, category, stratum,
+  CASE WHEN row_number() OVER (PARTITION BY category, stratum ORDER BY md5('42-' || product_id::VARCHAR), product_id) - 1
+            < ceil(0.2e0 * count(*) OVER (PARTITION BY category, stratum)) THEN 'test' ELSE 'train' END split
+FROM seg""")
+def f02_stratified_split(spark, d):
+    """split stratified by a segment within each category."""
+    p = P(spark, d).withColumn("stratum", F.when(F.col("rating") < 2.5, "low")
+                               .when(F.col("rating") < 4, "mid").otherwise("high"))
+    return SP.hash_split(p, strata="stratum").select("product_id", "category", "stratum", "split")
