@@ -299,3 +299,48 @@ bmax AS (SELECT category, split, max(brand_strength) bmax FROM split_t GROUP BY
 feat AS (
   SELECT s.product_id, s.category, s.split, """ + ",\n    ".join(f"{v} AS {k}" for k, v in FEATURE_SQL.items()) + """
   FROM split_t s JOIN bm USING (category) JOIN bmax USING (category, split))"""
+
+
+# Predictions for the metric operators: train-split category median scaled by
+# (0.5 + value_score), clipped to the training range.
+PRED = SPLIT + f""",
+tm AS (SELECT category, {q(xs('discounted_price'), 0.5)} tmed, min(discounted_price) tmin, max(discounted_price) tmax
+       FROM split_t WHERE split = 'train' GROUP BY category),
+pred0 AS (SELECT s.*, tmed * (0.5 + value_score) raw_pred, greatest(0e0, tmin * (1 - 0.1)) lo, tmax * (1 + 0.1) hi
+          FROM split_t s JOIN tm USING (category)),
+pred AS (SELECT *, CASE WHEN raw_pred < lo THEN lo WHEN raw_pred > hi THEN hi ELSE raw_pred END prediction,
+                (CASE WHEN raw_pred < lo THEN lo WHEN raw_pred > hi THEN hi ELSE raw_pred END) <> raw_pred was_clipped
+         FROM pred0),
+metrics AS (
+  SELECT category, split, count(*) n, sqrt(avg((discounted_price - prediction) ^ 2)) rmse,
+         avg(abs(discounted_price - prediction)) mae,
+         CASE WHEN var_pop(discounted_price) * count(discounted_price) = 0
+              THEN CASE WHEN sum((discounted_price - prediction) ^ 2) = 0 THEN 1e0 ELSE 0e0 END
+              ELSE 1 - sum((discounted_price - prediction) ^ 2) / (var_pop(discounted_price) * count(discounted_price)) END r2,
+         avg(abs((discounted_price - prediction) / NULLIF(discounted_price, 0))) mape,
+         avg((abs((discounted_price - prediction) / NULLIF(discounted_price, 0)) <= 0.1)::DOUBLE) within_10pct,
+         avg((abs((discounted_price - prediction) / NULLIF(discounted_price, 0)) <= 0.2)::DOUBLE) within_20pct
+  FROM pred GROUP BY category, split),
+baseline AS (
+  SELECT p.category, sqrt(avg((p.discounted_price - m.tm) ^ 2)) baseline_rmse
+  FROM pred p JOIN (SELECT category, avg(discounted_price) tm FROM pred WHERE split = 'train' GROUP BY category) m
+  USING (category) WHERE p.split = 'test' GROUP BY p.category),
+summary AS (
+  SELECT te.category, te.n test_n, te.rmse test_rmse, te.mae test_mae, te.r2 test_r2, te.mape test_mape,
+         te.within_10pct test_within_10pct, te.within_20pct test_within_20pct,
+         tr.n train_n, tr.rmse train_rmse, tr.mae train_mae, tr.r2 train_r2, tr.mape train_mape,
+         tr.within_10pct train_within_10pct, tr.within_20pct train_within_20pct,
+         b.baseline_rmse, te.rmse >= b.baseline_rmse * 0.95 not_better_than_mean,
+         coalesce(tr.r2 > 0.7 AND te.r2 < 0.2 AND te.n > 30, false) overfit,
+         CASE WHEN te.r2 IS NULL OR te.r2 < 0.3 THEN 'poor' ELSE 'good' END model_quality
+  FROM (SELECT * FROM metrics WHERE split = 'test') te
+  LEFT JOIN (SELECT * FROM metrics WHERE split = 'train') tr USING (category)
+  LEFT JOIN baseline b USING (category)),
+overall AS (
+  SELECT avg(test_rmse) average_test_rmse, avg(test_r2) average_test_r2, avg(test_mape) average_test_mape,
+         avg(test_within_10pct) average_within_10pct,
+         arg_min(category, (-test_r2, category)) best_category, max(test_r2) best_test_r2,
+         arg_min(category, (test_r2, category)) worst_category, min(test_r2) worst_test_r2,
+         count(*) category_count, count(*) FILTER (WHERE model_quality = 'good') good_models,
+         count(*) FILTER (WHERE model_quality = 'poor') poor_models
+  FROM summary)"""

@@ -593,3 +593,93 @@ def f02_stratified_split(spark, d):
     p = P(spark, d).withColumn("stratum", F.when(F.col("rating") < 2.5, "low")
                                .when(F.col("rating") < 4, "mid").otherwise("high"))
     return SP.hash_split(p, strata="stratum").select("product_id", "category", "stratum", "split")
+
+
+# ---------------------------------------------------------------- F7-F18 metrics
+from pricelens.operators import evaluation as EV  # noqa: E402
+
+
+def PRED(spark, d):
+    """Split products with a stand-in prediction (train median x (0.5 + value_score)), clipped."""
+    s = SPL(spark, d)
+    train = s.where("split = 'train'")
+    med = train.groupBy("category").agg(F.percentile("discounted_price", 0.5).alias("_tmed"))
+    raw = s.join(F.broadcast(med), "category").withColumn(
+        "prediction", F.col("_tmed") * (0.5 + F.col("value_score"))).drop("_tmed")
+    return EV.clip_predictions(raw, train)
+
+
+def METRICS(spark, d):
+    p = PRED(spark, d)
+    return p, EV.regression_metrics(p)
+
+
+def SUMMARY(spark, d):
+    p, m = METRICS(spark, d)
+    return EV.performance_summary(m, EV.baseline_metrics(p))
+
+
+@register("f07_clip_predictions", W(O.PRED) + " SELECT product_id, category, split, prediction, was_clipped FROM pred")
+def f07_clip_predictions(spark, d):
+    """predictions clipped to the training price range."""
+    return PRED(spark, d).select("product_id", "category", "split", "prediction", "was_clipped")
+
+
+@register("f08_regression_metrics", W(O.PRED) + " SELECT * FROM metrics")
+def f08_regression_metrics(spark, d):
+    """RMSE, MAE, R2, MAPE, within-10/20 % per category and split."""
+    return METRICS(spark, d)[1]
+
+
+@register("f10_baseline_metrics", W(O.PRED) + " SELECT * FROM baseline")
+def f10_baseline_metrics(spark, d):
+    """mean-prediction baseline RMSE on the test rows."""
+    return EV.baseline_metrics(PRED(spark, d))
+
+
+@register("f11_quality_flags", W(O.PRED) + """
+SELECT *, CASE WHEN r2 < 0 THEN 'negative' WHEN r2 < 0.3 THEN 'poor' WHEN r2 > 0.95 AND n > 30 THEN 'suspicious'
+               ELSE 'ok' END r2_flag FROM metrics""")
+def f11_quality_flags(spark, d):
+    """quality flags per category and split."""
+    return EV.quality_flags(METRICS(spark, d)[1])
+
+
+@register("f13_residuals", W(O.PRED) + """
+, rr AS (SELECT category, (discounted_price - prediction) / NULLIF(discounted_price, 0) * 100 v FROM pred),
+r AS (SELECT category, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END lo,
+             CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END hi FROM rr GROUP BY category),
+b AS (SELECT category, lo, hi, least(floor((v - lo) * 20 / (hi - lo)), 19)::INTEGER bin FROM rr JOIN r USING (category))
+SELECT category, bin, lo + bin * ((hi - lo) / 20) bin_lo, lo + (bin + 1) * ((hi - lo) / 20) bin_hi, count(*) "count"
+FROM b GROUP BY category, bin, lo, hi""")
+def f13_residuals(spark, d):
+    """distribution of percentage residuals (20 bins per category)."""
+    return D.histogram(EV.residuals(PRED(spark, d)), "pct_error", "category", bins=20)
+
+
+@register("f14_performance_summary", W(O.PRED) + " SELECT * FROM summary")
+def f14_performance_summary(spark, d):
+    """per-category performance summary with overfit / baseline / quality."""
+    return SUMMARY(spark, d)
+
+
+@register("f15_overall_summary", W(O.PRED) + """
+SELECT *, CASE WHEN good_models >= category_count * 0.7 THEN 'SUCCESSFUL'
+               WHEN good_models >= category_count * 0.5 THEN 'MIXED RESULTS' ELSE 'NEEDS REVISION' END project_status
+FROM overall""")
+def f15_overall_summary(spark, d):
+    """Overall summary and project status."""
+    return EV.project_status(EV.overall_summary(SUMMARY(spark, d)))
+
+
+@register("f18_quality_bar", W(O.PRED) + """
+, mp AS (SELECT category, avg(discounted_price) mp FROM split_t GROUP BY category)
+SELECT s.*, test_rmse < mp * 0.10 rmse_ok, test_mae < mp * 0.08 mae_ok, test_mape < 0.12 mape_ok,
+       test_r2 > 0.65 r2_ok, test_within_10pct > 0.60 within_10_ok,
+       test_rmse < mp * 0.10 AND test_mae < mp * 0.08 AND test_mape < 0.12 AND test_r2 > 0.65
+         AND test_within_10pct > 0.60 meets_bar
+FROM summary s JOIN mp USING (category)""")
+def f18_quality_bar(spark, d):
+    """the documented accuracy bar per category."""
+    mp = SPL(spark, d).groupBy("category").agg(F.avg("discounted_price").alias("mean_price"))
+    return EV.quality_bar(SUMMARY(spark, d), mp)
