@@ -344,3 +344,56 @@ overall AS (
          count(*) category_count, count(*) FILTER (WHERE model_quality = 'good') good_models,
          count(*) FILTER (WHERE model_quality = 'poor') poor_models
   FROM summary)"""
+
+
+def _scenarios() -> str:
+    from pricelens.operators import scenarios as I
+    rows = []
+    pts = ["w - 0.05e0", "w", "(w + v) / 2", "v", "v + 0.05e0"]
+    for i, p in enumerate(pts):
+        rows.append(f"SELECT category, median_price, w, v, 'threshold_test' test_type, 't{i}' scenario, "
+                    f"round(median_price * ({p}), 2) cost, 'medium' sat, 'medium' brand, "
+                    f"NULL::DOUBLE rating, NULL::INTEGER rating_count FROM g0")
+    base = f"round(median_price * {I.MARKET_COST_SHARE}e0, 2)"
+    for a in I.LEVELS:
+        for b in I.LEVELS:
+            rows.append(f"SELECT category, median_price, w, v, 'market_conditions', '{a}_{b}', {base}, "
+                        f"'{a}', '{b}', NULL::DOUBLE, NULL::INTEGER FROM g0")
+    for r in I.RATINGS:
+        for c in I.RATING_COUNTS:
+            rows.append(f"SELECT category, median_price, w, v, 'quality', 'r{r}_c{c}', {base}, "
+                        f"'medium', 'medium', {r}e0, {c}::INTEGER FROM g0")
+    for p in I.COST_PERCENTAGES:
+        rows.append(f"SELECT category, median_price, w, v, 'manufacturing_cost', 'c{p}', "
+                    f"round(median_price * {p}e0, 2), 'medium', 'medium', NULL::DOUBLE, NULL::INTEGER FROM g0")
+    return "\nUNION ALL ".join(rows)
+
+
+SCEN = PRODUCTS + ",\n" + settings_cte() + "," + MARKET + f""",
+bm AS (
+  SELECT category,
+    CASE WHEN coalesce(median_price, 0e0) <> 0 THEN coalesce(median_price, 0e0)
+         WHEN coalesce(q1, 0e0) > 0 AND coalesce(q3, 0e0) > 0 THEN (coalesce(q1, 0e0) + coalesce(q3, 0e0)) / 2
+         ELSE 100e0 END median_price, min_price, max_price, q1, q3
+  FROM stats),
+g0 AS (SELECT b.category, b.median_price, coalesce(s.warning_threshold, 0.85e0) w,
+              coalesce(s.viability_threshold, 1.0e0) v
+       FROM bm b LEFT JOIN settings s USING (category)),
+grid AS ({_scenarios()}),
+sreq AS (
+  SELECT g.*, m.market_price market, m.q1, m.q3, s.warning_threshold, s.viability_threshold, s.min_margin
+  FROM grid g JOIN market m USING (category) LEFT JOIN settings s USING (category)),
+""" + rec_select("sreq", ["test_type", "scenario", "median_price", "w", "v", "rating", "rating_count"]).strip() + """,
+results AS (
+  SELECT category, test_type, scenario, manufacturing_cost, manufacturing_cost / median_price cost_to_median_ratio,
+    predicted_market_price, predicted_market_price / median_price price_to_median_ratio, recommended_price,
+    discount_from_market, profit_margin_percentage, strategy, coalesce(viability_issue, false) viability_issue,
+    coalesce(high_cost_warning, false) high_cost_warning,
+    CASE WHEN test_type = 'threshold_test' THEN
+      CASE WHEN manufacturing_cost / median_price < w THEN 'Below Warning'
+           WHEN abs(manufacturing_cost / median_price - w) < 0.01 THEN 'At Warning'
+           WHEN manufacturing_cost / median_price < v THEN 'Between'
+           WHEN abs(manufacturing_cost / median_price - v) < 0.01 THEN 'At Viability'
+           ELSE 'Above Viability' END END threshold_test_point,
+    market_saturation, brand_strength, rating, rating_count
+  FROM rec)"""

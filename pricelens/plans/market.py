@@ -30,3 +30,12 @@ def recommend_products(products: DataFrame, settings: DataFrame) -> DataFrame:
                            "market_saturation", F.col("brand_level").alias("brand_strength"))
            .join(market.select("category", "predicted_market_price"), "category"))
     return recommend(req, settings, stats=market.select("category", "q1", "q3"), keep=["product_id"])
+
+
+def scenario_results(products: DataFrame, settings: DataFrame) -> DataFrame:
+    """The scenario grid of every category priced against its market."""
+    from pricelens.operators import scenarios as I
+    market = bounded(category_market(products, settings))
+    bm = I.synthetic_benchmarks(market)
+    grid = I.scenario_grid(bm, settings)
+    return I.run_scenarios(grid, market, settings, stats=market.select("category", "q1", "q3"))

@@ -683,3 +683,271 @@ def f18_quality_bar(spark, d):
     """the documented accuracy bar per category."""
     mp = SPL(spark, d).groupBy("category").agg(F.avg("discounted_price").alias("mean_price"))
     return EV.quality_bar(SUMMARY(spark, d), mp)
+
+
+# ---------------------------------------------------------------- G17-G23
+from pricelens.operators import market as H  # noqa: E402
+from pricelens.operators import pricing as G  # noqa: E402
+from pricelens.operators import scenarios as I  # noqa: E402
+
+_OVERRIDES = {"Audio": {"min_margin": 0.2}, "Cameras": {"warning_threshold": 0.7}}
+
+
+def _settings_sql_override() -> str:
+    rows = []
+    for c, (w, v, cf, m) in S.CATEGORY_SETTINGS.items():
+        o = _OVERRIDES.get(c, {})
+        rows.append(f"('{c}', {o.get('warning_threshold', w)}e0, {o.get('viability_threshold', v)}e0, "
+                    f"{o.get('calibration_factor', cf)}e0, {o.get('min_margin', m)}e0)")
+    return ("settings(category, warning_threshold, viability_threshold, calibration_factor, min_margin) AS "
+            "(VALUES " + ", ".join(rows) + ")")
+
+
+_REQ = """
+req AS (
+  SELECT p.product_id, p.category, p.manufacturing_cost cost, lower(p.market_saturation) sat,
+         lower(p.brand_level) brand, m.market_price market, m.q1, m.q3,
+         s.warning_threshold, s.viability_threshold, s.min_margin
+  FROM products p JOIN market m USING (category) LEFT JOIN settings s USING (category))"""
+REC = W(O.PRODUCTS, O.settings_cte(), O.MARKET, _REQ, O.rec_select("req", ["product_id"]).strip())
+
+
+def REC_DF(spark, d):
+    return M.recommend_products(P(spark, d), settings_table(spark))
+
+
+@register("g17_effective_settings", W(O.PRODUCTS, _settings_sql_override(), O.MARKET, _REQ,
+                                      O.rec_select("req", ["product_id"]).strip()) + " SELECT * FROM rec")
+def g17_effective_settings(spark, d):
+    """Settings overrides (Audio margin .20, Cameras warning .70) applied to every product."""
+    base = settings_table(spark)
+    over = spark.createDataFrame([("Audio", None, 0.2), ("Cameras", 0.7, None)],
+                                 "category string, warning_threshold double, min_margin double")
+    eff = G.effective_settings(base, over)
+    return M.recommend_products(P(spark, d), F.broadcast(eff))
+
+
+@register("g19_advice", REC + """
+SELECT product_id, CASE WHEN coalesce(viability_issue, false) THEN 'viability'
+                        WHEN coalesce(high_cost_warning, false) THEN 'high_cost'
+                        WHEN recommended_price > predicted_market_price THEN 'above_market' ELSE 'normal' END advice_class
+FROM rec""")
+def g19_advice(spark, d):
+    """Advice class per recommendation (the text is formatted from the same fields)."""
+    return G.advice(REC_DF(spark, d)).select("product_id", "advice_class")
+
+
+@register("g20_price_ladder", REC + """
+, pts AS (
+  SELECT product_id, 0 ord, 'Manufacturing Cost' point, manufacturing_cost price FROM rec UNION ALL
+  SELECT product_id, 1, 'Minimum Viable Price', minimum_viable_price FROM rec UNION ALL
+  SELECT product_id, 2, 'Min Competitive', min_competitive_price FROM rec UNION ALL
+  SELECT product_id, 3, 'Recommended Price', recommended_price FROM rec UNION ALL
+  SELECT product_id, 4, 'Max Competitive', max_competitive_price FROM rec UNION ALL
+  SELECT product_id, 5, 'Market Price', predicted_market_price FROM rec)
+SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY price, ord)::INTEGER "rank", point, price FROM pts""")
+def g20_price_ladder(spark, d):
+    """Six named price points per recommendation, ranked by price."""
+    return G.price_ladder(REC_DF(spark, d))
+
+
+_CURVE = """
+, el AS (SELECT category, CASE WHEN q1 > 0 AND q3 > q1 THEN -1.0e0 - 0.5e0 * least(q3 / q1 / 3, 1.0e0) ELSE -1.5e0 END e
+         FROM stats),
+curve AS (
+  SELECT category, i::INTEGER grid_idx, i * (50e0 / 99) discount_pct, -e * (i * (50e0 / 99)) sales_impact,
+         ((1 + (-e * (i * (50e0 / 99))) / 100) * (1 - (i * (50e0 / 99)) / 100) - 1) * 100 revenue_impact
+  FROM el, range(100) t(i))"""
+
+
+def CURVE_DF(spark, d):
+    st = D.price_stats(P(spark, d))
+    e = st.select("category", G.elasticity_expr(F.col("q1"), F.col("q3")).alias("price_elasticity"))
+    return G.sensitivity_curve(e)
+
+
+@register("g21_sensitivity_curve", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + _CURVE + " SELECT * FROM curve")
+def g21_sensitivity_curve(spark, d):
+    """Sales and revenue impact over 100 discounts in [0, 50] per category."""
+    return CURVE_DF(spark, d)
+
+
+@register("g22_optimal_discount", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + _CURVE + """
+SELECT category, arg_max(discount_pct, (revenue_impact, -grid_idx)) optimal_discount,
+       arg_max(sales_impact, (revenue_impact, -grid_idx)) expected_sales_impact, max(revenue_impact) max_revenue_impact
+FROM curve GROUP BY category""")
+def g22_optimal_discount(spark, d):
+    """Revenue-maximising discount per category (first maximum)."""
+    return G.optimal_discount(CURVE_DF(spark, d))
+
+
+@register("g23_revenue_impact", REC + """
+SELECT product_id, ((1 + estimated_sales_impact / 100) * (1 - discount_from_market / 100) - 1) * 100 revenue_impact_at_discount
+FROM rec""")
+def g23_revenue_impact(spark, d):
+    """Revenue impact at the recommended discount."""
+    return G.revenue_impact(REC_DF(spark, d)).select("product_id", "revenue_impact_at_discount")
+
+
+# ---------------------------------------------------------------- H market
+@register("h01_market_panel", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + """
+SELECT category, median_price, q1, q3, min_price, max_price, max_price - min_price price_range FROM stats""")
+def h01_market_panel(spark, d):
+    """H1: market panel per category."""
+    return H.market_panel(D.price_stats(P(spark, d)))
+
+
+_INS = _CURVE + """
+, opt AS (SELECT category, arg_max(discount_pct, (revenue_impact, -grid_idx)) od, max(revenue_impact) mr FROM curve GROUP BY category),
+ins AS (SELECT category, e price_elasticity, od optimal_discount, -e * od expected_sales_increase, mr expected_revenue_impact
+        FROM el JOIN opt USING (category))"""
+
+
+@register("h03_market_insights", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + _INS + " SELECT * FROM ins")
+def h03_market_insights(spark, d):
+    """H3: elasticity, optimal discount, expected sales and revenue impact."""
+    return H.market_insights(D.price_stats(P(spark, d)))
+
+
+@register("h02_market_strategies", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + _INS + f"""
+, items AS (
+  SELECT category, 0 k, '{H.SEGMENTATION[0]}' strategy, '{H.SEGMENTATION[1]}' discount_range FROM stats JOIN ins USING (category)
+    WHERE (coalesce(max_price, 0e0) - coalesce(min_price, 0e0)) / coalesce(median_price, 1e0) > 2.0
+  UNION ALL
+  SELECT category, 1, CASE WHEN price_elasticity < -1.7 THEN '{H.AGGRESSIVE_VALUE[0]}' WHEN price_elasticity > -1.3 THEN '{H.QUALITY_DIFF[0]}' ELSE '{H.BALANCED[0]}' END,
+    CASE WHEN price_elasticity < -1.7 THEN '{H.AGGRESSIVE_VALUE[1]}' WHEN price_elasticity > -1.3 THEN '{H.QUALITY_DIFF[1]}' ELSE '{H.BALANCED[1]}' END FROM ins
+  UNION ALL
+  SELECT category, 2, '{H.NEW_SELLER}', printf('%.1f', optimal_discount) || '% initially, reducing by 5% every 3 months' FROM ins)
+SELECT category, row_number() OVER (PARTITION BY category ORDER BY k)::INTEGER position, strategy, discount_range FROM items""")
+def h02_market_strategies(spark, d):
+    """H2: ordered strategy recommendations per category."""
+    return H.market_strategies(D.price_stats(P(spark, d)))
+
+
+@register("h05_settings_ranking", W(O.PRODUCTS, O.settings_cte()) + """
+, c AS (SELECT category, count(*) products FROM products GROUP BY category)
+SELECT s.*, c.products, row_number() OVER (ORDER BY min_margin DESC, category) "rank"
+FROM settings s JOIN c USING (category)""")
+def h05_settings_ranking(spark, d):
+    """H5: categories with products ranked by minimum margin."""
+    c = P(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("products"))
+    return H.settings_ranking(settings_table(spark).join(c, "category"), "min_margin")
+
+
+# ---------------------------------------------------------------- I scenarios
+def SCEN_DF(spark, d):
+    return M.scenario_results(P(spark, d), settings_table(spark))
+
+
+@register("i01_synthetic_benchmarks", W(O.SCEN) + " SELECT * FROM bm")
+def i01_synthetic_benchmarks(spark, d):
+    """Usable benchmark per category."""
+    return I.synthetic_benchmarks(D.price_stats(P(spark, d)))
+
+
+@register("i02_scenario_results", W(O.SCEN) + " SELECT * FROM results")
+def i02_scenario_results(spark, d):
+    """Threshold, market, quality and cost scenarios priced per category."""
+    return SCEN_DF(spark, d)
+
+
+@register("i07_mean_price_by_category", W(O.SCEN) + """
+SELECT category, avg(predicted_market_price) mean_predicted_price, any_value(b.median_price) median_price,
+       avg(predicted_market_price) / any_value(b.median_price) ratio_to_median
+FROM results r JOIN bm b USING (category) WHERE test_type = 'threshold_test' GROUP BY category""")
+def i07_mean_price_by_category(spark, d):
+    """Mean predicted price and ratio to median."""
+    bm = I.synthetic_benchmarks(D.price_stats(P(spark, d)))
+    return I.mean_price_by_category(SCEN_DF(spark, d), bm)
+
+
+def _five_sql(col, keys, src):
+    k = ", ".join(keys)
+    return (f"SELECT {k}, count(*) n, avg({col}) mean, {O.q(O.xs(col), 0.0)} \"min\", {O.q(O.xs(col), 0.25)} q1, "
+            f"{O.q(O.xs(col), 0.5)} median, {O.q(O.xs(col), 0.75)} q3, {O.q(O.xs(col), 1.0)} \"max\" "
+            f"FROM {src} GROUP BY {k}")
+
+
+@register("i08_condition_discount_stats", W(O.SCEN) + """
+, mc AS (SELECT *, concat_ws('_', market_saturation, brand_strength) market_condition FROM results
+         WHERE test_type = 'market_conditions') """ + _five_sql("discount_from_market", ["market_condition"], "mc"))
+def i08_condition_discount_stats(spark, d):
+    """I8: discount box statistics per market condition."""
+    return I.condition_discount_stats(SCEN_DF(spark, d))
+
+
+@register("i09_quality_pivot", W(O.SCEN) + """
+SELECT category, rating, avg(recommended_price) FILTER (WHERE rating_count = 10) "10",
+       avg(recommended_price) FILTER (WHERE rating_count = 100) "100",
+       avg(recommended_price) FILTER (WHERE rating_count = 1000) "1000"
+FROM results WHERE test_type = 'quality' GROUP BY category, rating""")
+def i09_quality_pivot(spark, d):
+    """Mean recommended price by rating x review count, per category."""
+    return I.quality_pivot(SCEN_DF(spark, d), "recommended_price", by_category=True)
+
+
+@register("i10_strategy_distribution", W(O.SCEN) + """
+SELECT category, strategy, count(*) "count", count(*) / sum(count(*)) OVER (PARTITION BY category) * 100 pct
+FROM results GROUP BY category, strategy""")
+def i10_strategy_distribution(spark, d):
+    """Strategy counts and shares per category."""
+    return I.strategy_distribution(SCEN_DF(spark, d), by_category=True)
+
+
+@register("i10_strategy_distribution_overall", W(O.SCEN) + """
+SELECT strategy, count(*) "count", count(*) / sum(count(*)) OVER () * 100 pct FROM results GROUP BY strategy""")
+def i10_strategy_distribution_overall(spark, d):
+    """Strategy counts and shares over all scenarios (the true overall distribution)."""
+    return I.strategy_distribution(SCEN_DF(spark, d))
+
+
+@register("i11_price_ratio_stats", W(O.SCEN) + " " + _five_sql("price_to_median_ratio", ["category"], "results"))
+def i11_price_ratio_stats(spark, d):
+    """Price-to-median ratio statistics per category."""
+    return I.price_ratio_stats(SCEN_DF(spark, d))
+
+
+@register("i12_threshold_matrix", W(O.SCEN) + """
+SELECT category, threshold_test_point, count(*) FILTER (WHERE viability_issue) viability_issues,
+       count(*) FILTER (WHERE high_cost_warning) warnings, count(*) total
+FROM results WHERE test_type = 'threshold_test' GROUP BY ALL""")
+def i12_threshold_matrix(spark, d):
+    """Threshold matrix."""
+    return I.threshold_matrix(SCEN_DF(spark, d))
+
+
+@register("i13_result_describe", W(O.SCEN) + f"""
+, long AS (UNPIVOT (SELECT discount_from_market, profit_margin_percentage FROM results)
+           ON discount_from_market, profit_margin_percentage INTO NAME "column" VALUE value)
+SELECT "column", count(value) "count", avg(value) mean, stddev_samp(value) std, min(value) "min",
+       {O.q(O.xs('value'), 0.25)} p25, {O.q(O.xs('value'), 0.5)} p50, {O.q(O.xs('value'), 0.75)} p75, max(value) "max"
+FROM long GROUP BY ALL""")
+def i13_result_describe(spark, d):
+    """Descriptive statistics of discount and margin."""
+    return I.result_describe(SCEN_DF(spark, d))
+
+
+@register("i14_cost_band_analysis", W(O.SCEN) + """
+, bands AS (SELECT unnest([0.3e0, 0.5e0, 0.7e0, 0.9e0, 1.1e0]) cost_band)
+SELECT category, cost_band, avg(discount_from_market) avg_discount, avg(profit_margin_percentage) avg_margin, count(*) n
+FROM results JOIN bands ON cost_to_median_ratio >= cost_band - 0.1e0 AND cost_to_median_ratio <= cost_band + 0.1e0
+GROUP BY category, cost_band""")
+def i14_cost_band_analysis(spark, d):
+    """Cost-band analysis (overlapping bands, inclusive ends)."""
+    return I.cost_band_analysis(SCEN_DF(spark, d))
+
+
+@register("i15_cost_price_series", W(O.SCEN) + """
+SELECT category, manufacturing_cost, recommended_price, predicted_market_price FROM results
+WHERE test_type = 'manufacturing_cost'""")
+def i15_cost_price_series(spark, d):
+    """Cost vs price series per category."""
+    return I.cost_price_series(SCEN_DF(spark, d))
+
+
+@register("i16_flag_totals", W(O.SCEN) + """
+SELECT count(*) cases, count(*) FILTER (WHERE viability_issue) viability_issues,
+       count(*) FILTER (WHERE high_cost_warning) high_cost_warnings FROM results""")
+def i16_flag_totals(spark, d):
+    """I16: totals of viability issues and high-cost warnings."""
+    return I.flag_totals(SCEN_DF(spark, d))
