@@ -8,6 +8,7 @@ the catalogue against that market.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,14 @@ from pricelens.operators.pricing import calibrate, recommend
 from pricelens.operators.profiling import price_stats
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a derived input that a flow reads twice (once for the statistics,
+    once for the rows) instead of deriving it again. Lost blocks are rebuilt
+    from lineage, so this survives executor loss."""
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else \
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def category_market(products: DataFrame, settings: DataFrame, col: str = "discounted_price") -> DataFrame:
     """One row per category: calibrated market price and the D5 statistics."""
     st = price_stats(products, col, "category")
@@ -25,6 +34,7 @@ def category_market(products: DataFrame, settings: DataFrame, col: str = "discou
 
 def recommend_products(products: DataFrame, settings: DataFrame) -> DataFrame:
     """Recommend a price for every product against its category market."""
+    products = reuse(products)
     market = bounded(category_market(products, settings))
     req = (products.select("product_id", "category", "manufacturing_cost",
                            "market_saturation", F.col("brand_level").alias("brand_strength"))
