@@ -951,3 +951,164 @@ SELECT count(*) cases, count(*) FILTER (WHERE viability_issue) viability_issues,
 def i16_flag_totals(spark, d):
     """I16: totals of viability issues and high-cost warnings."""
     return I.flag_totals(SCEN_DF(spark, d))
+
+
+# ---------------------------------------------------------------- A sources / sinks
+import uuid  # noqa: E402
+
+from pricelens.session import ensure_checkpoint_dir  # noqa: E402
+from pricelens.sources import io as A  # noqa: E402
+
+
+def scratch(spark, what: str) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pricelens-io/{what}-{uuid.uuid4().hex}"
+
+
+_PCOLS = ["product_id", "product_name", "brand", "product_type", "category", "discounted_price",
+          "actual_price", "manufacturing_cost", "discount_percentage", "rating_count", "estimated_units_sold",
+          "rating", "market_saturation", "brand_level"]
+
+
+@register("a01_read_products", W(O.PRODUCTS) + " SELECT " + ", ".join(_PCOLS) + " FROM products")
+def a01_read_products(spark, d):
+    """A1/A2: the catalogue written as CSV with a header and read back by name with explicit types."""
+    path = scratch(spark, "csv")
+    P(spark, d).select(*_PCOLS).write.option("header", True).csv(path)
+    return A.read_products(spark, path).select(*_PCOLS)
+
+
+@register("a03_read_split", W(O.SPLIT) + """
+SELECT product_id, discounted_price, category, split FROM split_t WHERE category = 'Audio' AND split = 'test'""")
+def a03_read_split(spark, d):
+    """A3/A4: split table written partitioned by category/split; one partition read back (pruned)."""
+    path = scratch(spark, "split")
+    A.write_split(SPL(spark, d).select("product_id", "discounted_price", "category", "split"), path)
+    return A.read_split(spark, path, "Audio", "test").select("product_id", "discounted_price", "category", "split")
+
+
+@register("a06_price_stats_json", _D2 + """
+, st AS (SELECT category, "column", "Q1", "Q3", "IQR", lower_bound, upper_bound,
+           count(*) FILTER (WHERE value < lower_bound)::DOUBLE outliers_lower,
+           count(*) FILTER (WHERE value > upper_bound)::DOUBLE outliers_upper
+         FROM long JOIN s USING (category, "column") GROUP BY ALL)
+UNPIVOT st ON "Q1", "Q3", "IQR", lower_bound, upper_bound, outliers_lower, outliers_upper INTO NAME stat VALUE value""")
+def a06_price_stats_json(spark, d):
+    """D2 statistics written as one nested JSON document (counts as strings)
+    and read back flat with string -> double casts."""
+    st = D.iqr_stats(P(spark, d))
+    stats = ["Q1", "Q3", "IQR", "lower_bound", "upper_bound", "outliers_lower", "outliers_upper"]
+    inner = st.select("category", "column", F.create_map(*[x for s_ in stats for x in
+                                                           (F.lit(s_), F.col(s_).cast("string"))]).alias("m"))
+    per_cat = inner.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("c"))
+    doc = per_cat.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "c")))).alias("value"))
+    path = scratch(spark, "stats")
+    doc.write.text(path)
+    return A.read_price_stats_json(spark, path)
+
+
+@register("a08_history", REC + """
+SELECT product_id, category, recommended_price, strategy FROM rec""")
+def a08_history(spark, d):
+    """Recommendations appended as JSON, read back newest first."""
+    path = scratch(spark, "history")
+    A.write_recommendations(REC_DF(spark, d), path)
+    return H.history(A.read_history(spark, path)).select("product_id", "category", "recommended_price", "strategy")
+
+
+@register("a09_display", REC + """
+SELECT product_id, category, printf('₹%.2f', round(predicted_market_price, 2)) predicted_market_price,
+  printf('₹%.2f', round(recommended_price, 2)) recommended_price,
+  printf('%.1f%%', round(profit_margin_percentage, 1)) profit_margin_percentage,
+  printf('%.1f%%', round(discount_from_market, 1)) discount_from_market, strategy FROM rec""")
+def a09_display(spark, d):
+    """Display copy with currency and percent formatting."""
+    cols = ["product_id", "category", "predicted_market_price", "recommended_price", "profit_margin_percentage",
+            "discount_from_market", "strategy"]
+    return A.display_recommendations(REC_DF(spark, d).select(*cols))
+
+
+@register("b01_from_one_hot", W(O.PRODUCTS) + " SELECT product_id, category FROM products")
+def b01_from_one_hot(spark, d):
+    """B1: one-hot category columns folded back into a category column."""
+    oh = E.one_hot(P(spark, d).select("product_id", "category"), ["category"])
+    return B.from_one_hot(oh, "category_", "category")
+
+
+@register("b03_split_gate", W(O.SPLIT) + """
+SELECT category, count(*) FILTER (WHERE split = 'train') n_train, count(*) FILTER (WHERE split = 'test') n_test,
+  CASE WHEN count(*) FILTER (WHERE split = 'train') < 10 OR count(*) FILTER (WHERE split = 'test') < 5 THEN 'reject'
+       WHEN count(*) FILTER (WHERE split = 'train') < 30 OR count(*) FILTER (WHERE split = 'test') < 10 THEN 'warn'
+       ELSE 'ok' END status
+FROM split_t GROUP BY category""")
+def b03_split_gate(spark, d):
+    """Post-split sample gate."""
+    return B.split_gate(SPL(spark, d))
+
+
+@register("e20_engineer")
+def e20_engineer(spark, d):
+    """E1-E20 + D7: benchmarks, features, NULL repair and 1 %/99 % clipping per category and split."""
+    return E.engineer(SPL(spark, d)).select("product_id", "category", "split", *E.FEATURE_COLS)
+
+
+# ---------------------------------------------------------------- F4-F6, F12, F17, G1-G3, G18 (Spark ML)
+from pricelens.plans import training as TR  # noqa: E402
+
+
+def MODELS(spark, d):
+    s = SPL(spark, d)
+    return s, TR.train_by_category(s.where("split = 'train'").cache())
+
+
+@register("f04_train_predict")
+def f04_train_predict(spark, d):
+    """Per-category GBT models on log price; every product scored by its category's model."""
+    s, models = MODELS(spark, d)
+    return TR.predict(models, s).select("product_id", "category", "split", "discounted_price", "prediction")
+
+
+@register("f08_model_metrics")
+def f08_model_metrics(spark, d):
+    """F7-F9 on model output: clipped predictions, RMSE/MAE/R2/MAPE per category and split."""
+    s, models = MODELS(spark, d)
+    pred = EV.clip_predictions(TR.predict(models, s), s.where("split = 'train'"))
+    return EV.regression_metrics(pred)
+
+
+@register("f12_feature_importance")
+def f12_feature_importance(spark, d):
+    """top-10 feature importances per category model."""
+    _, models = MODELS(spark, d)
+    return TR.feature_importance(models, spark=spark, top=10)
+
+
+@register("f05_search")
+def f05_search(spark, d):
+    """seeded random search with 2-fold cross validation over a small space (pooled categories)."""
+    s = SPL(spark, d).where("split = 'train'")
+    space = {"maxIter": [10, 20], "maxDepth": [3, 5], "stepSize": [0.1]}
+    _, table = TR.search(s, n_iter=3, folds=2, space=space)
+    return table
+
+
+@register("f17_model_store")
+def f17_model_store(spark, d):
+    """models saved per category, loaded back, and used to score the test rows."""
+    s, models = MODELS(spark, d)
+    path = scratch(spark, "models")
+    TR.save_models(models, path)
+    loaded = TR.load_models(path, sorted(models))
+    return TR.predict(loaded, s.where("split = 'test'")).select("product_id", "category", "prediction")
+
+
+@register("g18_price_batch")
+def g18_price_batch(spark, d):
+    """G1-G6 + G18: batch pricing requests (category, name, cost) scored by the category
+    models, calibrated, banded and run through the rules."""
+    s, models = MODELS(spark, d)
+    req = (s.where("split = 'test'").select("category", "product_name", "manufacturing_cost",
+                                            "rating", "rating_count", "discount_percentage"))
+    priced, _ = TR.price_batch(req, models, settings_table(spark),
+                               stats=D.price_stats(s.where("split = 'train'")).select("category", "q1", "q3"))
+    return priced
