@@ -1112,3 +1112,71 @@ def g18_price_batch(spark, d):
     priced, _ = TR.price_batch(req, models, settings_table(spark),
                                stats=D.price_stats(s.where("split = 'train'")).select("category", "q1", "q3"))
     return priced
+
+
+# ---------------------------------------------------------------- X1-X5 competitor prices (batch form)
+from pricelens.streaming import competitor as X  # noqa: E402
+
+EV_SQL = "ev AS (SELECT event_id, user_id product_id, ts, value price, event_type FROM events)"
+
+
+def EVT(spark, d):
+    return X.price_events(views.table(spark, d, "events"))
+
+
+@register("x01_dedup_prices", W(EV_SQL) + " SELECT DISTINCT ON (event_id) * FROM ev")
+def x01_dedup_prices(spark, d):
+    """Repeated price observations dropped (watermarked state when streaming)."""
+    return X.dedup_prices(EVT(spark, d))
+
+
+@register("x02_flag_anomalies", W(EV_SQL) + f"""
+, hist AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-16'),
+b AS (SELECT product_id, greatest(0e0, {O.q(O.xs('price'), 0.25)} - 1.5 * ({O.q(O.xs('price'), 0.75)} - {O.q(O.xs('price'), 0.25)})) lower_bound,
+             {O.q(O.xs('price'), 0.75)} + 1.5 * ({O.q(O.xs('price'), 0.75)} - {O.q(O.xs('price'), 0.25)}) upper_bound
+      FROM hist GROUP BY product_id)
+SELECT e.event_id, e.product_id, e.price, b.lower_bound, b.upper_bound,
+       coalesce(e.price < b.lower_bound OR e.price > b.upper_bound, false) is_anomalous
+FROM ev e LEFT JOIN b USING (product_id) WHERE e.ts >= TIMESTAMP '2024-01-16'""")
+def x02_flag_anomalies(spark, d):
+    """Prices of the second half-month checked against first-half IQR bounds per product."""
+    e = EVT(spark, d)
+    hist = e.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    new = e.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp"))
+    return X.flag_anomalies(new, X.price_bounds(hist)).select(
+        "event_id", "product_id", "price", "lower_bound", "upper_bound", "is_anomalous")
+
+
+@register("x03_guardrail", W(EV_SQL) + """
+, l AS (SELECT *, lag(price) OVER w prev_price, lag(ts) OVER w prev_ts FROM ev
+        WINDOW w AS (PARTITION BY product_id ORDER BY ts, event_id)),
+g AS (SELECT *, prev_ts IS NOT NULL AND epoch_us(ts) - epoch_us(prev_ts) <= 86400000000 recent FROM l)
+SELECT event_id, product_id, ts, price, prev_ts, prev_price,
+  CASE WHEN recent AND price < prev_price * (1 - 0.05e0) THEN prev_price * (1 - 0.05e0)
+       WHEN recent AND price > prev_price * (1 + 0.05e0) THEN prev_price * (1 + 0.05e0) ELSE price END guarded_price,
+  (CASE WHEN recent AND price < prev_price * (1 - 0.05e0) THEN prev_price * (1 - 0.05e0)
+       WHEN recent AND price > prev_price * (1 + 0.05e0) THEN prev_price * (1 + 0.05e0) ELSE price END) <> price was_limited
+FROM g""")
+def x03_guardrail(spark, d):
+    """At most 5 % change against the product's previous price within 24 h."""
+    return X.guardrail(EVT(spark, d)).select("event_id", "product_id", "ts", "price", "prev_ts", "prev_price",
+                                             "guarded_price", "was_limited")
+
+
+@register("x04_hourly_pattern", W(EV_SQL) + """
+SELECT hour(ts)::INTEGER "hour", (dayofweek(ts) + 1)::INTEGER day_of_week, avg(price) avg_price, count(*) n,
+       avg(price) / (SELECT avg(price) FROM ev) ratio_to_mean
+FROM ev GROUP BY ALL""")
+def x04_hourly_pattern(spark, d):
+    """Hour-of-day x day-of-week price pattern."""
+    return X.hourly_pattern(EVT(spark, d))
+
+
+@register("x05_change_alerts", W(EV_SQL) + """
+, w AS (SELECT product_id, date_trunc('day', ts) window_start, avg(price) avg_price, count(*) n FROM ev GROUP BY ALL),
+l AS (SELECT *, lag(avg_price) OVER (PARTITION BY product_id ORDER BY window_start) prev_avg_price FROM w)
+SELECT *, avg_price / prev_avg_price - 1 change FROM l
+WHERE prev_avg_price IS NOT NULL AND abs(avg_price / prev_avg_price - 1) > 0.5""")
+def x05_change_alerts(spark, d):
+    """Daily mean price per product moved more than 50 % against the previous day."""
+    return X.change_alerts(X.window_prices(EVT(spark, d), "1 day"), threshold=0.5)
