@@ -67,7 +67,7 @@ def read_price_stats_json(spark: SparkSession, path: str) -> DataFrame:
     Values may be numbers or numeric strings; both are cast to double. The
     file is parsed with ``from_json`` into a map, so any categories work.
     """
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.from_json("value", _STAT).alias("m"))
     c = m.select(F.explode("m").alias("category", "cols"))
     k = c.select("category", F.explode("cols").alias("column", "stats"))
@@ -100,7 +100,7 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType | None = N
     """
     from pricelens.sources.schemas import RECOMMENDATION_SCHEMA
     sch = schema or RECOMMENDATION_SCHEMA
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     body = F.trim(F.col("value"))
     arr = F.when(body.startswith("["), body).otherwise(
         F.concat(F.lit("["), F.regexp_replace(body, r"\}\s*\n\s*\{", "},{"), F.lit("]")))

@@ -33,8 +33,9 @@ EVENT_SCHEMA = T.StructType([
 
 
 def price_events(events: DataFrame) -> DataFrame:
-    """Events as competitor price observations."""
-    return events.select("event_id", F.col("user_id").alias("product_id"), "ts",
+    """Events as competitor price observations (event time as TIMESTAMP, which
+    watermarks require; the session time zone is UTC)."""
+    return events.select("event_id", F.col("user_id").alias("product_id"), F.col("ts").cast("timestamp").alias("ts"),
                          F.col("value").alias("price"), "event_type")
 
 
@@ -100,11 +101,11 @@ def _apply_guard(j: DataFrame, max_change: float, horizon_hours: float) -> DataF
 
 GUARD_OUT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("product_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("price", T.DoubleType()),
+    T.StructField("ts", T.TimestampType()), T.StructField("price", T.DoubleType()),
     T.StructField("prev_price", T.DoubleType()), T.StructField("guarded_price", T.DoubleType()),
     T.StructField("was_limited", T.BooleanType()),
 ])
-GUARD_STATE = T.StructType([T.StructField("last_ts", T.TimestampNTZType()),
+GUARD_STATE = T.StructType([T.StructField("last_ts", T.TimestampType()),
                             T.StructField("last_price", T.DoubleType())])
 
 
