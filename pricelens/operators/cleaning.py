@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import attach, clip, quantile_method, quantiles
+from pricelens.functions.core import attach, clip
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.gates import numeric_columns, string_columns
 
 PRICE_COLS = ["discounted_price", "actual_price", "manufacturing_cost"]
@@ -61,8 +62,8 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> Da
     cols = list(cols) if cols is not None else columns_with_nulls(df, numeric_columns(df, keys))
     if not cols:
         return df
-    m = quantile_method(df)
-    vals = df.groupBy(*keys).agg(*[quantiles(c, [0.5], m)[0].alias(f"_fill_{c}") for c in cols])
+    vals = agg_q(df, keys, {f"_fill_{c}": (c, [0.5]) for c in cols})
+    vals = vals.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in cols})
     x = _with_group_values(df, vals, keys)
     types = dict(df.dtypes)
     return x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])) for c in cols}) \
@@ -154,9 +155,9 @@ def fill_missing(df: DataFrame) -> DataFrame:
     num, txt = [c for c in num if c in need], [c for c in txt if c in need]
     if not num and not txt:
         return df
-    m = quantile_method(df)
-    vals = df.agg(*[quantiles(c, [0.5], m)[0].alias(f"_fill_{c}") for c in num],
-                  *[F.mode(c, True).alias(f"_fill_{c}") for c in txt])
+    vals = agg_q(df, [], {f"_fill_{c}": (c, [0.5]) for c in num},
+                 [F.mode(c, True).alias(f"_fill_{c}") for c in txt])
+    vals = vals.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in num})
     types = dict(df.dtypes)
     x = df.crossJoin(F.broadcast(vals))
     x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])) for c in num + txt})

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import (EPS, attach, bounded, floor_div, lit_d, qcut_index,
-                                      quantile_method, quantiles, safe_div)
+from pricelens.functions.core import EPS, attach, bounded, floor_div, lit_d, qcut_index, safe_div
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.cleaning import fill_median
 
 PRICE = "discounted_price"
@@ -35,13 +35,11 @@ def benchmarks(df: DataFrame, by="category", floor_denominators: bool = True) ->
     ``floor_denominators=False`` is the first version: raw cost denominators.
     """
     keys = _keys(by)
-    m = quantile_method(df)
     div = floor_div if floor_denominators else safe_div
-    g = df.groupBy(*keys).agg(
-        quantiles(PRICE, [0.25, 0.5, 0.75], m).alias("_q"),
-        F.avg(PRICE).alias("mean_price"), F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"),
-        quantiles(COST, [0.5], m)[0].alias("median_manufacturing_cost"),
-        F.avg(div(F.col(PRICE), F.col(COST))).alias("mean_profit_margin"))
+    g = agg_q(df, keys, {"_q": (PRICE, [0.25, 0.5, 0.75]), "_qc": (COST, [0.5])},
+              [F.avg(PRICE).alias("mean_price"), F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"),
+               F.avg(div(F.col(PRICE), F.col(COST))).alias("mean_profit_margin")])
+    g = g.withColumn("median_manufacturing_cost", F.col("_qc")[0])
     q25 = F.col("_q")[0]
     return g.select(*keys, F.col("_q")[1].alias("median_price"), "mean_price", "min_price", "max_price",
                     q25.alias("q25_price"), F.col("_q")[2].alias("q75_price"),
@@ -170,7 +168,7 @@ TIER_LABELS = ["budget", "mid-tier", "premium"]
 def qcut(df: DataFrame, col: str, probs: Sequence[float], out: str, by="category") -> DataFrame:
     """Quantile bin index of ``col`` within its group (duplicate edges dropped)."""
     keys = _keys(by)
-    e = df.groupBy(*keys).agg(quantiles(col, probs, quantile_method(df)).alias("_edges"))
+    e = agg_q(df, keys, {"_edges": (col, probs)})
     x = attach(df, e, keys) if keys else df.crossJoin(F.broadcast(e))
     return x.withColumn(out, qcut_index(col, F.col("_edges"))).drop("_edges")
 
@@ -187,10 +185,8 @@ def price_segments(df: DataFrame, by="category") -> DataFrame:
     price_segment_numeric / price_segment (cuts at .33 / .67) and
     price_relative_to_median."""
     keys = _keys(by)
-    m = quantile_method(df)
-    e = df.groupBy(*keys).agg(quantiles(PRICE, PERCENT_EDGES, m).alias("_pe"),
-                              quantiles(PRICE, SEGMENT_EDGES, m).alias("_se"),
-                              quantiles(PRICE, [0.5], m)[0].alias("_med"))
+    e = agg_q(df, keys, {"_pe": (PRICE, PERCENT_EDGES), "_se": (PRICE, SEGMENT_EDGES), "_md": (PRICE, [0.5])})
+    e = e.withColumn("_med", F.col("_md")[0]).drop("_md")
     x = attach(df, e, keys)
     seg = qcut_index(PRICE, F.col("_se"))
     return (x.withColumns({"price_percentile": qcut_index(PRICE, F.col("_pe")),
@@ -204,7 +200,7 @@ def brand_tier(df: DataFrame, brand: str = "brand") -> DataFrame:
     """Brands ranked into tertiles of their mean price -> budget /
     mid-tier / premium, joined back to the rows (left join)."""
     avg = df.groupBy(brand).agg(F.avg(PRICE).alias("_bavg"))
-    edges = avg.agg(quantiles("_bavg", [0.0, 1 / 3, 2 / 3, 1.0], quantile_method(df)).alias("_e"))
+    edges = agg_q(avg, [], {"_e": ("_bavg", [0.0, 1 / 3, 2 / 3, 1.0])})
     tiers = avg.crossJoin(F.broadcast(edges))  # one-row edges: bounded
     tiers = tiers.select(brand, _label(qcut_index("_bavg", F.col("_e")), TIER_LABELS).alias("brand_tier"))
     return attach(df, tiers, brand)
@@ -269,7 +265,7 @@ def derived_inputs(df: DataFrame, brand: str = "brand", by="category") -> DataFr
     keys = _keys(by)
     b = df.groupBy(brand).agg(F.avg(PRICE).alias("brand_avg_price"),
                               F.count(F.lit(1)).alias("brand_product_count"))
-    c = df.groupBy(*keys).agg(quantiles(PRICE, [0.5], quantile_method(df))[0].alias("category_median_price"))
+    c = agg_q(df, keys, {"_m": (PRICE, [0.5])}).select(*keys, F.col("_m")[0].alias("category_median_price"))
     x = attach(attach(df, b, brand), c, keys)
     return x.withColumns({
         "rating_x_count": F.col("rating") * F.col("rating_count"),

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import attach, clip, lit_d, quantile_method, quantiles, unpivot_cols
+from pricelens.functions.core import attach, clip, lit_d, unpivot_cols
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 
 PRICE_COLS = ["discounted_price", "actual_price", "manufacturing_cost"]
 
@@ -23,16 +24,12 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _q(df: DataFrame, c: str, probs, method=None):
-    return quantiles(c, probs, method or quantile_method(df))
-
-
 # --- D1 ---------------------------------------------------------------------
 def flag_iqr(df: DataFrame, col: str = "discounted_price", by="category", k: float = 1.5,
              out: str = "is_outlier") -> DataFrame:
     """Flag values outside [Q1 - k*IQR, Q3 + k*IQR] of their group (no zero floor)."""
     keys = _by(by)
-    st = (df.groupBy(*keys).agg(_q(df, col, [0.25, 0.75]).alias("_q"))
+    st = (agg_q(df, keys, {"_q": (col, [0.25, 0.75])})
           .select(*keys, F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3")))
     x = attach(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
     iqr = F.col("_q3") - F.col("_q1")
@@ -45,8 +42,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str] = PRICE_COLS, by="category",
                k: float = 1.5, floor_zero: bool = True) -> DataFrame:
     """Wide per-group IQR bounds: ``{c}_q1, {c}_q3, {c}_lower, {c}_upper`` for each column."""
     keys = _by(by)
-    aggs = [_q(df, c, [0.25, 0.75]).alias(f"_{c}") for c in cols]
-    g = df.groupBy(*keys).agg(*aggs)
+    g = agg_q(df, keys, {f"_{c}": (c, [0.25, 0.75]) for c in cols})
     sel = list(keys)
     for c in cols:
         q1, q3 = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
@@ -62,7 +58,7 @@ def iqr_stats(df: DataFrame, cols: Sequence[str] = PRICE_COLS, by="category") ->
     outlier counts below / above / total and their percentage of the group."""
     keys = _by(by)
     long = unpivot_cols(df, keys, cols)
-    st = (long.groupBy(*keys, "column").agg(_q(df, "value", [0.25, 0.75]).alias("_q"))
+    st = (agg_q(long, [*keys, "column"], {"_q": ("value", [0.25, 0.75])})
           .select(*keys, "column", F.col("_q")[0].alias("Q1"), F.col("_q")[1].alias("Q3")))
     st = st.withColumns({
         "IQR": F.col("Q3") - F.col("Q1"),
@@ -95,9 +91,8 @@ def cap_iqr(df: DataFrame, bounds: DataFrame | None = None, cols: Sequence[str]
 def price_stats(df: DataFrame, col: str = "discounted_price", by="category") -> DataFrame:
     """q1, q3, iqr, lower_bound (floored at 0), upper_bound, min, max, median per group."""
     keys = _by(by)
-    g = df.groupBy(*keys).agg(_q(df, col, [0.25, 0.5, 0.75]).alias("_q"),
-                              F.min(col).alias("min_price"), F.max(col).alias("max_price"),
-                              F.count(col).alias("n"))
+    g = agg_q(df, keys, {"_q": (col, [0.25, 0.5, 0.75])},
+              [F.min(col).alias("min_price"), F.max(col).alias("max_price"), F.count(col).alias("n")])
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     return g.select(*keys, q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
                     F.greatest(lit_d(0.0), q1 - 1.5 * (q3 - q1)).alias("lower_bound"),
@@ -133,7 +128,7 @@ def winsorise(df: DataFrame, cols: Sequence[str], by=("category", "split"),
     quantiles are undefined (all NULL) the bounds are [0, 1000].
     """
     keys = _by(by)
-    g = df.groupBy(*keys).agg(*[_q(df, c, [lo, hi]).alias(f"_w_{c}") for c in cols])
+    g = agg_q(df, keys, {f"_w_{c}": (c, [lo, hi]) for c in cols})
     sel = list(keys)
     for c in cols:
         a, b = F.col(f"_w_{c}")[0], F.col(f"_w_{c}")[1]
@@ -153,9 +148,9 @@ def describe_by(df: DataFrame, cols: Sequence[str], by="category") -> DataFrame:
     keys = _by(by)
     long = unpivot_cols(df, keys, cols)
     v = F.col("value")
-    g = long.groupBy(*keys, "column").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), _q(df, "value", [0.25, 0.5, 0.75]).alias("_q"), F.max(v).alias("max"))
+    g = agg_q(long, [*keys, "column"], {"_q": ("value", [0.25, 0.5, 0.75])},
+              [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+               F.min(v).alias("min"), F.max(v).alias("max")])
     return g.select(*keys, "column", "count", "mean", "std", "min",
                     F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                     F.col("_q")[2].alias("p75"), "max")
@@ -164,7 +159,7 @@ def describe_by(df: DataFrame, cols: Sequence[str], by="category") -> DataFrame:
 def five_number(df: DataFrame, col: str, by="category") -> DataFrame:
     """Min, Q1, median, Q3, max per group (box-plot summary)."""
     keys = _by(by)
-    g = df.groupBy(*keys).agg(_q(df, col, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("_q"))
+    g = agg_q(df, keys, {"_q": (col, [0.0, 0.25, 0.5, 0.75, 1.0])})
     names = ["min", "q1", "median", "q3", "max"]
     return g.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import lit_d, quantiles, round_half_away
+from pricelens.functions.core import lit_d, round_half_away
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.pricing import recommend
 
 # --- FIXED VALUES: scenario grid ---------------------------------------------
@@ -125,8 +126,8 @@ def mean_price_by_category(results: DataFrame, bm: DataFrame) -> DataFrame:
 
 
 def _five(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-    g = df.groupBy(*keys).agg(quantiles(col, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("_q"),
-                              F.avg(col).alias("mean"), F.count(F.lit(1)).alias("n"))
+    g = agg_q(df, keys, {"_q": (col, [0.0, 0.25, 0.5, 0.75, 1.0])},
+              [F.avg(col).alias("mean"), F.count(F.lit(1)).alias("n")])
     names = ["min", "q1", "median", "q3", "max"]
     return g.select(*keys, "n", "mean", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
 

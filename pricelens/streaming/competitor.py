@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pricelens.functions.core import attach, lit_d, quantile_method, quantiles
+from pricelens.functions.core import attach, lit_d
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.functions.rank import group_rank
 from pricelens.session import ensure_checkpoint_dir
 
@@ -57,7 +58,7 @@ def dedup_prices(df: DataFrame, key: str = "event_id", watermark: str = "1 hour"
 # --- X2 ---------------------------------------------------------------------------
 def price_bounds(history: DataFrame, by: str = "product_id", k: float = 1.5) -> DataFrame:
     """Per-product IQR bounds from a static price history (D2 rule, floored at 0)."""
-    g = history.groupBy(by).agg(quantiles("price", [0.25, 0.75], quantile_method(history)).alias("_q"))
+    g = agg_q(history, [by], {"_q": ("price", [0.25, 0.75])})
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return g.select(by, F.greatest(lit_d(0.0), q1 - k * (q3 - q1)).alias("lower_bound"),
                     (q3 + k * (q3 - q1)).alias("upper_bound"))
