@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelens.functions.core import attach
+from pricelens.functions.core import attach, bounded
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -94,9 +94,9 @@ def unknown_categories(df: DataFrame, settings: DataFrame, strict: bool = False,
     ``strict=True`` reproduces the all-or-nothing behaviour: any unknown
     category raises ``ValueError`` listing (at most 20 of) them.
     """
-    keys = settings.select(by).distinct()
-    rejects = df.join(F.broadcast(keys), by, "left_anti")
-    known = df.join(F.broadcast(keys), by, "left_semi")
+    keys = bounded(settings.select(by).distinct())
+    rejects = df.join(keys, by, "left_anti")
+    known = df.join(keys, by, "left_semi")
     if strict:
         bad = [r[0] for r in rejects.select(by).distinct().limit(20).collect()]
         if bad:

@@ -43,14 +43,14 @@ def with_settings(df: DataFrame, settings: DataFrame) -> DataFrame:
                         F.col("viability_threshold").alias("_via"),
                         F.col("calibration_factor").alias("_calib"),
                         F.col("min_margin").alias("_mm"))
-    return df.join(F.broadcast(s), "category", "left")
+    return attach(df, s, "category")
 
 
 def calibrate(df: DataFrame, settings: DataFrame, price_col: str = "raw_predicted_price",
               out: str = "predicted_market_price") -> DataFrame:
     """Multiply by the category calibration factor (1.0 when unknown)."""
     s = settings.select("category", F.col("calibration_factor").alias("_cf"))
-    return (df.join(F.broadcast(s), "category", "left")
+    return (attach(df, s, "category")
             .withColumn(out, F.when(F.col("_cf").isNotNull(), F.col(price_col) * F.col("_cf"))
                         .otherwise(F.col(price_col)))
             .drop("_cf"))

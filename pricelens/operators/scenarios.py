@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import lit_d, round_half_away
+from pricelens.functions.core import attach, lit_d, round_half_away
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.pricing import recommend
 
@@ -66,7 +66,7 @@ def scenario_grid(bm: DataFrame, settings: DataFrame,
     """
     s = settings.select("category", F.col("warning_threshold").alias("_w"),
                         F.col("viability_threshold").alias("_v"))
-    x = bm.join(F.broadcast(s), "category", "left").withColumns({
+    x = attach(bm, s, "category").withColumns({
         "_w": F.coalesce(F.col("_w"), lit_d(0.85)), "_v": F.coalesce(F.col("_v"), lit_d(1.0))})
     m, w, v = F.col("median_price"), F.col("_w"), F.col("_v")
     cost = lambda pct: round_half_away(m * pct, 2)
@@ -103,7 +103,7 @@ def run_scenarios(grid: DataFrame, market: DataFrame, settings: DataFrame,
     ``market`` has ``category, predicted_market_price`` (a model's output or
     the calibrated median). Flags are False where the branch does not set them.
     """
-    req = grid.join(F.broadcast(market.select("category", "predicted_market_price")), "category")
+    req = attach(grid, market.select("category", "predicted_market_price"), "category", how="inner")
     keep = ["test_type", "scenario", "median_price", "warning_threshold", "viability_threshold",
             "rating", "rating_count"]
     rec = recommend(req, settings, stats, keep=keep)
@@ -151,7 +151,7 @@ def strategy_distribution(results: DataFrame, by_category: bool = False) -> Data
     keys = ["category"] if by_category else []
     c = results.groupBy(*keys, "strategy").agg(F.count(F.lit(1)).alias("count"))
     tot = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    x = c.join(F.broadcast(tot), keys, "inner") if keys else c.crossJoin(F.broadcast(tot))
+    x = attach(c, tot, keys, how="inner") if keys else c.crossJoin(F.broadcast(tot))  # 1 row when global
     return x.withColumn("pct", F.col("count") / F.col("_t") * 100).drop("_t")
 
 

@@ -224,6 +224,7 @@ def price_batch(requests: DataFrame, models: dict[str, PipelineModel], settings:
     req = with_defaults(requests, S.REQUEST_DEFAULTS)
     known, rejects = unknown_categories(req, settings, strict=strict)
     spark = requests.sparkSession
+    # one row per trained model (the driver holds the models): bounded by construction
     modelled = spark.createDataFrame([(c,) for c in models], "category string")
     no_model = known.join(F.broadcast(modelled), "category", "left_anti").withColumn(
         "reject_reason", F.lit("no model for category"))
