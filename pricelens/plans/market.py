@@ -34,7 +34,9 @@ def category_market(products: DataFrame, settings: DataFrame, col: str = "discou
 
 def recommend_products(products: DataFrame, settings: DataFrame) -> DataFrame:
     """Recommend a price for every product against its category market."""
-    products = reuse(products)
+    # keep only what the flow reads before persisting it (statistics + rows)
+    products = reuse(products.select("product_id", "category", "discounted_price", "manufacturing_cost",
+                                     "market_saturation", "brand_level"))
     market = bounded(category_market(products, settings))
     req = (products.select("product_id", "category", "manufacturing_cost",
                            "market_saturation", F.col("brand_level").alias("brand_strength"))

@@ -1046,7 +1046,24 @@ def b03_split_gate(spark, d):
     return B.split_gate(SPL(spark, d))
 
 
-@register("e20_engineer")
+def _winsor_sql(c):
+    a, b = f"coalesce(a_{c}, 0e0)", f"coalesce(b_{c}, 1000e0)"
+    lo = f"(CASE WHEN {a} >= {b} THEN least({a}, 0e0) ELSE {a} END)"
+    hi = f"(CASE WHEN {a} >= {b} THEN greatest({b}, 1e0) ELSE {b} END)"
+    return f"CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END AS {c}"
+
+
+_E20 = (W(O.FEATURES) + ",\nfill AS (SELECT category, split, " +
+        ", ".join(f"{O.q(O.xs(c), 0.5)} m_{c}" for c in E.FEATURE_COLS) + " FROM feat GROUP BY ALL),\n"
+        "filled AS (SELECT product_id, category, split, " +
+        ", ".join(f"coalesce({c}, m_{c}, 0) AS {c}" for c in E.FEATURE_COLS) +
+        " FROM feat JOIN fill USING (category, split)),\nwq AS (SELECT category, split, " +
+        ", ".join(f"{O.q(O.xs(c), 0.01)} a_{c}, {O.q(O.xs(c), 0.99)} b_{c}" for c in E.FEATURE_COLS) +
+        " FROM filled GROUP BY ALL)\nSELECT product_id, category, split, " +
+        ", ".join(_winsor_sql(c) for c in E.FEATURE_COLS) + " FROM filled JOIN wq USING (category, split)")
+
+
+@register("e20_engineer", _E20)
 def e20_engineer(spark, d):
     """E1-E20 + D7: benchmarks, features, NULL repair and 1 %/99 % clipping per category and split."""
     return E.engineer(SPL(spark, d)).select("product_id", "category", "split", *E.FEATURE_COLS)
