@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.core import EPS, attach, bounded, floor_div, lit_d, qcut_index, safe_div
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
-from pricelens.operators.cleaning import fill_median
+from pricelens.operators.cleaning import columns_with_nulls, fill_median
 
 PRICE = "discounted_price"
 COST = "manufacturing_cost"
@@ -138,9 +138,13 @@ def price_features(df: DataFrame, bm: DataFrame, by="category", norm_by=("catego
 
 
 def fill_after_features(df: DataFrame, cols: Sequence[str], by=("category", "split")) -> DataFrame:
-    """NULL features -> group median, else 0."""
-    x = fill_median(df, list(cols), by=[k for k in _keys(by) if k in df.columns])
-    return x.fillna(0, subset=list(cols))
+    """NULL features -> group median, else 0 (only columns that have NULLs
+    are aggregated; one null-count pass decides)."""
+    need = columns_with_nulls(df, list(cols))
+    if not need:
+        return df
+    x = fill_median(df, need, by=[k for k in _keys(by) if k in df.columns])
+    return x.fillna(0, subset=need)
 
 
 # --- E21-E26 -------------------------------------------------------------------

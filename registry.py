@@ -1137,6 +1137,11 @@ from pricelens.streaming import competitor as X  # noqa: E402
 EV_SQL = "ev AS (SELECT event_id, user_id product_id, ts, value price, event_type FROM events)"
 
 
+def ntz(df, *cols):
+    """Event times back to wall-clock TIMESTAMP_NTZ (as stored in the table) for output."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
 def EVT(spark, d):
     return X.price_events(views.table(spark, d, "events"))
 
@@ -1144,7 +1149,7 @@ def EVT(spark, d):
 @register("x01_dedup_prices", W(EV_SQL) + " SELECT DISTINCT ON (event_id) * FROM ev")
 def x01_dedup_prices(spark, d):
     """Repeated price observations dropped (watermarked state when streaming)."""
-    return X.dedup_prices(EVT(spark, d))
+    return ntz(X.dedup_prices(EVT(spark, d)), "ts")
 
 
 @register("x02_flag_anomalies", W(EV_SQL) + f"""
@@ -1176,8 +1181,9 @@ SELECT event_id, product_id, ts, price, prev_ts, prev_price,
 FROM g""")
 def x03_guardrail(spark, d):
     """At most 5 % change against the product's previous price within 24 h."""
-    return X.guardrail(EVT(spark, d)).select("event_id", "product_id", "ts", "price", "prev_ts", "prev_price",
-                                             "guarded_price", "was_limited")
+    g = X.guardrail(EVT(spark, d)).select("event_id", "product_id", "ts", "price", "prev_ts", "prev_price",
+                                          "guarded_price", "was_limited")
+    return ntz(g, "ts", "prev_ts")
 
 
 @register("x04_hourly_pattern", W(EV_SQL) + """
@@ -1196,4 +1202,4 @@ SELECT *, avg_price / prev_avg_price - 1 change FROM l
 WHERE prev_avg_price IS NOT NULL AND abs(avg_price / prev_avg_price - 1) > 0.5""")
 def x05_change_alerts(spark, d):
     """Daily mean price per product moved more than 50 % against the previous day."""
-    return X.change_alerts(X.window_prices(EVT(spark, d), "1 day"), threshold=0.5)
+    return ntz(X.change_alerts(X.window_prices(EVT(spark, d), "1 day"), threshold=0.5), "window_start")
