@@ -69,11 +69,19 @@ def train_by_category(df: DataFrame, features=FEATURES, label: str = LABEL, para
     (partition pruning applies when ``df`` is a category-partitioned table)."""
     p = {**DEFAULT_PARAMS, **(params or {})}
     data = _with_label(df.where(F.col(label).isNotNull()), label, log_label)
+    # rows per category (one small aggregate; one row per category) size each
+    # fit's partitions: ceil(rows / rows_per_partition), so a small category
+    # is not spread over every partition of the table (each boosting
+    # iteration runs several jobs, and empty tasks dominate small fits)
+    sizes = {r[0]: r[1] for r in data.groupBy("category").count().collect()}
     if categories is None:
-        categories = sorted(r[0] for r in data.select("category").distinct().collect())
+        categories = sorted(sizes)
+    per_part = 1_000_000
 
     def fit(cat):
-        return cat, _pipeline(features, p, log_label).fit(data.where(F.col("category") == cat))
+        parts = max(1, -(-sizes.get(cat, 0) // per_part))
+        part = data.where(F.col("category") == cat).coalesce(parts)
+        return cat, _pipeline(features, p, log_label).fit(part)
 
     with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
         return dict(ex.map(fit, categories))
