@@ -34,9 +34,11 @@ EVENT_SCHEMA = T.StructType([
 
 
 def price_events(events: DataFrame) -> DataFrame:
-    """Events as competitor price observations (event time as TIMESTAMP, which
-    watermarks require; the session time zone is UTC)."""
-    return events.select("event_id", F.col("user_id").alias("product_id"), F.col("ts").cast("timestamp").alias("ts"),
+    """Events as competitor price observations. A stream gets its event time
+    as TIMESTAMP (watermarks require it); a static table keeps the stored
+    wall-clock value, so results do not depend on the session time zone."""
+    ts = F.col("ts").cast("timestamp") if events.isStreaming else F.col("ts")
+    return events.select("event_id", F.col("user_id").alias("product_id"), ts.alias("ts"),
                          F.col("value").alias("price"), "event_type")
 
 

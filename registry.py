@@ -36,12 +36,29 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_VIEWS: dict = {}
+
+
+def _materialised(kind, spark, d, build):
+    """The input view of a query, derived once and kept (memory, then disk)
+    for every job of the query: size checks, statistics and the main plan all
+    read it instead of re-deriving it from lineitem. Lost blocks are rebuilt
+    from lineage."""
+    from pricelens.plans.market import reuse
+    key = (kind, d)
+    df = _VIEWS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = build(spark, d)
+        _VIEWS[key] = df
+    return reuse(df)
+
+
 def P(spark, d):
-    return views.products(spark, d)
+    return _materialised("products", spark, d, views.products)
 
 
 def PD(spark, d):
-    return views.products_dirty(spark, d)
+    return _materialised("products_dirty", spark, d, views.products_dirty)
 
 
 def W(*ctes: str) -> str:

@@ -54,6 +54,8 @@ def main(argv):
     import __spark_entry__ as E
     from pricelens.session import get_session
     spark = get_session("local[8]", 8)
+    if os.environ.get("SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     if os.environ.get("QUANTILE_METHOD"):
         spark.conf.set("pricelens.quantile.method", os.environ["QUANTILE_METHOD"])
     qs, os_ = E.queries(), E.oracle_sql()
