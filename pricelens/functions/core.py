@@ -57,10 +57,9 @@ def quantiles(c: str | Column, probs: Sequence[float], method: str | None = None
     ``exact`` is linear interpolation between order statistics (the pandas /
     DuckDB ``quantile_cont`` definition). It aggregates partially on the map
     side; the final buffer of a group holds one entry per *distinct* value of
-    that group. ``approx`` uses a mergeable sketch whose size is fixed by
-    ``accuracy``, independent of group size -- choose it (session option
-    ``pricelens.quantile.method=approx``) when single groups hold unbounded
-    numbers of distinct values.
+    that group, so operators call it through ``quantile.agg_with_quantiles``,
+    which switches to a distributed selection for large groups. ``approx``
+    uses a mergeable sketch whose size is fixed by ``accuracy``.
     """
     arr = F.array(*[lit_d(p) for p in probs])
     if method == "approx":
@@ -68,10 +67,6 @@ def quantiles(c: str | Column, probs: Sequence[float], method: str | None = None
     return F.percentile(col(c).cast("double"), arr)
 
 
-def quantile_method(df: DataFrame) -> str:
-    return conf(df.sparkSession, "pricelens.quantile.method", "exact")
-
-
 def qcut_index(x: str | Column, edges: Column) -> Column:
     """Bin index of ``x`` for quantile edges, duplicate edges dropped.
 

@@ -1220,3 +1220,11 @@ WHERE prev_avg_price IS NOT NULL AND abs(avg_price / prev_avg_price - 1) > 0.5""
 def x05_change_alerts(spark, d):
     """Daily mean price per product moved more than 50 % against the previous day."""
     return ntz(X.change_alerts(X.window_prices(EVT(spark, d), "1 day"), threshold=0.5), "window_start")
+
+
+@register("h04_recent_categories", REC + " SELECT DISTINCT category FROM rec")
+def h04_recent_categories(spark, d):
+    """H4: distinct categories of the 20 most recent history files (one file per category here)."""
+    path = scratch(spark, "history")
+    A.write_recommendations(REC_DF(spark, d).repartition(10, "category"), path)
+    return H.recent_categories(A.read_history(spark, path), files=20)
