@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles as O
-from pricelens.functions.core import round_half_away
+from pricelens.functions.core import attach, round_half_away
+from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators import profiling as D
 from pricelens.plans import market as M
 from pricelens.settings import settings_table
@@ -620,8 +621,9 @@ def PRED(spark, d):
     """Split products with a stand-in prediction (train median x (0.5 + value_score)), clipped."""
     s = SPL(spark, d)
     train = s.where("split = 'train'")
-    med = train.groupBy("category").agg(F.percentile("discounted_price", 0.5).alias("_tmed"))
-    raw = s.join(F.broadcast(med), "category").withColumn(
+    med = agg_q(train, ["category"], {"_q": ("discounted_price", [0.5])}).select(
+        "category", F.col("_q")[0].alias("_tmed"))
+    raw = attach(s, med, "category", how="inner").withColumn(
         "prediction", F.col("_tmed") * (0.5 + F.col("value_score"))).drop("_tmed")
     return EV.clip_predictions(raw, train)
 
