@@ -73,7 +73,10 @@ def train_by_category(df: DataFrame, features=FEATURES, label: str = LABEL, para
     # fit's partitions: ceil(rows / rows_per_partition), so a small category
     # is not spread over every partition of the table (each boosting
     # iteration runs several jobs, and empty tasks dominate small fits)
-    sizes = {r[0]: r[1] for r in data.groupBy("category").count().collect()}
+    max_models = 10_000
+    sizes = {r[0]: r[1] for r in data.groupBy("category").count().limit(max_models + 1).collect()}
+    if len(sizes) > max_models:
+        raise ValueError(f"more than {max_models} categories: use train_pooled (one model, category as a feature)")
     if categories is None:
         categories = sorted(sizes)
     per_part = 1_000_000
