@@ -67,3 +67,18 @@ def test_exact_quantiles_match_numpy(spark):
     for g, part in pdf.groupby("g"):
         ref = np.quantile(part["x"], [0.1, 0.5, 0.9])
         assert np.allclose(got[g], ref, rtol=1e-12, atol=1e-12)
+
+
+def test_ranked_quantiles_match_exact_on_skew(spark):
+    from pricelens.functions.quantile import agg_with_quantiles
+    df = skewed(spark, n=4000)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.67, 0.99, 1.0]
+    specs = {"q": ("v", probs)}
+    ex = {r.g: r for r in agg_with_quantiles(df, ["g"], specs, [F.count(F.lit(1)).alias("n")],
+                                             method="exact").collect()}
+    rk = {r.g: r for r in agg_with_quantiles(df, ["g"], specs, [F.count(F.lit(1)).alias("n")],
+                                             method="ranked").collect()}
+    assert ex.keys() == rk.keys()
+    for g in ex:
+        assert ex[g].n == rk[g].n
+        assert list(ex[g].q) == list(rk[g].q)  # same arithmetic: bit-identical
