@@ -406,7 +406,7 @@ CORR = ["discounted_price", "actual_price", "manufacturing_cost", "rating", "rat
 l AS (UNPIVOT c ON """ + ", ".join(CORR) + """ INTO NAME feature VALUE "corr"),
 r AS (SELECT category, feature, "corr", row_number() OVER (PARTITION BY category ORDER BY "corr" DESC NULLS LAST,
         list_position(""" + "[" + ", ".join(f"'{c}'" for c in CORR) + """], feature)) "rank" FROM l)
-SELECT category, "rank", feature, "corr" FROM r WHERE "rank" <= 6""")
+SELECT category, "rank"::INTEGER "rank", feature, "corr" FROM r WHERE "rank" <= 6""")
 def d09_top_correlations(spark, d):
     """Top-6 correlations with price (the price itself first)."""
     return D.top_correlations(P(spark, d), "discounted_price", CORR, "category", 6)
@@ -845,7 +845,7 @@ def h02_market_strategies(spark, d):
 
 @register("h05_settings_ranking", W(O.PRODUCTS, O.settings_cte()) + """
 , c AS (SELECT category, count(*) products FROM products GROUP BY category)
-SELECT s.*, c.products, row_number() OVER (ORDER BY min_margin DESC, category) "rank"
+SELECT s.*, c.products, (row_number() OVER (ORDER BY min_margin DESC, category))::INTEGER "rank"
 FROM settings s JOIN c USING (category)""")
 def h05_settings_ranking(spark, d):
     """H5: categories with products ranked by minimum margin."""
