@@ -1226,7 +1226,8 @@ def x05_change_alerts(spark, d):
 
 @register("h04_recent_categories", REC + " SELECT DISTINCT category FROM rec")
 def h04_recent_categories(spark, d):
-    """H4: distinct categories of the 20 most recent history files (one file per category here)."""
+    """H4: distinct categories of the 20 most recent history files (the history is written
+    hash-partitioned by category into at most 10 files)."""
     path = scratch(spark, "history")
     A.write_recommendations(REC_DF(spark, d).repartition(10, "category"), path)
     return H.recent_categories(A.read_history(spark, path), files=20)
