@@ -40,16 +40,27 @@ def resolve_method(df: DataFrame, keys: Sequence[str], method: str | None = None
 
 
 def _ranked(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
-    """Wide result ``keys + one array per spec`` by distributed selection."""
+    """Wide result ``keys + one array per spec`` by distributed selection.
+
+    Specs on the same column share one ranking (their probabilities are
+    merged). The rank order ends with a row id, so a run of equal values --
+    even one value holding a third of a group -- is still cut across range
+    partitions; the order among equal values does not change any quantile.
+    """
+    by_col: dict[str, list[float]] = {}
+    for c, probs in specs.values():
+        by_col.setdefault(c, [])
+        by_col[c] = sorted(set(by_col[c]) | {float(p) for p in probs})
+    names = {c: f"_c{i}" for i, c in enumerate(by_col)}
     parts = []
-    for alias, (c, probs) in specs.items():
-        parts.append(df.select(*keys, F.lit(alias).alias("_q"), F.col(c).cast("double").alias("_v"),
+    for c, probs in by_col.items():
+        parts.append(df.select(*keys, F.lit(names[c]).alias("_q"), F.col(c).cast("double").alias("_v"),
                                F.array(*[lit_d(p) for p in probs]).alias("_ps")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    long = long.where(F.col("_v").isNotNull())
-    r = group_rank(long, [*keys, "_q"], [F.col("_v")], out="_rank", size_out="_n")
+    long = long.where(F.col("_v").isNotNull()).withColumn("_tb", F.monotonically_increasing_id())
+    r = group_rank(long, [*keys, "_q"], [F.col("_v"), F.col("_tb")], out="_rank", size_out="_n")
     pos = lambda p: (F.col("_n") - 1).cast("double") * p
     hit = F.exists("_ps", lambda p: (F.col("_rank") == F.floor(pos(p))) | (F.col("_rank") == F.ceil(pos(p))))
     kept = r.where(hit)
@@ -66,7 +77,15 @@ def _ranked(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence
     val = F.when((F.col("_lo") == F.col("_hi")) | (lv == hv), lv).otherwise((hi - ps) * lv + (ps - lo) * hv)
     arr = (g.groupBy(*keys, "_q").agg(F.array_sort(F.collect_list(F.struct("_i", val.alias("v")))).alias("_a"))
            .select(*keys, "_q", F.transform("_a", lambda s: s["v"]).alias("_arr")))
-    return arr.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == a, F.col("_arr"))).alias(a) for a in specs])
+    wide = arr.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_arr"))).alias(n)
+                                    for n in names.values()])
+    out = []
+    for alias, (c, probs) in specs.items():
+        merged = by_col[c]
+        out.append(F.array(*[F.col(names[c])[merged.index(float(p))] for p in probs]).alias(alias))
+    # a group whose column is all NULL has no array: keep it NULL
+    out = [F.when(F.col(names[c]).isNotNull(), o) for (c, _), o in zip(specs.values(), out)]
+    return wide.select(*keys, *[o.alias(a) for o, a in zip(out, specs)])
 
 
 def agg_with_quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Sequence[float]]],

@@ -82,3 +82,15 @@ def test_ranked_quantiles_match_exact_on_skew(spark):
     for g in ex:
         assert ex[g].n == rk[g].n
         assert list(ex[g].q) == list(rk[g].q)  # same arithmetic: bit-identical
+
+
+def test_ranked_quantiles_with_a_hot_value(spark):
+    """One value holds a third of a group: ties are spread and results stay exact."""
+    from pricelens.functions.quantile import agg_with_quantiles
+    rnd = random.Random(11)
+    rows = [(i, "g", 5.0 if i % 3 == 0 else rnd.random() * 10) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    specs = {"a": ("v", [0.1, 0.5]), "b": ("v", [0.5, 0.9, 1.0])}
+    ex = agg_with_quantiles(df, ["g"], specs, method="exact").first()
+    rk = agg_with_quantiles(df, ["g"], specs, method="ranked").first()
+    assert list(ex.a) == list(rk.a) and list(ex.b) == list(rk.b)
