@@ -95,6 +95,16 @@ def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return df
 
 
+def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global (ungrouped) aggregate to every row.
+
+    ``one_row`` must be an aggregate without grouping keys: it has exactly one
+    row, so the broadcast side is bounded by construction and the join emits
+    exactly one output row per input row (no pairs are formed).
+    """
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def attach(df: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left",
            check: bool = True) -> DataFrame:
     """Join per-group statistics back to the rows of ``df``.

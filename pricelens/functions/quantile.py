@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import lit_d, quantiles
+from pricelens.functions.core import lit_d, quantiles, with_global
 from pricelens.functions.rank import group_rank
 from pricelens.session import conf
 
@@ -105,9 +105,9 @@ def agg_with_quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tupl
     q = _ranked(df, keys, specs)
     if not others:
         base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-        return base.join(q, keys, "left") if keys else base.crossJoin(q)
+        return base.join(q, keys, "left") if keys else q
     o = df.groupBy(*keys).agg(*others) if keys else df.agg(*others)
     if not keys:
-        return o.crossJoin(q)
+        return with_global(o, q)
     cond = [o[k].eqNullSafe(q[k]) for k in keys]
     return o.join(q, cond, "left").drop(*[q[k] for k in keys])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import attach, clip
+from pricelens.functions.core import attach, clip, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.gates import numeric_columns, string_columns
 
@@ -26,7 +26,7 @@ def _keys(by) -> list[str]:
 def _with_group_values(df: DataFrame, vals: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         return attach(df, vals, keys)
-    return df.crossJoin(F.broadcast(vals))  # one row: bounded by construction
+    return with_global(df, vals)
 
 
 def missing_report(df: DataFrame, by=None, cols: Sequence[str] | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def cleaning_audit(raw: DataFrame) -> DataFrame:
         F.count_if((F.col("discount_percentage") < 0) | (F.col("discount_percentage") > 100))
          .alias("invalid_discounts"))
     c = staged.agg(F.count_if(F.col("actual_price") < F.col("discounted_price")).alias("price_swaps"))
-    out = a.crossJoin(b).crossJoin(c)  # three one-row aggregates
+    out = with_global(with_global(a, b), c)  # three one-row aggregates
     return out.withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_out"))
 
 
@@ -159,7 +159,7 @@ def fill_missing(df: DataFrame) -> DataFrame:
                  [F.mode(c, True).alias(f"_fill_{c}") for c in txt])
     vals = vals.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in num})
     types = dict(df.dtypes)
-    x = df.crossJoin(F.broadcast(vals))
+    x = with_global(df, vals)
     x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])) for c in num + txt})
     return x.drop(*[f"_fill_{c}" for c in num + txt])
 

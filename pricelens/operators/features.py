@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import EPS, attach, bounded, floor_div, lit_d, qcut_index, safe_div
+from pricelens.functions.core import EPS, attach, bounded, floor_div, lit_d, qcut_index, safe_div, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.cleaning import columns_with_nulls, fill_median
 
@@ -105,7 +105,7 @@ def price_features(df: DataFrame, bm: DataFrame, by="category", norm_by=("catego
     if brand_norm == "max":
         nk = [k for k in _keys(norm_by) if k in df.columns]
         mx = df.groupBy(*nk).agg(F.max("brand_strength").alias("_bmax"))
-        x = attach(x, mx, nk) if nk else x.crossJoin(F.broadcast(mx))
+        x = attach(x, mx, nk) if nk else with_global(x, mx)
         bnorm = floor_div(F.col("brand_strength"), F.col("_bmax"))
     else:
         bnorm = F.col("brand_strength") / 50.0
@@ -173,7 +173,7 @@ def qcut(df: DataFrame, col: str, probs: Sequence[float], out: str, by="category
     """Quantile bin index of ``col`` within its group (duplicate edges dropped)."""
     keys = _keys(by)
     e = agg_q(df, keys, {"_edges": (col, probs)})
-    x = attach(df, e, keys) if keys else df.crossJoin(F.broadcast(e))
+    x = attach(df, e, keys) if keys else with_global(df, e)
     return x.withColumn(out, qcut_index(col, F.col("_edges"))).drop("_edges")
 
 
@@ -205,7 +205,7 @@ def brand_tier(df: DataFrame, brand: str = "brand") -> DataFrame:
     mid-tier / premium, joined back to the rows (left join)."""
     avg = df.groupBy(brand).agg(F.avg(PRICE).alias("_bavg"))
     edges = agg_q(avg, [], {"_e": ("_bavg", [0.0, 1 / 3, 2 / 3, 1.0])})
-    tiers = avg.crossJoin(F.broadcast(edges))  # one-row edges: bounded
+    tiers = with_global(avg, edges)
     tiers = tiers.select(brand, _label(qcut_index("_bavg", F.col("_e")), TIER_LABELS).alias("brand_tier"))
     return attach(df, tiers, brand)
 
@@ -256,7 +256,7 @@ def standardise(df: DataFrame, cols: Sequence[str], fit_on=None, by=None,
     sd = F.stddev_pop if population else F.stddev_samp
     st = src.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                                 *[sd(c).alias(f"_s_{c}") for c in cols])
-    x = attach(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
+    x = attach(df, st, keys) if keys else with_global(df, st)
     scale = {c: F.when(F.col(f"_s_{c}") == 0, lit_d(1.0)).otherwise(F.col(f"_s_{c}")) for c in cols}
     x = x.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / scale[c] for c in cols})
     return x.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])

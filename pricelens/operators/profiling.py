@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import attach, clip, lit_d, unpivot_cols
+from pricelens.functions.core import attach, clip, lit_d, unpivot_cols, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 
 PRICE_COLS = ["discounted_price", "actual_price", "manufacturing_cost"]
@@ -31,7 +31,7 @@ def flag_iqr(df: DataFrame, col: str = "discounted_price", by="category", k: flo
     keys = _by(by)
     st = (agg_q(df, keys, {"_q": (col, [0.25, 0.75])})
           .select(*keys, F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3")))
-    x = attach(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
+    x = attach(df, st, keys) if keys else with_global(df, st)
     iqr = F.col("_q3") - F.col("_q1")
     lo, hi = F.col("_q1") - k * iqr, F.col("_q3") + k * iqr
     return x.withColumn(out, (F.col(col) < lo) | (F.col(col) > hi)).drop("_q1", "_q3")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import attach, lit_d, round_half_away
+from pricelens.functions.core import attach, lit_d, round_half_away, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators.pricing import recommend
 
@@ -151,7 +151,7 @@ def strategy_distribution(results: DataFrame, by_category: bool = False) -> Data
     keys = ["category"] if by_category else []
     c = results.groupBy(*keys, "strategy").agg(F.count(F.lit(1)).alias("count"))
     tot = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    x = attach(c, tot, keys, how="inner") if keys else c.crossJoin(F.broadcast(tot))  # 1 row when global
+    x = attach(c, tot, keys, how="inner") if keys else with_global(c, tot)
     return x.withColumn("pct", F.col("count") / F.col("_t") * 100).drop("_t")
 
 

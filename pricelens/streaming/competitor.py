@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pricelens.functions.core import attach, lit_d
+from pricelens.functions.core import attach, lit_d, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.functions.rank import group_rank
 from pricelens.session import ensure_checkpoint_dir
@@ -151,7 +151,7 @@ def hourly_pattern(df: DataFrame) -> DataFrame:
     g = df.groupBy(F.hour("ts").alias("hour"), F.dayofweek("ts").alias("day_of_week")).agg(
         F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("n"))
     tot = df.agg(F.avg("price").alias("_m"))
-    return g.crossJoin(F.broadcast(tot)).withColumn("ratio_to_mean", F.col("avg_price") / F.col("_m")).drop("_m")
+    return with_global(g, tot).withColumn("ratio_to_mean", F.col("avg_price") / F.col("_m")).drop("_m")
 
 
 # --- X5 ---------------------------------------------------------------------------
