@@ -104,6 +104,12 @@ def run_scenarios(grid: DataFrame, market: DataFrame, settings: DataFrame,
     the calibrated median). Flags are False where the branch does not set them.
     """
     req = attach(grid, market.select("category", "predicted_market_price"), "category", how="inner")
+    return run_priced_scenarios(req, settings, stats)
+
+
+def run_priced_scenarios(req: DataFrame, settings: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Rules over scenario rows that already carry ``predicted_market_price``
+    (one per category, or one per scenario from a model)."""
     keep = ["test_type", "scenario", "median_price", "warning_threshold", "viability_threshold",
             "rating", "rating_count"]
     rec = recommend(req, settings, stats, keep=keep)

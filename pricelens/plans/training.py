@@ -221,6 +221,26 @@ def align_features(df: DataFrame, names) -> DataFrame:
     return df.withColumns({n: (F.col(n).cast("double") if n in df.columns else lit_d(0.0)) for n in names})
 
 
+def score_requests(req: DataFrame, models: dict[str, PipelineModel], settings: DataFrame,
+                   features=FEATURES, metrics: DataFrame | None = None) -> DataFrame:
+    """Model inputs -> category model -> calibration -> fallback ->
+    confidence band; adds ``predicted_market_price`` to every request row.
+
+    The request's ``brand_strength`` is a market level (low/medium/high); the
+    numeric model input of that name takes the scoring default.
+    """
+    cols = req.columns
+    scoring = assemble_scoring(req.withColumnRenamed("brand_strength", "_brand_level")
+                               if "brand_strength" in cols else req)
+    scored = predict(models, align_features(scoring, features), out="raw_predicted_price")
+    x = scored.drop(*[f for f in features if f not in cols])
+    if "brand_strength" in cols:
+        x = x.drop("brand_strength").withColumnRenamed("_brand_level", "brand_strength")
+    x = calibrate(x, settings, "raw_predicted_price", "predicted_market_price")
+    x = fallback_price(x)
+    return confidence_band(x, metrics)
+
+
 def price_batch(requests: DataFrame, models: dict[str, PipelineModel], settings: DataFrame,
                 stats: DataFrame | None = None, features=FEATURES, metrics: DataFrame | None = None,
                 strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -240,14 +260,6 @@ def price_batch(requests: DataFrame, models: dict[str, PipelineModel], settings:
     no_model = known.join(F.broadcast(modelled), "category", "left_anti").withColumn(
         "reject_reason", F.lit("no model for category"))
     known = known.join(F.broadcast(modelled), "category", "left_semi")
-    # The request's brand_strength is a market level (low/medium/high); the
-    # numeric model input of that name takes the scoring default.
-    scoring = assemble_scoring(known.withColumnRenamed("brand_strength", "_brand_level"))
-    scored = predict(models, align_features(scoring, features), out="raw_predicted_price")
-    x = (scored.drop(*[f for f in features if f not in requests.columns])
-         .drop("brand_strength").withColumnRenamed("_brand_level", "brand_strength"))
-    x = calibrate(x, settings, "raw_predicted_price", "predicted_market_price")
-    x = fallback_price(x)
-    x = confidence_band(x, metrics)
+    x = score_requests(known, models, settings, features, metrics)
     priced = recommend(x, settings, stats, keep=["product_name", "confidence_lower", "confidence_upper"])
     return priced, rejects.unionByName(no_model)

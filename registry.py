@@ -1231,3 +1231,11 @@ def h04_recent_categories(spark, d):
     path = scratch(spark, "history")
     A.write_recommendations(REC_DF(spark, d).repartition(10, "category"), path)
     return H.recent_categories(A.read_history(spark, path), files=20)
+
+
+@register("i02_scenario_results_model")
+def i02_scenario_results_model(spark, d):
+    """I1-I6 as published: each scenario's market price predicted by its category model
+    from the scenario's own inputs (rating, reviews, cost), then calibrated and priced."""
+    s, models = MODELS(spark, d)
+    return M.scenario_results_with_models(P(spark, d), settings_table(spark), models)
