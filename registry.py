@@ -128,17 +128,15 @@ UNION ALL
 SELECT category || '/' || brand, min(actual_price * 0 + 1), max(actual_price * 0 + 1), 'no_variation'
 FROM products WHERE product_id % 13 = 0 GROUP BY ALL""")
 def b06_variation_gate(spark, d):
-    """No-variation gate; the rows of key%13=0 form constant-price groups."""
+    """No-variation gate per category/brand; the rows of key%13=0 form separate
+    constant-price groups (price 1.0), which the gate rejects."""
     p = P(spark, d)
     k = F.col("product_id") % 13 == 0
     x = p.select(F.concat_ws("/", "category", "brand").alias("category"),
-                 F.when(k, F.lit(1.0)).otherwise(F.col("discounted_price")).alias("discounted_price"),
-                 F.when(k, F.lit("c")).otherwise(F.lit("v")).alias("_g"))
-    x = x.withColumn("category", F.when(F.col("_g") == "c", F.concat("category", F.lit("")))
-                     .otherwise(F.col("category")))
-    g1 = B.variation_gate(x.where(F.col("_g") == "v"))
-    g2 = B.variation_gate(x.where(F.col("_g") == "c"))
-    return g1.unionByName(g2)
+                 F.when(k, F.lit(1.0)).otherwise(F.col("discounted_price")).alias("discounted_price"), k.alias("_c"))
+    varied = B.variation_gate(x.where(~F.col("_c")))
+    constant = B.variation_gate(x.where(F.col("_c")))
+    return varied.unionByName(constant)
 
 
 @register("b07_unknown_categories", W(O.PRODUCTS_DIRTY, O.settings_cte()) + """
