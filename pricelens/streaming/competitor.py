@@ -186,3 +186,60 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", spark: Spar
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name)
+
+
+# --- X6 ---------------------------------------------------------------------------
+def conversion_around_changes(events: DataFrame, changes: DataFrame, days: int = 3,
+                              ts: str = "change_ts") -> DataFrame:
+    """purchase/view conversion of a product in the ``days`` before and
+    after each of its price changes.
+
+    An interval join done as an equi-join on day buckets: each change is
+    expanded to the 2*days+1 calendar days its window touches, joined to the
+    events of that product and day, then filtered to the exact interval. The
+    join never pairs a change with events outside its window's days.
+    """
+    ch = changes.select(F.col("product_id").alias("_p"), F.col(ts).alias("_t")).distinct()
+    ch = ch.select("_p", "_t", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("_o")) \
+           .withColumn("_day", F.date_add(F.to_date("_t"), F.col("_o")))
+    ev = events.select(F.col("product_id").alias("_p"), F.col("ts").alias("_e"), "event_type") \
+               .withColumn("_day", F.to_date("_e"))
+    j = ch.join(ev, ["_p", "_day"])
+    span = F.expr(f"make_dt_interval({int(days)}, 0, 0, 0)")
+    j = j.where((F.col("_e") >= F.col("_t") - span) & (F.col("_e") < F.col("_t") + span))
+    j = j.withColumn("_after", F.col("_e") >= F.col("_t"))
+    g = j.groupBy("_p", "_t").agg(
+        F.count_if(~F.col("_after") & (F.col("event_type") == "view")).alias("views_before"),
+        F.count_if(~F.col("_after") & (F.col("event_type") == "purchase")).alias("purchases_before"),
+        F.count_if(F.col("_after") & (F.col("event_type") == "view")).alias("views_after"),
+        F.count_if(F.col("_after") & (F.col("event_type") == "purchase")).alias("purchases_after"))
+    out = changes.select(F.col("product_id").alias("_p"), F.col(ts).alias("_t")).distinct() \
+                 .join(g, ["_p", "_t"], "left").fillna(0)
+    rate = lambda p, v: F.col(p) / F.when(F.col(v) > 0, F.col(v))
+    return out.select(F.col("_p").alias("product_id"), F.col("_t").alias(ts), "views_before",
+                      "purchases_before", "views_after", "purchases_after",
+                      rate("purchases_before", "views_before").alias("conversion_before"),
+                      rate("purchases_after", "views_after").alias("conversion_after"))
+
+
+# --- X9 ---------------------------------------------------------------------------
+def route_changes(df: DataFrame, mode: str = "semi", minor: float = 0.05) -> DataFrame:
+    """Approval routing of proposed price changes by operating mode.
+
+    advisory: every change needs approval; semi-autonomous: changes of at
+    most ``minor`` (relative) are applied, larger ones need approval; full:
+    everything within the guardrail is applied (the guardrail has already
+    limited the price). Rows without a previous price are new listings.
+    """
+    if mode not in ("advisory", "semi", "full"):
+        raise ValueError("mode must be advisory, semi or full")
+    chg = F.col("guarded_price") / F.col("prev_price") - 1
+    x = df.withColumn("relative_change", F.when(F.col("prev_price") > 0, chg))
+    c = F.col("relative_change")
+    if mode == "advisory":
+        route = F.lit("approval")
+    elif mode == "semi":
+        route = F.when(F.abs(c) <= minor, "auto").otherwise("approval")
+    else:
+        route = F.lit("auto")
+    return x.withColumn("route", F.when(c.isNull(), "new_listing").otherwise(route))

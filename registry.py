@@ -1237,3 +1237,45 @@ def i02_scenario_results_model(spark, d):
     from the scenario's own inputs (rating, reviews, cost), then calibrated and priced."""
     s, models = MODELS(spark, d)
     return M.scenario_results_with_models(P(spark, d), settings_table(spark), models)
+
+
+@register("x06_conversion_around_changes", W(EV_SQL) + """
+, w AS (SELECT product_id, date_trunc('day', ts) window_start, avg(price) avg_price FROM ev GROUP BY ALL),
+l AS (SELECT *, lag(avg_price) OVER (PARTITION BY product_id ORDER BY window_start) prev_avg_price FROM w),
+ch AS (SELECT DISTINCT product_id, window_start change_ts FROM l
+       WHERE prev_avg_price IS NOT NULL AND abs(avg_price / prev_avg_price - 1) > 0.5),
+j AS (SELECT ch.product_id, ch.change_ts, e.ts, e.event_type FROM ch JOIN ev e
+      ON e.product_id = ch.product_id AND e.ts >= ch.change_ts - INTERVAL 3 DAY AND e.ts < ch.change_ts + INTERVAL 3 DAY),
+g AS (SELECT product_id, change_ts,
+        count(*) FILTER (WHERE ts < change_ts AND event_type = 'view') views_before,
+        count(*) FILTER (WHERE ts < change_ts AND event_type = 'purchase') purchases_before,
+        count(*) FILTER (WHERE ts >= change_ts AND event_type = 'view') views_after,
+        count(*) FILTER (WHERE ts >= change_ts AND event_type = 'purchase') purchases_after
+      FROM j GROUP BY ALL)
+SELECT ch.product_id, ch.change_ts, coalesce(views_before, 0) views_before, coalesce(purchases_before, 0) purchases_before,
+       coalesce(views_after, 0) views_after, coalesce(purchases_after, 0) purchases_after,
+       coalesce(purchases_before, 0) / CASE WHEN coalesce(views_before, 0) > 0 THEN views_before END conversion_before,
+       coalesce(purchases_after, 0) / CASE WHEN coalesce(views_after, 0) > 0 THEN views_after END conversion_after
+FROM ch LEFT JOIN g USING (product_id, change_ts)""")
+def x06_conversion_around_changes(spark, d):
+    """Conversion (purchases / views) 3 days before and after each daily price change of more than 50 %."""
+    e = EVT(spark, d)
+    changes = X.change_alerts(X.window_prices(e, "1 day"), threshold=0.5).select(
+        "product_id", F.col("window_start").alias("change_ts"))
+    return ntz(X.conversion_around_changes(e, changes), "change_ts")
+
+
+@register("x09_route_changes", W(EV_SQL) + """
+, l AS (SELECT *, lag(price) OVER w prev_price, lag(ts) OVER w prev_ts FROM ev
+        WINDOW w AS (PARTITION BY product_id ORDER BY ts, event_id)),
+g AS (SELECT *, CASE WHEN prev_ts IS NOT NULL AND ts <= prev_ts + INTERVAL 86400 SECOND AND price < prev_price * (1 - 0.05e0) THEN prev_price * (1 - 0.05e0)
+                     WHEN prev_ts IS NOT NULL AND ts <= prev_ts + INTERVAL 86400 SECOND AND price > prev_price * (1 + 0.05e0) THEN prev_price * (1 + 0.05e0)
+                     ELSE price END guarded_price FROM l),
+r AS (SELECT event_id, product_id, CASE WHEN prev_price > 0 THEN guarded_price / prev_price - 1 END relative_change FROM g)
+SELECT event_id, product_id, relative_change,
+       CASE WHEN relative_change IS NULL THEN 'new_listing' WHEN abs(relative_change) <= 0.05 THEN 'auto' ELSE 'approval' END route
+FROM r""")
+def x09_route_changes(spark, d):
+    """Semi-autonomous routing of guardrail-limited price changes (minor <= 5 % applied)."""
+    g = X.route_changes(X.guardrail(EVT(spark, d)), "semi", 0.05)
+    return g.select("event_id", "product_id", "relative_change", "route")
