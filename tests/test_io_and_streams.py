@@ -82,3 +82,31 @@ def test_display_formats(spark):
     df = spark.createDataFrame([(1234.565, 12.345)], "recommended_price double, discount_from_market double")
     r = A.display_recommendations(df).first()
     assert r.recommended_price.startswith("₹1234.5") and r.discount_from_market.endswith("%")
+
+
+def test_route_modes(spark):
+    df = spark.createDataFrame([(1, 100.0, 103.0), (2, 100.0, 110.0), (3, None, 50.0)],
+                               "event_id long, prev_price double, guarded_price double")
+    for mode, want in (("advisory", ["approval", "approval", "new_listing"]),
+                       ("semi", ["auto", "approval", "new_listing"]),
+                       ("full", ["auto", "auto", "new_listing"])):
+        got = [r.route for r in X.route_changes(df, mode).orderBy("event_id").collect()]
+        assert got == want, mode
+
+
+def test_conversion_interval_join_matches_brute_force(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 10)
+    ev = [(i, rnd.randrange(3), t0 + dt.timedelta(hours=rnd.uniform(-120, 120)),
+           rnd.choice(["view", "view", "purchase", "click"])) for i in range(600)]
+    changes = [(0, t0), (1, t0 + dt.timedelta(days=1)), (2, t0 - dt.timedelta(days=2))]
+    e = spark.createDataFrame(ev, "event_id long, product_id long, ts timestamp_ntz, event_type string")
+    c = spark.createDataFrame(changes, "product_id long, change_ts timestamp_ntz")
+    got = {r.product_id: r for r in X.conversion_around_changes(e, c, days=3).collect()}
+    for p, t in changes:
+        near = [x for x in ev if x[1] == p and t - dt.timedelta(days=3) <= x[2] < t + dt.timedelta(days=3)]
+        vb = sum(1 for x in near if x[2] < t and x[3] == "view")
+        pa = sum(1 for x in near if x[2] >= t and x[3] == "purchase")
+        assert got[p].views_before == vb and got[p].purchases_after == pa
