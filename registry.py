@@ -267,7 +267,7 @@ def c11_cleaning_audit(spark, d):
 
 @register("c12_clean", W(O.CLEAN) + " SELECT * FROM clean")
 def c12_clean(spark, d):
-    """The composite cleaning pipeline in its fixed order."""
+    """The composite cleaning in its fixed order (fill, dedup, abs, clip, title, swap)."""
     return C.clean(PD(spark, d))
 
 
