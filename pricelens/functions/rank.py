@@ -30,11 +30,14 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     by = list(by)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     okeys = [F.col(o) if isinstance(o, str) else o for o in order]
     tmp = [f"_o{i}" for i in range(len(okeys))]
     x = df.withColumns({t: k for t, k in zip(tmp, okeys)})
-    srt = (x.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by + tmp])
+    keys = [F.col(c).asc_nulls_first() for c in by + tmp]
+    # Without an explicit count AQE may coalesce adjacent range partitions;
+    # a coalesced partition is still one contiguous key range, in order.
+    ranged = x.repartitionByRange(partitions, *keys) if partitions else x.repartitionByRange(*keys)
+    srt = (ranged
            .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by + tmp])
            .checkpoint(eager=True))
     s = srt.withColumn("_mid", F.monotonically_increasing_id())

@@ -53,7 +53,7 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
     from pricelens.session import get_session
-    spark = get_session("local[8]", 8)
+    spark = get_session("local[8]", int(os.environ.get("SHUFFLE_PARTITIONS", "8")))
     if os.environ.get("SESSION_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     if os.environ.get("QUANTILE_METHOD"):
