@@ -263,3 +263,20 @@ def price_batch(requests: DataFrame, models: dict[str, PipelineModel], settings:
     x = score_requests(known, models, settings, features, metrics)
     priced = recommend(x, settings, stats, keep=["product_name", "confidence_lower", "confidence_upper"])
     return priced, rejects.unionByName(no_model)
+
+
+def champion_challenger(test: DataFrame, champion, challenger, label: str = LABEL, by: str = "category",
+                        margin: float = 0.0) -> DataFrame:
+    """Score the same test rows with two model versions, compute the
+    metrics of both per group in ONE grouped aggregate, and decide per group:
+    promote the challenger when its RMSE beats the champion's by more than
+    ``margin`` (relative), else keep the champion."""
+    from pricelens.operators.evaluation import regression_metrics
+    a = predict(champion, test).withColumn("version", F.lit("champion"))
+    b = predict(challenger, test).withColumn("version", F.lit("challenger"))
+    m = regression_metrics(a.unionByName(b, allowMissingColumns=True), label, "prediction", [by, "version"])
+    cols = ["rmse", "mape", "r2", "within_10pct"]
+    w = m.groupBy(by).agg(*[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{v}_{c}")
+                            for v in ("champion", "challenger") for c in cols])
+    better = F.col("challenger_rmse") < F.col("champion_rmse") * (1 - margin)
+    return w.withColumn("decision", F.when(better, "promote challenger").otherwise("keep champion"))

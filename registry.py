@@ -1279,3 +1279,12 @@ def x09_route_changes(spark, d):
     """Semi-autonomous routing of guardrail-limited price changes (minor <= 5 % applied)."""
     g = X.route_changes(X.guardrail(EVT(spark, d)), "semi", 0.05)
     return g.select("event_id", "product_id", "relative_change", "route")
+
+
+@register("x07_champion_challenger")
+def x07_champion_challenger(spark, d):
+    """Per-category models (champion) against one pooled model (challenger) on the test
+    rows: RMSE, MAPE, R2 and within-10 % per category and version, and the promotion decision."""
+    s, models = MODELS(spark, d)
+    pooled = TR.train_pooled(s.where("split = 'train'"))
+    return TR.champion_challenger(s.where("split = 'test'"), models, pooled)
