@@ -131,3 +131,19 @@ def display_recommendations(df: DataFrame, currency: str = "₹") -> DataFrame:
         else:
             sel.append(F.col(c))
     return df.select(*sel)
+
+
+def append_audit_log(recs: DataFrame, path: str, model_version: str) -> None:
+    """Append recommendations to a price audit table with the model
+    version and the time they were recorded, partitioned by day (append-only;
+    readers prune by day and version)."""
+    (recs.withColumns({"model_version": F.lit(model_version),
+                       "recorded_at": F.current_timestamp().cast("timestamp_ntz")})
+     .withColumn("day", F.to_date("recorded_at"))
+     .write.mode("append").partitionBy("day").parquet(path))
+
+
+def read_audit_log(spark: SparkSession, path: str, model_version: str | None = None) -> DataFrame:
+    """The audit table, optionally one model version."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("model_version") == model_version) if model_version else df

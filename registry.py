@@ -1288,3 +1288,16 @@ def x07_champion_challenger(spark, d):
     s, models = MODELS(spark, d)
     pooled = TR.train_pooled(s.where("split = 'train'"))
     return TR.champion_challenger(s.where("split = 'test'"), models, pooled)
+
+
+@register("x10_audit_log", REC + """
+SELECT product_id, category, recommended_price, strategy, 'median-x-calibration' model_version FROM rec""")
+def x10_audit_log(spark, d):
+    """Recommendations of two model versions appended to the day-partitioned audit
+    table; one version is read back."""
+    path = scratch(spark, "audit")
+    recs = REC_DF(spark, d).select("product_id", "category", "recommended_price", "strategy")
+    A.append_audit_log(recs, path, "median-x-calibration")
+    A.append_audit_log(recs.withColumn("recommended_price", F.col("recommended_price") * 1.01), path, "shadow")
+    return A.read_audit_log(spark, path, "median-x-calibration").select(
+        "product_id", "category", "recommended_price", "strategy", "model_version")
