@@ -2,7 +2,9 @@
 
 Every operator is a ``DataFrame -> DataFrame`` function built from Catalyst
 expressions, grouped aggregates and joins, so it composes with
-``DataFrame.transform`` and scales with the cluster.
+``DataFrame.transform``. The only actions operators run themselves are small
+bounded ones (broadcast size checks, one-row null counts, the largest-group
+count that picks the quantile method, one-hot level discovery).
 """
 
 from pricelens.session import get_session  # noqa: F401
