@@ -60,7 +60,7 @@ def _ranked(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence
     for p in parts[1:]:
         long = long.unionByName(p)
     long = long.where(F.col("_v").isNotNull()).withColumn("_tb", F.monotonically_increasing_id())
-    r = group_rank(long, [*keys, "_q"], [F.col("_v"), F.col("_tb")], out="_rank", size_out="_n")
+    r = group_rank(long, [*keys, "_q"], [F.col("_v"), F.col("_tb")], out="_rank", size_out="_n", method="range")
     pos = lambda p: (F.col("_n") - 1).cast("double") * p
     hit = F.exists("_ps", lambda p: (F.col("_rank") == F.floor(pos(p))) | (F.col("_rank") == F.ceil(pos(p))))
     kept = r.where(hit)

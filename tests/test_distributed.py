@@ -94,3 +94,16 @@ def test_ranked_quantiles_with_a_hot_value(spark):
     ex = agg_with_quantiles(df, ["g"], specs, method="exact").first()
     rk = agg_with_quantiles(df, ["g"], specs, method="ranked").first()
     assert list(ex.a) == list(rk.a) and list(ex.b) == list(rk.b)
+
+
+def test_split_same_under_window_and_range_ranks(spark):
+    df = skewed(spark).withColumnRenamed("g", "category").withColumnRenamed("id", "product_id")
+    spark.conf.set("pricelens.rank.method", "window")
+    a = hash_split(df).select("product_id", F.col("split").alias("a"))
+    a = spark.createDataFrame(a.collect(), a.schema)
+    spark.conf.set("pricelens.rank.method", "range")
+    try:
+        b = hash_split(df).select("product_id", F.col("split").alias("b"))
+        assert a.join(b, "product_id").where(F.col("a") != F.col("b")).count() == 0
+    finally:
+        spark.conf.unset("pricelens.rank.method")
