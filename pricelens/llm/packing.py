@@ -23,7 +23,6 @@ null ids are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
-import itertools
 import zlib
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql.functions import arrow_udf
 from pricelens.llm.common import cut
 
 _CACHE = 400_000
-_PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+)([.,;:!?]?)")
+_LETTERS = regex.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+")  # letters that lower-case and normalise to one letter each
 
 
 class WordEncoder:
@@ -59,9 +58,9 @@ class WordEncoder:
             self.ends[i] = token.endswith(suffix)
         self.words: dict[str, bytes] = {"": b""}
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: set[str]) -> None:
         """Encode words: in one string where each is one run of letters, else one by one."""
-        plain = [w for w in words if (m := _PLAIN.fullmatch(w)) and not m[2]]
+        plain = [w for w in words if w.isascii() and w.isalpha() or _LETTERS.fullmatch(w)]
         if plain:
             ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -75,21 +74,23 @@ class WordEncoder:
             self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text. The words of the texts are
+        looked up once each; then a small table serves their every place."""
         if len(self.words) > _CACHE:
             self.words = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for s in split:
-            new.update(itertools.filterfalse(self.words.__contains__, s))
+        words = set().union(*split)
+        near = dict(zip(words, map(self.words.get, words), strict=True))
+        new = [w for w, ids in near.items() if ids is None]
         if new:
-            parts = {w: (m[1], m[2]) for w in new if (m := _PLAIN.fullmatch(w)) and m[2]}
-            alone = new.difference(parts).union(*parts.values()).difference(self.words)
+            # a word with one mark after its letters: the vocabulary's pattern parts them
+            marked = [w for w in new if w[-1] in ".,;:!?" and (w.isascii() and w[:-1].isalpha() or _LETTERS.fullmatch(w[:-1]))]
+            alone = set(new).difference(marked).union([w[:-1] for w in marked], [w[-1] for w in marked]).difference(self.words)
             if alone:
-                self._encode(list(alone))
-            words = self.words
-            words.update({w: words[a] + words[b] for w, (a, b) in parts.items()})
-        get = self.words.__getitem__
+                self._encode(alone)
+            self.words.update({w: self.words[w[:-1]] + self.words[w[-1]] for w in marked})
+            near.update({w: self.words[w] for w in new})
+        get = near.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
@@ -116,9 +117,9 @@ def token_pieces(text: Column, path: str, capacity: int, end_id: int = 0) -> Col
         end = int(end_id).to_bytes(4, "little")
         whole = [t.as_py() or "" for t in texts]
         at = 0
-        while at < len(whole):  # so few words at a time that the second look finds them near
+        while at < len(whole):  # so few words at a time that their table stays near the processor
             some, chars = [], 0
-            while at < len(whole) and chars < 1 << 16:
+            while at < len(whole) and chars < 1 << 17:
                 some.append(whole[at])
                 chars += len(whole[at])
                 at += 1

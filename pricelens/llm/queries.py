@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricelens.llm import packing, prefix_tokens, sharding, url_rules
+from pricelens.llm import decontamination, license_scan, near_dedup, packing, pii, prefix_tokens, quality, sharding, url_rules
 from pricelens.llm.common import read_table
 
 #: Tokens of a packed sequence, the limit of a whole text, and the shards.
@@ -28,16 +29,40 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), LIMIT)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (document, benchmark item that it holds)."""
+    found = decontamination.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "passage_start", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op6_sharding, op9_url_filters)}
+    f.__name__: f for f in (
+        op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_pii, op6_sharding, op7_decontamination, op8_near_duplicates, op9_url_filters,
+        op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_url_filters": url_rules.JUDGE_SQL}
