@@ -44,3 +44,12 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed, small list of rows as column literals of one generated row."""
+    names = [part.split() for part in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, names, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

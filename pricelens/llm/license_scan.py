@@ -28,7 +28,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import cut, row_key
+from pricelens.llm.common import cut, literal_rows, row_key
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -89,7 +89,7 @@ def _places(words: Column, phrase: str) -> Column:
 def _index(spark: SparkSession) -> DataFrame:
     """One row per template, position and word that isn't a function word."""
     rows = [(name, w, i) for name, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split()) if w not in _COMMON]
-    return spark.createDataFrame(rows, "template string, word string, place int")
+    return literal_rows(spark, rows, "template string, word string, place int")
 
 
 def _phrases(spark: SparkSession) -> DataFrame:
@@ -99,7 +99,7 @@ def _phrases(spark: SparkSession) -> DataFrame:
         words, want = text.split(), phrase.split()
         start = next(i for i in range(len(words)) if words[i:i + len(want)] == want)
         rows += [(name, w, start + i) for i, w in enumerate(want) if w not in _COMMON]
-    return spark.createDataFrame(rows, "template string, word string, place int")
+    return literal_rows(spark, rows, "template string, word string, place int")
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import cut
+from pricelens.llm.common import cut, literal_rows
 
 #: The rules of the url contract (action, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -56,7 +56,7 @@ def _key_prefixes(key: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "action string, host string, path string")
+    return literal_rows(spark, rules, "action string, host string, path string")
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
