@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,39 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
         return spark.createDataFrame([], schema)
     structs = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, names, strict=True)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+class Scratch:
+    """Tables in a folder of their own inside the shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read again."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` written in buckets of ``key``: joins and groups on it don't shuffle it again."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        full = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", f"{self.folder}/{name}").saveAsTable(full)
+        self.names.append(full)
+        return self.spark.table(full)
+
+    def close(self) -> None:
+        """Drop the tables; what was made from them must be materialised."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice shuffle files that nothing refers to any more, so
+    that executors can delete them between the phases of a long job."""
+    gc.collect()
+    spark._jvm.System.gc()

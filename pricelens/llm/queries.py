@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontamination, license_scan, near_dedup, packing, pii, prefix_tokens, quality, sharding, url_rules
+from pricelens.llm import decontamination, license_scan, near_dedup, packing, pii, prefix_tokens, quality, sharding, suffix_dedup, url_rules
 from pricelens.llm.common import read_table
 
 #: Tokens of a packed sequence, the limit of a whole text, and the shards.
@@ -37,6 +37,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -61,7 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_pii, op6_sharding, op7_decontamination, op8_near_duplicates, op9_url_filters,
+        op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_pii, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_near_duplicates, op9_url_filters,
         op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
