@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -178,17 +179,24 @@ def _pieces(text: Column) -> Column:
 _FOUND = "array<struct<item_id: long, passage_start: long, score: double, question_overlap: double, answer_overlap: double>>"
 _FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("passage_start", pa.int64()), ("score", pa.float64()),
                                   ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-_INDEXES: dict[int, Index] = {}
+_INDEXES: dict[str, Index] = {}
+
+
+def _index_of(sent: Broadcast, part: str) -> Index:
+    """The index of a part, built once per process from its items."""
+    if part not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[part] = Index(*sent.value)
+    return _INDEXES[part]
 
 
 def _searched(text: Column, sent: Broadcast) -> Column:
     """The matches of a text in one part of the index."""
+    part = uuid.uuid4().hex
+
     @arrow_udf(_FOUND)
     def of(texts: pa.Array) -> pa.Array:
-        if sent.id not in _INDEXES:  # built once per process from the part's items
-            _INDEXES.clear()
-            _INDEXES[sent.id] = Index(*sent.value)
-        index = _INDEXES[sent.id]
+        index = _index_of(sent, part)
         names = [f.name for f in _FOUND_TYPE.value_type]
         return pa.array([[dict(zip(names, m, strict=True)) for m in index.matches(t.as_py())] for t in texts], _FOUND_TYPE)
 

@@ -255,7 +255,8 @@ class _Verifier:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,  # noqa: A002
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept, set_key.
+    """One row per document: id, n_shingles, component_id, kept, text_hash and
+    component (the group's smallest set key).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their
     shingle sets; component_id is the smallest id reachable by links.
@@ -301,18 +302,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     per_class = (full.groupBy("set_key").agg(F.min("id").alias("low")).join(parts, F.col("set_key") == F.col("node"), "left")
                  .select("set_key", "low", F.coalesce("component", "set_key").alias("component")))
     named = per_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = per_class.join(named, "component").select("set_key", "component_id")
+    of_class = per_class.join(named, "component").select("set_key", "component_id", "component")
     out = _attach(sketches, of_class)
     found = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"), "set_key")
+    return out.select(F.col("id").alias(id), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"),
+                      "text_hash", "component")
 
 
 def _attach(sketches: DataFrame, of_class: DataFrame) -> DataFrame:
     """Every document's class row; a class that a third of all documents share is dealt to salts."""
     salted = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return (sketches.select("id", "n_shingles", "set_key", F.pmod(F.xxhash64("id", "text_hash"), F.lit(_SALTS)).cast("int").alias("salt"))
+    return (sketches.select("id", "n_shingles", "set_key", "text_hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(_SALTS)).cast("int").alias("salt"))
             .join(salted, ["set_key", "salt"], "left"))
 
 
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:  # noqa: A002
+    """``docs`` with one document of each group: that of the smallest id (then
+    of the smallest text hash), once; documents with an empty set all stay."""
+    groups = near_duplicates(docs, id, text, **options).select(F.col(id).alias("__id"), F.col("text_hash").alias("__hash"), "n_shingles", "component")
+    first = (groups.filter("n_shingles > 0").groupBy("component")
+             .agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("w")).select("w.__id", "w.__hash"))
+    empty = groups.filter("n_shingles = 0").select("__id", "__hash").distinct()
+    stay = first.unionByName(empty).withColumnsRenamed({"__id": "__i", "__hash": "__h"})
+    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    return (hashed.join(stay, F.col(id).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+            .dropDuplicates([id, "__hash"]).select(*docs.columns))
+
+
 def digest(docs: DataFrame, width: int = 2) -> DataFrame:
     return near_duplicates(docs, width=width).select("doc_id", "n_shingles", "component_id", "kept")
