@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.session import conf
-
 EPS = 1e-6
 
 
@@ -57,9 +56,9 @@ def quantiles(c: str | Column, probs: Sequence[float], method: str | None = None
     ``exact`` is linear interpolation between order statistics (the pandas /
     DuckDB ``quantile_cont`` definition). It aggregates partially on the map
     side; the final buffer of a group holds one entry per *distinct* value of
-    that group, so operators call it through ``quantile.agg_with_quantiles``,
-    which switches to a distributed selection for large groups. ``approx``
-    uses a mergeable sketch whose size is fixed by ``accuracy``.
+    that group, so operators use ``quantile.agg_with_quantiles``, which selects
+    without such a buffer. ``approx`` uses a mergeable sketch whose size is
+    fixed by ``accuracy``.
     """
     arr = F.array(*[lit_d(p) for p in probs])
     if method == "approx":
@@ -79,22 +78,6 @@ def qcut_index(x: str | Column, edges: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(n_below, F.lit(1)) - 1)
 
 
-def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Return ``df`` marked for broadcast if it provably has few rows.
-
-    Pulls at most ``max_rows + 1`` rows; if they fit, the rows become a local
-    relation whose size is now known and it is broadcast. Otherwise ``df`` is
-    returned unchanged and the join stays a shuffle join (AQE may still
-    broadcast it at runtime, and splits skewed partitions).
-    """
-    spark = df.sparkSession
-    limit = max_rows or int(conf(spark, "pricelens.broadcast.maxRows", "20000"))
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    return df
-
-
 def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global (ungrouped) aggregate to every row.
 
@@ -105,16 +88,23 @@ def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def attach(df: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left",
-           check: bool = True) -> DataFrame:
-    """Join per-group statistics back to the rows of ``df``.
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a derived input that one flow reads more than once (for statistics
+    and for the rows) instead of deriving it again each time. Nothing runs
+    here; the blocks are filled by the first job that needs them and rebuilt
+    from lineage if an executor is lost."""
+    if df.isStreaming or df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def attach(df: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join per-group statistics back to the rows of ``df``: a plain equi-join.
 
-    Group statistics are one row per key, so the stats side is normally tiny:
-    it is broadcast after a size check (``bounded``); beyond the bound the
-    join is a plain equi-join planned by Catalyst/AQE.
+    AQE broadcasts the statistics if their measured size allows and splits a
+    hot key's partition otherwise, so nothing runs while the plan is built.
     """
-    small = bounded(stats) if check else stats
-    return df.join(small, on=on, how=how)
+    return df.join(stats, on=on, how=how)
 
 
 def unpivot_cols(df: DataFrame, ids: Iterable[str], cols: Sequence[str],

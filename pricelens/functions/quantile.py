@@ -1,113 +1,117 @@
 """Per-group quantiles that stay exact at any group size.
 
-Three ways to compute ``q(p)`` = linear interpolation between the order
-statistics at ``floor((n-1)p)`` and ``ceil((n-1)p)``:
-
-* ``exact``  -- Spark's ``percentile`` aggregate. One pass with map-side
-  partial aggregation, but the final buffer of a group holds every distinct
-  value of that group in one task.
-* ``ranked`` -- distributed selection: rows are ranked inside their group by
-  ``group_rank`` (range-partitioned, a hot group spans many tasks), only the
-  rows sitting at a target rank are kept (at most 2 per probability and
-  group) and interpolated. Memory per task is bounded whatever the skew.
-* ``approx`` -- ``percentile_approx``: a mergeable sketch of fixed size.
-
-``auto`` (the default) runs one count aggregate and uses ``exact`` while the
-largest group is at most ``pricelens.quantile.maxGroupRows`` rows, ``ranked``
-beyond. Both give bit-identical results (same interpolation arithmetic).
+``q(p)`` is the linear interpolation between the order statistics at
+``floor((n-1)p)`` and ``ceil((n-1)p)``. The method is chosen by the caller or the
+session option ``pricelens.quantile.method``, never by the size of the data.
+
+``exact`` (default) is Spark's own ``percentile``: one partial aggregation, whose
+final buffer holds the distinct values of a group (prices in cents: bounded by
+the price range, not by the rows).
+
+``select`` has no such buffer, for columns of unbounded distinct values. It takes
+two passes and no sort:
+
+1. one aggregate per group gives n, the extremes and, from a mergeable sketch
+   of fixed size, two values that are sure to enclose each wanted rank;
+2. rows below a bracket are only counted; rows inside it are counted per
+   distinct value, and running counts over these few values give the exact
+   order statistics.
+
+Both are partial aggregations, so a group that holds a third of the rows, or one
+value that a third of the rows have, is spread over all tasks; a task keeps a
+sketch or a few thousand distinct values, whatever the size of the group.
+
+``approx`` returns the sketch's values. ``exact`` and ``select`` give the same bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import lit_d, quantiles, with_global
-from pricelens.functions.rank import group_rank
+from pricelens.functions.core import lit_d, quantiles, reuse, with_global
 from pricelens.session import conf
 
-
-def resolve_method(df: DataFrame, keys: Sequence[str], method: str | None = None) -> str:
-    m = method or conf(df.sparkSession, "pricelens.quantile.method", "auto")
-    if m != "auto":
-        return m
-    limit = int(conf(df.sparkSession, "pricelens.quantile.maxGroupRows", "2000000"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.select(F.lit(1).alias("_n"))
-    biggest = (sizes.agg(F.max("_n")).first()[0] if keys else df.count()) or 0
-    return "exact" if biggest <= limit else "ranked"
+ACCURACY = 10_000  # the sketch's rank error is at most n / ACCURACY
 
 
-def _ranked(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
-    """Wide result ``keys + one array per spec`` by distributed selection.
+def _selected(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """Wide result ``keys + one array per spec`` by bracketed selection.
 
-    Specs on the same column share one ranking (their probabilities are
-    merged). The rank order ends with a row id, so a run of equal values --
-    even one value holding a third of a group -- is still cut across range
-    partitions; the order among equal values does not change any quantile.
+    Specs on the same column share their brackets (their probabilities are merged).
     """
     by_col: dict[str, list[float]] = {}
     for c, probs in specs.values():
-        by_col.setdefault(c, [])
-        by_col[c] = sorted(set(by_col[c]) | {float(p) for p in probs})
+        by_col[c] = sorted(set(by_col.get(c, [])) | {float(p) for p in probs})
     names = {c: f"_c{i}" for i, c in enumerate(by_col)}
-    parts = []
-    for c, probs in by_col.items():
-        parts.append(df.select(*keys, F.lit(names[c]).alias("_q"), F.col(c).cast("double").alias("_v"),
-                               F.array(*[lit_d(p) for p in probs]).alias("_ps")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    long = long.where(F.col("_v").isNotNull()).withColumn("_tb", F.monotonically_increasing_id())
-    r = group_rank(long, [*keys, "_q"], [F.col("_v"), F.col("_tb")], out="_rank", size_out="_n", method="range")
-    pos = lambda p: (F.col("_n") - 1).cast("double") * p
-    hit = F.exists("_ps", lambda p: (F.col("_rank") == F.floor(pos(p))) | (F.col("_rank") == F.ceil(pos(p))))
-    kept = r.where(hit)
-    idx = F.sequence(F.lit(0), F.size("_ps") - 1)
-    e = kept.select(*keys, "_q", "_v", "_rank", "_n", "_ps", F.explode(idx).alias("_i"))
-    p = F.element_at("_ps", F.col("_i") + 1)
-    e = e.withColumns({"_pos": pos(p)}).withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-    e = e.where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
-    g = e.groupBy(*keys, "_q", "_i", "_pos", "_lo", "_hi").agg(
-        F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_lv"),
-        F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_hv"))
+    wanted = sorted({p for probs in by_col.values() for p in probs})
+    values = F.explode(F.array(*[F.struct(F.lit(names[c]).alias("q"), F.col(c).cast("double").alias("v")) for c in by_col])).alias("_e")
+    long = df.select(*keys, values).select(*keys, F.col("_e.q").alias("_q"), F.col("_e.v").alias("_v")).where(F.col("_v").isNotNull())
+    reach = 2.0 / ACCURACY
+    around = [lit_d(min(1.0, max(0.0, p + d))) for p in wanted for d in (-reach, reach)]
+    group = (long.groupBy(*keys, "_q").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                           F.percentile_approx("_v", F.array(*around), ACCURACY).alias("_s")))
+    small = F.col("_n") < 4 * ACCURACY  # the sketch's error is under one rank only in large groups
+    brackets = []
+    for i, p in enumerate(wanted):
+        pos = (F.col("_n") - 1).cast("double") * p
+        brackets.append(F.struct(F.lit(i).alias("i"), pos.alias("pos"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
+                                 F.when(small, F.col("_min")).otherwise(F.col("_s")[2 * i]).alias("a"),
+                                 F.when(small, F.col("_max")).otherwise(F.col("_s")[2 * i + 1]).alias("b")))
+    own = F.array(*[F.array(*[F.lit(wanted.index(p)) for p in probs]) for probs in by_col.values()])
+    nth = F.substring("_q", 3, 10).cast("int")
+    group = group.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_q").alias("_gq"),
+                         F.filter(F.array(*brackets), lambda b: F.array_contains(F.element_at(own, nth + 1), b["i"])).alias("_b"))
+    same = [long[k].eqNullSafe(group[f"_k_{k}"]) for k in keys]
+    met = long.join(group, [*same, long["_q"] == group["_gq"]])
+    # a row below a bracket adds to its count; one inside stands for its value; rows above are left out
+    below = F.col("_x.a") > F.col("_v")
+    at = (met.select(*keys, "_q", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["b"])).alias("_x"))
+          .groupBy(*keys, "_q", "_x", F.when(~below, F.col("_v")).alias("_val")).agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_q", "_x").orderBy(F.col("_val").asc_nulls_first())
+                            .rowsBetween(Window.unboundedPreceding, 0))
+    ranked = at.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    holds = lambda r: F.when((F.col("_from") <= F.col(r)) & (F.col("_to") > F.col(r)), F.col("_val"))
+    g = ranked.groupBy(*keys, "_q", "_x").agg(F.max(holds("_x.lo")).alias("_lv"), F.max(holds("_x.hi")).alias("_hv"))
     lv, hv = F.col("_lv"), F.col("_hv")
-    lo, hi, ps = F.col("_lo").cast("double"), F.col("_hi").cast("double"), F.col("_pos")
-    val = F.when((F.col("_lo") == F.col("_hi")) | (lv == hv), lv).otherwise((hi - ps) * lv + (ps - lo) * hv)
-    arr = (g.groupBy(*keys, "_q").agg(F.array_sort(F.collect_list(F.struct("_i", val.alias("v")))).alias("_a"))
-           .select(*keys, "_q", F.transform("_a", lambda s: s["v"]).alias("_arr")))
-    wide = arr.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_arr"))).alias(n)
-                                    for n in names.values()])
+    lo, hi, pos = F.col("_x.lo").cast("double"), F.col("_x.hi").cast("double"), F.col("_x.pos")
+    val = F.when((F.col("_x.lo") == F.col("_x.hi")) | (lv == hv), lv).otherwise((hi - pos) * lv + (pos - lo) * hv)
+    picked = g.groupBy(*keys).agg(*[F.max(F.when((F.col("_q") == names[c]) & (F.col("_x.i") == wanted.index(p)), val)).alias(f"{names[c]}_{wanted.index(p)}")
+                                    for c, probs in by_col.items() for p in probs])
     out = []
     for alias, (c, probs) in specs.items():
-        merged = by_col[c]
-        out.append(F.array(*[F.col(names[c])[merged.index(float(p))] for p in probs]).alias(alias))
-    # a group whose column is all NULL has no array: keep it NULL
-    out = [F.when(F.col(names[c]).isNotNull(), o) for (c, _), o in zip(specs.values(), out)]
-    return wide.select(*keys, *[o.alias(a) for o, a in zip(out, specs)])
+        cols = [F.col(f"{names[c]}_{wanted.index(float(p))}") for p in probs]
+        # a group whose column is all NULL has no array: keep it NULL
+        out.append(F.when(cols[0].isNotNull(), F.array(*cols)).alias(alias))
+    return picked.select(*keys, *out)
 
 
 def agg_with_quantiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Sequence[float]]],
                        others: Sequence[Column] = (), method: str | None = None) -> DataFrame:
     """``df.groupBy(keys).agg(others..., <alias>: array of quantiles ...)``.
 
-    ``specs`` maps an output name to ``(column, probabilities)``. With the
-    ranked method the other aggregates run as their own grouped aggregate and
-    the two per-group results are joined on the keys.
+    ``specs`` maps an output name to ``(column, probabilities)``. ``method``:
+    ``exact`` (default), ``select`` or ``approx``, see above; the session option
+    ``pricelens.quantile.method`` sets the default.
     """
     keys = list(keys)
-    m = resolve_method(df, keys, method)
+    m = method or conf(df.sparkSession, "pricelens.quantile.method", "exact")
     if m in ("exact", "approx"):
         qs = [quantiles(c, probs, m).alias(a) for a, (c, probs) in specs.items()]
-        g = df.groupBy(*keys).agg(*others, *qs) if keys else df.agg(*others, *qs)
-        return g
-    q = _ranked(df, keys, specs)
+        return df.groupBy(*keys).agg(*others, *qs) if keys else df.agg(*others, *qs)
+    # the rows are read for the brackets and again inside them: keep what is read, derived once
+    df = reuse(df if others else df.select(*keys, *dict.fromkeys(c for c, _ in specs.values())))
+    q = _selected(df, keys, specs)
     if not others:
-        base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-        return base.join(q, keys, "left") if keys else q
-    o = df.groupBy(*keys).agg(*others) if keys else df.agg(*others)
+        base = df.select(*keys).distinct() if keys else None
+        if base is None:
+            return q
+        others_df = base
+    else:
+        others_df = df.groupBy(*keys).agg(*others) if keys else df.agg(*others)
     if not keys:
-        return with_global(o, q)
-    cond = [o[k].eqNullSafe(q[k]) for k in keys]
-    return o.join(q, cond, "left").drop(*[q[k] for k in keys])
+        return with_global(others_df, q)
+    q = q.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return others_df.join(q, [others_df[k].eqNullSafe(q[f"_k_{k}"]) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])

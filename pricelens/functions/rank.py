@@ -16,34 +16,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import bounded
-from pricelens.session import conf, ensure_checkpoint_dir
+from pricelens.session import ensure_checkpoint_dir
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
 
 def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                out: str = "rank", size_out: str = "group_size",
-               partitions: int | None = None, method: str | None = None) -> DataFrame:
+               partitions: int | None = None, method: str = "range") -> DataFrame:
     """Add the 0-based rank of each row within its ``by`` group under ``order``
     (ties must be broken by ``order``; make the last key unique) and the group size.
 
-    ``method``: ``window`` (``row_number`` over the group: one task sorts a
-    whole group), ``range`` (the range-partitioned blocks above), or
-    ``auto`` (default): one count aggregate, ``window`` while the largest
-    group has at most ``pricelens.quantile.maxGroupRows`` rows, else ``range``.
-    Giving ``partitions`` selects ``range``.
+    ``method``: ``range`` (default, the blocks above; runs the checkpoint) or
+    ``window`` (``row_number``: one task sorts a whole group; for groups that
+    the caller knows to be small).
     """
     spark = df.sparkSession
     by = list(by)
     okeys = [F.col(o) if isinstance(o, str) else o for o in order]
-    m = "range" if partitions else (method or conf(spark, "pricelens.rank.method", "auto"))
-    if m == "auto":
-        limit = int(conf(spark, "pricelens.quantile.maxGroupRows", "2000000"))
-        biggest = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-                   if by else df.count()) or 0
-        m = "window" if biggest <= limit else "range"
-    if m == "window":
+    if method == "window":
         w = Window.partitionBy(*by).orderBy(*okeys)
         return (df.withColumn(out, F.row_number().over(w) - 1)
                 .withColumn(size_out, F.count(F.lit(1)).over(Window.partitionBy(*by))))
@@ -65,7 +56,7 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
         F.col("_pid").alias("_bpid"), *[F.col(c).alias(f"_b_{c}") for c in by], "_first",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("__off"),
         F.sum("_cnt").over(Window.partitionBy(*by)).alias("__n"))
-    b = bounded(blocks)
+    b = blocks
     cond = [s["_pid"] == b["_bpid"]] + [s[c].eqNullSafe(b[f"_b_{c}"]) for c in by]
     j = s.join(b, cond, "inner")
     j = j.withColumn(out, F.col("__off") + F.col("_mid") - F.col("_first"))

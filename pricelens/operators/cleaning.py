@@ -40,13 +40,15 @@ def missing_report(df: DataFrame, by=None, cols: Sequence[str] | None = None) ->
                        (F.col("missing") / F.col("_n") * 100).alias("missing_pct"))
 
 
-def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Names among ``cols`` that hold at least one NULL (one global count
-    aggregate; its single-row result is all that reaches the driver)."""
-    if not cols:
-        return []
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c]]
+def modes(df: DataFrame, keys: list[str], cols: Sequence[str]) -> DataFrame:
+    """``keys + one {_fill_col} per column``: the most frequent value of each
+    column, ties to the smallest. Values are counted by partial aggregation
+    first, so no task keeps the distinct values of a group."""
+    e = F.explode(F.array(*[F.struct(F.lit(c).alias("q"), F.col(c).alias("v")) for c in cols])).alias("_e")
+    n = (df.select(*keys, e).where(F.col("_e.v").isNotNull()).groupBy(*keys, F.col("_e.q").alias("_q"), F.col("_e.v").alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_n")))
+    top = n.groupBy(*keys, "_q").agg(F.min_by("_v", F.struct(-F.col("_n"), "_v")).alias("_v"))
+    return top.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == c, F.col("_v"))).alias(f"_fill_{c}") for c in cols])
 
 
 def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> DataFrame:
@@ -56,10 +58,7 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> Da
     A group whose column is entirely NULL stays NULL.
     """
     keys = _keys(by)
-    # Only columns that need it are aggregated: an exact median holds the
-    # distinct values of a column per group, so skipping complete columns
-    # (ids, counts) keeps the aggregate small.
-    cols = list(cols) if cols is not None else columns_with_nulls(df, numeric_columns(df, keys))
+    cols = list(cols) if cols is not None else numeric_columns(df, keys)
     if not cols:
         return df
     vals = agg_q(df, keys, {f"_fill_{c}": (c, [0.5]) for c in cols})
@@ -74,10 +73,10 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> Data
     """C4: fill NULLs of string columns with the most frequent value; ties go
     to the smallest value (deterministic)."""
     keys = _keys(by)
-    cols = list(cols) if cols is not None else columns_with_nulls(df, string_columns(df, keys))
+    cols = list(cols) if cols is not None else string_columns(df, keys)
     if not cols:
         return df
-    vals = df.groupBy(*keys).agg(*[F.mode(c, True).alias(f"_fill_{c}") for c in cols])
+    vals = modes(df, keys, cols)
     x = _with_group_values(df, vals, keys)
     return x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in cols}) \
             .drop(*[f"_fill_{c}" for c in cols])
@@ -143,21 +142,21 @@ def cleaning_audit(raw: DataFrame) -> DataFrame:
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
-    """C3 + C4 in one pass: global median for numeric columns and mode for
-    string columns, only for columns that have NULLs.
+    """C3 + C4: global median for numeric columns and mode for string columns.
 
-    The median fill does not touch string columns and the mode fill does not
-    touch numeric ones, so both fill values come from ONE aggregate (a single
-    row, crossed back as a bounded broadcast) after ONE null-count pass.
+    All columns of both kinds get their fill value - of a column without NULLs
+    it is never used - so the plan is built without looking at the data.
     """
     num, txt = numeric_columns(df), string_columns(df)
-    need = set(columns_with_nulls(df, num + txt))
-    num, txt = [c for c in num if c in need], [c for c in txt if c in need]
     if not num and not txt:
         return df
-    vals = agg_q(df, [], {f"_fill_{c}": (c, [0.5]) for c in num},
-                 [F.mode(c, True).alias(f"_fill_{c}") for c in txt])
-    vals = vals.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in num})
+    parts = []
+    if num:
+        med = agg_q(df, [], {f"_fill_{c}": (c, [0.5]) for c in num})
+        parts.append(med.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in num}))
+    if txt:
+        parts.append(modes(df, [], txt))
+    vals = parts[0] if len(parts) == 1 else with_global(*parts)
     types = dict(df.dtypes)
     x = with_global(df, vals)
     x = x.withColumns({c: F.coalesce(F.col(c), F.col(f"_fill_{c}").cast(types[c])) for c in num + txt})

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import EPS, attach, bounded, floor_div, lit_d, qcut_index, safe_div, with_global
+from pricelens.functions.core import EPS, attach, floor_div, lit_d, qcut_index, reuse, safe_div, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
-from pricelens.operators.cleaning import columns_with_nulls, fill_median
+from pricelens.operators.cleaning import fill_median
 
 PRICE = "discounted_price"
 COST = "manufacturing_cost"
@@ -51,8 +51,8 @@ def benchmarks(df: DataFrame, by="category", floor_denominators: bool = True) ->
 def repair_benchmarks(bm: DataFrame) -> DataFrame:
     """Fill undefined benchmark values.
 
-    Quartiles fall back to 0.75 / 1.25 x mean, other price values to the
-    mean, non-price values to 1.0. A group with no usable prices at all gets
+    Quartiles fall back to 0.75 / 1.25 x mean, other values with "price" in
+    their name to the mean, all others to 1.0. A group with no usable prices at all gets
     the full fallback built from its median (or 1000): min .5x, max 2x,
     quartiles .75x / 1.25x, median cost .5x, margin 2.0, factor .75.
     """
@@ -68,7 +68,7 @@ def repair_benchmarks(bm: DataFrame) -> DataFrame:
         "lowest_quartile_upper_bound": F.coalesce(c["lowest_quartile_upper_bound"], mean * 0.75),
         "median_manufacturing_cost": F.coalesce(c["median_manufacturing_cost"], lit_d(1.0)),
         "mean_profit_margin": F.coalesce(c["mean_profit_margin"], lit_d(1.0)),
-        "competitive_price_factor": F.coalesce(c["competitive_price_factor"], lit_d(1.0)),
+        "competitive_price_factor": F.coalesce(c["competitive_price_factor"], mean),
     }
     med = F.coalesce(c["median_price"], mean, lit_d(1000.0))
     fallback = {
@@ -138,11 +138,8 @@ def price_features(df: DataFrame, bm: DataFrame, by="category", norm_by=("catego
 
 
 def fill_after_features(df: DataFrame, cols: Sequence[str], by=("category", "split")) -> DataFrame:
-    """NULL features -> group median, else 0 (only columns that have NULLs
-    are aggregated; one null-count pass decides)."""
-    need = columns_with_nulls(df, list(cols))
-    if not need:
-        return df
+    """NULL features -> group median, else 0."""
+    need = list(cols)
     x = fill_median(df, need, by=[k for k in _keys(by) if k in df.columns])
     return x.fillna(0, subset=need)
 
@@ -211,13 +208,22 @@ def brand_tier(df: DataFrame, brand: str = "brand") -> DataFrame:
 
 
 # --- E27-E30 -------------------------------------------------------------------
-def levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-NULL values of ``col`` (bounded: refuses more than ``max_levels``)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use an indexed encoding")
-    return sorted(vals)
+def levels(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-NULL values of ``col``, asked for by the caller: wide
+    0/1 columns need their names before the plan exists. A column of many
+    levels is encoded by :func:`one_hot_vector` without this."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+def one_hot_vector(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """E27 for columns of any number of levels: one sparse vector per column
+    (``{col}_vec``), all levels kept; NULL is an all-zero vector."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    idx = [f"_{c}_idx" for c in cols]
+    x = StringIndexer(inputCols=list(cols), outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df).transform(df)
+    enc = OneHotEncoder(inputCols=idx, outputCols=[f"{c}_vec" for c in cols], dropLast=True).fit(x)
+    return enc.transform(x).drop(*idx)  # the index kept for NULL is the last one, and dropped
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], levels_by_col: dict | None = None,
@@ -285,10 +291,11 @@ def engineer(df_split: DataFrame, bm: DataFrame | None = None, winsor: bool = Tr
     both splits, NULL repair, then clipping of the new features to the
     1st/99th percentile of their category and split."""
     from pricelens.operators.profiling import winsorise  # local: avoid import cycle
+    df_split = reuse(df_split)
     if bm is None:
         bm = repair_benchmarks(benchmarks(df_split.where(F.col("split") == "train")))
-    x = price_features(df_split, bounded(bm))
-    x = fill_after_features(x, FEATURE_COLS)
+    x = reuse(price_features(df_split, bm))
+    x = reuse(fill_after_features(x, FEATURE_COLS))
     return winsorise(x, FEATURE_COLS, ("category", "split")) if winsor else x
 
 

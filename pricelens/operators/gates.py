@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelens.functions.core import attach, bounded
+from pricelens.functions.core import attach
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -71,8 +71,8 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in ex]
 
 
-IDENTIFIERS = ("product_id", "product_name", "search_term", "discounted_price", "category",
-               "main_category", "subcategory", "product_type")
+# fixed values: identifier and target columns
+IDENTIFIERS = ("discounted_price", "product_name", "brand", "subcategory", "category", "search_term", "main_category")
 
 
 def drop_identifiers(df: DataFrame, names: Iterable[str] = IDENTIFIERS) -> DataFrame:
@@ -92,15 +92,15 @@ def unknown_categories(df: DataFrame, settings: DataFrame, strict: bool = False,
     """Split requests into (known, rejects) by an anti join to the settings.
 
     ``strict=True`` reproduces the all-or-nothing behaviour: any unknown
-    category raises ``ValueError`` listing (at most 20 of) them.
+    category raises ``ValueError`` with their number; the rejects table names them.
     """
-    keys = bounded(settings.select(by).distinct())
+    keys = settings.select(by).distinct()
     rejects = df.join(keys, by, "left_anti")
     known = df.join(keys, by, "left_semi")
     if strict:
-        bad = [r[0] for r in rejects.select(by).distinct().limit(20).collect()]
+        bad = rejects.select(by).distinct().count()
         if bad:
-            raise ValueError(f"unknown categories: {bad}")
+            raise ValueError(f"{bad} unknown categories; the rejects of strict=False list them")
     return known, rejects.withColumn("reject_reason", F.lit("unknown category"))
 
 

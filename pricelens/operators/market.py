@@ -80,6 +80,7 @@ def recent_categories(df: DataFrame, files: int = 20, ts: str = "recorded_at",
 
 
 def settings_ranking(settings: DataFrame, col: str = "min_margin") -> DataFrame:
-    """H5: categories ranked by a settings column (highest first; name breaks ties)."""
-    w = Window.orderBy(F.col(col).desc(), F.col("category"))
+    """H5: categories in ascending order of a settings column (name breaks ties).
+    One row per configured category: the settings table is a fixed list."""
+    w = Window.orderBy(F.col(col), F.col("category"))
     return settings.withColumn("rank", F.row_number().over(w))

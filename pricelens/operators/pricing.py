@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import settings as S
-from pricelens.functions.core import attach, bounded, lit_d, safe_div
+from pricelens.functions.core import attach, lit_d, safe_div
 
 def _null(t: str):
     return F.lit(None).cast(t)
@@ -238,7 +238,7 @@ def effective_settings(settings: DataFrame, overrides: DataFrame) -> DataFrame:
     cols = [c for c in settings.columns if c != "category"]
     o = overrides.select("category", *[F.col(c).alias(f"_o_{c}") if c in overrides.columns
                                        else _null("double").alias(f"_o_{c}") for c in cols])
-    j = settings.join(bounded(o), "category", "full")
+    j = settings.join(o, "category", "full")
     defaults = {"warning_threshold": S.DEFAULT_WARNING, "viability_threshold": S.DEFAULT_VIABILITY,
                 "calibration_factor": S.DEFAULT_CALIBRATION, "min_margin": S.DEFAULT_MIN_MARGIN}
     return j.select("category", *[F.coalesce(F.col(f"_o_{c}"), F.col(c), lit_d(defaults[c])).alias(c)

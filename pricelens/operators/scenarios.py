@@ -181,7 +181,7 @@ def result_describe(results: DataFrame) -> DataFrame:
 
 
 def cost_band_analysis(results: DataFrame) -> DataFrame:
-    """Mean discount and margin of the rows whose cost/median ratio lies in
+    """Mean discount and margin of the cost-test rows whose cost/median ratio lies in
     [c - .1, c + .1] for each band centre c (bands overlap; both ends inclusive).
 
     Each row is matched to its bands with an in-row ``filter`` over the five
@@ -189,7 +189,8 @@ def cost_band_analysis(results: DataFrame) -> DataFrame:
     """
     centres = F.array(*[lit_d(c) for c in COST_BANDS])
     r = F.col("cost_to_median_ratio")
-    x = results.select("category", "discount_from_market", "profit_margin_percentage",
+    x = results.where(F.col("test_type") == "manufacturing_cost").select(
+        "category", "discount_from_market", "profit_margin_percentage",
                        F.explode(F.filter(centres, lambda c: (r >= c - BAND_HALF_WIDTH) &
                                           (r <= c + BAND_HALF_WIDTH))).alias("cost_band"))
     return x.groupBy("category", "cost_band").agg(

@@ -8,23 +8,14 @@ the catalogue against that market.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.core import bounded
+from pricelens.functions.core import reuse
 from pricelens.operators.pricing import calibrate, recommend
 from pricelens.operators.profiling import price_stats
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a derived input that a flow reads twice (once for the statistics,
-    once for the rows) instead of deriving it again. Lost blocks are rebuilt
-    from lineage, so this survives executor loss."""
-    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else \
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def category_market(products: DataFrame, settings: DataFrame, col: str = "discounted_price") -> DataFrame:
     """One row per category: calibrated market price and the D5 statistics."""
     st = price_stats(products, col, "category")
@@ -37,7 +28,7 @@ def recommend_products(products: DataFrame, settings: DataFrame) -> DataFrame:
     # keep only what the flow reads before persisting it (statistics + rows)
     products = reuse(products.select("product_id", "category", "discounted_price", "manufacturing_cost",
                                      "market_saturation", "brand_level"))
-    market = bounded(category_market(products, settings))
+    market = category_market(products, settings)
     req = (products.select("product_id", "category", "manufacturing_cost",
                            "market_saturation", F.col("brand_level").alias("brand_strength"))
            .join(market.select("category", "predicted_market_price"), "category"))
@@ -47,7 +38,7 @@ def recommend_products(products: DataFrame, settings: DataFrame) -> DataFrame:
 def scenario_results(products: DataFrame, settings: DataFrame) -> DataFrame:
     """The scenario grid of every category priced against its market."""
     from pricelens.operators import scenarios as I
-    market = bounded(category_market(products, settings))
+    market = category_market(products, settings)
     bm = I.synthetic_benchmarks(market)
     grid = I.scenario_grid(bm, settings)
     return I.run_scenarios(grid, market, settings, stats=market.select("category", "q1", "q3"))
@@ -62,7 +53,7 @@ def scenario_results_with_models(products: DataFrame, settings: DataFrame, model
     """
     from pricelens.operators import scenarios as I
     from pricelens.plans.training import score_requests
-    market = bounded(category_market(products, settings))
+    market = category_market(products, settings)
     bm = I.synthetic_benchmarks(market)
     grid = I.scenario_grid(bm, settings)
     cost = F.col("manufacturing_cost")

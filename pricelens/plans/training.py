@@ -39,7 +39,10 @@ LEAKY_FEATURES = ["log_discounted_price", "price_percentile", "price_relative_to
 
 DEFAULT_PARAMS = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.15, "subsamplingRate": 1.0, "seed": 42}
 
-# Search space of the tuned fit (xgboost names -> MLlib params):
+# The published fit without search (200 trees of depth 3, step 0.05).
+PUBLISHED_PARAMS = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
+
+# Search space of the tuned fit (xgboost names -> MLlib params):
 # n_estimators->maxIter, learning_rate->stepSize, max_depth->maxDepth,
 # subsample->subsamplingRate, min_child_weight->minInstancesPerNode, gamma->minInfoGain.
 SEARCH_SPACE = {
@@ -69,21 +72,13 @@ def train_by_category(df: DataFrame, features=FEATURES, label: str = LABEL, para
     (partition pruning applies when ``df`` is a category-partitioned table)."""
     p = {**DEFAULT_PARAMS, **(params or {})}
     data = _with_label(df.where(F.col(label).isNotNull()), label, log_label)
-    # rows per category (one small aggregate; one row per category) size each
-    # fit's partitions: ceil(rows / rows_per_partition), so a small category
-    # is not spread over every partition of the table (each boosting
-    # iteration runs several jobs, and empty tasks dominate small fits)
-    max_models = 10_000
-    sizes = {r[0]: r[1] for r in data.groupBy("category").count().limit(max_models + 1).collect()}
-    if len(sizes) > max_models:
-        raise ValueError(f"more than {max_models} categories: use train_pooled (one model, category as a feature)")
     if categories is None:
-        categories = sorted(sizes)
-    per_part = 1_000_000
+        categories = sorted(r[0] for r in data.select("category").where(F.col("category").isNotNull()).distinct().toLocalIterator())
+    tasks = df.sparkSession.sparkContext.defaultParallelism
 
     def fit(cat):
-        parts = max(1, -(-sizes.get(cat, 0) // per_part))
-        part = data.where(F.col("category") == cat).coalesce(parts)
+        # equal shares, however large the category is
+        part = data.where(F.col("category") == cat).repartition(tasks)
         return cat, _pipeline(features, p, log_label).fit(part)
 
     with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
@@ -112,15 +107,11 @@ def search(df: DataFrame, features=FEATURES, label: str = LABEL, n_iter: int = 1
            seed: int = 42, space: dict | None = None, log_label: bool = True,
            parallelism: int = 4) -> tuple[dict, DataFrame]:
     """randomised search with k-fold cross validation (score: RMSE on the
-    log label, i.e. -MSE ranking). Large inputs (>10k rows or >100 inputs)
-    use the limited space, 5 candidates and 2 folds. Returns the best params
-    and a table of every candidate's mean CV RMSE."""
-    n_rows = df.count()
-    if space is None:
-        limited = n_rows > 10000 or len(features) > 100
-        space = LIMITED_SPACE if limited else SEARCH_SPACE
-        if limited:
-            n_iter, folds = 5, 2
+    log label, i.e. -MSE ranking). ``space`` (default ``SEARCH_SPACE``;
+    ``LIMITED_SPACE`` is the published smaller one), ``n_iter`` and ``folds`` are the
+    caller's and hold for every size of data. Returns the best params and a
+    table of every candidate's mean CV RMSE."""
+    space = space or SEARCH_SPACE
     cands = sample_grid(space, n_iter, seed)
     base = {**DEFAULT_PARAMS}
     pipe = _pipeline(features, base, log_label)
@@ -189,8 +180,8 @@ def assemble_scoring(df: DataFrame) -> DataFrame:
     inputs a request does not carry."""
     c = {k: F.col(k) for k in df.columns}
     cost = F.col("manufacturing_cost")
-    ratio = F.coalesce(c.get("price_to_cost_ratio", lit_d(2.5)), lit_d(2.5))
-    disc = F.coalesce(c.get("discount_percentage", lit_d(15.0)), lit_d(15.0)) / 100.0
+    ratio = c.get("price_to_cost_ratio", lit_d(2.5))  # defaults stand in for absent columns; a NULL stays NULL
+    disc = c.get("discount_percentage", lit_d(15.0)) / 100.0
     est = cost * ratio
     x = df.withColumns({
         "category_median_price": est,

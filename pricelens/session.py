@@ -44,12 +44,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is always honoured. Only
-    when it is unset (local tests) do we create a scratch folder of our own.
+    The setting names shared storage and is always honoured. Where it is unset,
+    a local session (driver and tasks are one process) gets a folder of its
+    own; on a cluster that would be a different folder on every machine, so
+    there it is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="pricelens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

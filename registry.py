@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import oracles as O
-from pricelens.functions.core import attach, round_half_away
+from pricelens.functions.core import attach, round_half_away, reuse
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 from pricelens.operators import profiling as D
 from pricelens.plans import market as M
@@ -37,29 +37,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-_VIEWS: dict = {}
-
-
-def _materialised(kind, spark, d, build):
-    """The input view of a query, derived once and kept (memory, then disk)
-    for every job of the query: size checks, statistics and the main plan all
-    read it instead of re-deriving it from lineitem. Lost blocks are rebuilt
-    from lineage."""
-    from pricelens.plans.market import reuse
-    key = (kind, d)
-    df = _VIEWS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = build(spark, d)
-        _VIEWS[key] = df
-    return reuse(df)
-
-
 def P(spark, d):
-    return _materialised("products", spark, d, views.products)
+    return views.products(spark, d)
 
 
 def PD(spark, d):
-    return _materialised("products_dirty", spark, d, views.products_dirty)
+    return views.products_dirty(spark, d)
 
 
 def W(*ctes: str) -> str:
@@ -114,7 +97,7 @@ def b03_sample_gate(spark, d):
 
 
 @register("b05_drop_identifiers", W(O.PRODUCTS) + """
-SELECT * EXCLUDE (product_id, product_name, discounted_price, category, product_type) FROM products""")
+SELECT * EXCLUDE (product_name, discounted_price, category, brand) FROM products""")
 def b05_drop_identifiers(spark, d):
     """Identifier and target columns removed."""
     return B.drop_identifiers(P(spark, d))
@@ -288,7 +271,7 @@ from pricelens.operators import split as SP  # noqa: E402
 
 
 def SPL(spark, d):
-    return SP.hash_split(P(spark, d))
+    return SP.hash_split(reuse(P(spark, d)))
 
 
 IQR = "{c}_q1 - {k} * ({c}_q3 - {c}_q1)"
@@ -464,7 +447,7 @@ SELECT category,
   CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.75 ELSE coalesce(lowest_quartile_upper_bound, mean_price * 0.75) END lowest_quartile_upper_bound,
   CASE WHEN mean_price IS NULL THEN coalesce(median_price, mean_price, 1000e0) * 0.5 ELSE coalesce(median_manufacturing_cost, 1e0) END median_manufacturing_cost,
   CASE WHEN mean_price IS NULL THEN 2e0 ELSE coalesce(mean_profit_margin, 1e0) END mean_profit_margin,
-  CASE WHEN mean_price IS NULL THEN 0.75e0 ELSE coalesce(competitive_price_factor, 1e0) END competitive_price_factor
+  CASE WHEN mean_price IS NULL THEN 0.75e0 ELSE coalesce(competitive_price_factor, mean_price) END competitive_price_factor
 FROM bm""")
 def e02_repair_benchmarks(spark, d):
     """Undefined benchmarks repaired (Audio has no prices, Cameras no costs)."""
@@ -598,17 +581,20 @@ def f01_hash_split(spark, d):
     return SPL(spark, d).select("product_id", "category", "split")
 
 
-@register("f02_stratified_split", W(O.PRODUCTS) + """
-, seg AS (SELECT *, CASE WHEN rating < 2.5 THEN 'low' WHEN rating < 4 THEN 'mid' ELSE 'high' END stratum FROM products)
-SELECT product_id, category, stratum,
-  CASE WHEN row_number() OVER (PARTITION BY category, stratum ORDER BY md5('42-' || product_id::VARCHAR), product_id) - 1
-            < ceil(0.2e0 * count(*) OVER (PARTITION BY category, stratum)) THEN 'test' ELSE 'train' END split
+@register("f02_stratified_split", W(O.PRODUCTS) + f"""
+, e AS (SELECT category, {O.xs('discounted_price')} xp FROM products GROUP BY category),
+e2 AS (SELECT category, {_edges(_SE)} se FROM e),
+seg AS (SELECT product_id, category,
+          (greatest(len(list_filter(list_distinct(se), lambda v: v < discounted_price)), 1) - 1)::INTEGER price_segment_numeric
+        FROM products JOIN e2 USING (category))
+SELECT product_id, category, price_segment_numeric,
+  CASE WHEN row_number() OVER (PARTITION BY category, price_segment_numeric ORDER BY md5('42-' || product_id::VARCHAR), product_id) - 1
+            < ceil(0.2e0 * count(*) OVER (PARTITION BY category, price_segment_numeric)) THEN 'test' ELSE 'train' END split
 FROM seg""")
 def f02_stratified_split(spark, d):
-    """split stratified by a segment within each category."""
-    p = P(spark, d).withColumn("stratum", F.when(F.col("rating") < 2.5, "low")
-                               .when(F.col("rating") < 4, "mid").otherwise("high"))
-    return SP.hash_split(p, strata="stratum").select("product_id", "category", "stratum", "split")
+    """split stratified by price segment within each category."""
+    p = E.price_segments(P(spark, d))
+    return SP.hash_split(p, strata="price_segment_numeric").select("product_id", "category", "price_segment_numeric", "split")
 
 
 # ---------------------------------------------------------------- F7-F18 metrics
@@ -841,14 +827,26 @@ def h02_market_strategies(spark, d):
     return H.market_strategies(D.price_stats(P(spark, d)))
 
 
-@register("h05_settings_ranking", W(O.PRODUCTS, O.settings_cte()) + """
+_H5 = """
 , c AS (SELECT category, count(*) products FROM products GROUP BY category)
-SELECT s.*, c.products, (row_number() OVER (ORDER BY min_margin DESC, category))::INTEGER "rank"
-FROM settings s JOIN c USING (category)""")
+SELECT s.*, c.products, (row_number() OVER (ORDER BY {col}, category))::INTEGER "rank"
+FROM settings s JOIN c USING (category)"""
+
+
+def _settings_with_products(spark, d):
+    return settings_table(spark).join(P(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("products")), "category")
+
+
+@register("h05_settings_ranking", W(O.PRODUCTS, O.settings_cte()) + _H5.format(col="min_margin"))
 def h05_settings_ranking(spark, d):
-    """H5: categories with products ranked by minimum margin."""
-    c = P(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("products"))
-    return H.settings_ranking(settings_table(spark).join(c, "category"), "min_margin")
+    """H5: categories with products in ascending order of minimum margin."""
+    return H.settings_ranking(_settings_with_products(spark, d), "min_margin")
+
+
+@register("h05_calibration_ranking", W(O.PRODUCTS, O.settings_cte()) + _H5.format(col="calibration_factor"))
+def h05_calibration_ranking(spark, d):
+    """H5: categories with products in ascending order of calibration factor."""
+    return H.settings_ranking(_settings_with_products(spark, d), "calibration_factor")
 
 
 # ---------------------------------------------------------------- I scenarios
@@ -948,6 +946,7 @@ def i13_result_describe(spark, d):
 , bands AS (SELECT unnest([0.3e0, 0.5e0, 0.7e0, 0.9e0, 1.1e0]) cost_band)
 SELECT category, cost_band, avg(discount_from_market) avg_discount, avg(profit_margin_percentage) avg_margin, count(*) n
 FROM results JOIN bands ON cost_to_median_ratio >= cost_band - 0.1e0 AND cost_to_median_ratio <= cost_band + 0.1e0
+WHERE test_type = 'manufacturing_cost'
 GROUP BY category, cost_band""")
 def i14_cost_band_analysis(spark, d):
     """Cost-band analysis (overlapping bands, inclusive ends)."""

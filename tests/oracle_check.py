@@ -56,8 +56,6 @@ def main(argv):
     spark = get_session("local[8]", int(os.environ.get("SHUFFLE_PARTITIONS", "8")))
     if os.environ.get("SESSION_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
-    if os.environ.get("RANK_METHOD"):
-        spark.conf.set("pricelens.rank.method", os.environ["RANK_METHOD"])
     if os.environ.get("QUANTILE_METHOD"):
         spark.conf.set("pricelens.quantile.method", os.environ["QUANTILE_METHOD"])
     qs, os_ = E.queries(), E.oracle_sql()

@@ -1,5 +1,6 @@
 """Distributed building blocks checked against brute force on small fixtures."""
 
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.core import qcut_index, quantiles
+from conftest import SF_SMALL
 from pricelens.functions.rank import group_rank
 from pricelens.operators.split import hash_split
 
@@ -69,7 +71,7 @@ def test_exact_quantiles_match_numpy(spark):
         assert np.allclose(got[g], ref, rtol=1e-12, atol=1e-12)
 
 
-def test_ranked_quantiles_match_exact_on_skew(spark):
+def test_selected_quantiles_match_exact_on_skew(spark):
     from pricelens.functions.quantile import agg_with_quantiles
     df = skewed(spark, n=4000)
     probs = [0.0, 0.01, 0.25, 0.5, 0.67, 0.99, 1.0]
@@ -77,14 +79,14 @@ def test_ranked_quantiles_match_exact_on_skew(spark):
     ex = {r.g: r for r in agg_with_quantiles(df, ["g"], specs, [F.count(F.lit(1)).alias("n")],
                                              method="exact").collect()}
     rk = {r.g: r for r in agg_with_quantiles(df, ["g"], specs, [F.count(F.lit(1)).alias("n")],
-                                             method="ranked").collect()}
+                                             method="select").collect()}
     assert ex.keys() == rk.keys()
     for g in ex:
         assert ex[g].n == rk[g].n
         assert list(ex[g].q) == list(rk[g].q)  # same arithmetic: bit-identical
 
 
-def test_ranked_quantiles_with_a_hot_value(spark):
+def test_selected_quantiles_with_a_hot_value(spark):
     """One value holds a third of a group: ties are spread and results stay exact."""
     from pricelens.functions.quantile import agg_with_quantiles
     rnd = random.Random(11)
@@ -92,18 +94,45 @@ def test_ranked_quantiles_with_a_hot_value(spark):
     df = spark.createDataFrame(rows, "id long, g string, v double")
     specs = {"a": ("v", [0.1, 0.5]), "b": ("v", [0.5, 0.9, 1.0])}
     ex = agg_with_quantiles(df, ["g"], specs, method="exact").first()
-    rk = agg_with_quantiles(df, ["g"], specs, method="ranked").first()
+    rk = agg_with_quantiles(df, ["g"], specs, method="select").first()
     assert list(ex.a) == list(rk.a) and list(ex.b) == list(rk.b)
 
 
-def test_split_same_under_window_and_range_ranks(spark):
+def test_selected_quantiles_of_large_groups(spark, monkeypatch):
+    """Groups above the sketch's size: brackets, counts below them and values inside."""
+    from pricelens.functions import quantile
+    monkeypatch.setattr(quantile, "ACCURACY", 50)
+    rnd = random.Random(3)
+    rows = [(None if i % 7 == 0 else f"g{i % 3 if i % 2 else 0}", float(rnd.randint(0, 40)) if i % 3 else rnd.random() * 40, None if i % 5 else 1.0)
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(7)
+    specs = {"q": ("v", [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]), "h": ("v", [0.5]), "w": ("w", [0.3])}
+    for keys in (["g"], []):
+        ex = {tuple(r[k] for k in keys): r for r in quantile.agg_with_quantiles(df, keys, specs, method="exact").collect()}
+        got = {tuple(r[k] for k in keys): r for r in quantile.agg_with_quantiles(df, keys, specs, method="select").collect()}
+        assert ex.keys() == got.keys()
+        assert all(list(ex[k][c]) == list(got[k][c]) for k in ex for c in specs)
+
+
+def test_split_matches_row_number(spark):
+    import hashlib
     df = skewed(spark).withColumnRenamed("g", "category").withColumnRenamed("id", "product_id")
-    spark.conf.set("pricelens.rank.method", "window")
-    a = hash_split(df).select("product_id", F.col("split").alias("a"))
-    a = spark.createDataFrame(a.collect(), a.schema)
-    spark.conf.set("pricelens.rank.method", "range")
-    try:
-        b = hash_split(df).select("product_id", F.col("split").alias("b"))
-        assert a.join(b, "product_id").where(F.col("a") != F.col("b")).count() == 0
-    finally:
-        spark.conf.unset("pricelens.rank.method")
+    got = {r.product_id: r.split for r in hash_split(df).collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.category, []).append((hashlib.md5(f"42-{r.product_id}".encode()).hexdigest(), r.product_id))
+    for members in groups.values():
+        n_test = math.ceil(0.2 * len(members))
+        for k, (_, pid) in enumerate(sorted(members)):
+            assert got[pid] == ("test" if k < n_test else "train")
+
+
+def test_operators_build_without_jobs(spark):
+    """Building a plan runs nothing: the job counter stays where it was."""
+    import __spark_entry__ as E
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("e20_composite", "g07_recommend", "f14_performance_summary", "i02_scenario_results", "f18_quality_bar", "d02_iqr_stats", "f01_hash_split"):
+        q = next((k for k in E.queries() if k.startswith(name.split("_")[0] + "_")), None) if name not in E.queries() else name
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        E.queries()[q](spark, SF_SMALL)
+        assert not tracker.getJobIdsForGroup(f"build-{name}"), q
