@@ -177,33 +177,31 @@ def load_models(path: str, categories: list[str]) -> dict[str, PipelineModel]:
 # --- G1 / G2 / G18 ----------------------------------------------------------------
 def assemble_scoring(df: DataFrame) -> DataFrame:
     """G1: model inputs derived from a pricing request plus constants for the
-    inputs a request does not carry."""
-    c = {k: F.col(k) for k in df.columns}
+    inputs a request does not carry. One projection; defaults stand in for
+    absent columns only, a NULL stays NULL."""
+    def given(name: str, default: float):
+        return F.col(name).cast("double") if name in df.columns else lit_d(default)
+
     cost = F.col("manufacturing_cost")
-    ratio = c.get("price_to_cost_ratio", lit_d(2.5))  # defaults stand in for absent columns; a NULL stays NULL
-    disc = c.get("discount_percentage", lit_d(15.0)) / 100.0
-    est = cost * ratio
-    x = df.withColumns({
-        "category_median_price": est,
+    estimate = cost * given("price_to_cost_ratio", 2.5)
+    discount = given("discount_percentage", 15.0) / 100.0
+    strength = "brand_strength_score" if "brand_strength_score" in df.columns else "brand_strength"
+    derived = {
+        "category_median_price": estimate,
         "rating_x_count": F.col("rating") * F.col("rating_count"),
         "quality_tier": F.col("rating") / 5.0,
         "log_manufacturing_cost": F.log1p(cost),
         "production_cost": cost,
-        "discount_amount": est * disc,
-        "log_discounted_price": F.log1p(est * (1 - disc)),
-    })
-    if "brand_strength_score" in df.columns:
-        x = x.withColumn("brand_strength", F.col("brand_strength_score").cast("double"))
-    elif "brand_strength" not in df.columns:
-        x = x.withColumn("brand_strength", lit_d(S.SCORING_DEFAULTS["brand_strength"]))
-    consts = {k: lit_d(v) for k, v in S.SCORING_DEFAULTS.items() if k != "brand_strength"}
-    x = x.withColumns(consts)
-    pos = F.col("category_median_price") > 0
-    x = x.withColumns({
-        "price_to_category_median_ratio": F.when(pos, est / F.col("category_median_price")).otherwise(lit_d(1.0)),
+        "discount_amount": estimate * discount,
+        "log_discounted_price": F.log1p(estimate * (1 - discount)),
         "brand_avg_price": cost * 2.0,
-    })
-    return x.withColumn("price_relative_to_median", F.col("price_to_category_median_ratio") - 1.0)
+        # the estimate is its own category median here
+        "price_to_category_median_ratio": F.when(estimate.isNotNull(), lit_d(1.0)),
+        "price_relative_to_median": F.when(estimate.isNotNull(), lit_d(0.0)),
+        "brand_strength": given(strength, S.SCORING_DEFAULTS["brand_strength"]),
+    }
+    constants = {k: lit_d(v) for k, v in S.SCORING_DEFAULTS.items() if k not in derived}
+    return df.withColumns(derived | constants)
 
 
 def align_features(df: DataFrame, names) -> DataFrame:

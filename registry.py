@@ -901,6 +901,23 @@ def i09_quality_pivot(spark, d):
     return I.quality_pivot(SCEN_DF(spark, d), "recommended_price", by_category=True)
 
 
+def _pivot_sql(value: str, keys: str) -> str:
+    cells = ", ".join(f'avg({value}) FILTER (WHERE rating_count = {n}) "{n}"' for n in (10, 100, 1000))
+    return f"SELECT {keys}, {cells} FROM results WHERE test_type = 'quality' GROUP BY {keys}"
+
+
+@register("i09_quality_pivot_overall", W(O.SCEN) + _pivot_sql("predicted_market_price", "rating"))
+def i09_quality_pivot_overall(spark, d):
+    """Mean predicted price by rating x review count, over all categories."""
+    return I.quality_pivot(SCEN_DF(spark, d))
+
+
+@register("i09_discount_pivot", W(O.SCEN) + _pivot_sql("discount_from_market", "category, rating"))
+def i09_discount_pivot(spark, d):
+    """Mean discount from market by rating x review count, per category."""
+    return I.quality_pivot(SCEN_DF(spark, d), "discount_from_market", by_category=True)
+
+
 @register("i10_strategy_distribution", W(O.SCEN) + """
 SELECT category, strategy, count(*) "count", count(*) / sum(count(*)) OVER (PARTITION BY category) * 100 pct
 FROM results GROUP BY category, strategy""")
@@ -1300,3 +1317,86 @@ def x10_audit_log(spark, d):
     A.append_audit_log(recs.withColumn("recommended_price", F.col("recommended_price") * 1.01), path, "shadow")
     return A.read_audit_log(spark, path, "median-x-calibration").select(
         "product_id", "category", "recommended_price", "strategy", "model_version")
+
+
+# ---------------------------------------------------------------- G1, G2, G5, G6, B4, A5
+_G1_CONST = {k: v for k, v in S.SCORING_DEFAULTS.items() if k != "brand_strength"}
+_G1_DERIVED = ("category_median_price", "rating_x_count", "quality_tier", "log_manufacturing_cost", "production_cost", "discount_amount",
+               "log_discounted_price", "brand_avg_price", "price_to_category_median_ratio", "price_relative_to_median", "brand_strength")
+_G1_OWN = [k for k in _G1_CONST if k not in _G1_DERIVED]
+
+
+def _requests(spark, d):
+    """One request per product: its cost and rating; some carry a price-to-cost ratio, some a NULL."""
+    return P(spark, d).select("product_id", "category", "manufacturing_cost", "rating", "rating_count",
+                              F.when(F.col("product_id") % 3 == 0, F.lit(2.2)).alias("price_to_cost_ratio"))
+
+
+_REQ = """
+, req AS (SELECT product_id, category, manufacturing_cost, rating, rating_count,
+                 CASE WHEN product_id % 3 = 0 THEN 2.2e0 END price_to_cost_ratio FROM products)"""
+
+
+@register("g01_scoring_inputs", W(O.PRODUCTS) + _REQ + f"""
+, e AS (SELECT *, manufacturing_cost * price_to_cost_ratio est FROM req)
+SELECT product_id, est category_median_price, rating * rating_count rating_x_count, rating / 5e0 quality_tier,
+       ln(1 + manufacturing_cost) log_manufacturing_cost, manufacturing_cost production_cost, est * (15e0 / 100e0) discount_amount,
+       ln(1 + est * (1 - 15e0 / 100e0)) log_discounted_price, manufacturing_cost * 2e0 brand_avg_price,
+       CASE WHEN est IS NOT NULL THEN 1e0 END price_to_category_median_ratio, CASE WHEN est IS NOT NULL THEN 0e0 END price_relative_to_median,
+       {float(S.SCORING_DEFAULTS['brand_strength'])}::DOUBLE brand_strength{''.join(f", {float(_G1_CONST[k])}::DOUBLE {k}" for k in _G1_OWN)}
+FROM e""")
+def g01_scoring_inputs(spark, d):
+    """G1: model inputs of a pricing request per product."""
+    return TR.assemble_scoring(_requests(spark, d)).select("product_id", *_G1_DERIVED, *_G1_OWN)
+
+
+@register("g02_aligned_inputs", W(O.PRODUCTS) + _REQ + """
+SELECT product_id, rating::DOUBLE rating, rating_count::DOUBLE rating_count, 0e0 not_a_column FROM req""")
+def g02_aligned_inputs(spark, d):
+    """Every model input present, absent ones 0."""
+    return TR.align_features(_requests(spark, d), ["rating", "rating_count", "not_a_column"]).select(
+        "product_id", "rating", "rating_count", "not_a_column")
+
+
+@register("g05_fallback_price", W(O.PRODUCTS) + _REQ + """
+SELECT product_id, CASE WHEN product_id % 5 = 0 THEN manufacturing_cost * coalesce(price_to_cost_ratio, 2e0) ELSE manufacturing_cost * 3 END
+       predicted_market_price FROM req""")
+def g05_fallback_price(spark, d):
+    """Predictions of zero or less (every fifth product's, by construction) replaced by cost x ratio."""
+    raw = F.when(F.col("product_id") % 10 == 0, F.lit(0.0)).when(F.col("product_id") % 5 == 0, F.lit(-4.0)).otherwise(F.col("manufacturing_cost") * 3)
+    x = _requests(spark, d).withColumn("predicted_market_price", raw)
+    return G.fallback_price(x).select("product_id", "predicted_market_price")
+
+
+@register("g06_confidence_band", W(O.PRED) + """
+, m AS (SELECT category, avg(abs(prediction - discounted_price) / discounted_price) mape,
+               avg(CASE WHEN abs(prediction - discounted_price) / discounted_price <= 0.1e0 THEN 1e0 ELSE 0e0 END) w10
+        FROM pred WHERE split = 'test' AND category <> 'Audio' GROUP BY category)
+SELECT product_id, category, prediction * (1 - coalesce(mape, 0.15e0) * 1.5e0) confidence_lower,
+       prediction * (1 + coalesce(mape, 0.15e0) * 1.5e0) confidence_upper, coalesce(mape, 0.15e0) model_mape, coalesce(w10, 0.8e0) model_within_10pct
+FROM pred LEFT JOIN m USING (category)""")
+def g06_confidence_band(spark, d):
+    """Confidence band from the test metrics of each category; Audio has none and takes the defaults."""
+    p = reuse(PRED(spark, d))
+    off = F.abs(F.col("prediction") - F.col("discounted_price")) / F.col("discounted_price")
+    m = (p.where((F.col("split") == "test") & (F.col("category") != "Audio")).groupBy("category")
+         .agg(F.avg(off).alias("test_mape"), F.avg(F.when(off <= 0.1, 1.0).otherwise(0.0)).alias("test_within_10pct")))
+    return G.confidence_band(p, m, "prediction").select("product_id", "category", "confidence_lower", "confidence_upper", "model_mape",
+                                                          "model_within_10pct")
+
+
+@register("b04_numeric_columns", W(O.PRODUCTS) + """
+SELECT column_name "column" FROM (DESCRIBE SELECT * FROM products) WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT')""")
+def b04_numeric_columns(spark, d):
+    """Names of the catalogue's numeric columns, each with at least one row behind it."""
+    p = P(spark, d)
+    names = F.array(*[F.lit(c) for c in B.numeric_columns(p)])
+    return p.limit(1).select(F.explode(names).alias("column"))
+
+
+@register("a05_write_table", W(O.PRODUCTS, O.benchmarks_cte("products")) + " SELECT * FROM bm")
+def a05_write_table(spark, d):
+    """A5: the benchmark table written and read back."""
+    path = scratch(spark, "benchmarks")
+    A.write_table(E.benchmarks(P(spark, d)), path)
+    return spark.read.parquet(path)
