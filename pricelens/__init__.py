@@ -2,9 +2,8 @@
 
 Every operator is a ``DataFrame -> DataFrame`` function built from Catalyst
 expressions, grouped aggregates and joins, so it composes with
-``DataFrame.transform``. The only actions operators run themselves are small
-bounded ones (broadcast size checks, one-row null counts, the largest-group
-count that picks the quantile method, one-hot level discovery), plus the
+``DataFrame.transform``. Building a plan runs no job; actions are left to the
+caller (training, sinks, level discovery, strict rejection), besides the
 checkpoint of range-sorted rows inside ``functions.rank.group_rank``.
 """
 

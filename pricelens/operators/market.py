@@ -7,19 +7,36 @@ projection, a small grouped aggregate or an ordered read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.core import lit_d
 from pricelens.operators.pricing import elasticity_expr, optimal_discount, sensitivity_curve
 
-# --- FIXED VALUES: market strategy names and their discount texts -----------
+# --- FIXED VALUES: market strategy names, their discount texts, descriptions and whom they suit
 SEGMENTATION = ("Market Segmentation Strategy", "Varies by segment")
 AGGRESSIVE_VALUE = ("Aggressive Value Leader", "20-30% below market median")
 QUALITY_DIFF = ("Quality Differentiator", "0-10% below market median")
 BALANCED = ("Balanced Value Approach", "10-20% below market median")
 NEW_SELLER = "New Seller Strategy"
 NEW_SELLER_TEXT = "%.1f%% initially, reducing by 5%% every 3 months"
+ABOUT = {
+    "Market Segmentation Strategy": (
+        "Wide price range indicates multiple market segments. Consider different product variants targeting specific price points.",
+        "Products with customizable features or tiered offerings"),
+    "Aggressive Value Leader": (
+        "High price sensitivity indicates aggressive discounting can capture significant market share.",
+        "New market entrants with efficient cost structure"),
+    "Quality Differentiator": (
+        "Lower price sensitivity suggests focusing on quality and features rather than price.",
+        "Products with strong unique features or brand reputation"),
+    "Balanced Value Approach": (
+        "Moderate price sensitivity allows for competitive pricing without extreme discounting.",
+        "Products with good balance of features and price"),
+    "New Seller Strategy": (
+        "For new sellers entering this category, build market presence with an initial discount that gradually reduces as reputation grows.",
+        "New sellers with limited reviews and brand recognition"),
+}
 # --- end of FIXED VALUES ------------------------------------------------------
 
 
@@ -61,7 +78,12 @@ def market_strategies(stats: DataFrame, insights: DataFrame | None = None) -> Da
     arr = F.filter(F.array(seg, elastic, new), lambda s: s.isNotNull())
     return (x.select("category", F.posexplode(arr).alias("position", "_s"))
             .select("category", (F.col("position") + 1).alias("position"),
-                    F.col("_s.name").alias("strategy"), F.col("_s.discount_range").alias("discount_range")))
+                    F.col("_s.name").alias("strategy"), F.col("_s.discount_range").alias("discount_range"),
+                    _about(F.col("_s.name"), 0).alias("description"), _about(F.col("_s.name"), 1).alias("ideal_for")))
+
+
+def _about(name: Column, field: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in ABOUT.items() for x in (k, v[field])]), name)
 
 
 def history(df: DataFrame, category: str | None = None, ts: str = "recorded_at") -> DataFrame:

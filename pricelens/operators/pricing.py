@@ -258,8 +258,8 @@ def advice(df: DataFrame) -> DataFrame:
                 "High manufacturing cost: premium positioning at %.2f, %.1f%% above market.",
                 F.col("recommended_price"), F.col("discount_from_market")))
             .when(cls == "above_market", F.format_string(
-                "Recommended price %.2f is above the market price %.2f.",
-                F.col("recommended_price"), F.col("predicted_market_price")))
+                "Recommended price %.2f is %.1f%% above the market price %.2f because of the manufacturing cost.",
+                F.col("recommended_price"), F.abs(F.col("discount_from_market")), F.col("predicted_market_price")))
             .otherwise(F.format_string(
                 "Price at %.2f (%.1f%% below market) for a %.1f%% margin.",
                 F.col("recommended_price"), F.col("discount_from_market"),

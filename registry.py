@@ -812,6 +812,10 @@ def h03_market_insights(spark, d):
     return H.market_insights(D.price_stats(P(spark, d)))
 
 
+def _about_sql(field: int) -> str:
+    return "CASE strategy " + " ".join(f"WHEN '{k}' THEN '{v[field]}'" for k, v in H.ABOUT.items()) + " END"
+
+
 @register("h02_market_strategies", W(O.PRODUCTS, O.settings_cte(), O.MARKET) + _INS + f"""
 , items AS (
   SELECT category, 0 k, '{H.SEGMENTATION[0]}' strategy, '{H.SEGMENTATION[1]}' discount_range FROM stats JOIN ins USING (category)
@@ -821,7 +825,8 @@ def h03_market_insights(spark, d):
     CASE WHEN price_elasticity < -1.7 THEN '{H.AGGRESSIVE_VALUE[1]}' WHEN price_elasticity > -1.3 THEN '{H.QUALITY_DIFF[1]}' ELSE '{H.BALANCED[1]}' END FROM ins
   UNION ALL
   SELECT category, 2, '{H.NEW_SELLER}', printf('%.1f', optimal_discount) || '% initially, reducing by 5% every 3 months' FROM ins)
-SELECT category, row_number() OVER (PARTITION BY category ORDER BY k)::INTEGER position, strategy, discount_range FROM items""")
+SELECT category, row_number() OVER (PARTITION BY category ORDER BY k)::INTEGER position, strategy, discount_range,
+  {_about_sql(0)} description, {_about_sql(1)} ideal_for FROM items""")
 def h02_market_strategies(spark, d):
     """H2: ordered strategy recommendations per category."""
     return H.market_strategies(D.price_stats(P(spark, d)))
