@@ -41,7 +41,7 @@ from pyspark.sql.functions import arrow_udf
 
 from pricelens.llm.common import Scratch, cut, release
 
-LENGTH, GRAM, MOST = 50, 20, 50
+LENGTH, GRAM, MOST = 50, 32, 50
 _LAST = (1 << 63) - 1  # the order of a null id
 _SALTS = 8
 _PART = 1 << 18  # bytes that are hashed at a time
@@ -64,14 +64,14 @@ def _hashes(data: np.ndarray, strings: bool) -> tuple[np.ndarray, np.ndarray | N
         four = two[:-2] * _ODD[1] + two[2:]
         eight = four[:-4] * _ODD[2] + four[4:]
         sixteen = eight[:-8] * _ODD[3] + eight[8:]
-        gram = _mix(sixteen[:-4] * _ODD[4] + four[16:])  # 20 bytes
+        long = sixteen[:-16] * _ODD[5] + sixteen[16:]  # 32 bytes: GRAM
+        gram = _mix(long)
         least = gram
         for reach in (1, 2, 4, 8):
             least = np.minimum(least[:-reach], least[reach:])
-        least = np.minimum(least[:-15], least[15:])  # the 31 grams of a string
+        least = np.minimum(least[:-3], least[3:])  # the 19 grams of a string
         if not strings:
             return least, None
-        long = sixteen[:-16] * _ODD[5] + sixteen[16:]  # 32 bytes
         n = len(least)
         return least, _mix((long[:n] * _ODD[6] + sixteen[32:32 + n]) * _ODD[7] + two[48:48 + n])
 
@@ -143,8 +143,9 @@ def _seen(ranges: int):
             alone = first & np.append(first[1:], True)
             out: list[tuple[int, bytes, bytes]] = [(-1 - (int(hashes[0]) + n) % ranges, hashes[owner[~alone]].tobytes(), code[~alone].tobytes())]
             code, owner = code[first], owner[first]  # one entry a code stands for the batch
-            cuts = np.searchsorted(code >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-            out += [(k, hashes[owner[a:b]].tobytes(), code[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            code, lower = code >> np.uint64(32), code.astype(np.uint32)  # the row's range is the rest of its codes
+            cuts = np.searchsorted(code, np.arange(ranges + 1, dtype=np.uint64))
+            out += [(k, hashes[owner[a:b]].tobytes(), lower[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
                                               pa.array([x[2] for x in out], pa.binary())], names=["range", "text_hash", "code"])
 
@@ -154,8 +155,10 @@ def _seen(ranges: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Of one range's entries, those whose code came from two texts: (text_hash, codes)."""
     hashes = np.frombuffer(b"".join(table.column("text_hash").to_pylist()), dtype=np.int64)
-    code = np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint64)
-    if len(code) and table.column("range")[0].as_py() >= 0:
+    data, own = b"".join(table.column("code").to_pylist()), table.column("range")[0].as_py()
+    code = np.frombuffer(data, dtype=np.uint64 if own < 0 else np.uint32)
+    if own >= 0:
+        code = code.astype(np.uint64) | np.uint64(own << 32)
         order = np.argsort(code, kind="stable")
         code, hashes = code[order], hashes[order]
         same = code[1:] == code[:-1]
