@@ -11,10 +11,12 @@ A document's set is its distinct w-word shingles (ASCII letters lower-cased).
 * Bands: ``bands`` x ``rows`` registers. Two sets at the threshold share a band
   with probability 1 - (1 - 0.8^5)^40 > 0.9999998 (default values).
 * Candidates: documents with equal sets are one class. In a band's bucket every
-  class is paired with the bucket's smallest class only; once the confirmed
-  links have joined classes to components, classes of one bucket that are still
-  in different components are paired too. So no bucket is capped, and no pair
-  inside a group that already hangs together is made.
+  class is paired with one hub only, the class that shares most bands with
+  others, as the middle of a group does. Once the confirmed links have joined
+  classes to components, classes of one bucket that are still in different
+  components are paired too, unless what they can have in common at most - by
+  their counts with the hub - is too little for a link. So no bucket is capped, and no pair inside a group that already
+  hangs together is made.
 * Estimate: both registers and both set sizes give the likelihood of every
   similarity; pairs whose most likely similarity is five standard deviations
   below the threshold go.
@@ -42,7 +44,7 @@ from pricelens.llm.common import cut
 BASE, TOP = 1.001, 65_535  # registers: base of the spacing, largest value
 BANDS, ROWS = 40, 5
 _SALTS = 8
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 250_000
 
 
 class _WordHashes(dict):
@@ -235,8 +237,10 @@ class _Verifier:
         return (pairs.join(side("a"), "a").join(side("b"), "b")
                 .filter(estimate("n_a", "n_b", "r_a", "r_b") >= float(floor)).drop("r_a", "r_b"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b), those linked: 100 * intersection >= percent * union."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, n_a, n_b), those that may be linked, with the exact
+        size ``common`` of their intersection, ``linked``: 100 * intersection >=
+        percent * union, and ``extra``: the shingles of b that a lacks."""
         p = F.lit(self.percent)
         fits = pairs.filter(F.least("n_a", "n_b") * 100 >= p * F.greatest("n_a", "n_b"))
         likely = cut(self._likely(fits))
@@ -249,8 +253,9 @@ class _Verifier:
         both = (likely.join(sets.select(F.col("set_key").alias("a"), F.col("s").alias("s_a")), "a")
                 .join(sets.select(F.col("set_key").alias("b"), F.col("s").alias("s_b")), "b"))
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return cut(both.withColumn("common", common).filter(F.col("common") * 100 >= p * (F.col("n_a") + F.col("n_b") - F.col("common")))
-                   .select("a", "b"))
+        union = F.col("n_a") + F.col("n_b") - F.col("common")
+        return cut(both.withColumn("common", common).select("a", "b", "common", (F.col("common") * 100 >= p * union).alias("linked"),
+                                                            F.array_except("s_b", "s_a").alias("extra")))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,  # noqa: A002
@@ -269,33 +274,57 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                                               F.first("text_hash").alias("text_hash")))
     band = lambda k: F.xxhash64(F.lit(k), F.substring("registers", 2 * rows * k + 1, 2 * rows))
     banded = classes.select("set_key", "n", F.explode(F.array(*[band(k) for k in range(bands)])).alias("bucket"))
-    hubs = (banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("set_key", "n")).alias("hub"))
-            .filter("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
+    shared = (banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
     members = cut(banded.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(_SALTS)).cast("int"))
-                  .join(hubs, ["bucket", "salt"]).select("bucket", "set_key", "n", "hub"))
+                  .join(shared, ["bucket", "salt"]).select("bucket", "set_key", "n", "size"))
+    # the class that shares its bands with most others is the middle of its group: the hub of its buckets
+    middle = members.groupBy("set_key").agg(F.sum("size").alias("others"))
+    hub = (members.join(middle, "set_key").groupBy("bucket")
+           .agg(F.max_by(F.struct("set_key", "n"), F.struct("others", "set_key")).alias("hub")))
+    hub = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    members = cut(members.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(_SALTS)).cast("int"))
+                  .join(hub, ["bucket", "salt"]).select("bucket", "set_key", "n", "hub"))
     verifier = _Verifier(docs, text, classes, width, m, percent)
     stars = cut(members.filter(F.col("set_key") != F.col("hub.set_key"))
                 .select(F.col("hub.set_key").alias("a"), F.col("set_key").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
                 .distinct())
-    links = verifier.links(stars)
+    compared = verifier.compared(stars)
+    links = compared.filter("linked").select("a", "b")
     parts = components(links)
 
     # classes that share a bucket but not yet a component
-    labelled = (members.select("bucket", "set_key", "n").join(parts, members.set_key == parts.node, "left")
-                .select("bucket", "set_key", "n", F.coalesce("component", "set_key").alias("component")))
+    labelled = (members.join(parts, members.set_key == parts.node, "left")
+                .select("bucket", "set_key", "n", "hub", F.coalesce("component", "set_key").alias("component")))
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
-    open_ = cut(labelled.join(split.filter("n_parts > 1").select("bucket", "main"), "bucket"))
+    open_ = cut(labelled.join(split.filter("n_parts > 1").select("bucket", "main"), "bucket").withColumn("hub_key", F.col("hub.set_key"))
+                .select("bucket", "set_key", "n", "component", "main", "hub_key"))
+    # What two classes of a hub can have in common: at most what either has in common with the hub, and of the
+    # shingles that the hub lacks those that some other class of the hub has too.
+    asked = open_.select(F.col("hub_key").alias("a"), F.col("set_key").alias("b")).distinct()
+    known = compared.join(asked, ["a", "b"], "left_semi")
+    beyond = known.select("a", "b", F.explode("extra").alias("shingle"))
+    twice = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    besides = beyond.join(twice, ["a", "shingle"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("besides"))
+    limits = (known.select("a", "b", "common").join(besides, ["a", "b"], "left")
+              .select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), F.col("common").cast("long").alias("common"),
+                      F.coalesce("besides", F.lit(0).cast("long")).alias("besides")))
+    open_ = cut(open_.filter(F.col("set_key") != F.col("hub_key")).join(limits, ["hub_key", "set_key"], "left"))
     one, two = open_.filter(F.col("component") != F.col("main")).alias("x"), open_.alias("y")
+    most = F.least("x.common", "y.common") + F.least("x.besides", "y.besides")  # least of a null and a number is the number
+    both_known = F.col("x.common").isNotNull() & F.col("y.common").isNotNull()
     apart = ((F.col("x.component") != F.col("y.component"))
              & ((F.col("y.component") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key")))
-             & (F.least("x.n", "y.n") * 100 >= F.lit(percent) * F.greatest("x.n", "y.n")))
+             & (F.least("x.n", "y.n") * 100 >= F.lit(percent) * F.greatest("x.n", "y.n"))
+             & (~both_known | (most * 100 >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most))))
     cross = (one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & apart)
              .select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"),
                      F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
                      F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("y.n")).otherwise(F.col("x.n")).alias("n_b")).distinct())
-    cross = cut(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    more = verifier.links(cross)
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = cut(cross.join(tested, ["a", "b"], "left_anti"))
+    more = verifier.compared(cross).filter("linked").select("a", "b")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
@@ -331,3 +360,20 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
 
 def digest(docs: DataFrame, width: int = 2) -> DataFrame:
     return near_duplicates(docs, width=width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The rows of :func:`digest` in DuckDB: all pairs that share a shingle.
+DIGEST_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 1, 1))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 80 * (x.n + y.n - c.c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN component USING (doc_id)
+"""

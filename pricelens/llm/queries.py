@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op9_url_filters": url_rules.JUDGE_SQL}
+ORACLES: dict[str, str] = {"op8_near_duplicates": near_dedup.DIGEST_SQL, "op9_url_filters": url_rules.JUDGE_SQL}
