@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from pricelens.llm.common import cut
+from pricelens.llm.prefix_tokens import byte_letters
 
-_CACHE = 400_000
+_CACHE = 250_000
 _LETTERS = regex.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+")  # letters that lower-case and normalise to one letter each
 
 
@@ -51,33 +53,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        suffix = "</w>"  # fixed value: this vocabulary's mark of a word's last token
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith(suffix)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()  # the model sees bytes as printable letters
         self.words: dict[str, bytes] = {"": b""}
+        self.last: dict[str, bytes] = {}
 
     def _encode(self, words: set[str]) -> None:
-        """Encode words: in one string where each is one run of letters, else one by one."""
-        plain = [w for w in words if w.isascii() and w.isalpha() or _LETTERS.fullmatch(w)]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                data, at = ids.tobytes(), 0
-                for w, end in zip(plain, (cuts * 4).tolist(), strict=True):
-                    self.words[w] = data[at:end]
-                    at = end
-        rest = [w for w in words if w not in self.words]
+        """Encode words: those of letters only by the library's model itself,
+        with the steps before it done here; all others by the whole tokenizer."""
+        tokenize, letters, known = self.model.tokenize, self.letters, self.words
+        rest = []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                known[w] = self._bytes([t.id for t in tokenize(w.lower())])
+            elif _LETTERS.fullmatch(w):
+                known[w] = self._bytes([t.id for t in tokenize("".join([letters[c] for c in w.lower().encode()]))])
+            else:
+                rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+            known[w] = self._bytes(e.ids)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. The words of the texts are
         looked up once each; then a small table serves their every place."""
-        if len(self.words) > _CACHE:
-            self.words = {"": b""}
+        if len(self.words) > _CACHE:  # start again with the words of the last texts: the frequent ones are among them
+            self.words = {"": b"", **self.last}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         near = dict(zip(words, map(self.words.get, words), strict=True))
@@ -90,6 +94,7 @@ class WordEncoder:
                 self._encode(alone)
             self.words.update({w: self.words[w[:-1]] + self.words[w[-1]] for w in marked})
             near.update({w: self.words[w] for w in new})
+        self.last = near
         get = near.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -115,13 +120,12 @@ def token_pieces(text: Column, path: str, capacity: int, end_id: int = 0) -> Col
     def pieces(texts: pa.Array) -> pa.Array:
         enc, starts, lengths, crcs, per = encoder(path), [], [], [], [0]
         end = int(end_id).to_bytes(4, "little")
-        whole = [t.as_py() or "" for t in texts]
         at = 0
-        while at < len(whole):  # so few words at a time that their table stays near the processor
+        while at < len(texts):  # so few words at a time that their table stays near the processor
             some, chars = [], 0
-            while at < len(whole) and chars < 1 << 17:
-                some.append(whole[at])
-                chars += len(whole[at])
+            while at < len(texts) and chars < 1 << 17:
+                some.append(texts[at].as_py() or "")
+                chars += len(some[-1])
                 at += 1
             for ids in enc.encode(some):
                 ids += end

@@ -43,11 +43,11 @@ _BYTE = (-1, -1, -1)  # a token that no merge made
 _CONTRACTIONS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")  # fixed values
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The published printable alphabet of byte-level BPE: character -> byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+def byte_letters() -> list[str]:
+    """The published printable alphabet of byte-level BPE: the letter of each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class PrefixCounter:
@@ -56,7 +56,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = _byte_alphabet()
+        alphabet = {letter: b for b, letter in enumerate(byte_letters())}
         raw = lambda token: bytes(alphabet[c] for c in token)
         special = {t["content"] for t in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
