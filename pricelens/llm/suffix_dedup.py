@@ -283,21 +283,26 @@ class _Found:
         found = (texts.join(hot, "text_hash").select("text_hash", "order", F.explode(_found_phrases(F.col("text"), F.col("codes"), ranges)).alias("p"))
                  .select("text_hash", "order", "p.*"))
         found = scratch.table(found, "phrases")
+        del shared, hot, seen
         release(spark)
 
         entry = found.groupBy("trigger", "phrase").agg(F.min("order").alias("owner"))
         share = (entry.groupBy("trigger").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high")
                  .select("trigger", F.lit(True).alias("shared")))
         dictionary = entry.join(share, "trigger", "left")
-        known = cut(found.join(dictionary, ["trigger", "phrase"])
-                    .filter((F.col("owner") < F.col("order")) | F.coalesce("shared", F.lit(False)))
-                    .select("text_hash", "order", "trigger", "first", "n", (F.col("owner") < F.col("order")).alias("later")))
+        known = (found.join(dictionary, ["trigger", "phrase"])
+                 .filter((F.col("owner") < F.col("order")) | F.coalesce("shared", F.lit(False)))
+                 .select("text_hash", "first", "n", (F.col("owner") < F.col("order")).alias("later"),
+                         F.when(F.col("owner") == F.col("order"), F.col("trigger")).alias("trigger")))
+        known = scratch.table(known, "known")
+        del entry, share, dictionary, found
         release(spark)
         later = known.filter("later").select("text_hash", F.col("first").alias("begin"), (F.col("first") + F.col("n") + LENGTH - 1).alias("end"))
         runs = known.filter(~F.col("later")).groupBy("text_hash").agg(F.collect_list(F.struct("first", "n", "trigger")).alias("runs"))
         strings = (texts.join(runs, "text_hash").select("text_hash", "order", F.explode(_strings(F.col("text"), F.col("runs"))).alias("s"))
                    .select("text_hash", "order", "s.*"))
         strings = scratch.table(strings, "strings")
+        del runs
         release(spark)
         group = (strings.groupBy("trigger", "string").agg(F.min("order").alias("owner"), F.max("order").alias("high"))
                  .filter("owner < high").drop("high"))
