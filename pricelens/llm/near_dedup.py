@@ -44,6 +44,7 @@ from pricelens.llm.common import cut
 BASE, TOP = 1.001, 65_535  # registers: base of the spacing, largest value
 BANDS, ROWS = 40, 5
 _SALTS = 8
+_RARE = 50  # a shingle that so many classes of a hub have is rare: their pairs are made by it
 _WORDS_KEPT = 250_000
 
 
@@ -300,13 +301,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
     open_ = cut(labelled.join(split.filter("n_parts > 1").select("bucket", "main"), "bucket").withColumn("hub_key", F.col("hub.set_key"))
                 .select("bucket", "set_key", "n", "component", "main", "hub_key"))
-    # What two classes of a hub can have in common: at most what either has in common with the hub, and of the
-    # shingles that the hub lacks those that some other class of the hub has too.
+    # What two classes of a hub can have in common: at most what either has in common with the hub, the frequent
+    # shingles that the hub lacks, and the rare ones that both have. Pairs that the first two may link are paired
+    # by bucket; all others need a rare shingle, and are paired by it.
     asked = open_.select(F.col("hub_key").alias("a"), F.col("set_key").alias("b")).distinct()
     known = compared.join(asked, ["a", "b"], "left_semi")
     beyond = known.select("a", "b", F.explode("extra").alias("shingle"))
-    twice = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    besides = beyond.join(twice, ["a", "shingle"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("besides"))
+    seen = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    besides = (beyond.join(seen.filter(F.col("k") > _RARE), ["a", "shingle"], "left_semi")
+               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("besides")))
+    rare = beyond.join(seen.filter(F.col("k") <= _RARE), ["a", "shingle"], "left_semi")
     limits = (known.select("a", "b", "common").join(besides, ["a", "b"], "left")
               .select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), F.col("common").cast("long").alias("common"),
                       F.coalesce("besides", F.lit(0).cast("long")).alias("besides")))
@@ -318,10 +322,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
              & ((F.col("y.component") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key")))
              & (F.least("x.n", "y.n") * 100 >= F.lit(percent) * F.greatest("x.n", "y.n"))
              & (~both_known | (most * 100 >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most))))
-    cross = (one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & apart)
-             .select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"),
-                     F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
-                     F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("y.n")).otherwise(F.col("x.n")).alias("n_b")).distinct())
+    ordered = [F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"),
+               F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
+               F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("y.n")).otherwise(F.col("x.n")).alias("n_b")]
+    by_bucket = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & apart).select(*ordered)
+    holders = (rare.select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), "shingle")
+               .join(open_.select("hub_key", "set_key", "n", "component").distinct(), ["hub_key", "set_key"]))
+    by_shingle = (holders.alias("x").join(holders.alias("y"), (F.col("x.hub_key") == F.col("y.hub_key")) & (F.col("x.shingle") == F.col("y.shingle"))
+                                          & (F.col("x.component") != F.col("y.component")) & (F.col("x.set_key") < F.col("y.set_key")))
+                  .select(*ordered))
+    cross = by_bucket.unionByName(by_shingle).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut(cross.join(tested, ["a", "b"], "left_anti"))
     more = verifier.compared(cross).filter("linked").select("a", "b")
