@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import decontamination, near_dedup, packing, pii, quality
-from pricelens.llm.common import read_table
+from pricelens.llm.common import read_table, short_batches
 from pricelens.llm.queries import SEQUENCE, vocabulary
 from pricelens.session import ensure_checkpoint_dir
 
@@ -35,6 +35,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without boilerplate lines."""
+    short_batches(spark)
     return _measured(quality.keep_good(docs))
 
 
