@@ -74,12 +74,10 @@ def train_by_category(df: DataFrame, features=FEATURES, label: str = LABEL, para
     data = _with_label(df.where(F.col(label).isNotNull()), label, log_label)
     if categories is None:
         categories = sorted(r[0] for r in data.select("category").where(F.col("category").isNotNull()).distinct().toLocalIterator())
-    tasks = df.sparkSession.sparkContext.defaultParallelism
 
     def fit(cat):
-        # equal shares, however large the category is
-        part = data.where(F.col("category") == cat).repartition(tasks)
-        return cat, _pipeline(features, p, log_label).fit(part)
+        # the partitions are those that AQE made by size
+        return cat, _pipeline(features, p, log_label).fit(data.where(F.col("category") == cat))
 
     with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
         return dict(ex.map(fit, categories))
