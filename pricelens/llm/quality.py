@@ -3,12 +3,20 @@
 Rules on the text alone come first (too few words, too many repeated words).
 Then lines are normalised (lower case, runs of white space to one blank, digits
 to 0), hashed, and counted per host over *distinct* documents: copies and near
-copies, which share their smallest line hash, count once, so a group of copies
-doesn't turn its own lines into boilerplate. Lines above the limit are removed,
-and documents that this leaves with too few words are rejected.
+copies count once, so a group of copies doesn't turn its own lines into
+boilerplate. Copies have the same set of line hashes. Lines that more documents
+than the limit have by this key are suspects; of their documents near copies
+(word shingles similar by ``NEAR_PERCENT`` or more, estimated from the
+``SKETCH`` smallest shingle hashes, exact for short texts) count once too: a
+line stays a suspect if more documents than the limit are found of which no two
+are near copies. No single shared line decides whether two documents are.
+Lines above the limit are removed, and documents that this leaves with too few
+words are rejected.
 
 All counts cover all documents. A line that a third of all rows have is
-pre-aggregated before it is shuffled and met again under salts.
+pre-aggregated before it is shuffled and met again under salts; its documents
+are compared in groups of about ``_GROUP``, which keep at most one more than the
+limit.
 
 Cases: a null or empty text has no words and fails the base rules; a null host
 is a host of its own; rows equal in id, host and text get the same result; null
@@ -32,7 +40,8 @@ from pricelens.llm.common import cut, row_key
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5  # fixed values: the base rules
 LINE_LIMIT, LEFT_PERCENT = 20, 30
-_SALTS = 16
+NEAR_PERCENT, SKETCH = 80, 64
+_SALTS, _GROUP = 16, 256
 _SYMBOLS = b"#*$%&|<>"  # fixed value
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
 _DIGITS = re.compile(rb"[0-9]+")
@@ -59,33 +68,72 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def text_measures(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and hash and
-    word count of every line that has a word."""
+def sketch(data: bytes) -> np.ndarray:
+    """The smallest distinct hashes of a text's normalised shingles of ``WINDOW`` words."""
+    words = _DIGITS.sub(b"0", data.lower()).split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    width = min(WINDOW, len(words))
+    mixed = np.zeros(len(words) - width + 1 if words else 0, dtype=np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ hashes[k:k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique((mixed >> np.uint64(33)).astype(np.int32))[:SKETCH]
+
+
+def near_copies(a: frozenset[int], b: frozenset[int]) -> bool:
+    """Are two texts near copies by their sketches?"""
+    both, either = a & b, sorted(a | b)[:SKETCH]
+    return bool(either) and 100 * sum(h <= either[-1] for h in both) >= NEAR_PERCENT * len(either)
+
+
+def apart(sketches: list[list[int]], most: int) -> list[list[int]]:
+    """Sketches of which no two are near copies; no more than ``most`` + 1."""
+    found: list[frozenset[int]] = []
+    for s in sorted({tuple(s) for s in sketches}):
+        of = frozenset(s)
+        if not any(near_copies(of, other) for other in found):
+            found.append(of)
+            if len(found) > most:
+                break
+    return [sorted(s) for s in found]
+
+
+def text_measures(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int], np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hash and
+    word count of every line that has a word, and the sketch."""
     data = text.encode() if text else b""
     words = data.split()
     chars = len(data.translate(None, bytes(range(0x80, 0xC0)))) - len(data.translate(None, bytes(set(range(256)) - {9, 10, 11, 12, 13, 32})))
     symbols = len(data.translate(None, _NOT_SYMBOLS))
     lines = [(line, len(w)) for line in data.split(b"\n") if (w := line.split())]
     return (len(words), chars, symbols, len(lines) - len({line for line, _ in lines}), repeated_words(words),
-            [line_hash(line) for line, _ in lines], [n for _, n in lines])
+            [line_hash(line) for line, _ in lines], [n for _, n in lines], sketch(data))
 
 
 _MEASURES = ("struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long,"
-             " hashes: array<long>, counts: array<int>>")
+             " hashes: array<long>, counts: array<int>, sketch: array<int>>")
 
 
 def measures(text: Column) -> Column:
     @arrow_udf(_MEASURES)
     def of(texts: pa.Array) -> pa.Array:
-        cols = list(zip(*(text_measures(t.as_py()) for t in texts), strict=True)) or [[]] * 7
-        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+        cols = list(zip(*(text_measures(t.as_py()) for t in texts), strict=True)) or [[]] * 8
+        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                          names=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "hashes", "counts"])
+                                          names=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "hashes", "counts",
+                                                 "sketch"])
 
     return of(text)
 
 
+def _apart(sketches: Column, most: int) -> Column:
+    @arrow_udf("array<array<int>>")
+    def of(groups: pa.Array) -> pa.Array:
+        return pa.array([apart(g.as_py(), most) for g in groups], pa.list_(pa.list_(pa.int32())))
+
+    return of(sketches)
+
+
 def without_lines(text: Column, hashes: Column) -> Column:
     """The text without its lines of the given hashes."""
     @arrow_udf("string")
@@ -101,33 +149,59 @@ def without_lines(text: Column, hashes: Column) -> Column:
     return of(text, hashes)
 
 
+def _having(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of the chosen (host, line), with their further columns; a line's rows meet it under salts."""
+    salted = (chosen.withColumnsRenamed({"host": "h", "line": "l"})
+              .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
+    on = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s"))
+    return lines.join(salted, on).drop("h", "l", "s")
+
+
+def _often(base: DataFrame, suspected: DataFrame, line_limit: int) -> DataFrame:
+    """The (host, line) for which more than ``line_limit`` documents are found that aren't near copies of each other."""
+    pairs = suspected.select("host", "line", "document", "n_docs").distinct()
+    key = F.xxhash64(F.array_sort(F.array_distinct("hashes")))
+    sketches = (base.filter(F.size("hashes") > 0).select(key.alias("document"), "sketch")
+                .join(suspected.select("document").distinct(), "document", "left_semi").groupBy("document").agg(F.min("sketch").alias("sketch")))
+    group = F.pmod(F.xxhash64("document", F.lit("group")), F.ceil(F.col("n_docs") / _GROUP))
+    some = cut(pairs.join(sketches, "document").groupBy("host", "line", group.alias("group")).agg(F.collect_list("sketch").alias("sketches"))
+               .select("host", "line", _apart(F.col("sketches"), line_limit).alias("found")))
+    # a group that has enough decides alone; the others are compared across groups
+    every = some.groupBy("host", "line").agg(
+        F.max(F.size("found")).alias("most"), F.flatten(F.collect_list(F.when(F.size("found") <= line_limit, F.col("found")))).alias("found"))
+    enough = every.filter(F.col("most") > line_limit)
+    more = every.filter((F.col("most") <= line_limit) & (F.size("found") > line_limit)).filter(F.size(_apart(F.col("found"), line_limit)) > line_limit)
+    return enough.select("host", "line").unionByName(more.select("host", "line"))
+
+
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",  # noqa: A002
           line_limit: int = LINE_LIMIT, left_percent: int = LEFT_PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, the measures, base_failed, words_removed,
     removed_hashes, kept, and ``row_key`` of (id, host, text).
 
     A line is removed if more than ``line_limit`` distinct documents of its
-    host have it. A document is depleted if less than ``min_words`` words, or
+    host have it, copies and near copies counted once. A document is depleted if less than ``min_words`` words, or
     less than ``left_percent`` % of them, are left.
     """
     key = row_key(F.col(id), F.col(host), F.col(text))
     base = cut(docs.select(F.col(id).alias("id"), F.col(host).alias("host"), key.alias("row_key"), measures(F.col(text)).alias("m"))
                .select("id", "host", "row_key", "m.*"))
     lines = (base.filter(F.size("hashes") > 0)
-             .select("host", "row_key", F.array_min("hashes").alias("document"), F.explode(F.arrays_zip("hashes", "counts")).alias("l"))
-             .select("host", "row_key", "document", F.col("l.hashes").alias("line"), F.col("l.counts").alias("words")))
-    often = (lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
-             .groupBy("host", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > line_limit))
-    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    hit = (lines.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(_SALTS)).cast("int"))
-           .join(salted.withColumnsRenamed({"host": "h", "line": "l", "salt": "s"}),
-                 F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s")), "left_semi"))
+             .select("host", "row_key", F.xxhash64(F.array_sort(F.array_distinct("hashes"))).alias("document"),
+                     F.explode(F.arrays_zip("hashes", "counts")).alias("l"))
+             .select("host", "row_key", "document", F.col("l.hashes").alias("line"), F.col("l.counts").alias("words"),
+                     F.pmod(F.xxhash64("row_key"), F.lit(_SALTS)).cast("int").alias("salt")))
+    suspects = (lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
+                .groupBy("host", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > line_limit))
+    suspected = cut(_having(lines, suspects).select("host", "row_key", "document", "line", "words", "salt", "n_docs"))
+    often = _often(base, suspected, line_limit)
+    hit = _having(suspected.drop("n_docs"), often)
     # equal rows bring the same lines again: distinct lines, with the words of one row's occurrences of each
     per_line = hit.groupBy("row_key", "line").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
     rows = base.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
     gone = (per_line.groupBy("row_key").agg(F.sum("words").alias("words"), F.collect_set("line").alias("removed_hashes"))
             .join(rows, "row_key").select("row_key", (F.col("words") / F.col("copies")).cast("long").alias("gone"), "removed_hashes"))
-    out = (base.drop("hashes", "counts").join(gone, "row_key", "left")
+    out = (base.drop("hashes", "counts", "sketch").join(gone, "row_key", "left")
            .withColumn("words_removed", F.coalesce("gone", F.lit(0).cast("long"))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("words_removed")

@@ -157,6 +157,36 @@ def test_quality_line_frequency(spark):
     assert line not in kept[0].lower() and kept[300] == same and 100 not in kept
 
 
+def test_quality_counts_documents_not_their_smallest_line(spark):
+    rng = random.Random(9)
+    own = lambda n, m=12: "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(m)) for _ in range(n))
+    template = own(12).split("\n")  # of many lines: one of them is nearly always a document's smallest hash
+    low = min((f"read more of page {w}" for w in own(1, 400).split()), key=lambda x: quality.line_hash(x.encode()))
+    rows = [(i, "\n".join([*template, own(4)]), "en", "t", 0) for i in range(30)]
+    rows += [(100 + i, f"{low}\n{own(3)}", "en", "l", 0) for i in range(30)]
+    base = own(20).split("\n")
+    for i in range(60):  # near copies: one word each is another
+        text = base[:]
+        text[i % 20] = text[i % 20].replace(text[i % 20].split()[i % 12], own(1, 1))
+        rows.append((200 + i, "\n".join(text), "en", "n", 0))
+    rows += [(300 + i, f"{low}\n{own(3)}", "en", "few", 0) for i in range(20)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(set(got[i].removed_hashes) == {quality.line_hash(x.encode()) for x in template} for i in range(30))
+    assert all(got[100 + i].removed_hashes == [quality.line_hash(low.encode())] for i in range(30))
+    assert all(got[200 + i].kept and not got[200 + i].words_removed for i in range(60))
+    assert all(not got[300 + i].words_removed for i in range(20))
+
+
+def test_quality_groups_of_documents_are_compared_with_each_other(spark, monkeypatch):
+    rng = random.Random(10)
+    own = lambda n: "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(12)) for _ in range(n))
+    monkeypatch.setattr(quality, "_GROUP", 8)  # no group alone has more than the limit
+    near, rows = own(12).split("\n"), [(i, f"one line of everyone\n{own(3)}", "en", "h", 0) for i in range(40)]
+    rows += [(100 + i, "\n".join([*near[:i % 12], near[i % 12] + f" x{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" * 2, *near[i % 12 + 1:]]), "en", "n", 0) for i in range(60)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(got[i].words_removed == 4 for i in range(40)) and not any(got[100 + i].words_removed for i in range(60))
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
