@@ -54,6 +54,7 @@ def regression_metrics(pred: DataFrame, label: str = LABEL, pred_col: str = PRED
         F.avg((rel <= 0.2).cast("double")).alias("within_20pct"))
     r2 = (F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, lit_d(1.0)).otherwise(lit_d(0.0)))
           .otherwise(1 - F.col("_sse") / F.col("_sst")))
+    r2 = F.when(F.col("_sse").isNotNull(), r2)  # a group without predictions has none
     return g.select(*keys, "n", F.sqrt("_mse").alias("rmse"), "mae", r2.alias("r2"), "mape",
                     "within_10pct", "within_20pct")
 

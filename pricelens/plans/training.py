@@ -132,9 +132,11 @@ def search(df: DataFrame, features=FEATURES, label: str = LABEL, n_iter: int = 1
 def predict(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame, log_label: bool = True,
             out: str = "prediction") -> DataFrame:
     """Score each row with its category's model, inverse log transform.
-    Rows of categories without a model are not scored (left out)."""
+    Rows of categories without a model have a null prediction and say so in
+    ``no_prediction_reason``, which is null for the others."""
+    reason = F.lit(None).cast("string")
     if isinstance(models, PipelineModel):
-        scored = models.transform(df)
+        scored = models.transform(df).withColumn("no_prediction_reason", reason)
     else:
         parts = [m.transform(df.where(F.col("category") == c)) for c, m in models.items()]
         if not parts:
@@ -142,6 +144,10 @@ def predict(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame, log
         scored = parts[0]
         for p in parts[1:]:
             scored = scored.unionByName(p)
+        modelled = F.coalesce(F.col("category").isin(list(models)), F.lit(False))
+        scored = (scored.withColumn("no_prediction_reason", reason)
+                  .unionByName(df.where(~modelled).withColumn("no_prediction_reason", F.lit("no model for category")),
+                               allowMissingColumns=True))
     raw = F.col("_raw_pred")
     return scored.withColumn(out, F.expm1(raw) if log_label else raw).drop("_vec", "features", "_raw_pred",
                                                                            "_cat_idx", "_label")
@@ -220,7 +226,7 @@ def score_requests(req: DataFrame, models: dict[str, PipelineModel], settings: D
     scoring = assemble_scoring(req.withColumnRenamed("brand_strength", "_brand_level")
                                if "brand_strength" in cols else req)
     scored = predict(models, align_features(scoring, features), out="raw_predicted_price")
-    x = scored.drop(*[f for f in features if f not in cols])
+    x = scored.drop("no_prediction_reason", *[f for f in features if f not in cols])
     if "brand_strength" in cols:
         x = x.drop("brand_strength").withColumnRenamed("_brand_level", "brand_strength")
     x = calibrate(x, settings, "raw_predicted_price", "predicted_market_price")
@@ -265,5 +271,6 @@ def champion_challenger(test: DataFrame, champion, challenger, label: str = LABE
     cols = ["rmse", "mape", "r2", "within_10pct"]
     w = m.groupBy(by).agg(*[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{v}_{c}")
                             for v in ("champion", "challenger") for c in cols])
-    better = F.col("challenger_rmse") < F.col("champion_rmse") * (1 - margin)
+    better = ((F.col("challenger_rmse") < F.col("champion_rmse") * (1 - margin))
+              | (F.col("champion_rmse").isNull() & F.col("challenger_rmse").isNotNull()))  # no champion for the group
     return w.withColumn("decision", F.when(better, "promote challenger").otherwise("keep champion"))

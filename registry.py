@@ -1118,9 +1118,11 @@ def MODELS(spark, d):
 
 @register("f04_train_predict")
 def f04_train_predict(spark, d):
-    """Per-category GBT models on log price; every product scored by its category's model."""
+    """Per-category GBT models on log price; every product scored by its category's model,
+    or listed with the reason why it has no prediction."""
     s, models = MODELS(spark, d)
-    return TR.predict(models, s).select("product_id", "category", "split", "discounted_price", "prediction")
+    return TR.predict(models, s).select("product_id", "category", "split", "discounted_price", "prediction",
+                                        "no_prediction_reason")
 
 
 @register("f08_model_metrics")
@@ -1149,24 +1151,25 @@ def f05_search(spark, d):
 
 @register("f17_model_store")
 def f17_model_store(spark, d):
-    """models saved per category, loaded back, and used to score the test rows."""
+    """models saved per category, loaded back, and used to score every row."""
     s, models = MODELS(spark, d)
     path = scratch(spark, "models")
     TR.save_models(models, path)
     loaded = TR.load_models(path, sorted(models))
-    return TR.predict(loaded, s.where("split = 'test'")).select("product_id", "category", "prediction")
+    return TR.predict(loaded, s).select("product_id", "category", "split", "prediction", "no_prediction_reason")
 
 
 @register("g18_price_batch")
 def g18_price_batch(spark, d):
     """G1-G6 + G18: batch pricing requests (category, name, cost) scored by the category
-    models, calibrated, banded and run through the rules."""
+    models, calibrated, banded and run through the rules, for the whole catalogue;
+    rejected requests follow with their reason."""
     s, models = MODELS(spark, d)
-    req = (s.where("split = 'test'").select("category", "product_name", "manufacturing_cost",
-                                            "rating", "rating_count", "discount_percentage"))
-    priced, _ = TR.price_batch(req, models, settings_table(spark),
+    req = s.select("category", "product_name", "manufacturing_cost", "rating", "rating_count", "discount_percentage")
+    priced, rejects = TR.price_batch(req, models, settings_table(spark),
                                stats=D.price_stats(s.where("split = 'train'")).select("category", "q1", "q3"))
-    return priced
+    shared = [c for c in rejects.columns if c in priced.columns]
+    return priced.unionByName(rejects.select(*shared, "reject_reason"), allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- X1-X5 competitor prices (batch form)
