@@ -6,8 +6,8 @@ use (common function words aside). From these places:
 
 * the document frequency of every template word over *all* files gives its IDF;
 * each template is indexed by its rarest words, with their positions in it;
-* each file looks up its own licence words of the highest IDF; every hit votes
-  for (template, file position - template position);
+* each file looks up all its licence words; every hit votes for (template, file
+  position - template position);
 * a vote with enough of the template's rare weight is a candidate, and counts
   if the template's mandatory phrase stands at that relative position.
 
@@ -64,7 +64,7 @@ TEMPLATES = {
 #: Function words that the index leaves out.
 _COMMON = {"a", "and", "any", "are", "as", "by", "for", "in", "into", "is", "of", "or", "that", "the", "this", "to", "with"}
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE_PER_TEMPLATE, LOOKED_UP, LEAST = 8, 16, 0.6
+RARE_PER_TEMPLATE, LEAST = 8, 0.6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,9 +126,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     totals = index.groupBy("template").agg(F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n_rare"))
     posting = cut(index.join(totals, "template"))
 
-    nth = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("idf"), "word"))
-    looked_up = found.join(F.broadcast(idf), "word").withColumn("nth", nth).filter(F.col("nth") <= LOOKED_UP)
-    votes = (looked_up.select("key", "word", "at").join(F.broadcast(posting), "word")
+    votes = (found.join(F.broadcast(posting), "word")
              .groupBy("key", "template", (F.col("at") - F.col("place")).alias("offset"))
              .agg(F.sum("idf").alias("weight"), F.first("total").alias("total")))
     candidates = (votes.withColumn("share", F.least(F.col("weight") / F.col("total"), F.lit(1.0))).filter(F.col("share") >= LEAST))

@@ -328,6 +328,16 @@ def licence_base(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def test_licences_of_a_file_with_many_notices(spark):
+    names = ("mit", "bsd", "isc")
+    whole = "\n".join(license_scan.TEMPLATES[n][0] for n in names)
+    every = "\n".join(text for text, _ in license_scan.TEMPLATES.values())
+    rows = [(0, whole, "en", "s", 0), (1, every, "en", "s", 0)] + [(10 + i, license_scan.TEMPLATES[n][0], "en", "s", 0) for i, n in enumerate(names)]
+    got = {g.doc_id: g for g in license_scan.scan(frame(spark, rows)).collect()}
+    assert set(names) <= set(got[0].labels.split(",")) and set(license_scan.TEMPLATES) <= set(got[1].labels.split(","))
+    assert got[0].score == 1 and all(names[i] in got[10 + i].labels.split(",") for i in range(3))
+
+
 def test_licences(spark):
     rows, _ = sample(spark)
     filler = "lorem ipsum dolor sit amet consectetur"
