@@ -21,10 +21,14 @@ threshold. A pair then counts only if the document really holds the item: of
 the question (all but the last sentence) and of the answer (the last sentence)
 at least ``OVERLAP`` of the word shingles must stand in the passage.
 
-The index goes to the workers in parts of at most ``PART_ITEMS`` items of at
-most ``ITEM_WORDS`` words (a longer item is indexed as several), so what is
-sent has a fixed bound however many items there are; every part meets all
-documents.
+An item of more than ``ITEM_WORDS`` words is found by pieces of equal length.
+A piece only opens the item: its passage grows by the item's words before and
+after the piece, and the score and both overlaps are those of the whole item
+there.
+
+The index goes to the workers in parts of about ``PART_ITEMS`` pieces (a part
+ends with a whole item), so what is sent has a bound however many items there
+are; every part meets all documents.
 
 Cases: null or empty items and texts match nothing; items that are equal are
 all reported; items of fewer words than a shingle are compared as a whole; rows
@@ -72,19 +76,30 @@ def shingles(words: list[str], width: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[k:] for k in range(width)), strict=False)) if words else set()
 
 
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """Borders of an item's pieces: at most ``ITEM_WORDS`` words each, of lengths that differ by one at most."""
+    k = -(-n // ITEM_WORDS)
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 class Index:
-    """Inverted index of test items: (item number, item_id, question, answer) each."""
+    """Inverted index of test items: (item_id, question, answer) each."""
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]], n_items: int, document_frequency: dict[str, int],
                  mean_length: float, threshold: float = THRESHOLD, block: int = BLOCK):
         self.items, self.threshold, self.block = items, threshold, block
+        #: of every piece: its item's number, first word and end, the words' shares of its weight, and its weight
+        self.pieces = [(m, a, b) for m, (_, question, answer) in enumerate(items) for a, b in pieces_of(len(question) + len(answer))]
         self.share: list[dict[str, float]] = []
+        self.weight: list[float] = []
+        self.of_item: dict[int, list[int]] = defaultdict(list)
         self.essential: dict[str, list[int]] = defaultdict(list)
         self.block_max: dict[str, dict[int, float]] = defaultdict(dict)
         self.set_of_words: set[str] = set()
-        for n, (_, question, answer) in enumerate(items):
-            tf = Counter(question + answer)
-            length = len(question) + len(answer)
+        for n, (m, a, b) in enumerate(self.pieces):
+            tf = Counter((items[m][1] + items[m][2])[a:b])
+            length = b - a
+            self.of_item[m].append(n)
             weight = {}
             for w, f in tf.items():
                 idf = math.log(1 + (n_items - document_frequency[w] + 0.5) / (document_frequency[w] + 0.5))
@@ -92,6 +107,7 @@ class Index:
             total = sum(weight.values())
             share = {w: v / total for w, v in weight.items()} if total > 0 else {}
             self.share.append(share)
+            self.weight.append(total)
             spare = 0.0
             for w, v in sorted(share.items(), key=lambda x: (x[1], x[0])):
                 spare += v
@@ -102,7 +118,7 @@ class Index:
         self.set_of_words = set(self.block_max)
 
     def search(self, passage: set[str], opened: list[int]) -> list[tuple[int, float]]:
-        """All items at or above the threshold for a passage's words; ``opened``: items with an essential word there."""
+        """All pieces at or above the threshold for a passage's words; ``opened``: pieces with an essential word there."""
         bound = dict.fromkeys((n // self.block for n in opened), 0.0)
         for w in passage & self.set_of_words:
             of_word = self.block_max[w]
@@ -116,10 +132,16 @@ class Index:
                     out.append((n, score))
         return out
 
-    def verify(self, n: int, passage: list[str]) -> tuple[float, float]:
+    def whole_score(self, m: int, passage: set[str]) -> float:
+        """An item's score for a passage's words, over all its pieces."""
+        total = sum(self.weight[n] for n in self.of_item[m])
+        got = sum(self.weight[n] * sum(v for w, v in self.share[n].items() if w in passage) for n in self.of_item[m])
+        return got / total if total > 0 else 0.0
+
+    def verify(self, m: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's and of the answer's shingles that stand in the passage."""
         got = []
-        for part in self.items[n][1:]:
+        for part in self.items[m][1:]:
             want = shingles(part, SHINGLE)
             have = shingles(passage, min(SHINGLE, len(part))) if part else set()
             got.append(len(want & have) / len(want) if want else 1.0)
@@ -144,34 +166,42 @@ class Index:
                 opened.update(essential[words[hits[k]]])
                 k += 1
             for n, score in self.search(set(passage), sorted(opened)):
-                question, answer = self.verify(n, passage)
-                if question >= OVERLAP and answer >= OVERLAP and score > best.get(n, (0, -1.0))[1]:
-                    best[n] = (start, score, question, answer)
+                m, first, end = self.pieces[n]
+                begin, around = start, passage
+                if len(self.of_item[m]) > 1:  # the passage of the whole item
+                    length = len(self.items[m][1]) + len(self.items[m][2])
+                    begin = max(start - first, 0)
+                    around = words[begin:start + PASSAGE + length - end]
+                    score = self.whole_score(m, set(around))
+                    if score < self.threshold - 1e-9:
+                        continue
+                if score > best.get(m, (0, -1.0))[1]:
+                    question, answer = self.verify(m, around)
+                    if question >= OVERLAP and answer >= OVERLAP:
+                        best[m] = (begin, score, question, answer)
         out: dict[int, tuple[int, float, float, float]] = {}
-        for n, got in best.items():
-            item = self.items[n][0]
+        for m, got in best.items():
+            item = self.items[m][0]
             if item not in out or got[1] > out[item][1]:
                 out[item] = got
         return [(item, *got) for item, got in sorted(out.items(), key=lambda x: (x[0] is None, x[0]))]
 
 
-_PIECES = "array<struct<question: array<string>, answer: array<string>>>"
+_PIECES = "array<struct<nth: int, words: array<string>, question: array<string>, answer: array<string>>>"
 
 
 def _pieces(text: Column) -> Column:
-    """An item's question and answer; of a long item, its parts as questions without an answer."""
+    """The words of an item's pieces; the first piece has the whole item's question and answer."""
     @arrow_udf(_PIECES)
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             question, answer = question_and_answer(t.as_py() or "")
             whole = question + answer
-            if len(whole) > ITEM_WORDS:
-                out.append([{"question": whole[i:i + ITEM_WORDS], "answer": []} for i in range(0, len(whole), ITEM_WORDS)])
-            else:
-                out.append([{"question": question, "answer": answer}] if whole else [])
+            out.append([{"nth": k, "words": whole[a:b], "question": question if k == 0 else [], "answer": answer if k == 0 else []}
+                        for k, (a, b) in enumerate(pieces_of(len(whole)))])
         words = pa.list_(pa.string())
-        return pa.array(out, pa.list_(pa.struct([("question", words), ("answer", words)])))
+        return pa.array(out, pa.list_(pa.struct([("nth", pa.int32()), ("words", words), ("question", words), ("answer", words)])))
 
     return of(text)
 
@@ -209,24 +239,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", te
     and ``__key`` (of id and text), item_id, and the best passage's first word,
     score and overlaps."""
     spark = docs.sparkSession
-    pieces, n = numbered(benchmark.select(F.col(item).cast("long").alias("item"), F.explode(_pieces(F.col(item_text))).alias("p"))
-                         .select("item", "p.question", "p.answer"), ["item", "question", "answer"], "number")
-    words = F.concat("question", "answer")
-    frequency = pieces.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    mean = pieces.agg(F.avg(F.size(words))).first()[0]
+    pieces, n = numbered(benchmark.select(F.col(item).cast("long").alias("item"), F.monotonically_increasing_id().alias("row"),
+                                          F.explode(_pieces(F.col(item_text))).alias("p"))
+                         .select("item", "row", "p.*"), ["item", "row", "nth"], "number")
+    pieces = pieces.withColumn("first", F.col("number") - F.col("nth"))  # an item's pieces have numbers in a row
+    frequency = pieces.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    mean = pieces.agg(F.avg(F.size("words"))).first()[0]
     read = docs.select(F.col(id).alias("id"), row_key(F.col(id), F.col(text)).alias("__key"), F.col(text).alias("text"))
     found = None
     for low in range(0, max(n, 1), PART_ITEMS):
-        part = pieces.filter((F.col("number") >= low) & (F.col("number") < low + PART_ITEMS))
-        items = [(r["item"], r["question"], r["answer"]) for r in part.orderBy("number").collect()]
-        used = part.select(F.explode(words).alias("word")).distinct()
+        part = pieces.filter((F.col("first") >= low) & (F.col("first") < low + PART_ITEMS))
+        items = [(r["item"], r["question"], r["answer"]) for r in part.filter("nth = 0").orderBy("number").select("item", "question", "answer").collect()]
+        used = part.select(F.explode("words").alias("word")).distinct()
         sent = spark.sparkContext.broadcast((items, n, {r["word"]: r["df"] for r in frequency.join(used, "word").collect()}, mean or 1.0))
         one = read.select("id", "__key", F.explode(_searched(F.col("text"), sent)).alias("m")).select("id", "__key", "m.*")
         if n > PART_ITEMS:  # one part at a time in the driver and the workers
             one = cut(one)
             sent.unpersist()
         found = one if found is None else found.unionByName(one)
-    if n > PART_ITEMS:  # the pieces of a long item may lie in two parts
+    if n > PART_ITEMS:  # items of one id may lie in two parts
         best = F.max_by(F.struct("passage_start", "score", "question_overlap", "answer_overlap"), "score").alias("b")
         found = found.groupBy("id", "__key", "item_id").agg(best).select("id", "__key", "item_id", "b.*")
     return found.withColumnRenamed("id", id)

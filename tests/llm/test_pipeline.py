@@ -58,6 +58,22 @@ def test_parts_give_the_same(spark, monkeypatch):
     assert Counter((g.doc_id, g.item_id) for g in got) == held_by_force(rows, items)
 
 
+def test_long_items_are_verified_whole(spark):
+    rng = random.Random(31)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    items = [(0, f"{fresh(95)}. {fresh(5)} the"), (1, f"{fresh(290)}. {fresh(10)}"), (2, f"{fresh(900)}. {fresh(120)}.")]
+    whole = [t.split() for _, t in items]
+    rows = [(k, f"{fresh(170 * k)} {t} {fresh(60)}", "en", "s", 0) for k, t in items]
+    rows += [(10, f"{fresh(30)} the {fresh(30)}", "en", "s", 0), (11, f"{fresh(9)} {' '.join(whole[1][:100])} {fresh(300)}", "en", "s", 0),
+             (12, " ".join(whole[1][:290]), "en", "s", 0), (13, " ".join(whole[2][-70:]), "en", "s", 0), (14, " ".join(whole[0][-50:]), "en", "s", 0)]
+    got = dec.contaminations(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((g.doc_id, g.item_id) for g in got) == [(0, 0), (1, 1), (2, 2)]
+    assert all(g.score > 0.999 and g.question_overlap == 1 and g.answer_overlap == 1 for g in got)
+    again = [(0, items[0][1]), (0, items[0][1]), (1, items[1][1]), (1, items[2][1]), (None, items[2][1]), (None, items[1][1])]  # ids that aren't unique
+    got = dec.contaminations(frame(spark, rows), spark.createDataFrame(again, "item_id long, text string")).collect()
+    assert Counter((g.doc_id, g.item_id) for g in got) == Counter([(0, 0), (1, 1), (2, 1), (1, None), (2, None)])
+
+
 def test_wand_misses_nothing_above_the_threshold():
     rng = random.Random(5)
     items = [(k, words(rng, rng.randint(4, 30)), words(rng, 4)) for k in range(120)]
