@@ -257,9 +257,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", te
             one = cut(one)
             sent.unpersist()
         found = one if found is None else found.unionByName(one)
-    if n > PART_ITEMS:  # items of one id may lie in two parts
-        best = F.max_by(F.struct("passage_start", "score", "question_overlap", "answer_overlap"), "score").alias("b")
-        found = found.groupBy("id", "__key", "item_id").agg(best).select("id", "__key", "item_id", "b.*")
+    # rows equal in id and text bring the same matches again, and items of one id may lie in two parts
+    best = F.max_by(F.struct("passage_start", "score", "question_overlap", "answer_overlap"), F.struct("score", -F.col("passage_start"))).alias("b")
+    found = found.groupBy("id", "__key", "item_id").agg(best).select("id", "__key", "item_id", "b.*")
     return found.withColumnRenamed("id", id)
 
 

@@ -74,6 +74,15 @@ def test_long_items_are_verified_whole(spark):
     assert Counter((g.doc_id, g.item_id) for g in got) == Counter([(0, 0), (1, 1), (2, 1), (1, None), (2, None)])
 
 
+def test_equal_rows_give_their_matches_once_at_every_size(spark, monkeypatch):
+    rows, items = fixture()
+    held = [r for r in rows if r[0] == 3000]
+    for size in (20_000, 7):
+        monkeypatch.setattr(dec, "PART_ITEMS", size)
+        got = dec.contaminations(frame(spark, held * 3), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(g.doc_id, g.item_id) for g in got] == [(3000, 0)]
+
+
 def test_wand_misses_nothing_above_the_threshold():
     rng = random.Random(5)
     items = [(k, words(rng, rng.randint(4, 30)), words(rng, 4)) for k in range(120)]
