@@ -28,22 +28,31 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "secret")
 THRESHOLD = 0.6
 
+#: Lengths of the countries' IBANs. Others are taken as far as their run of capitals and digits goes.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBAN = ("(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
+         + ")(?![A-Za-z0-9])")
+
 #: The base patterns, written without backtracking.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_IBAN})\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?i:password|passwd|token|secret|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{12,128}+)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?i:password|passwd|token|secret|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{12,}+)",
 }
 #: A kind is looked for only in texts that hold this.
 _NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 #: Scores before context, and what a confirmed checksum adds.
 _START = {"iban": 0.2, "ssn": 0.4, "secret": 0.7}
 _CHECKED = 0.6
-#: Words within this many characters before a span that add to or take from its score.
+#: Words within this many characters of a span that add to or take from its score: those that add, before or after
+#: it in the text; those that take, only between the match before it and the span.
 _NEAR = 40
 _CONTEXT = {
     "iban": (r"(?i)\b(?:iban|account|konto|cuenta|compte|bank|transfer)\b", 0.2),
@@ -51,7 +60,7 @@ _CONTEXT = {
     "secret": (r"(?i)\b(?:example|placeholder|dummy|sample)\b", -0.3),
 }
 
-_SPAN = "array<struct<kind: string, start: int, end: int, match: string, before: string>>"
+_SPAN = "array<struct<kind: string, start: int, end: int, match: string, near: string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -87,14 +96,14 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 
 def _score(kind: str, span: Column) -> Column:
-    """A further kind's score: its start, its checksum's verdict, and the words before it."""
+    """A further kind's score: its start, its checksum's verdict, and the words near it."""
     checked = F.lit(0.0)
     if kind == "iban":
         plain = F.regexp_replace(span["match"], " ", "")
         passed = F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(F.lit(False))
         checked = F.when(passed, F.lit(_CHECKED)).otherwise(F.lit(-1.0))
     near, weight = _CONTEXT[kind]
-    return F.lit(_START[kind]) + checked + F.when(span["before"].rlike(near), F.lit(weight)).otherwise(F.lit(0.0))
+    return F.lit(_START[kind]) + checked + F.when(span["near"].rlike(near), F.lit(weight)).otherwise(F.lit(0.0))
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -107,8 +116,12 @@ def spans_of(kind: str, text: Column) -> Column:
     def place(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["match"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["match"].alias("match"),
-                        F.substr(pair["gap"], F.greatest(F.length(pair["gap"]) - _NEAR, F.lit(0)) + 1, F.lit(_NEAR)).alias("before"))
+        if kind in _CONTEXT and _CONTEXT[kind][1] > 0:
+            first = F.greatest(begin - _NEAR, F.lit(0))
+            near = F.concat(F.substr(text, first + 1, begin - first), F.lit("\n"), F.substr(text, end + 1, F.lit(_NEAR)))
+        else:
+            near = F.substr(pair["gap"], F.greatest(F.length(pair["gap"]) - _NEAR, F.lit(0)) + 1, F.lit(_NEAR))
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["match"].alias("match"), near.alias("near"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))

@@ -233,6 +233,16 @@ def test_private_checksums_context_and_masks(spark):
     assert out[6] == "mail [EMAIL], call [PHONE]!" and out[0] == "transfer to [IBAN] now" and out[7] is None and out[8] == ""
 
 
+def test_private_whole_secrets_runs_of_ibans_and_context_on_both_sides(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = {f"token={'a1' * 150} x": "[SECRET] x", f"{de} BIC COBADEFFXXX": "[IBAN] BIC COBADEFFXXX", f"{de} 2024 {gb}": "[IBAN] 2024 [IBAN]",
+             f"{de} {gb} {de}": "[IBAN] [IBAN] [IBAN]", f"AB12 {de} UND": "AB12 [IBAN] UND", f"{de.replace(' ', '')} BIC": "[IBAN] BIC",
+             f"{de[:-1]}1 BIC": f"{de[:-1]}1 BIC", "SSN: 123-45-6789, 987-65-4321": "SSN: [SSN], [SSN]", "123-45-6789 is my SSN": "[SSN] is my SSN",
+             "part 123-45-6789 and " + "x" * 40 + " ssn": "part 123-45-6789 and " + "x" * 40 + " ssn"}
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text for r in pii.masked(docs).collect()} == dict(enumerate(texts.values()))
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         p = sharding.feistel(np.arange(n), n, seed=5)
