@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.core import qcut_index, quantiles
-from conftest import SF_SMALL
+from sizes import SF_SMALL
 from pricelens.functions.rank import group_rank
 from pricelens.operators.split import hash_split
 

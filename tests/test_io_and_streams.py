@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sizes import SF_SMALL
 from pricelens.sources import io as A
 from pricelens.sources import views
 from pricelens.streaming import competitor as X
