@@ -36,15 +36,15 @@ from pyspark.sql.functions import arrow_udf
 from pricelens.llm.common import cut
 from pricelens.llm.prefix_tokens import byte_letters
 
-_CACHE = 250_000
+_CACHE = 600_000
 _LETTERS = regex.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+")  # letters that lower-case and normalise to one letter each
 
 
 class WordEncoder:
     """Ids of texts under a vocabulary whose pre-tokens never span a blank.
 
-    Words are encoded by the library once and remembered (at most ``_CACHE`` of
-    them); a text's ids are its words' ids in a row.
+    Words are encoded by the library once and remembered (two generations of at
+    most ``_CACHE``); a text's ids are its words' ids in a row.
     """
 
     def __init__(self, path: str):
@@ -56,7 +56,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()  # the model sees bytes as printable letters
         self.words: dict[str, bytes] = {"": b""}
-        self.last: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, words: set[str]) -> None:
         """Encode words: those of letters only by the library's model itself,
@@ -80,11 +80,14 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. The words of the texts are
         looked up once each; then a small table serves their every place."""
-        if len(self.words) > _CACHE:  # start again with the words of the last texts: the frequent ones are among them
-            self.words = {"": b"", **self.last}
+        if len(self.words) > _CACHE:  # the words of the last two generations are remembered
+            self.words, self.before = {"": b""}, self.words
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         near = dict(zip(words, map(self.words.get, words), strict=True))
+        again = {w: ids for w, got in near.items() if got is None and (ids := self.before.get(w)) is not None} if self.before else {}
+        self.words.update(again)
+        near.update(again)
         new = [w for w, ids in near.items() if ids is None]
         if new:
             # a word with one mark after its letters: the vocabulary's pattern parts them
@@ -94,7 +97,6 @@ class WordEncoder:
                 self._encode(alone)
             self.words.update({w: self.words[w[:-1]] + self.words[w[-1]] for w in marked})
             near.update({w: self.words[w] for w in new})
-        self.last = near
         get = near.__getitem__
         return [b"".join(map(get, s)) for s in split]
 

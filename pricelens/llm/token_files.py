@@ -29,8 +29,10 @@ gives folders without rows; other columns aren't read.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.llm.prefix_tokens import byte_letters
 from pricelens.session import ensure_checkpoint_dir
 
-#: Ids of a block, and chunks whose ids a worker remembers.
-BLOCK_IDS, _CACHE = 1 << 16, 400_000
+#: Ids of a block, and words of a generation that a worker remembers.
+BLOCK_IDS, _CACHE = 1 << 16, 1_200_000
 
 
 def bits(n_ids: int) -> int:
@@ -85,13 +88,20 @@ def unpack(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
     return out.ravel()[start - 8 * first:start - 8 * first + n]
 
 
+#: Characters whose kind (letter, digit, other) no version of Unicode moves, and the published splitting pattern on them.
+_SURE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ɏ]+")
+_MARKS = ".,;:!?"
+_PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ A-Za-z0-9À-ÖØ-öø-ɏ]+")
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     Byte-level vocabularies never join a blank's two sides, so a text of words
-    between single blanks and line breaks is its words' ids in a row. Words are
-    encoded by the library when first met - all new ones of a batch as lines of
-    one text - and remembered. All other texts go to the library whole.
+    between single blanks and line breaks is its words' ids in a row. The
+    pre-tokens of a new word go to the library's model, or, where the word has
+    other than ASCII and Latin characters, the word to the library; both are
+    remembered. All texts of another make go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -101,47 +111,78 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         line = self._ids(["\n"])[0]
         self.by_word = (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
-                        and before.get("use_regex", True) and len(line) == 1)
-        self.line = line[0] if len(line) == 1 else -1
+                        and before.get("use_regex", True) and spec["model"].get("type", "BPE") == "BPE" and len(line) == 1)
+        self.end_of_line = line.tobytes()
+        self.marks = {m: ids.tobytes() for m, ids in zip(_MARKS, self._ids(list(_MARKS)), strict=True)}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token from the model itself, which sees bytes as printable letters."""
+        seen = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else "".join([self.letters[c] for c in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _rest(self, text: str) -> bytes:
+        """Ids of a word that is not letters with at most one mark behind them."""
+        if text.isascii() or _SURE.fullmatch(text):
+            return b"".join([self._part(p) for p in _PRETOKENS.findall(text)])
+        return self._ids([text])[0].tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, before, marks, part = self.words, self.words_before, self.marks, self._part
+        for word in words:
+            ids = before.get(word)
+            if ids is None:
+                mark = marks.get(word[-1])
+                stem = word if mark is None else word[:-1]
+                if stem.isalpha() and (stem.isascii() or _SURE.fullmatch(stem)):
+                    ids = known.get(stem) or before.get(stem)
+                    if ids is None:
+                        ids = known[stem] = part(" " + stem)
+                    if mark is not None:
+                        ids += mark
+                elif word[0] == "\n":
+                    ids = self.end_of_line + self._rest(word[1:])
+                else:
+                    ids = self._rest(" " + word)
+            known[word] = ids
+
     def _plain(self, text: str) -> list[str] | None:
         """The text's words, each with its blank left out or its line break; None for texts of another make."""
-        lined = "\n" + text
-        pieces = lined.replace("\n", " \n").split(" ")[1:]
-        words = lined.split()
-        if len(words) != len(pieces) or sum(map(len, words)) != len(lined) - lined.count(" ") - lined.count("\n"):
+        flat = text.replace("\n", " ")
+        if "  " in flat or flat[0] == " " or flat[-1] == " ":
             return None
-        return None if "<" in text and any(s in text for s in self.special) else pieces
-
-    def _learn(self, words: list[str]) -> None:
-        lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
-        ids = self._ids(["\n" + lines])[0]
-        starts = np.flatnonzero(ids == self.line)
-        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-        for w, a, b in zip(words, (4 * starts).tolist(), ends, strict=True):
-            self.words[w] = raw[a:b] if w[0] == "\n" else raw[a + 4:b]
+        if not flat.isprintable():  # there may be other white space
+            words = flat.split()
+            if len(words) != flat.count(" ") + 1 or sum(map(len, words)) != len(flat) - flat.count(" "):
+                return None
+        if "<" in text and any(s in text for s in self.special):
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self._plain(t) if t and self.by_word else None for t in texts]
+        whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if t and s is None]))
         seen = set().union(*[s for s in split if s])
-        if len(self.words) + len(seen) > _CACHE:
-            self.words = {}
-        new = [w for w in seen if w not in self.words]
+        if len(self.words) >= _CACHE:  # the words of the last two generations are remembered
+            self.words, self.words_before = {}, self.words
+        near = dict(zip(seen, map(self.words.get, seen), strict=True))
+        new = [w for w, ids in near.items() if ids is None]
         if new:
             self._learn(new)
-        whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if t and s is None]))
-        get = self.words.__getitem__
+            near.update(zip(new, map(self.words.__getitem__, new), strict=True))
+        get = near.__getitem__
         return [b"".join(map(get, s))[4:] if s is not None else next(whole).tobytes() if t else b"" for t, s in zip(texts, split, strict=True)]
 
 
