@@ -50,6 +50,11 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
+def column(name: str) -> Column:
+    """A table's own column, whatever its name holds (a dot, say)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (case-insensitive)."""
     have = {c.lower() for c in df.columns}

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.llm.common import column, free_name
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "secret")
 THRESHOLD = 0.6
@@ -60,7 +62,34 @@ _CONTEXT = {
     "secret": (r"(?i)\b(?:example|placeholder|dummy|sample)\b", -0.3),
 }
 
-_SPAN = "array<struct<kind: string, start: int, end: int, match: string, near: string>>"
+#: Items of a run that is built up element by element; longer arrays are built of such runs.
+_RUN = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """array<kind> of ``emit(state, item)``, with the state before each item.
+
+    Appending to an array copies it, so runs of ``_RUN`` items are built apart
+    and put together once: the cost grows with the number of items, not its square.
+    """
+    def run(state: Column, some: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(some, begin, lambda acc, x: F.struct(step(acc["state"], x).alias("state"),
+                                                                F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out")))
+
+    def whole(of: Column) -> Column:
+        begin = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(of) / _RUN).cast("int") - 1, F.lit(0)))
+        each = lambda acc, c: _let(run(acc["state"], F.slice(of, c * _RUN + 1, F.lit(_RUN))),
+                                   lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.flatten(F.aggregate(runs, begin, each, lambda acc: acc["out"]))
+
+    return _let(items, whole)
 
 
 def _digits(s: Column) -> Column:
@@ -108,60 +137,79 @@ def _score(kind: str, span: Column) -> Column:
 
 def spans_of(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end>> of one kind's confirmed spans, in order."""
-    pattern = F.lit(_PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(_PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, _PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def place(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        if kind in _CONTEXT and _CONTEXT[kind][1] > 0:
-            first = F.greatest(begin - _NEAR, F.lit(0))
-            near = F.concat(F.substr(text, first + 1, begin - first), F.lit("\n"), F.substr(text, end + 1, F.lit(_NEAR)))
-        else:
-            near = F.substr(pair["gap"], F.greatest(F.length(pair["gap"]) - _NEAR, F.lit(0)) + 1, F.lit(_NEAR))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["match"].alias("match"), near.alias("near"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    placed = F.aggregate(pairs, start, place, lambda acc: acc["spans"])
-
-    def keep(span: Column) -> Column:
-        return _score(kind, span) >= THRESHOLD if kind in EXTRA_KINDS else _confirmed(kind, span["match"])
-
-    taken = F.transform(F.filter(placed, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))  # the last gap has no match
+    size = lambda pair: F.length(pair["gap"]) + F.coalesce(F.length(pair["match"]), F.lit(0))
+
+    def around(of: Column, i: Column) -> Column:
+        """What stands near the i-th match, from the pairs beside it: ``_NEAR`` characters on
+        both sides, or the end of the gap before it. A match of the kinds that look
+        to both sides has more than ten characters, so four pairs on a side are enough."""
+        gap = F.element_at(of, i + 1)["gap"]
+        if _CONTEXT[kind][1] < 0:
+            return F.right(gap, F.lit(_NEAR))
+        joined = lambda some: F.array_join(F.transform(some, lambda x: F.concat(x["gap"], F.coalesce(x["match"], F.lit("")))), "")
+        before = F.concat(joined(F.slice(of, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)))), gap)
+        after = joined(F.slice(of, i + 2, F.lit(5)))
+        return F.concat(F.right(before, F.lit(_NEAR)), F.lit("\n"), F.left(after, F.lit(_NEAR)))
+
+    def taken(of: Column) -> Column:
+        begins = scan(of, F.lit(0), lambda at, x: at + size(x), lambda at, x: at + F.length(x["gap"]), "int")
+
+        def span(x: Column, i: Column) -> Column:
+            near = around(of, i) if kind in _CONTEXT else F.lit("")
+            return F.struct(x["pair"]["match"].alias("match"), near.alias("near"), F.lit(kind).alias("kind"), x["begin"].alias("start"),
+                            (x["begin"] + F.length(x["pair"]["match"])).alias("end"))
+
+        both = F.zip_with(F.slice(of, F.lit(1), F.size(of) - 1), begins, lambda pair, begin: F.struct(pair.alias("pair"), begin.alias("begin")))
+        placed = F.transform(F.filter(both, lambda x: x["pair"].isNotNull()), span)
+        return F.transform(F.filter(placed, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def keep(s: Column) -> Column:
+        return _score(kind, s) >= THRESHOLD if kind in EXTRA_KINDS else _confirmed(kind, s["match"])
+
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
     there = text.rlike(_PATTERNS[kind])
     if kind in _NEEDS:
         there = F.contains(text, F.lit(_NEEDS[kind])) & there
-    return F.when(there, taken).otherwise(none)
+    return F.when(there, _let(pairs, taken)).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
     """``docs`` with a struct column that holds one array of spans per kind."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(column(text), F.lit(""))
     return docs.withColumn(into, F.struct(*[spans_of(k, whole).alias(k) for k in BASE_KINDS + EXTRA_KINDS]))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # with each span the end of all before it; those that begin below it belong to the one before
+    ends = scan(order, F.lit(0), lambda most, s: F.greatest(most, s["end"]),
+                lambda most, s: F.struct(most.alias("before"), s["start"].alias("start"), s["kind"].alias("kind")), "struct<before: int, start: int, kind: string>")
+
+    def whole(of: Column) -> Column:
+        # runs of spans take their part of the text out once, so that no step walks the whole text
+        def part(c: Column) -> Column:
+            some = F.slice(of, c * _RUN + 1, F.lit(_RUN))
+            return _let(some, lambda run: _let(F.struct(run[0]["before"].alias("at"), F.substr(
+                text, run[0]["before"] + 1, F.element_at(run, -1)["start"] - run[0]["before"]).alias("text")), lambda own: F.array_join(F.transform(
+                    run, lambda s: F.concat(F.substr(own["text"], s["before"] - own["at"] + 1, s["start"] - s["before"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), "")))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.size(of) / _RUN).cast("int") - 1), part), "")
 
-    return F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(_let(F.filter(ends, lambda s: s["start"] >= s["before"]), whole), F.substr(text, last + 1, F.length(text)))
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked; same columns."""
-    all_spans = F.concat(*[F.col(f"__spans.{k}") for k in BASE_KINDS + EXTRA_KINDS])
-    found = with_spans(docs, text, "__spans")
-    return found.withColumn(text, F.when(F.size(all_spans) > 0, mask(F.col(text), all_spans)).otherwise(F.col(text))).select(*docs.columns)
+    own = free_name(docs, "_spans")
+    all_spans = F.concat(*[F.col(f"{own}.{k}") for k in BASE_KINDS + EXTRA_KINDS])
+    found = with_spans(docs, text, own)
+    return (found.withColumn(text, F.when(F.size(all_spans) > 0, mask(column(text), all_spans)).otherwise(column(text)))
+            .select(*[column(c) for c in docs.columns]))
 
 
 def _listed(spans: Column) -> Column:
@@ -169,8 +217,9 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, checksum of the base spans, all spans."""
+    """doc_id, counts of the base kinds, checksum of the base spans, all spans, and how many spans of any kind."""
     found = with_spans(docs.select("doc_id", "text"))
     kinds = lambda names: F.concat(*[F.col(f"spans.{k}") for k in names])
     return found.select("doc_id", *[F.size(f"spans.{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS],
-                        F.sha2(_listed(kinds(BASE_KINDS)), 256).alias("base_sha256"), _listed(kinds(BASE_KINDS + EXTRA_KINDS)).alias("spans"))
+                        F.sha2(_listed(kinds(BASE_KINDS)), 256).alias("base_sha256"), _listed(kinds(BASE_KINDS + EXTRA_KINDS)).alias("spans"),
+                        F.size(kinds(BASE_KINDS + EXTRA_KINDS)).cast("long").alias("n_private"))
