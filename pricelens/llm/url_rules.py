@@ -12,7 +12,8 @@ nested in; at a url, the rules of the stack whose interval is still open and
 whose path fits are active, and the longest wins (block before allow on a
 tie). The stack that is open where a range begins is looked up once for each
 range. A host that a third of all rows have is spread over many ranges, since
-the range key ends with a hash of the row.
+the range key ends with a hash of the whole row (map columns aside), so the
+pages of one much linked url are spread as well.
 
 Cases: a null url or one without ``://`` has an empty host and path and no
 rule; rules with null fields are left out; equal rules count once; an empty
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import cut, literal_rows
+from pricelens.llm.common import column, cut, literal_rows
 
 #: The rules of the url contract (action, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -76,10 +77,11 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     since the sweep and the look-up must see the same ranges.
     """
     keep = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")
-    hosts = urls.select(row, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    kinds = dict(urls.dtypes)
+    row = F.struct(*[column(c) for c in keep]).alias("__row")
+    hosts = urls.select(row, host_of(column(url)).alias("host"), path_of(column(url)).alias("path"))
     events = hosts.select("__row", "host", "path", host_key(F.col("host")).alias("key"),
-                          F.xxhash64("host", "path", f"__row.`{url}`").alias("spread"))
+                          F.xxhash64("host", "path", *[F.col("__row").getField(c) for c in keep if "map<" not in kinds[c]]).alias("spread"))
     starts = _stacks(rules)
     opened = starts.select(F.col("start").alias("key"), "stack")
     both = events.unionByName(opened.withColumn("spread", F.lit(-(1 << 63)).cast("long")), allowMissingColumns=True)
@@ -96,7 +98,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
         (F.length(r["host"]) + F.length(r["path"])).alias("size"), (r["action"] == "block").alias("block"),
         F.concat(r["host"], r["path"]).alias("rule"), r["action"].alias("action"))))
     swept = swept.withColumn("best", best)
-    return swept.select(*[F.col(f"__row.`{c}`") for c in keep], "host", "path", F.col("best.rule").alias("rule"),
+    return swept.select(*[F.col("__row").getField(c).alias(c) for c in keep], "host", "path", F.col("best.rule").alias("rule"),
                         F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
