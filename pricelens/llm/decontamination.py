@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from pricelens.llm.common import cut, row_key
+from pricelens.llm.common import column, cut, free_name, row_key
 from pricelens.llm.sharding import numbered
 
 K1, B = 1.2, 0.75  # fixed values: the usual BM25 parameters
@@ -245,17 +245,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", te
     pieces = pieces.withColumn("first", F.col("number") - F.col("nth"))  # an item's pieces have numbers in a row
     frequency = pieces.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     mean = pieces.agg(F.avg(F.size("words"))).first()[0]
-    read = docs.select(F.col(id).alias("id"), row_key(F.col(id), F.col(text)).alias("__key"), F.col(text).alias("text"))
+    read = docs.select(column(id).alias("id"), row_key(column(id), column(text)).alias("__key"), column(text).alias("text"))
     found = None
     for low in range(0, max(n, 1), PART_ITEMS):
         part = pieces.filter((F.col("first") >= low) & (F.col("first") < low + PART_ITEMS))
         items = [(r["item"], r["question"], r["answer"]) for r in part.filter("nth = 0").orderBy("number").select("item", "question", "answer").collect()]
         used = part.select(F.explode("words").alias("word")).distinct()
         sent = spark.sparkContext.broadcast((items, n, {r["word"]: r["df"] for r in frequency.join(used, "word").collect()}, mean or 1.0))
-        one = read.select("id", "__key", F.explode(_searched(F.col("text"), sent)).alias("m")).select("id", "__key", "m.*")
-        if n > PART_ITEMS:  # one part at a time in the driver and the workers
-            one = cut(one)
-            sent.unpersist()
+        # one part at a time in the driver and the workers
+        one = cut(read.select("id", "__key", F.explode(_searched(F.col("text"), sent)).alias("m")).select("id", "__key", "m.*"))
+        sent.unpersist()
         found = one if found is None else found.unionByName(one)
     # rows equal in id and text bring the same matches again, and items of one id may lie in two parts
     best = F.max_by(F.struct("passage_start", "score", "question_overlap", "answer_overlap"), F.struct("score", -F.col("passage_start"))).alias("b")
@@ -266,4 +265,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", te
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:  # noqa: A002
     """The documents that hold no test item; same columns."""
     held = contaminations(docs, benchmark, id, text, **names).select("__key").distinct()
-    return (docs.withColumn("__key", row_key(F.col(id), F.col(text))).join(held, "__key", "left_anti").select(*docs.columns))
+    own = free_name(docs, "_key")
+    keyed = docs.withColumn(own, row_key(column(id), column(text)))
+    return keyed.join(held.withColumnRenamed("__key", own), own, "left_anti").select(*[column(c) for c in docs.columns])

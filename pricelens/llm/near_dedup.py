@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from pricelens.llm.common import cut
+from pricelens.llm.common import column, cut, free_name
 
 BASE, TOP = 1.001, 65_535  # registers: base of the spacing, largest value
 BANDS, ROWS = 40, 5
@@ -247,7 +247,7 @@ class _Verifier:
         likely = cut(self._likely(fits))
         needed = (likely.select(F.col("a").alias("set_key"), F.col("t_a").alias("h"))
                   .unionByName(likely.select(F.col("b").alias("set_key"), F.col("t_b").alias("h"))).distinct())
-        texts = (self.docs.select(F.xxhash64(self.text).alias("h"), F.col(self.text).alias("__text"))
+        texts = (self.docs.select(F.xxhash64(column(self.text)).alias("h"), column(self.text).alias("__text"))
                  .join(needed, "h").dropDuplicates(["set_key"]))
         sets = texts.select("set_key", shingle_set(F.col("__text"), self.width).alias("s"))
         sets = cut(sets.filter(_key_of_set(F.col("s")) == F.col("set_key")))
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     shingle sets; component_id is the smallest id reachable by links.
     """
     m = bands * rows
-    doc = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), sketched(F.col(text), width, m).alias("k"))
+    doc = docs.select(column(id).alias("id"), F.xxhash64(column(text)).alias("text_hash"), sketched(column(text), width, m).alias("k"))
     sketches = cut(doc.select("id", "text_hash", "k.*"))
     full = sketches.filter("n_shingles > 0")
     classes = cut(full.groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
@@ -358,14 +358,16 @@ def _attach(sketches: DataFrame, of_class: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:  # noqa: A002
     """``docs`` with one document of each group: that of the smallest id (then
     of the smallest text hash), once; documents with an empty set all stay."""
-    groups = near_duplicates(docs, id, text, **options).select(F.col(id).alias("__id"), F.col("text_hash").alias("__hash"), "n_shingles", "component")
+    groups = near_duplicates(docs, id, text, **options).select(column(id).alias("__id"), F.col("text_hash").alias("__hash"), "n_shingles", "component")
     first = (groups.filter("n_shingles > 0").groupBy("component")
              .agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("w")).select("w.__id", "w.__hash"))
     empty = groups.filter("n_shingles = 0").select("__id", "__hash").distinct()
     stay = first.unionByName(empty).withColumnsRenamed({"__id": "__i", "__hash": "__h"})
-    hashed = docs.withColumn("__hash", F.xxhash64(text))
-    return (hashed.join(stay, F.col(id).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
-            .dropDuplicates([id, "__hash"]).select(*docs.columns))
+    own, key, hash_ = (free_name(docs, c) for c in ("_hash", "_stay_id", "_stay_hash"))
+    stay = stay.withColumnsRenamed({"__i": key, "__h": hash_})
+    hashed = docs.withColumn(own, F.xxhash64(column(text)))
+    return (hashed.join(stay, column(id).eqNullSafe(F.col(key)) & (F.col(own) == F.col(hash_)))
+            .dropDuplicates([id, own]).select(*[column(c) for c in docs.columns]))
 
 
 def digest(docs: DataFrame, width: int = 2) -> DataFrame:

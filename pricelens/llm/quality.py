@@ -15,8 +15,8 @@ words are rejected.
 
 All counts cover all documents. A line that a third of all rows have is
 pre-aggregated before it is shuffled and met again under salts; its documents
-are compared in groups of about ``_GROUP``, which keep at most one more than the
-limit.
+are compared in groups of about ``_GROUP``, round after round, which keep at
+most one more than the limit.
 
 Cases: a null or empty text has no words and fails the base rules; a null host
 is a host of its own; rows equal in id, host and text get the same result; null
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from pricelens.llm.common import cut, row_key
+from pricelens.llm.common import column, cut, free_name, row_key
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5  # fixed values: the base rules
 LINE_LIMIT, LEFT_PERCENT = 20, 30
@@ -158,20 +158,32 @@ def _having(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _often(base: DataFrame, suspected: DataFrame, line_limit: int) -> DataFrame:
-    """The (host, line) for which more than ``line_limit`` documents are found that aren't near copies of each other."""
+    """The (host, line) for which more than ``line_limit`` documents are found that aren't near copies of each other.
+
+    A line's documents are compared in groups of about ``_GROUP`` sketches; what
+    a group leaves (at most the limit, or it decides alone) meets other groups'
+    in the next round, so no task ever holds more than a group.
+    """
     pairs = suspected.select("host", "line", "document", "n_docs").distinct()
     key = F.xxhash64(F.array_sort(F.array_distinct("hashes")))
-    sketches = (base.filter(F.size("hashes") > 0).select(key.alias("document"), "sketch")
-                .join(suspected.select("document").distinct(), "document", "left_semi").groupBy("document").agg(F.min("sketch").alias("sketch")))
+    # one row per document before any join: copies of one text meet in partial aggregates only
+    sketches = (base.filter(F.size("hashes") > 0).select(key.alias("document"), "sketch").groupBy("document").agg(F.min("sketch").alias("sketch"))
+                .join(suspected.select("document").distinct(), "document", "left_semi"))
     group = F.pmod(F.xxhash64("document", F.lit("group")), F.ceil(F.col("n_docs") / _GROUP))
-    some = cut(pairs.join(sketches, "document").groupBy("host", "line", group.alias("group")).agg(F.collect_list("sketch").alias("sketches"))
-               .select("host", "line", _apart(F.col("sketches"), line_limit).alias("found")))
-    # a group that has enough decides alone; the others are compared across groups
-    every = some.groupBy("host", "line").agg(
-        F.max(F.size("found")).alias("most"), F.flatten(F.collect_list(F.when(F.size("found") <= line_limit, F.col("found")))).alias("found"))
-    enough = every.filter(F.col("most") > line_limit)
-    more = every.filter((F.col("most") <= line_limit) & (F.size("found") > line_limit)).filter(F.size(_apart(F.col("found"), line_limit)) > line_limit)
-    return enough.select("host", "line").unionByName(more.select("host", "line"))
+    found = (pairs.join(sketches, "document").groupBy("host", "line", group.alias("group"))
+             .agg(F.max(F.ceil(F.col("n_docs") / _GROUP)).alias("groups"), F.collect_list("sketch").alias("sketches")))
+    together = max(2, _GROUP // (line_limit + 1))  # so many groups' remainders make a group of the next round
+    decided = None
+    while True:
+        some = cut(found.select("host", "line", "group", "groups", _apart(F.col("sketches"), line_limit).alias("found")))
+        enough = some.filter(F.size("found") > line_limit).select("host", "line").distinct()
+        decided = enough if decided is None else decided.unionByName(enough).distinct()
+        open_ = some.filter((F.col("groups") > 1) & (F.size("found") <= line_limit))
+        if open_.isEmpty():
+            return decided
+        # a line that has enough goes on as well, which changes nothing
+        found = (open_.groupBy("host", "line", F.floor(F.col("group") / together).alias("group"))
+                 .agg(F.max(F.ceil(F.col("groups") / together)).alias("groups"), F.flatten(F.collect_list("found")).alias("sketches")))
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",  # noqa: A002
@@ -183,8 +195,8 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
     host have it, copies and near copies counted once. A document is depleted if less than ``min_words`` words, or
     less than ``left_percent`` % of them, are left.
     """
-    key = row_key(F.col(id), F.col(host), F.col(text))
-    base = cut(docs.select(F.col(id).alias("id"), F.col(host).alias("host"), key.alias("row_key"), measures(F.col(text)).alias("m"))
+    key = row_key(column(id), column(host), column(text))
+    base = cut(docs.select(column(id).alias("id"), column(host).alias("host"), key.alias("row_key"), measures(column(text)).alias("m"))
                .select("id", "host", "row_key", "m.*"))
     lines = (base.filter(F.size("hashes") > 0)
              .select("host", "row_key", F.xxhash64(F.array_sort(F.array_distinct("hashes"))).alias("document"),
@@ -213,12 +225,14 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **limits: int) -> DataFrame:  # noqa: A002
     """The documents that are kept, without the removed lines; same columns, same order of columns."""
+    own, gone = free_name(docs, "_key"), free_name(docs, "_gone")
     verdict = (judge(docs, id, text, host, **limits).filter("kept")
-               .select(F.col("row_key").alias("__key"), F.col("removed_hashes").alias("__gone")).dropDuplicates(["__key"]))
-    key = row_key(F.col(id), F.col(host), F.col(text))
-    return (docs.withColumn("__key", key).join(verdict, "__key")
-            .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("__gone"))))
-            .select(*docs.columns))
+               .select(F.col("row_key").alias(own), F.col("removed_hashes").alias(gone)).dropDuplicates([own]))
+    key = row_key(column(id), column(host), column(text))
+    # only texts that lose a line go through Python
+    shorter = without_lines(F.when(F.col(gone).isNotNull(), column(text)), F.col(gone))
+    return (docs.withColumn(own, key).join(verdict, own).withColumn(text, F.coalesce(shorter, column(text)))
+            .select(*[column(c) for c in docs.columns]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

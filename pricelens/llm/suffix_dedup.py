@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from pricelens.llm.common import Scratch, cut, release
+from pricelens.llm.common import column, cut, free_name, release, Scratch
 
 LENGTH, GRAM, MOST = 50, 32, 50
 _LAST = (1 << 63) - 1  # the order of a null id
@@ -336,10 +336,12 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with a column ``kept``: the bytes of each text that stay."""
     scratch = Scratch(docs.sparkSession)
     found = _Found(docs, id, text, scratch)
-    spans = cut(found.texts.select("text_hash", F.col("order").alias("__owner")).join(found.spans, "text_hash", "left"))
+    own, owner, gone = (free_name(docs, c) for c in ("_hash", "_owner", "_spans"))
+    spans = cut(found.texts.select(F.col("text_hash"), F.col("order").alias(owner)).join(found.spans, "text_hash", "left")
+                .withColumnsRenamed({"text_hash": own, "spans": gone}))
     scratch.close()
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    order = F.coalesce(F.col(id), F.lit(_LAST)).cast("long")
-    kept = F.when(F.col("__owner") < order, F.lit(b"")).otherwise(kept_bytes(data, F.col("spans")))
-    return (docs.withColumn("__hash", F.xxhash64(data)).join(spans.withColumnRenamed("text_hash", "__hash"), "__hash", "left")
-            .withColumn("kept", kept).select(*[F.col(f"`{c}`") for c in docs.columns if c != "kept"], "kept"))
+    data = F.coalesce(column(text), F.lit("")).cast("binary")
+    order = F.coalesce(column(id), F.lit(_LAST)).cast("long")
+    kept = F.when(F.col(owner) < order, F.lit(b"")).otherwise(kept_bytes(data, F.col(gone)))
+    return (docs.withColumn(own, F.xxhash64(data)).join(spans, own, "left")
+            .withColumn("kept", kept).select(*[column(c) for c in docs.columns if c != "kept"], "kept"))
