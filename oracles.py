@@ -397,3 +397,61 @@ results AS (
            ELSE 'Above Viability' END END threshold_test_point,
     market_saturation, brand_strength, rating, rating_count
   FROM rec)"""
+
+
+#: The price of a score on the log label.
+PRICE = "(floor((exp(score) - 1) * 1048576e0 + 0.5e0) / 1048576e0)"
+
+
+# --- boosted trees (F4, G3) -----------------------------------------------------------
+def boosted(train: str, points: str, features: list[str], prefix: str = "", trees: int = 200, step: float = 0.05, share: int = 800,
+            seed: int = 42, bins: int = 32) -> str:
+    """CTEs (for WITH RECURSIVE) that fit one ensemble of depth 3 per group and
+    score every row of ``points``.
+
+    ``train`` and ``points`` name CTEs with id, g and the features; ``train``
+    also has y. Result: ``{prefix}scores(id, g, score)`` and ``{prefix}gains(g,
+    f, gain)``, one row per split, f counted from 0. Sums are of whole numbers
+    (24 binary digits after the point) as the engine's are.
+    """
+    one, q = "16777216e0", prefix
+    unpivot = " UNION ALL ".join(f"SELECT g, {k} f, {c}::DOUBLE x FROM {train}" for k, c in enumerate(features))
+    place = ", ".join(f"(SELECT count(*) FROM {q}cuts c WHERE c.g = p.g AND c.f = {k} AND c.cut < p.x{k})" for k in range(len(features)))
+    xs = ", ".join(f"{c}::DOUBLE x{k}" for k, c in enumerate(features))
+    gain = (lambda l, n, t, m: f"(({l}) / {one}) * (({l}) / {one}) / (({n}) + 1e0) + (({t} - {l}) / {one}) * (({t} - {l}) / {one}) / (({m} - {n}) + 1e0)"
+                               f" - (({t}) / {one}) * (({t}) / {one}) / (({m}) + 1e0)")
+
+    def level(k: int) -> str:
+        return f"""
+  h{k} AS (SELECT g, node, f, bl[f + 1] b, sum(gi)::DOUBLE sg, count(*)::DOUBLE n FROM n{k}, (SELECT unnest(range({len(features)})) f)
+          WHERE gi IS NOT NULL AND node >= {2 ** k - 1} GROUP BY ALL),
+  c{k} AS (SELECT *, sum(sg) OVER w l, sum(n) OVER w nl, sum(sg) OVER v tot, sum(n) OVER v m FROM h{k}
+          WINDOW v AS (PARTITION BY g, node, f), w AS (PARTITION BY g, node, f ORDER BY b)),
+  s{k} AS (SELECT DISTINCT ON (g, node) g, node, f, b, gain FROM (SELECT *, {gain("l", "nl", "tot", "m")} gain FROM c{k})
+          WHERE m - nl >= 1 AND gain > 1e-6 ORDER BY g, node, gain DESC, f, b),
+  n{k + 1} AS (SELECT n{k}.* EXCLUDE (node), CASE WHEN s{k}.f IS NULL THEN node WHEN bl[s{k}.f + 1] > b THEN 2 * node + 2 ELSE 2 * node + 1 END node
+          FROM n{k} LEFT JOIN s{k} USING (g, node)),"""
+
+    return f"""
+{q}cuts AS (
+  SELECT DISTINCT g, f, x cut FROM (
+    SELECT g, f, x, row_number() OVER (PARTITION BY g, f ORDER BY x) rn, count(*) OVER (PARTITION BY g, f) n FROM ({unpivot}))
+  JOIN (SELECT unnest(range(1, {bins})) j) ON rn = ceil(n * j / {bins}e0)),
+{q}base AS (SELECT g, sum(floor(y * {one} + 0.5e0)::BIGINT)::DOUBLE / count(*) / {one} base FROM {train} GROUP BY g),
+{q}pt AS (
+  SELECT id, g, NULL::DOUBLE y, {xs} FROM {points} UNION ALL
+  SELECT id, g, floor(y * {one} + 0.5e0) / {one}, {xs} FROM {train}),
+{q}start AS MATERIALIZED (SELECT id, g, y, [{place}] bl, base FROM {q}pt p JOIN {q}base USING (g)),
+{q}grow AS (
+  SELECT 0 t, id, g, y, bl, base s, NULL::BIGINT f, NULL::DOUBLE gain FROM {q}start
+  UNION ALL
+  (WITH n0 AS (SELECT t, id, g, y, bl, s, 0 node,
+            CASE WHEN y IS NOT NULL AND ((id % 1000003) * 2654435761 + (t + 1) * 104729 + {seed}) % 4294967296 * 48271 % 2147483647 % 1000 < {share}
+                 THEN floor((y - s) * {one} + 0.5e0)::BIGINT END gi
+          FROM {q}grow WHERE t < {trees} AND id IS NOT NULL),{level(0)}{level(1)}{level(2)}
+  leaf AS (SELECT g, node, sum(gi)::DOUBLE sg, count(gi)::DOUBLE n FROM n3 GROUP BY ALL)
+  SELECT t + 1, id, g, y, bl, s + coalesce({step}e0 * (sg / {one}) / (n + 1e0), 0e0), NULL::BIGINT, NULL::DOUBLE FROM n3 LEFT JOIN leaf USING (g, node)
+  UNION ALL
+  SELECT (SELECT max(t) + 1 FROM n0), NULL, g, NULL, NULL, NULL, f, gain FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2))),
+{q}scores AS (SELECT id, g, s score FROM {q}grow WHERE t = {trees} AND id IS NOT NULL AND y IS NULL),
+{q}gains AS (SELECT g, f, gain FROM {q}grow WHERE f IS NOT NULL)"""

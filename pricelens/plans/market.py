@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.core import reuse
+from pricelens.operators.boosting import Ensembles
 from pricelens.operators.pricing import calibrate, recommend
 from pricelens.operators.profiling import price_stats
 
@@ -44,12 +45,13 @@ def scenario_results(products: DataFrame, settings: DataFrame) -> DataFrame:
     return I.run_scenarios(grid, market, settings, stats=market.select("category", "q1", "q3"))
 
 
-def scenario_results_with_models(products: DataFrame, settings: DataFrame, models: dict) -> DataFrame:
+def scenario_results_with_models(products: DataFrame, settings: DataFrame, models: Ensembles) -> DataFrame:
     """I1-I6 as published: every scenario priced from its OWN model prediction.
 
     Scenario inputs follow the published grid: rating 4.0 and 100 reviews
     unless the scenario varies them, discount 15 %, margin 40 %, price/cost
-    ratio = category median / cost (2.5 when the cost is not positive).
+    ratio = category median / cost (2.5 when the cost is not positive). A
+    category without a model keeps its scenarios, without a price.
     """
     from pricelens.operators import scenarios as I
     from pricelens.plans.training import score_requests
@@ -64,7 +66,5 @@ def scenario_results_with_models(products: DataFrame, settings: DataFrame, model
         "margin_percentage": F.lit(40.0),
         "price_to_cost_ratio": F.when(cost > 0, F.col("median_price") / cost).otherwise(F.lit(2.5)),
     })
-    known = req.join(F.broadcast(req.sparkSession.createDataFrame([(c,) for c in models], "category string")),
-                     "category", "left_semi")  # one row per trained model
-    scored = score_requests(known, models, settings)
+    scored = score_requests(req, models, settings)
     return I.run_priced_scenarios(scored, settings, stats=market.select("category", "q1", "q3"))

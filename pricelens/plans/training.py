@@ -1,32 +1,32 @@
-"""Per-category price models on Spark ML (F4-F6, F12, F17) and model scoring
-(G1-G3, G18).
-
-Each category's model is a ``Pipeline(VectorAssembler -> StandardScaler ->
-GBTRegressor)`` on ``log1p(price)``; the fits are distributed Spark jobs,
-submitted concurrently from a small thread pool (categories number in the
-tens). For very many categories use ``train_pooled``: one model with the
-category as an indexed feature. Predictions, metrics and importances are
-DataFrames; nothing row-level is collected to the driver.
+"""Per-category price models (F4-F6, F12, F17) and model scoring.
+
+All categories' boosted trees are grown together (``operators.boosting``): a
+level of the next tree of every category is one grouped aggregate over binned
+rows, on ``log1p(price)``. The models are small tables; scoring walks them in
+the JVM, one scan for any number of models. Searches fit many candidates on a
+bounded sample of each category, one task per category, candidate and fold.
 """
 
 from __future__ import annotations
 
 import itertools
 import random
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens import settings as S
-from pricelens.functions.core import lit_d
-from pricelens.operators.gates import unknown_categories, with_defaults
+from pricelens.functions.core import attach, lit_d
+from pricelens.operators import boosting as B
+from pricelens.operators.boosting import Boosting, Ensembles
+from pricelens.operators.cleaning import fill_median
+from pricelens.operators.gates import split_gate, unknown_categories, variation_gate, with_defaults
 from pricelens.operators.pricing import calibrate, confidence_band, fallback_price, recommend
+from pricelens.operators.profiling import iqr_bounds
 from pricelens.sources.io import REQUEST_REQUIRED, require_columns
 
 LABEL = "discounted_price"
@@ -37,145 +37,269 @@ FEATURES = ["manufacturing_cost", "rating", "rating_count", "discount_percentage
 # Target-derived inputs the published models also used (reproduction mode only).
 LEAKY_FEATURES = ["log_discounted_price", "price_percentile", "price_relative_to_median"]
 
-DEFAULT_PARAMS = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.15, "subsamplingRate": 1.0, "seed": 42}
+PRICE_ONE = float(1 << 20)
 
-# The published fit without search (200 trees of depth 3, step 0.05).
-PUBLISHED_PARAMS = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
+# The published fit without search.
+PUBLISHED = Boosting(trees=200, depth=3, step=0.05, row_share=0.8)
 
-# Search space of the tuned fit (xgboost names -> MLlib params):
-# n_estimators->maxIter, learning_rate->stepSize, max_depth->maxDepth,
-# subsample->subsamplingRate, min_child_weight->minInstancesPerNode, gamma->minInfoGain.
+# The published search spaces (trees, learning rate, depth, least
+# child weight, row and column samples, gamma, l1, l2), candidates and folds.
 SEARCH_SPACE = {
-    "maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
-    "minInstancesPerNode": [1, 3, 5], "subsamplingRate": [0.8, 0.9, 1.0], "minInfoGain": [0.0, 0.1, 0.2],
+    "trees": [100, 200, 300], "step": [0.01, 0.05, 0.1], "depth": [3, 5, 7], "min_rows": [1, 3, 5],
+    "row_share": [0.8, 0.9, 1.0], "column_share": [0.8, 0.9, 1.0], "min_gain": [0.0, 0.1, 0.2],
 }
-LIMITED_SPACE = {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5],
-                 "subsamplingRate": [0.8]}
-
-
-def _pipeline(features, params, log_label=True, label=LABEL) -> Pipeline:
-    gbt = GBTRegressor(featuresCol="features", labelCol="_label", predictionCol="_raw_pred", **params)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_vec", handleInvalid="keep"),
-                            StandardScaler(inputCol="_vec", outputCol="features", withMean=True, withStd=True),
-                            gbt])
+LIMITED_SPACE = {"trees": [100, 200], "step": [0.05, 0.1], "depth": [3, 5], "row_share": [0.8], "column_share": [0.8]}
+IMPROVED_SPACE = {
+    "trees": [50, 100, 200, 300], "depth": [3, 4, 5, 6, 8], "step": [0.01, 0.05, 0.1, 0.2], "min_rows": [1, 3, 5, 7],
+    "row_share": [0.6, 0.7, 0.8, 0.9], "column_share": [0.6, 0.7, 0.8, 0.9], "min_gain": [0.0, 0.1, 0.2, 0.3],
+    "l1": [0.0, 0.1, 0.5, 1.0], "l2": [0.1, 0.5, 1.0, 5.0],
+}
+#: (space, candidates, folds) of the full, the limited and the improved search.
+SEARCHES = {"full": (SEARCH_SPACE, 10, 3), "limited": (LIMITED_SPACE, 5, 2), "improved": (IMPROVED_SPACE, 20, 5)}
+
+
+# --- rows to train on -----------------------------------------------------------
+def training_gate(df: DataFrame, label: str = LABEL, min_train: int = 10, min_test: int = 5) -> DataFrame:
+    """One row per category: rows of both splits, and whether a model is fitted:
+    ``ok``, ``too few rows`` or ``no price variation`` (of the training rows)."""
+    sizes = split_gate(df, min_train=min_train, min_test=min_test)
+    varied = variation_gate(df.where(F.col("split") == "train"), label).select("category", F.col("status").alias("_v"))
+    both = attach(sizes, varied, "category")
+    status = (F.when(F.col("status") == "reject", "too few rows").when(F.coalesce(F.col("_v"), F.lit("no_variation")) != "ok", "no price variation")
+              .otherwise("ok"))
+    return both.select("category", "n_train", "n_test", status.alias("status"))
+
+
+def prepare_training(df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, drop_outliers: bool = False,
+                     least_for_outliers: int = 50) -> DataFrame:
+    """Rows of categories that pass the gate, NULL inputs and labels filled with
+    the median of their category and split. ``drop_outliers`` (the improved fit)
+    also leaves out training rows outside their category's IQR bounds, in
+    categories of at least ``least_for_outliers`` training rows."""
+    gate = training_gate(df, label).where(F.col("status") == "ok").select("category", "n_train")
+    x = df.withColumns({c: F.col(c).cast("double") for c in [*features, label]}).join(gate, "category")
+    x = fill_median(x, [*features, label], ["category", "split"])
+    if drop_outliers:
+        bounds = iqr_bounds(x.where(F.col("split") == "train"), [label]).select(
+            "category", F.col(f"{label}_lower").alias("_lo"), F.col(f"{label}_upper").alias("_hi"))
+        inside = (F.col(label) >= F.col("_lo")) & (F.col(label) <= F.col("_hi"))
+        x = attach(x, bounds, "category").where((F.col("split") != "train") | (F.col("n_train") < least_for_outliers) | inside).drop("_lo", "_hi")
+    return x.drop("n_train")
+
+
+# --- F4 / F6 --------------------------------------------------------------------
+def _target(label: str, log_label: bool):
+    y = F.col(label).cast("double")
+    return F.log1p(y) if log_label else y
 
 
-def _with_label(df: DataFrame, label: str, log_label: bool) -> DataFrame:
-    y = F.col(label).cast("double")
-    return df.withColumn("_label", F.log1p(y) if log_label else y)
+def train_by_category(df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, params: Boosting = PUBLISHED,
+                      log_label: bool = True, categories: list[str] | None = None, key: str = "product_id") -> Ensembles:
+    """one boosted ensemble per category, all grown in the same passes.
+    Rows without a label or category are left out; inputs must not be NULL."""
+    data = df if categories is None else df.where(F.col("category").isin(categories))
+    return B.fit(data, features, _target(label, log_label), "category", key, params)
 
 
-def train_by_category(df: DataFrame, features=FEATURES, label: str = LABEL, params: dict | None = None,
-                      log_label: bool = True, categories: list[str] | None = None,
-                      workers: int = 10) -> dict[str, PipelineModel]:
-    """one model per category, fitted on that category's rows
-    (partition pruning applies when ``df`` is a category-partitioned table)."""
-    p = {**DEFAULT_PARAMS, **(params or {})}
-    data = _with_label(df.where(F.col(label).isNotNull()), label, log_label)
-    if categories is None:
-        categories = sorted(r[0] for r in data.select("category").where(F.col("category").isNotNull()).distinct().toLocalIterator())
+@dataclass
+class Pooled:
+    """One ensemble for all categories; the category is its last input, by its place in ``categories``."""
 
-    def fit(cat):
-        # the partitions are those that AQE made by size
-        return cat, _pipeline(features, p, log_label).fit(data.where(F.col("category") == cat))
+    model: Ensembles
+    categories: list[str]
 
-    with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
-        return dict(ex.map(fit, categories))
+    def inputs(self, df: DataFrame) -> DataFrame:
+        place = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in self.categories]), F.col("category")), F.lit(0))
+        return df.withColumns({"_category": place.cast("double"), "_all": F.lit("all")})
 
 
-def train_pooled(df: DataFrame, features=FEATURES, label: str = LABEL, params: dict | None = None,
-                 log_label: bool = True) -> PipelineModel:
-    """F4 for many categories: one model, category as an indexed feature."""
-    p = {**DEFAULT_PARAMS, **(params or {})}
-    idx = StringIndexer(inputCol="category", outputCol="_cat_idx", handleInvalid="keep")
-    pipe = _pipeline([*features, "_cat_idx"], p, log_label)
-    return Pipeline(stages=[idx, *pipe.getStages()]).fit(_with_label(df, label, log_label))
+def train_pooled(df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, params: Boosting = PUBLISHED,
+                 log_label: bool = True, key: str = "product_id") -> Pooled:
+    """F4 for very many or very small categories: one ensemble, the category as an input."""
+    names = sorted(r[0] for r in df.select("category").where(F.col("category").isNotNull()).distinct().limit(B.MAX_GROUPS + 1).collect())
+    if len(names) > B.MAX_GROUPS:
+        raise ValueError(f"more than {B.MAX_GROUPS} categories")
+    pooled = Pooled(Ensembles([], [], 0, [], []), names)
+    pooled.model = B.fit(pooled.inputs(df), [*features, "_category"], _target(label, log_label), "_all", key, params)
+    return pooled
 
 
+# --- F5 -------------------------------------------------------------------------
 def sample_grid(space: dict, n: int, seed: int = 42) -> list[dict]:
-    """Seeded random sample of ``n`` parameter maps from the full grid."""
-    keys = list(space)
-    combos = list(itertools.product(*[space[k] for k in keys]))
-    rnd = random.Random(seed)
-    pick = combos if n >= len(combos) else rnd.sample(combos, n)
-    return [dict(zip(keys, c)) for c in pick]
-
-
-def search(df: DataFrame, features=FEATURES, label: str = LABEL, n_iter: int = 10, folds: int = 3,
-           seed: int = 42, space: dict | None = None, log_label: bool = True,
-           parallelism: int = 4) -> tuple[dict, DataFrame]:
-    """randomised search with k-fold cross validation (score: RMSE on the
-    log label, i.e. -MSE ranking). ``space`` (default ``SEARCH_SPACE``;
-    ``LIMITED_SPACE`` is the published smaller one), ``n_iter`` and ``folds`` are the
-    caller's and hold for every size of data. Returns the best params and a
-    table of every candidate's mean CV RMSE."""
-    space = space or SEARCH_SPACE
-    cands = sample_grid(space, n_iter, seed)
-    base = {**DEFAULT_PARAMS}
-    pipe = _pipeline(features, base, log_label)
-    gbt = pipe.getStages()[-1]
-    grid = ParamGridBuilder()
-    maps = []
-    for c in cands:
-        maps.append({getattr(gbt, k): v for k, v in c.items()})
-    ev = RegressionEvaluator(labelCol="_label", predictionCol="_raw_pred", metricName="rmse")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or grid.build(), evaluator=ev,
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(_with_label(df, label, log_label))
+    """Seeded random sample of ``n`` different parameter maps from the full grid."""
+    keys, rnd = list(space), random.Random(seed)
+    sizes = [len(space[k]) for k in keys]
+    total = int(np.prod(sizes))
+    out = []
+    for at in sorted(rnd.sample(range(total), min(n, total))) if total else []:
+        picked = {}
+        for k, size in zip(keys, sizes, strict=True):
+            at, i = divmod(at, size)
+            picked[k] = space[k][i]
+        out.append(picked)
+    rnd.shuffle(out)
+    return out
+
+
+def bounded_sample(df: DataFrame, rows: int, key: str = "product_id", by: str = "category", seed: int = 42) -> DataFrame:
+    """At most ``rows`` rows of each group, chosen by a hash of their key: the
+    expected share is cut out first, so the rows that are ranked are few."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    near = attach(df.withColumn("_u", u), sizes, by).where(F.col("_u") * F.col("_n") <= 1.5 * rows)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("_u", key))
+    return near.withColumn("_r", nth).where(F.col("_r") <= rows).drop("_u", "_n", "_r")
+
+
+def _local_fit(bins: np.ndarray, labels: np.ndarray, ids: np.ndarray, p: Boosting) -> tuple[B.Forest, np.ndarray]:
+    """One ensemble on one task's sample: the same histograms, splits and leaves as the distributed fit."""
+    codes = np.zeros(len(labels), dtype=np.int64)
+    start = 0.0 if p.whole_first or not len(labels) else int(B.integer(labels).sum()) / len(labels) / B.ONE
+    forest, scores = B.Forest(1, p, np.array([start])), np.full(len(labels), start)
+    for tree in range(p.trees):
+        residual = B.integer(labels - scores)
+        seen = B.row_sampled(ids, tree, p.row_share, p.seed)
+        usable = B.columns_sampled(bins.shape[1], tree, p.column_share, p.seed)
+        for level in range(p.depth):
+            found = list(B.histograms(forest, tree, level, codes[seen], bins[seen], residual[seen], p.bins))
+            if not found:
+                break
+            best = B.best_splits(np.stack([f[2] for f in found]), np.stack([f[3] for f in found]), p, usable)
+            for (_, node, _, _), split in zip(found, best, strict=True):
+                forest.put(tree, level, 0, node, split)
+        scores = forest.add(scores, tree, tree + 1, codes, bins)
+    return forest, scores
+
+
+def search(df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, space: dict | None = None, n_iter: int = 10, folds: int = 3,
+           seed: int = 42, log_label: bool = True, sample_rows: int = 2000, key: str = "product_id",
+           base: Boosting = PUBLISHED) -> DataFrame:
+    """randomised search with k-fold cross validation in every category:
+    category, candidate, params, cv_rmse (on the log label), n, is_best.
+
+    The fits read at most ``sample_rows`` rows of a category, binned once; a
+    category's candidates and folds are tasks of their own (every task holds one
+    category's sample), and all scores come from one grouped aggregate. A row's
+    fold follows from its key; a category with fewer rows than folds has none.
+    """
     spark = df.sparkSession
-    rows = [(i, str(c), float(m)) for i, (c, m) in enumerate(zip(cands, model.avgMetrics))]
-    table = spark.createDataFrame(rows, "candidate int, params string, cv_rmse double")
-    best = cands[min(range(len(cands)), key=lambda i: model.avgMetrics[i])]
-    return best, table
-
-
-def predict(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame, log_label: bool = True,
-            out: str = "prediction") -> DataFrame:
-    """Score each row with its category's model, inverse log transform.
+    candidates = sample_grid(space or SEARCH_SPACE, n_iter, seed)
+    params = [replace(base, seed=seed, **c) for c in candidates]
+    n, n_bins = len(features), base.bins
+    rows = bounded_sample(df.where(F.col("category").isNotNull() & F.col(label).isNotNull()), sample_rows, key, seed=seed)
+    item = F.struct(F.col(key).cast("long").alias("id"), _target(label, log_label).alias("y"),
+                    F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    per = rows.groupBy("category").agg(F.array_sort(F.collect_list(item)).alias("rows"))  # at most sample_rows each
+    work = F.explode(F.sequence(F.lit(0), F.lit(len(params) * folds - 1))).alias("work")
+    dealt = per.select("category", "rows", work).repartition(F.col("category"), F.col("work"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, sample, k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(-1, n)
+                y = B.integer(np.array([r["y"] for r in sample])) / B.ONE
+                ids = np.array([r["id"] for r in sample], dtype=np.int64)
+                ranks = [-(-len(x) * j // n_bins) - 1 for j in range(1, n_bins)]
+                bins = np.column_stack([B.binned(x[:, f], np.unique(np.sort(x[:, f])[ranks])) for f in range(n)])
+                candidate, fold = divmod(k, folds)
+                # rows of one fold are every folds-th in the order of a hash of their ids
+                place = np.argsort(np.argsort(np.mod(ids, 1_000_003) * 48_271 % 2_147_483_647, kind="stable"), kind="stable")
+                held = place % folds == fold
+                if not held.any() or held.all():
+                    continue
+                forest, _ = _local_fit(bins[~held], y[~held], ids[~held], params[candidate])
+                code = np.zeros(int(held.sum()), dtype=np.int64)
+                got = forest.add(np.full(len(code), forest.base[0]), 0, params[candidate].trees, code, bins[held])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([candidate], pa.int32()), pa.array([float(((got - y[held]) ** 2).sum())]), pa.array([len(code)], pa.int64())],
+                    names=["category", "candidate", "sse", "n"])
+
+    scored = dealt.mapInArrow(run, "category string, candidate int, sse double, n long")
+    # the score is the mean of the folds' mean squared errors, as a search ranks by
+    g = scored.groupBy("category", "candidate").agg(F.sqrt(F.avg(F.col("sse") / F.col("n"))).alias("cv_rmse"), F.sum("n").alias("n"))
+    best = Window.partitionBy("category").orderBy("cv_rmse", "candidate")  # candidates of one category: a few
+    names = F.array(*[F.lit(str(c)) for c in candidates])
+    return g.select("category", "candidate", F.element_at(names, F.col("candidate") + 1).alias("params"), "cv_rmse", "n",
+                    (F.row_number().over(best) == 1).alias("is_best"))
+
+
+# --- G3 -------------------------------------------------------------------------
+def predict(models: Ensembles | Pooled, df: DataFrame, log_label: bool = True, out: str = "prediction") -> DataFrame:
+    """Score each row with its category's model, inverse log transform,
+    rounded to ``PRICE_ONE`` steps of 1, so that no mathematical library decides
+    on which side of a pricing rule's border a price lies.
     Rows of categories without a model have a null prediction and say so in
     ``no_prediction_reason``, which is null for the others."""
-    reason = F.lit(None).cast("string")
-    if isinstance(models, PipelineModel):
-        scored = models.transform(df).withColumn("no_prediction_reason", reason)
+    if isinstance(models, Pooled):
+        scored = models.model.score(models.inputs(df), "_all", "_score").drop("_all", "_category")
+        known = F.lit(bool(models.model.groups))
     else:
-        parts = [m.transform(df.where(F.col("category") == c)) for c, m in models.items()]
-        if not parts:
-            raise ValueError("no models")
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-        modelled = F.coalesce(F.col("category").isin(list(models)), F.lit(False))
-        scored = (scored.withColumn("no_prediction_reason", reason)
-                  .unionByName(df.where(~modelled).withColumn("no_prediction_reason", F.lit("no model for category")),
-                               allowMissingColumns=True))
-    raw = F.col("_raw_pred")
-    return scored.withColumn(out, F.expm1(raw) if log_label else raw).drop("_vec", "features", "_raw_pred",
-                                                                           "_cat_idx", "_label")
-
-
-def feature_importance(models: dict[str, PipelineModel], features=FEATURES,
-                       spark: SparkSession | None = None, top: int | None = None) -> DataFrame:
-    """importance of each input per category model, sorted, optional top-k."""
+        scored = models.score(df, "category", "_score")
+        known = F.coalesce(F.col("category").isin(models.groups), F.lit(False))
+    raw = F.expm1("_score") if log_label else F.col("_score")
+    raw = F.floor(raw * PRICE_ONE + 0.5).cast("double") / PRICE_ONE
+    reason = F.when(~known, "no model for category")
+    return scored.withColumns({out: raw, "no_prediction_reason": reason}).drop("_score")
+
+
+def feature_importance(models: Ensembles, spark: SparkSession | None = None, top: int | None = None) -> DataFrame:
+    """share of each input in its category's total gain, sorted (ties by
+    the inputs' order), optional top-k."""
     rows = []
-    for cat, m in models.items():
-        imp = m.stages[-1].featureImportances.toArray()
-        names = list(features) + (["_cat_idx"] if len(imp) > len(features) else [])
-        ranked = sorted(zip(names, imp), key=lambda t: -t[1])
-        for r, (n, v) in enumerate(ranked[:top] if top else ranked, start=1):
-            rows.append((cat, r, n, float(v)))
+    order = {f: k for k, f in enumerate(models.features)}
+    for _, of_group in itertools.groupby(models.importance(), key=lambda r: r[0]):
+        ranked = sorted(of_group, key=lambda r: (-r[2], order[r[1]]))
+        rows += [(g, k, f, v) for k, (g, f, v) in enumerate(ranked[:top] if top else ranked, start=1)]
     spark = spark or SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "category string, rank int, feature string, importance double")
 
 
-def save_models(models: dict[str, PipelineModel], path: str) -> None:
-    """one saved pipeline per category under ``path/category=<name>``."""
-    for cat, m in models.items():
-        m.write().overwrite().save(f"{path}/category={cat}")
+# --- F17 ------------------------------------------------------------------------
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def model_versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a model store, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and _exists(spark, f"{path}/manifest/{n}/_SUCCESS"))
+
+
+def save_models(models: Ensembles, path: str, spark: SparkSession, metrics: DataFrame | None = None) -> int:
+    """a new version of the store: the trees and the metrics table first,
+    then the manifest that names them. A version without its manifest doesn't
+    exist, and earlier versions stay readable meanwhile. Returns its number.
+    One writer at a time: two of the same number can't both commit."""
+    number = max(model_versions(spark, path), default=0) + 1
+    models.table(spark).write.mode("overwrite").parquet(f"{path}/models/version={number}")
+    if metrics is not None:
+        metrics.write.mode("overwrite").parquet(f"{path}/metrics/version={number}")
+    listed = models.table(spark).select("category", F.size("trees").alias("trees"), F.lit(metrics is not None).alias("has_metrics"))
+    listed.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/version={number}")
+    return number
+
+
+def load_models(spark: SparkSession, path: str, version: int | None = None) -> Ensembles:
+    """the models of a version (the last committed one), found without naming categories."""
+    number = _version(spark, path, version)
+    return Ensembles.of_table(spark.read.parquet(f"{path}/models/version={number}"))
+
+
+def load_metrics(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """the metrics table stored beside a version's models."""
+    return spark.read.parquet(f"{path}/metrics/version={_version(spark, path, version)}")
 
 
-def load_models(path: str, categories: list[str]) -> dict[str, PipelineModel]:
-    """load the saved pipeline of each category."""
-    return {c: PipelineModel.load(f"{path}/category={c}") for c in categories}
+def _version(spark: SparkSession, path: str, version: int | None) -> int:
+    there = model_versions(spark, path)
+    if not there or version is not None and version not in there:
+        raise ValueError(f"no committed model version {'' if version is None else version} under {path}")
+    return there[-1] if version is None else version
 
 
 # --- G1 / G2 / G18 ----------------------------------------------------------------
@@ -214,7 +338,7 @@ def align_features(df: DataFrame, names) -> DataFrame:
     return df.withColumns({n: (F.col(n).cast("double") if n in df.columns else lit_d(0.0)) for n in names})
 
 
-def score_requests(req: DataFrame, models: dict[str, PipelineModel], settings: DataFrame,
+def score_requests(req: DataFrame, models: Ensembles, settings: DataFrame,
                    features=FEATURES, metrics: DataFrame | None = None) -> DataFrame:
     """Model inputs -> category model -> calibration -> fallback ->
     confidence band; adds ``predicted_market_price`` to every request row.
@@ -234,28 +358,36 @@ def score_requests(req: DataFrame, models: dict[str, PipelineModel], settings: D
     return confidence_band(x, metrics)
 
 
-def price_batch(requests: DataFrame, models: dict[str, PipelineModel], settings: DataFrame,
+def price_batch(requests: DataFrame, models: Ensembles, settings: DataFrame,
                 stats: DataFrame | None = None, features=FEATURES, metrics: DataFrame | None = None,
-                strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                strict: bool = False, observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate -> defaults -> known categories -> scoring inputs ->
     model -> calibration -> fallback -> confidence band -> rules.
 
-    Returns ``(priced, rejects)``; rows of unknown categories or without a
-    model go to ``rejects`` instead of failing the batch (``strict=True``
-    raises on unknown categories, as the all-or-nothing variant does).
+    Returns ``(priced, rejects)``. Rows go to ``rejects`` with their reason
+    instead of failing the batch: an unknown category, a category without a
+    model, a cost that is missing or not above 0 (``strict=True`` raises on
+    unknown categories, as the all-or-nothing variant does). ``observation``
+    takes the counts ``requests``, ``rejected`` and ``priced`` while the priced
+    rows are computed, without a job of its own.
     """
     require_columns(requests, REQUEST_REQUIRED)
     req = with_defaults(requests, S.REQUEST_DEFAULTS)
-    known, rejects = unknown_categories(req, settings, strict=strict)
-    spark = requests.sparkSession
-    # one row per trained model (the driver holds the models): bounded by construction
-    modelled = spark.createDataFrame([(c,) for c in models], "category string")
-    no_model = known.join(F.broadcast(modelled), "category", "left_anti").withColumn(
-        "reject_reason", F.lit("no model for category"))
-    known = known.join(F.broadcast(modelled), "category", "left_semi")
-    x = score_requests(known, models, settings, features, metrics)
+    if strict:
+        unknown_categories(req, settings, strict=True)
+    keys = settings.select("category", F.lit(True).alias("_known")).distinct()
+    cost = F.col("manufacturing_cost").cast("double")
+    reason = (F.when(F.col("_known").isNull(), "unknown category")
+              .when(~F.coalesce(F.col("category").isin(models.groups), F.lit(False)), "no model for category")
+              .when(cost.isNull() | ~(cost > 0), "manufacturing cost not above 0"))
+    judged = attach(req, keys, "category").withColumn("reject_reason", reason).drop("_known")
+    rejects = judged.where(F.col("reject_reason").isNotNull())
+    if observation is not None:
+        judged = judged.observe(observation, F.count(F.lit(1)).alias("requests"), F.count("reject_reason").alias("rejected"),
+                                F.count_if(F.col("reject_reason").isNull()).alias("priced"))
+    x = score_requests(judged.where(F.col("reject_reason").isNull()).drop("reject_reason"), models, settings, features, metrics)
     priced = recommend(x, settings, stats, keep=["product_name", "confidence_lower", "confidence_upper"])
-    return priced, rejects.unionByName(no_model)
+    return priced, rejects
 
 
 def champion_challenger(test: DataFrame, champion, challenger, label: str = LABEL, by: str = "category",

@@ -1107,71 +1107,204 @@ def e20_engineer(spark, d):
     return E.engineer(SPL(spark, d)).select("product_id", "category", "split", *E.FEATURE_COLS)
 
 
-# ---------------------------------------------------------------- F4-F6, F12, F17, G1-G3, G18 (Spark ML)
+# ---------------------------------------------------------------- F4-F6, F12, F17, G1-G3, G18 (boosted trees)
+from pyspark.sql import Observation  # noqa: E402
+
 from pricelens.plans import training as TR  # noqa: E402
 
+_FITTED: dict = {}
+
 
 def MODELS(spark, d):
-    s = SPL(spark, d)
-    return s, TR.train_by_category(s.where("split = 'train'").cache())
+    """Products with their split, and the published fit (200 trees, step 0.05) on their training
+    rows. The model queries of a session share one fit of a folder."""
+    s, key = SPL(spark, d), (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = TR.train_by_category(TR.prepare_training(s).where("split = 'train'"))
+    return s, _FITTED[key]
+
+
+_GATE = """
+gate AS (
+  SELECT category, count(*) FILTER (WHERE split = 'train') n_train, count(*) FILTER (WHERE split = 'test') n_test,
+         CASE WHEN n_train < 10 OR n_test < 5 THEN 'too few rows'
+              WHEN coalesce(max(discounted_price) FILTER (WHERE split = 'train') - min(discounted_price) FILTER (WHERE split = 'train'), 0) <= 0
+              THEN 'no price variation' ELSE 'ok' END status
+  FROM split_t GROUP BY category)"""
+_INPUTS = ", ".join(TR.FEATURES)
+_TRAIN = O.SPLIT + "," + _GATE + f""",
+tr AS (SELECT product_id id, category g, ln(1 + discounted_price) y, {_INPUTS} FROM split_t JOIN gate USING (category)
+       WHERE split = 'train' AND status = 'ok')"""
+
+
+def WR(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes)
+
+
+_FIT = WR(_TRAIN, f"po AS (SELECT product_id id, category g, {_INPUTS} FROM split_t)", O.boosted("tr", "po", TR.FEATURES), f"""
+scored AS (SELECT s.*, {O.PRICE} raw_pred, CASE WHEN score IS NULL THEN 'no model for category' END no_prediction_reason
+           FROM split_t s LEFT JOIN scores ON id = product_id)""")
+_FIT_METRICS = _FIT + """,
+tm AS (SELECT category, greatest(0e0, min(discounted_price) * (1 - 0.1)) lo, max(discounted_price) * (1 + 0.1) hi
+       FROM split_t WHERE split = 'train' GROUP BY category),
+pred AS (SELECT s.*, CASE WHEN raw_pred < lo THEN lo WHEN raw_pred > hi THEN hi ELSE raw_pred END prediction
+         FROM scored s JOIN tm USING (category)),
+""" + O.PRED[O.PRED.index("metrics AS ("):]
+
+
+def MODEL_METRICS(spark, d):
+    """The fit's metrics per category and split, of clipped predictions."""
+    s, models = MODELS(spark, d)
+    return EV.regression_metrics(EV.clip_predictions(TR.predict(models, s), s.where("split = 'train'")))
+
+
+def TEST_METRICS(metrics):
+    return metrics.where("split = 'test'").select("category", F.col("rmse").alias("test_rmse"), F.col("mape").alias("test_mape"), F.col("r2").alias("test_r2"),
+                                                  F.col("within_10pct").alias("test_within_10pct"))
+
 
+@register("f04_training_rows", W(_TRAIN) + f"""
+, q AS (SELECT g category, {O.q(O.xs('p'), 0.25)} q1, {O.q(O.xs('p'), 0.75)} q3 FROM (SELECT category g, discounted_price p FROM split_t WHERE split = 'train') GROUP BY g)
+SELECT product_id, category, split, discounted_price FROM split_t JOIN gate USING (category) JOIN q USING (category)
+WHERE status = 'ok' AND (split <> 'train' OR n_train < 50
+      OR (discounted_price >= greatest(0e0, q1 - 1.5 * (q3 - q1)) AND discounted_price <= q3 + 1.5 * (q3 - q1)))""")
+def f04_training_rows(spark, d):
+    """F4 (improved fit): rows of categories that pass the gates, NULLs filled, outlying training rows left out."""
+    return TR.prepare_training(SPL(spark, d), drop_outliers=True).select("product_id", "category", "split", "discounted_price")
 
-@register("f04_train_predict")
+
+@register("f04_training_gate", W(O.SPLIT, _GATE) + " SELECT * FROM gate")
+def f04_training_gate(spark, d):
+    """which categories get a model, and why the others don't."""
+    return TR.training_gate(SPL(spark, d))
+
+
+@register("f04_train_predict", _FIT + " SELECT product_id, category, split, discounted_price, raw_pred prediction, no_prediction_reason FROM scored")
 def f04_train_predict(spark, d):
-    """Per-category GBT models on log price; every product scored by its category's model,
+    """Per-category boosted trees on log price; every product scored by its category's model,
     or listed with the reason why it has no prediction."""
     s, models = MODELS(spark, d)
     return TR.predict(models, s).select("product_id", "category", "split", "discounted_price", "prediction",
                                         "no_prediction_reason")
 
 
-@register("f08_model_metrics")
+@register("f08_model_metrics", _FIT_METRICS + " SELECT * FROM metrics")
 def f08_model_metrics(spark, d):
     """F7-F9 on model output: clipped predictions, RMSE/MAE/R2/MAPE per category and split."""
-    s, models = MODELS(spark, d)
-    pred = EV.clip_predictions(TR.predict(models, s), s.where("split = 'train'"))
-    return EV.regression_metrics(pred)
+    return MODEL_METRICS(spark, d)
 
 
-@register("f12_feature_importance")
+@register("f12_feature_importance", _FIT + f"""
+, imp AS (SELECT g category, f, coalesce(sum(gain) / nullif(sum(sum(gain)) OVER (PARTITION BY g), 0), 0e0) importance FROM
+          (SELECT g, f, gain FROM gains UNION ALL SELECT g, unnest(range({len(TR.FEATURES)})), 0e0 FROM base) GROUP BY g, f)
+SELECT category, row_number() OVER (PARTITION BY category ORDER BY importance DESC, f)::INTEGER rank,
+       [{', '.join(f"'{f}'" for f in TR.FEATURES)}][f + 1] feature, importance
+FROM imp QUALIFY rank <= 10""")
 def f12_feature_importance(spark, d):
-    """top-10 feature importances per category model."""
+    """the ten most important inputs per category model, by their share of the gain."""
     _, models = MODELS(spark, d)
     return TR.feature_importance(models, spark=spark, top=10)
 
 
+def _search(spark, d, name: str, rows: int):
+    space, n_iter, folds = TR.SEARCHES[name]
+    return TR.search(TR.prepare_training(SPL(spark, d)).where("split = 'train'"), space=space, n_iter=n_iter, folds=folds, sample_rows=rows)
+
+
 @register("f05_search")
 def f05_search(spark, d):
-    """seeded random search with 2-fold cross validation over a small space (pooled categories)."""
-    s = SPL(spark, d).where("split = 'train'")
-    space = {"maxIter": [10, 20], "maxDepth": [3, 5], "stepSize": [0.1]}
-    _, table = TR.search(s, n_iter=3, folds=2, space=space)
-    return table
+    """the published search, 10 candidates x 3 folds of 100-300 trees in every category, on at most 500 rows of each."""
+    return _search(spark, d, "full", 500)
 
 
-@register("f17_model_store")
+@register("f05_search_limited")
+def f05_search_limited(spark, d):
+    """the published limited search, 5 candidates x 2 folds in every category, on at most 2000 rows of each."""
+    return _search(spark, d, "limited", 2000)
+
+
+@register("f05_search_improved")
+def f05_search_improved(spark, d):
+    """the improved search, 20 candidates x 5 folds in every category, on at most 200 rows of each."""
+    return _search(spark, d, "improved", 200)
+
+
+@register("f17_model_store", _FIT_METRICS + """
+SELECT product_id, s.category, s.split, raw_pred prediction, no_prediction_reason, rmse test_rmse, mape test_mape
+FROM scored s LEFT JOIN metrics m ON m.category = s.category AND m.split = 'test'""")
 def f17_model_store(spark, d):
-    """models saved per category, loaded back, and used to score every row."""
+    """models and their metrics table saved as a version, found and loaded without naming
+    a category, and used to score every row."""
     s, models = MODELS(spark, d)
     path = scratch(spark, "models")
-    TR.save_models(models, path)
-    loaded = TR.load_models(path, sorted(models))
-    return TR.predict(loaded, s).select("product_id", "category", "split", "prediction", "no_prediction_reason")
-
-
-@register("g18_price_batch")
+    TR.save_models(models, path, spark, TEST_METRICS(MODEL_METRICS(spark, d)))
+    loaded, metrics = TR.load_models(spark, path), TR.load_metrics(spark, path)
+    return attach(TR.predict(loaded, s), metrics, "category").select("product_id", "category", "split", "prediction", "no_prediction_reason", "test_rmse",
+                                                                     "test_mape")
+
+
+def _batch(s):
+    """One pricing request per product; by their key some have an unknown category or an unusable cost."""
+    k = F.col("product_id")
+    return s.select(F.when(k % 23 == 0, "Garden").when(k % 29 != 0, F.col("category")).alias("category"), "product_name",
+                    F.when(k % 31 == 0, -F.col("manufacturing_cost")).when(k % 37 != 0, F.col("manufacturing_cost")).alias("manufacturing_cost"),
+                    "rating", "rating_count", "discount_percentage")
+
+
+_CONSTANT = {c: f"{float(S.SCORING_DEFAULTS[c])}e0" for c in ("value_score", "brand_strength", "technology_level", "feature_count", "price_elasticity",
+                                                             "estimated_units_sold")}
+_BATCH = f"""
+breq AS (SELECT product_id id, CASE WHEN product_id % 23 = 0 THEN 'Garden' WHEN product_id % 29 <> 0 THEN category END category, product_name,
+                CASE WHEN product_id % 31 = 0 THEN -manufacturing_cost WHEN product_id % 37 <> 0 THEN manufacturing_cost END manufacturing_cost,
+                rating, rating_count, discount_percentage FROM split_t),
+judged AS (SELECT b.*, CASE WHEN t.category IS NULL THEN 'unknown category' WHEN t.category NOT IN (SELECT category FROM gate WHERE status = 'ok')
+                       THEN 'no model for category' WHEN NOT coalesce(manufacturing_cost > 0, false) THEN 'manufacturing cost not above 0' END reject_reason
+           FROM breq b LEFT JOIN settings t USING (category)),
+po AS (SELECT id, category g, {', '.join(f"{_CONSTANT[c]} {c}" if c in _CONSTANT else c for c in TR.FEATURES)} FROM judged WHERE reject_reason IS NULL)"""
+_BATCH_SQL = WR(_TRAIN, O.settings_cte(), _BATCH, f"po0 AS (SELECT product_id id, category g, {_INPUTS} FROM split_t)",
+                O.boosted("tr", "po0", TR.FEATURES, "m_"), O.boosted("tr", "po", TR.FEATURES), f"""
+scored AS (SELECT s.*, {O.PRICE} raw_pred FROM split_t s LEFT JOIN m_scores ON id = product_id)""", _FIT_METRICS[_FIT_METRICS.index("tm AS ("):], f"""
+bq AS (SELECT category, {O.q(O.xs('discounted_price'), 0.25)} q1, {O.q(O.xs('discounted_price'), 0.75)} q3 FROM split_t WHERE split = 'train' GROUP BY category),
+priced0 AS (
+  SELECT j.*, {O.PRICE} * coalesce(calibration_factor, 1e0) calibrated, warning_threshold, viability_threshold, min_margin, q1, q3,
+         coalesce(m.mape, 0.15e0) mape_or, 'medium' sat, 'medium' brand
+  FROM judged j JOIN scores USING (id) LEFT JOIN settings t USING (category) LEFT JOIN bq USING (category)
+       LEFT JOIN metrics m ON m.category = j.category AND m.split = 'test' WHERE reject_reason IS NULL),
+breq2 AS (SELECT *, CASE WHEN calibrated <= 0 THEN manufacturing_cost * 2.5e0 ELSE calibrated END market, manufacturing_cost cost FROM priced0),
+breq3 AS (SELECT *, market * (1 - mape_or * 1.5) confidence_lower, market * (1 + mape_or * 1.5) confidence_upper FROM breq2)""",
+                O.rec_select("breq3", ["product_name", "confidence_lower", "confidence_upper"]).strip())
+
+
+@register("g18_price_batch", _BATCH_SQL + """
+SELECT *, NULL::VARCHAR reject_reason FROM rec
+UNION ALL BY NAME SELECT category, product_name, manufacturing_cost, 'Medium' market_saturation, 'Medium' brand_strength, reject_reason
+FROM judged WHERE reject_reason IS NOT NULL""")
 def g18_price_batch(spark, d):
-    """G1-G6 + G18: batch pricing requests (category, name, cost) scored by the category
-    models, calibrated, banded and run through the rules, for the whole catalogue;
-    rejected requests follow with their reason."""
-    s, models = MODELS(spark, d)
-    req = s.select("category", "product_name", "manufacturing_cost", "rating", "rating_count", "discount_percentage")
-    priced, rejects = TR.price_batch(req, models, settings_table(spark),
-                               stats=D.price_stats(s.where("split = 'train'")).select("category", "q1", "q3"))
+    """G1-G6 + G18: batch pricing requests scored by the category models, calibrated, banded with their
+    metrics and run through the rules, for the whole catalogue; requests of unknown categories, without a
+    model or with an unusable cost follow with their reason."""
+    priced, rejects = _priced(spark, d)
     shared = [c for c in rejects.columns if c in priced.columns]
     return priced.unionByName(rejects.select(*shared, "reject_reason"), allowMissingColumns=True)
 
 
+def _priced(spark, d, observation=None):
+    s, models = MODELS(spark, d)
+    stats = D.price_stats(s.where("split = 'train'")).select("category", "q1", "q3")
+    return TR.price_batch(_batch(s), models, settings_table(spark), stats, metrics=TEST_METRICS(MODEL_METRICS(spark, d)), observation=observation)
+
+
+@register("g18_batch_counts", W(_TRAIN, O.settings_cte(), _BATCH) + """
+SELECT count(*) requests, count(reject_reason) rejected, count(*) FILTER (WHERE reject_reason IS NULL) priced FROM judged""")
+def g18_batch_counts(spark, d):
+    """Requests, rejected and priced rows, observed while the priced rows are written."""
+    seen = Observation("batch")
+    priced, _ = _priced(spark, d, seen)
+    priced.write.parquet(scratch(spark, "priced"))
+    got = seen.get
+    return spark.createDataFrame([(got["requests"], got["rejected"], got["priced"])], "requests long, rejected long, priced long")
+
+
 # ---------------------------------------------------------------- X1-X5 competitor prices (batch form)
 from pricelens.streaming import competitor as X  # noqa: E402
 
@@ -1255,7 +1388,18 @@ def h04_recent_categories(spark, d):
     return H.recent_categories(A.read_history(spark, path), files=20)
 
 
-@register("i02_scenario_results_model")
+_MSCEN = O.SCEN[:O.SCEN.index("sreq AS (")]
+@register("i02_scenario_results_model", WR(_TRAIN, O.settings_cte(), O.MARKET, _MSCEN[_MSCEN.index("bm AS ("):].strip().rstrip(","), f"""
+ngrid AS (SELECT *, cost manufacturing_cost, row_number() OVER (ORDER BY category, scenario, test_type) id FROM grid),
+po AS (SELECT id, category g, cost manufacturing_cost, coalesce(rating, 4e0) rating, coalesce(rating_count, 100) rating_count, 15e0 discount_percentage,
+              {', '.join(f"{v} {c}" for c, v in _CONSTANT.items())} FROM ngrid)""", O.boosted("tr", "po", TR.FEATURES), f"""
+sreq0 AS (
+  SELECT g.*, {O.PRICE} * coalesce(s.calibration_factor, 1e0) calibrated, m.q1, m.q3, s.warning_threshold, s.viability_threshold, s.min_margin,
+         CASE WHEN g.manufacturing_cost > 0 THEN g.median_price / g.manufacturing_cost ELSE 2.5e0 END ptc
+  FROM ngrid g LEFT JOIN scores USING (id) JOIN market m USING (category) LEFT JOIN settings s USING (category)),
+sreq AS (SELECT * EXCLUDE (rating, rating_count), CASE WHEN calibrated <= 0 THEN cost * ptc ELSE calibrated END market, coalesce(rating, 4e0) rating,
+                coalesce(rating_count, 100)::DOUBLE rating_count FROM sreq0)""",
+    O.SCEN[O.SCEN.index("r0 AS ("):]) + " SELECT * FROM results")
 def i02_scenario_results_model(spark, d):
     """I1-I6 as published: each scenario's market price predicted by its category model
     from the scenario's own inputs (rating, reviews, cost), then calibrated and priced."""
@@ -1305,7 +1449,24 @@ def x09_route_changes(spark, d):
     return g.select("event_id", "product_id", "relative_change", "route")
 
 
-@register("x07_champion_challenger")
+_CATS = "(SELECT category, row_number() OVER (ORDER BY category)::DOUBLE place FROM (SELECT DISTINCT category FROM split_t WHERE split = 'train'))"
+_VERSION_METRICS = ", ".join(f"max({c}) FILTER (WHERE version = '{v}') {v}_{c}" for v in ("champion", "challenger") for c in ("rmse", "mape", "r2", "within_10pct"))
+
+
+@register("x07_champion_challenger", WR(_TRAIN, f"""
+po AS (SELECT product_id id, category g, {_INPUTS} FROM split_t WHERE split = 'test'),
+ptr AS (SELECT product_id id, 'all' g, ln(1 + discounted_price) y, {_INPUTS}, place FROM split_t JOIN {_CATS} USING (category) WHERE split = 'train'),
+ppo AS (SELECT product_id id, 'all' g, {_INPUTS}, coalesce(place, 0e0) place FROM split_t LEFT JOIN {_CATS} USING (category) WHERE split = 'test')""",
+    O.boosted("tr", "po", TR.FEATURES), O.boosted("ptr", "ppo", [*TR.FEATURES, "place"], "p_"), f"""
+both_ AS (
+  SELECT s.category, 'champion' version, discounted_price y, {O.PRICE} p FROM split_t s LEFT JOIN scores ON id = product_id WHERE split = 'test' UNION ALL
+  SELECT s.category, 'challenger', discounted_price, {O.PRICE} FROM split_t s LEFT JOIN p_scores ON id = product_id WHERE split = 'test'),
+vm AS (
+  SELECT category, version, sqrt(avg((y - p) ^ 2)) rmse, avg(abs((y - p) / NULLIF(y, 0))) mape, avg((abs((y - p) / NULLIF(y, 0)) <= 0.1)::DOUBLE) within_10pct,
+         CASE WHEN sum((y - p) ^ 2) IS NULL THEN NULL WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y - p) ^ 2) = 0 THEN 1e0 ELSE 0e0 END
+              ELSE 1 - sum((y - p) ^ 2) / (var_pop(y) * count(y)) END r2 FROM both_ GROUP BY category, version)""") + f"""
+SELECT *, CASE WHEN challenger_rmse < champion_rmse OR (champion_rmse IS NULL AND challenger_rmse IS NOT NULL)
+               THEN 'promote challenger' ELSE 'keep champion' END decision FROM (SELECT category, {_VERSION_METRICS} FROM vm GROUP BY category)""")
 def x07_champion_challenger(spark, d):
     """Per-category models (champion) against one pooled model (challenger) on the test
     rows: RMSE, MAPE, R2 and within-10 % per category and version, and the promotion decision."""
