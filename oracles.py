@@ -340,7 +340,9 @@ overall AS (
   SELECT avg(test_rmse) average_test_rmse, avg(test_r2) average_test_r2, avg(test_mape) average_test_mape,
          avg(test_within_10pct) average_within_10pct,
          arg_min(category, (-test_r2, category)) best_category, max(test_r2) best_test_r2,
+         arg_min(test_rmse, (-test_r2, category)) best_test_rmse, arg_min(test_mape, (-test_r2, category)) best_test_mape,
          arg_min(category, (test_r2, category)) worst_category, min(test_r2) worst_test_r2,
+         arg_min(test_rmse, (test_r2, category)) worst_test_rmse, arg_min(test_mape, (test_r2, category)) worst_test_mape,
          count(*) category_count, count(*) FILTER (WHERE model_quality = 'good') good_models,
          count(*) FILTER (WHERE model_quality = 'poor') poor_models
   FROM summary)"""

@@ -8,11 +8,12 @@ session option ``pricelens.quantile.method``, never by the size of the data.
 final buffer holds the distinct values of a group (prices in cents: bounded by
 the price range, not by the rows).
 
-``select`` has no such buffer, for columns of unbounded distinct values. It takes
-two passes and no sort:
+``select`` has no such buffer, for columns of unbounded distinct values (ratios
+and other computed columns: E20 and D7 use it). It takes two passes and no sort:
 
 1. one aggregate per group gives n, the extremes and, from a mergeable sketch
-   of fixed size, two values that are sure to enclose each wanted rank;
+   of fixed size, two values that are sure to enclose each wanted rank: those at
+   the rank less and more the sketch's error and two ranks;
 2. rows below a bracket are only counted; rows inside it are counted per
    distinct value, and running counts over these few values give the exact
    order statistics.
@@ -35,6 +36,7 @@ from pricelens.functions.core import lit_d, quantiles, reuse, with_global
 from pricelens.session import conf
 
 ACCURACY = 10_000  # the sketch's rank error is at most n / ACCURACY
+REACHES = [2.0 / ACCURACY * 2 ** j for j in range(15)]  # half widths of the brackets, as shares of the rows
 
 
 def _selected(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
@@ -49,17 +51,19 @@ def _selected(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Sequen
     wanted = sorted({p for probs in by_col.values() for p in probs})
     values = F.explode(F.array(*[F.struct(F.lit(names[c]).alias("q"), F.col(c).cast("double").alias("v")) for c in by_col])).alias("_e")
     long = df.select(*keys, values).select(*keys, F.col("_e.q").alias("_q"), F.col("_e.v").alias("_v")).where(F.col("_v").isNotNull())
-    reach = 2.0 / ACCURACY
-    around = [lit_d(min(1.0, max(0.0, p + d))) for p in wanted for d in (-reach, reach)]
+    # the sketch's error and two ranks more, as a share of the rows: one of the reaches covers it at any number of rows
+    around = [lit_d(min(1.0, max(0.0, p + d * r))) for p in wanted for r in REACHES for d in (-1, 1)]
     group = (long.groupBy(*keys, "_q").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                            F.percentile_approx("_v", F.array(*around), ACCURACY).alias("_s")))
-    small = F.col("_n") < 4 * ACCURACY  # the sketch's error is under one rank only in large groups
+    j = F.greatest(F.lit(0), F.ceil(F.log2((1 / ACCURACY + 2 / F.col("_n")) / REACHES[0])).cast("int"))
+    wide = F.element_at(F.array(*[lit_d(r) for r in REACHES]), j + 1)
     brackets = []
     for i, p in enumerate(wanted):
         pos = (F.col("_n") - 1).cast("double") * p
+        at = F.lit(2 * len(REACHES) * i) + 2 * j
         brackets.append(F.struct(F.lit(i).alias("i"), pos.alias("pos"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
-                                 F.when(small, F.col("_min")).otherwise(F.col("_s")[2 * i]).alias("a"),
-                                 F.when(small, F.col("_max")).otherwise(F.col("_s")[2 * i + 1]).alias("b")))
+                                 F.when(p - wide <= 0, F.col("_min")).otherwise(F.element_at("_s", at + 1)).alias("a"),
+                                 F.when(p + wide >= 1, F.col("_max")).otherwise(F.element_at("_s", at + 2)).alias("b")))
     own = F.array(*[F.array(*[F.lit(wanted.index(p)) for p in probs]) for probs in by_col.values()])
     nth = F.substring("_q", 3, 10).cast("int")
     group = group.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_q").alias("_gq"),

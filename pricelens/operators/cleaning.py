@@ -51,8 +51,9 @@ def modes(df: DataFrame, keys: list[str], cols: Sequence[str]) -> DataFrame:
     return top.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == c, F.col("_v"))).alias(f"_fill_{c}") for c in cols])
 
 
-def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> DataFrame:
-    """Fill NULLs of numeric columns with the (group) median.
+def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None, method: str | None = None) -> DataFrame:
+    """Fill NULLs of numeric columns with the (group) median (``method``:
+    how it is found, see ``functions.quantile``).
 
     The fill keeps the column's type (integral columns get the median cast).
     A group whose column is entirely NULL stays NULL.
@@ -61,7 +62,7 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> Da
     cols = list(cols) if cols is not None else numeric_columns(df, keys)
     if not cols:
         return df
-    vals = agg_q(df, keys, {f"_fill_{c}": (c, [0.5]) for c in cols})
+    vals = agg_q(df, keys, {f"_fill_{c}": (c, [0.5]) for c in cols}, method=method)
     vals = vals.withColumns({f"_fill_{c}": F.col(f"_fill_{c}")[0] for c in cols})
     x = _with_group_values(df, vals, keys)
     types = dict(df.dtypes)

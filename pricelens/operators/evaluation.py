@@ -94,15 +94,20 @@ def performance_summary(metrics: DataFrame, baseline: DataFrame | None = None,
 
 def overall_summary(summary: DataFrame, by: str = "category") -> DataFrame:
     """averages over categories, best and worst category by test R^2
-    (first one on ties in category order), counts of good and poor models."""
-    best = F.min_by(F.col(by), F.struct((-F.col("test_r2")).alias("k"), F.col(by)))
-    worst = F.min_by(F.col(by), F.struct(F.col("test_r2").alias("k"), F.col(by)))
+    (first one on ties in category order) with their RMSE and MAPE, counts of
+    good and poor models."""
+    def of(column: str, key):
+        return F.min_by(F.col(column), F.struct(key.alias("k"), F.col(by)))
+
+    high, low = -F.col("test_r2"), F.col("test_r2")
     return summary.agg(
         F.avg("test_rmse").alias("average_test_rmse"), F.avg("test_r2").alias("average_test_r2"),
         F.avg("test_mape").alias("average_test_mape"),
         F.avg("test_within_10pct").alias("average_within_10pct"),
-        best.alias("best_category"), F.max("test_r2").alias("best_test_r2"),
-        worst.alias("worst_category"), F.min("test_r2").alias("worst_test_r2"),
+        of(by, high).alias("best_category"), F.max("test_r2").alias("best_test_r2"),
+        of("test_rmse", high).alias("best_test_rmse"), of("test_mape", high).alias("best_test_mape"),
+        of(by, low).alias("worst_category"), F.min("test_r2").alias("worst_test_r2"),
+        of("test_rmse", low).alias("worst_test_rmse"), of("test_mape", low).alias("worst_test_mape"),
         F.count(F.lit(1)).alias("category_count"),
         F.count_if(F.col("model_quality") == "good").alias("good_models"),
         F.count_if(F.col("model_quality") == "poor").alias("poor_models"))

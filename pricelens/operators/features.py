@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.core import EPS, attach, floor_div, lit_d, qcut_index, reuse, safe_div, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
+from pricelens.functions.rank import group_rank
 from pricelens.operators.cleaning import fill_median
+from pricelens.operators.gates import numeric_columns
 
 PRICE = "discounted_price"
 COST = "manufacturing_cost"
@@ -137,10 +139,10 @@ def price_features(df: DataFrame, bm: DataFrame, by="category", norm_by=("catego
     return x.withColumns(feats).drop("_med", "_q25", "_q75", "_lq", "_bmax")
 
 
-def fill_after_features(df: DataFrame, cols: Sequence[str], by=("category", "split")) -> DataFrame:
-    """NULL features -> group median, else 0."""
-    need = list(cols)
-    x = fill_median(df, need, by=[k for k in _keys(by) if k in df.columns])
+def fill_after_features(df: DataFrame, cols: Sequence[str] | None = None, by=("category", "split"), identifiers=("product_id",)) -> DataFrame:
+    """NULLs of ``cols`` (all numeric columns but ``identifiers``) -> group median, else 0."""
+    need = list(cols) if cols is not None else numeric_columns(df, [*_keys(by), *identifiers])
+    x = fill_median(df, need, by=[k for k in _keys(by) if k in df.columns], method="select")
     return x.fillna(0, subset=need)
 
 
@@ -208,22 +210,53 @@ def brand_tier(df: DataFrame, brand: str = "brand") -> DataFrame:
 
 
 # --- E27-E30 -------------------------------------------------------------------
+MOST_LEVELS = 10_000  # wide 0/1 columns of one input; more levels are a sparse vector's task
+
+
 def levels(df: DataFrame, col: str) -> list:
     """Sorted distinct non-NULL values of ``col``, asked for by the caller: wide
-    0/1 columns need their names before the plan exists. A column of many
-    levels is encoded by :func:`one_hot_vector` without this."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    0/1 columns need their names before the plan exists. A column of more than
+    ``MOST_LEVELS`` is refused; :func:`encode_levels` takes any number."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{col} has more than {MOST_LEVELS} levels: use level_dictionary and encode_levels")
+    return sorted(found)
 
 
-def one_hot_vector(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """E27 for columns of any number of levels: one sparse vector per column
-    (``{col}_vec``), all levels kept; NULL is an all-zero vector."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+def level_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Column, level (as text) and place of every level of ``cols``.
 
-    idx = [f"_{c}_idx" for c in cols]
-    x = StringIndexer(inputCols=list(cols), outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df).transform(df)
-    enc = OneHotEncoder(inputCols=idx, outputCols=[f"{c}_vec" for c in cols], dropLast=True).fit(x)
-    return enc.transform(x).drop(*idx)  # the index kept for NULL is the last one, and dropped
+    Places count from 0 in the order of ``cols`` and, within a column, of the
+    levels; NULL has none. The levels are ranked where they lie, in ranges of
+    (column, level): nothing is collected.
+    """
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.col(c).cast("string").alias("level")) for i, c in enumerate(cols)])).alias("e")
+    found = df.select(entries).select("e.*").where(F.col("level").isNotNull()).distinct()
+    ranked = group_rank(found, ["nth"], [F.col("level")])
+    before = F.coalesce(F.sum("n").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranked.groupBy("nth").agg(F.max("group_size").alias("n")).select("nth", before.alias("start"))  # one row per column
+    names = F.array(*[F.lit(c) for c in cols])
+    return (ranked.join(F.broadcast(sizes), "nth")
+            .select(F.element_at(names, F.col("nth") + 1).alias("column"), "level", (F.col("start") + F.col("rank")).alias("place")))
+
+
+def encode_levels(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """``df`` with one sparse 0/1 vector of all levels of ``cols``:
+    struct(size, indices, values), indices ascending.
+
+    Every table encoded against one dictionary has the same layout, so train
+    and test rows are aligned without knowing each other's levels; a level that
+    the dictionary doesn't have, or NULL, adds nothing.
+    """
+    places, x = [], df
+    for i, c in enumerate(cols):
+        own = dictionary.where(F.col("column") == c).select(F.col("level").alias(f"_level{i}"), F.col("place").alias(f"_place{i}"))
+        x = x.join(own, F.col(c).cast("string") == F.col(f"_level{i}"), "left").drop(f"_level{i}")
+        places.append(f"_place{i}")
+    x = with_global(x, dictionary.agg(F.count(F.lit(1)).alias("_size")))
+    indices = F.array_sort(F.filter(F.array(*places), lambda p: p.isNotNull()))
+    vector = F.struct(F.col("_size").alias("size"), indices.alias("indices"), F.transform(indices, lambda _: lit_d(1.0)).alias("values"))
+    return x.withColumn(out, vector).drop(*places, "_size")
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], levels_by_col: dict | None = None,
@@ -288,14 +321,14 @@ def derived_inputs(df: DataFrame, brand: str = "brand", by="category") -> DataFr
 
 def engineer(df_split: DataFrame, bm: DataFrame | None = None, winsor: bool = True) -> DataFrame:
     """E1-E20 + D7 composed: benchmarks from the train rows, features for
-    both splits, NULL repair, then clipping of the new features to the
+    both splits, NULL repair of all numeric columns, then clipping of the new features to the
     1st/99th percentile of their category and split."""
     from pricelens.operators.profiling import winsorise  # local: avoid import cycle
     df_split = reuse(df_split)
     if bm is None:
         bm = repair_benchmarks(benchmarks(df_split.where(F.col("split") == "train")))
     x = reuse(price_features(df_split, bm))
-    x = reuse(fill_after_features(x, FEATURE_COLS))
+    x = reuse(fill_after_features(x))
     return winsorise(x, FEATURE_COLS, ("category", "split")) if winsor else x
 
 

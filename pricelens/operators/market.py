@@ -86,10 +86,10 @@ def _about(name: Column, field: int) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, v in ABOUT.items() for x in (k, v[field])]), name)
 
 
-def history(df: DataFrame, category: str | None = None, ts: str = "recorded_at") -> DataFrame:
-    """H4: recommendation history, latest first, optionally one category."""
+def history(df: DataFrame, category: str | None = None, ts: str = "recorded_at", file_col: str = "source_file") -> DataFrame:
+    """H4: recommendation history, latest file first (files of one time by name), optionally one category."""
     x = df.where(F.col("category") == category) if category else df
-    return x.orderBy(F.col(ts).desc())
+    return x.orderBy(F.col(ts).desc(), F.col(file_col))
 
 
 def recent_categories(df: DataFrame, files: int = 20, ts: str = "recorded_at",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import settings as S
-from pricelens.functions.core import attach, lit_d, safe_div
+from pricelens.functions.core import attach, lit_d, round_half_away, safe_div
 
 def _null(t: str):
     return F.lit(None).cast(t)
@@ -251,19 +251,20 @@ def advice(df: DataFrame) -> DataFrame:
            .when(F.coalesce(F.col("high_cost_warning"), F.lit(False)), F.lit("high_cost"))
            .when(F.col("recommended_price") > F.col("predicted_market_price"), F.lit("above_market"))
            .otherwise(F.lit("normal")))
+    money = lambda c: round_half_away(c, 2)  # noqa: E731  rounded first, so that no formatter's rule decides
+    share = lambda c: round_half_away(c, 1)
     text = (F.when(cls == "viability", F.format_string(
                 "Manufacturing cost is too high for this market; reduce it by %.2f to at most %.2f.",
-                F.col("cost_reduction_needed"), F.col("recommended_max_cost")))
+                money("cost_reduction_needed"), money("recommended_max_cost")))
             .when(cls == "high_cost", F.format_string(
                 "High manufacturing cost: premium positioning at %.2f, %.1f%% above market.",
-                F.col("recommended_price"), F.col("discount_from_market")))
+                money("recommended_price"), share("discount_from_market")))
             .when(cls == "above_market", F.format_string(
                 "Recommended price %.2f is %.1f%% above the market price %.2f because of the manufacturing cost.",
-                F.col("recommended_price"), F.abs(F.col("discount_from_market")), F.col("predicted_market_price")))
+                money("recommended_price"), share(F.abs(F.col("discount_from_market"))), money("predicted_market_price")))
             .otherwise(F.format_string(
                 "Price at %.2f (%.1f%% below market) for a %.1f%% margin.",
-                F.col("recommended_price"), F.col("discount_from_market"),
-                F.col("profit_margin_percentage"))))
+                money("recommended_price"), share("discount_from_market"), share("profit_margin_percentage"))))
     return df.withColumns({"advice_class": cls, "advice": text})
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.functions.comoment import correlations
 from pricelens.functions.core import attach, clip, lit_d, unpivot_cols, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
 
@@ -128,7 +129,7 @@ def winsorise(df: DataFrame, cols: Sequence[str], by=("category", "split"),
     quantiles are undefined (all NULL) the bounds are [0, 1000].
     """
     keys = _by(by)
-    g = agg_q(df, keys, {f"_w_{c}": (c, [lo, hi]) for c in cols})
+    g = agg_q(df, keys, {f"_w_{c}": (c, [lo, hi]) for c in cols}, method="select")
     sel = list(keys)
     for c in cols:
         a, b = F.col(f"_w_{c}")[0], F.col(f"_w_{c}")[1]
@@ -166,40 +167,29 @@ def five_number(df: DataFrame, col: str, by="category") -> DataFrame:
 
 # --- D9 / D10 -----------------------------------------------------------------
 def correlation_matrix(df: DataFrame, cols: Sequence[str], by="category") -> DataFrame:
-    """Pearson correlation of every column pair (a <= b) per group.
-
-    All n(n+1)/2 ``corr`` aggregates run in one pass; the result is unpivoted
-    to ``(group..., col_a, col_b, corr)``.
-    """
-    keys = _by(by)
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)]
-    wide = df.groupBy(*keys).agg(*aggs)
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                         F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]))
-    return wide.select(*keys, stack.alias("_s")).select(*keys, "_s.col_a", "_s.col_b", "_s.corr")
+    """Pearson correlation of every column pair (a <= b) per group, NULL
+    where it is undefined: ``(group..., col_a, col_b, corr)``. Any number of
+    columns is one pass (see ``functions.comoment``)."""
+    keys, names = _by(by), F.array(*[F.lit(c) for c in cols])
+    at = lambda c: F.element_at(names, F.col(c) + 1)
+    return correlations(df, cols, keys).select(*keys, at("a").alias("col_a"), at("b").alias("col_b"), "corr")
 
 
 def top_correlations(df: DataFrame, target: str, cols: Sequence[str], by="category",
                      k: int = 6) -> DataFrame:
     """The ``k`` columns most correlated with ``target`` per group (the
-    target itself included, correlation 1); undefined correlations last."""
+    target itself included, correlation 1); equal ones (to 10 digits) in the
+    order of ``cols``, undefined ones last."""
     keys = _by(by)
-    cols = [c for c in cols if c != target]
-    aggs = [F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"c{i}")
-            for i, c in enumerate([target, *cols])]
-    wide = df.groupBy(*keys).agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr"))
-                      for i, c in enumerate([target, *cols])])
-    # sort each group's small array by corr desc (NULL last), then keep k
-    srt = F.array_sort(items, lambda a, b: F.when(a["corr"].isNull() & b["corr"].isNull(), 0)
-                       .when(a["corr"].isNull(), 1).when(b["corr"].isNull(), -1)
-                       .when(a["corr"] > b["corr"], -1).when(a["corr"] < b["corr"], 1).otherwise(0))
-    top = wide.select(*keys, F.slice(srt, 1, k).alias("_t"))
-    return (top.select(*keys, F.posexplode("_t").alias("_r", "_e"))
-            .select(*keys, (F.col("_r") + 1).alias("rank"), F.col("_e.feature").alias("feature"),
+    cols = [target, *[c for c in cols if c != target]]
+    names = F.array(*[F.lit(c) for c in cols])
+    of = correlations(df, cols, keys).where(F.col("a") == 0)
+    # a group's columns are few: its pairs are one short array
+    e = F.struct((-F.round("corr", 10)).alias("low"), "b", "corr")
+    top = of.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("corr").isNotNull(), e))).alias("_t"),
+                                F.array_sort(F.collect_list(F.when(F.col("corr").isNull(), e))).alias("_u"))
+    return (top.select(*keys, F.posexplode(F.slice(F.concat("_t", "_u"), 1, k)).alias("_r", "_e"))
+            .select(*keys, (F.col("_r") + 1).alias("rank"), F.element_at(names, F.col("_e.b") + 1).alias("feature"),
                     F.col("_e.corr").alias("corr")))
 
 

@@ -90,27 +90,6 @@ def write_recommendations(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Every JSON file under ``path`` -- one object, an array of objects,
-    or JSON lines (what Spark's own writer produces) -- with its file time
-    and name, newest first.
-
-    Each file is one small document (a recommendation or one batch); it is
-    read whole, normalised to an array and parsed with the given schema.
-    """
-    from pricelens.sources.schemas import RECOMMENDATION_SCHEMA
-    sch = schema or RECOMMENDATION_SCHEMA
-    txt = spark.read.text(path, wholetext=True)
-    body = F.trim(F.col("value"))
-    arr = F.when(body.startswith("["), body).otherwise(
-        F.concat(F.lit("["), F.regexp_replace(body, r"\}\s*\n\s*\{", "},{"), F.lit("]")))
-    rows = txt.select(F.explode(F.from_json(arr, T.ArrayType(sch))).alias("r"),
-                      F.col("_metadata.file_modification_time").alias("recorded_at"),
-                      F.col("_metadata.file_path").alias("source_file"))
-    return (rows.select("r.*", "recorded_at", "source_file")
-            .orderBy(F.col("recorded_at").desc(), F.col("source_file")))
-
-
 PRICE_DISPLAY = ["predicted_market_price", "manufacturing_cost", "recommended_price",
                  "min_competitive_price", "max_competitive_price", "minimum_viable_price"]
 PCT_DISPLAY = ["profit_margin_percentage", "discount_from_market"]

@@ -23,7 +23,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pricelens.functions.core import attach, lit_d, with_global
 from pricelens.functions.quantile import agg_with_quantiles as agg_q
-from pricelens.functions.rank import group_rank
 from pricelens.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = T.StructType([
@@ -67,9 +66,8 @@ def price_bounds(history: DataFrame, by: str = "product_id", k: float = 1.5) ->
 
 
 def flag_anomalies(df: DataFrame, bounds: DataFrame, by: str = "product_id") -> DataFrame:
-    """Mark prices outside their product's bounds (stream-static join;
-    the bounds table is broadcast after a size check). Unknown products are
-    not anomalous."""
+    """Mark prices outside their product's bounds (a plain stream-static
+    join). Unknown products are not anomalous."""
     x = attach(df, bounds, by)
     p = F.col("price")
     return x.withColumn("is_anomalous", F.coalesce((p < F.col("lower_bound")) | (p > F.col("upper_bound")),
@@ -82,15 +80,18 @@ def guardrail(df: DataFrame, max_change: float = 0.05, horizon_hours: float = 24
     """X3 (batch): limit each price to +-max_change of the same product's
     previous price when that one is at most ``horizon_hours`` older.
 
-    The previous row comes from a distributed lag: rows are ranked within
-    their product (``group_rank``, no single-task sort of a hot product) and
-    joined to the row of rank - 1 on ``(product, rank)``.
+    The previous row is a lag among the product's rows of the same hour; an
+    hour's first row takes the last row of the product's hour before it, from a
+    small table of one row per product and hour.
     """
-    r = group_rank(df, [by], [F.col("ts"), F.col("event_id")], out="_r", size_out="_n").drop("_n")
-    prev = r.select(by, (F.col("_r") + 1).alias("_r"), F.col("ts").alias("prev_ts"),
-                    F.col("price").alias("prev_price"))
-    j = r.join(prev, [by, "_r"], "left")
-    return _apply_guard(j, max_change, horizon_hours).drop("_r")
+    hour = F.date_trunc("hour", "ts")
+    own = Window.partitionBy(by, "_hour").orderBy("ts", "event_id")
+    x = df.withColumn("_hour", hour).withColumns({"_lag": F.lag(F.struct("ts", "price")).over(own)})
+    ends = x.groupBy(by, "_hour").agg(F.max_by(F.struct("ts", "price"), F.struct("ts", "event_id")).alias("_end"))
+    carried = ends.select(by, "_hour", F.lag("_end").over(Window.partitionBy(by).orderBy("_hour")).alias("_carried"))
+    prev = F.coalesce("_lag", "_carried")
+    j = x.join(carried, [by, "_hour"]).withColumns({"prev_ts": prev["ts"], "prev_price": prev["price"]}).drop("_hour", "_lag", "_carried", "_end")
+    return _apply_guard(j, max_change, horizon_hours)
 
 
 def _apply_guard(j: DataFrame, max_change: float, horizon_hours: float) -> DataFrame:
@@ -112,36 +113,34 @@ GUARD_STATE = T.StructType([T.StructField("last_ts", T.TimestampType()),
                             T.StructField("last_price", T.DoubleType())])
 
 
-def guardrail_stream(df: DataFrame, max_change: float = 0.05, horizon_hours: float = 24.0) -> DataFrame:
+def guardrail_stream(df: DataFrame, max_change: float = 0.05, horizon_hours: float = 24.0, watermark: str = "1 hour") -> DataFrame:
     """X3 (stream): the same rule with per-product state (last price and time),
     via ``applyInPandasWithState``. Within a micro-batch a product's rows are
-    taken in event-time order; the state is one row per product."""
+    taken in event-time order; the state is one row per product. It is dropped
+    once the watermark has passed the horizon: no later price is limited by it
+    (and such a price has no previous one then)."""
     horizon = pd.Timedelta(hours=horizon_hours)
 
     def step(key, batches, state):
-        last_ts, last_price = (state.get if state.exists else (None, None))
-        out = []
-        for pdf in batches:
-            out.append(pdf)
-        if not out:
+        if state.hasTimedOut:
+            state.remove()
             return
-        pdf = pd.concat(out).sort_values(["ts", "event_id"])
-        prev_p, res = [], []
-        for ts, price in zip(pdf["ts"], pdf["price"]):
-            recent = last_ts is not None and (ts - last_ts) <= horizon
-            prev_p.append(last_price)
-            g = price
-            if recent:
-                g = min(max(price, last_price * (1 - max_change)), last_price * (1 + max_change))
-            res.append(g)
-            last_ts, last_price = ts, price
+        last_ts, last_price = state.get if state.exists else (pd.NaT, float("nan"))
+        pdf = pd.concat(batches).sort_values(["ts", "event_id"])
+        prev_ts, prev = pdf["ts"].shift(1), pdf["price"].shift(1)
+        prev_ts.iloc[0], prev.iloc[0] = last_ts, last_price
+        recent = prev_ts.notna() & (pdf["ts"] - prev_ts <= horizon)
+        limited = pdf["price"].clip(prev * (1 - max_change), prev * (1 + max_change))
+        guarded = limited.where(recent, pdf["price"])
+        last_ts, last_price = pdf["ts"].iloc[-1], float(pdf["price"].iloc[-1])
         state.update((last_ts, last_price))
-        pdf = pdf.assign(prev_price=prev_p, guarded_price=res)
-        pdf["was_limited"] = pdf["guarded_price"] != pdf["price"]
-        yield pdf[[f.name for f in GUARD_OUT.fields]]
+        passed = int(pdf["_ms"].iloc[-1]) + int(horizon_hours * 3_600_000)
+        state.setTimeoutTimestamp(max(passed, state.getCurrentWatermarkMs()) + 1)
+        yield pdf.assign(prev_price=prev.astype(object).where(prev.notna(), None), guarded_price=guarded,
+                         was_limited=guarded != pdf["price"])[[f.name for f in GUARD_OUT.fields]]
 
-    return (df.select("event_id", "product_id", "ts", "price").groupBy("product_id")
-            .applyInPandasWithState(step, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout))
+    return (df.withWatermark("ts", watermark).select("event_id", "product_id", "ts", "price", F.unix_millis("ts").alias("_ms")).groupBy("product_id")
+            .applyInPandasWithState(step, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --- X4 ---------------------------------------------------------------------------

@@ -153,6 +153,15 @@ def c01_missing_report(spark, d):
     return C.missing_report(PD(spark, d))
 
 
+@register("c01_missing_by_category", W(O.PRODUCTS_DIRTY) + ", n AS (SELECT category, count(*) n, " +
+          ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in O.DIRTY_COLS if c != "category") + """ FROM products_dirty GROUP BY category)
+SELECT category, "column", missing, missing / n * 100 AS missing_pct FROM (UNPIVOT n ON """ +
+          ", ".join(c for c in O.DIRTY_COLS if c != "category") + """ INTO NAME "column" VALUE missing)""")
+def c01_missing_by_category(spark, d):
+    """Missing values per category and column."""
+    return C.missing_report(PD(spark, d), by="category")
+
+
 @register("c02_fill_median_by_category", W(O.PRODUCTS_DIRTY) + f"""
 , f AS (SELECT category, {O.q(O.xs('discounted_price'), 0.5)} fdp, {O.q(O.xs('rating'), 0.5)} fr
        FROM products_dirty GROUP BY category)
@@ -364,12 +373,13 @@ def d07_winsorise(spark, d):
     return x.select("product_id", "category", "split", "discounted_price", F.col("rating_count").cast("double"))
 
 
-DESC = ["discounted_price", "manufacturing_cost", "rating"]
+#: The catalogue's numeric columns.
+DESC = ["discounted_price", "actual_price", "manufacturing_cost", "discount_percentage", "rating", "rating_count", "estimated_units_sold", "feature_count",
+        "technology_level", "value_score", "brand_strength", "price_elasticity"]
 
 
 @register("d08_describe", W(O.PRODUCTS) + f"""
-, long AS (UNPIVOT (SELECT category, discounted_price, manufacturing_cost, rating FROM products)
-           ON discounted_price, manufacturing_cost, rating INTO NAME "column" VALUE value)
+, long AS (UNPIVOT (SELECT category, {', '.join(f'{c}::DOUBLE {c}' for c in DESC)} FROM products) ON {', '.join(DESC)} INTO NAME "column" VALUE value)
 SELECT category, "column", count(value) "count", avg(value) mean, stddev_samp(value) std, min(value) "min",
        {O.q(O.xs('value'), 0.25)} p25, {O.q(O.xs('value'), 0.5)} p50, {O.q(O.xs('value'), 0.75)} p75, max(value) "max"
 FROM long GROUP BY ALL""")
@@ -378,43 +388,63 @@ def d08_describe(spark, d):
     return D.describe_by(P(spark, d), DESC)
 
 
-CORR = ["discounted_price", "actual_price", "manufacturing_cost", "rating", "rating_count",
-        "estimated_units_sold", "value_score"]
+CORR = [*DESC, *E.FEATURE_COLS]
+
+
+def _train_features(spark, d):
+    """All numeric columns, raw and engineered, of the training rows."""
+    s = SPL(spark, d)
+    train = s.where("split = 'train'")
+    return E.price_features(s, E.benchmarks(train)).where("split = 'train'")
+
+
+_CORR_ROWS = W(O.FEATURES) + """
+, num AS (SELECT s.* EXCLUDE (split), f.* EXCLUDE (product_id, category, split) FROM split_t s JOIN feat f USING (product_id) WHERE s.split = 'train')"""
+
 
+def _corr(a: str, b: str) -> str:
+    return f"CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN NULL ELSE round(corr({a}, {b}), 10) + 0e0 END"
 
-@register("d09_top_correlations", W(O.PRODUCTS) + """
-, c AS (SELECT category, """ + ", ".join(f"corr({c}, discounted_price) AS {c}" for c in CORR) + """ FROM products GROUP BY category),
-l AS (UNPIVOT c ON """ + ", ".join(CORR) + """ INTO NAME feature VALUE "corr"),
-r AS (SELECT category, feature, "corr", row_number() OVER (PARTITION BY category ORDER BY "corr" DESC NULLS LAST,
+
+@register("d09_top_correlations", _CORR_ROWS + """
+, c AS (SELECT category, """ + ", ".join(f"{_corr(c, 'discounted_price')} AS {c}" for c in CORR) + """ FROM num GROUP BY category),
+l AS (SELECT * FROM c UNPIVOT INCLUDE NULLS ("corr" FOR feature IN (""" + ", ".join(CORR) + """))),
+r AS (SELECT category, feature, "corr", row_number() OVER (PARTITION BY category ORDER BY round("corr", 10) DESC NULLS LAST,
         list_position(""" + "[" + ", ".join(f"'{c}'" for c in CORR) + """], feature)) "rank" FROM l)
 SELECT category, "rank"::INTEGER "rank", feature, "corr" FROM r WHERE "rank" <= 6""")
 def d09_top_correlations(spark, d):
-    """Top-6 correlations with price (the price itself first)."""
-    return D.top_correlations(P(spark, d), "discounted_price", CORR, "category", 6)
+    """Top-6 correlations with price (the price itself first) among all raw and engineered columns of the training rows."""
+    return D.top_correlations(_train_features(spark, d), "discounted_price", CORR, "category", 6)
 
 
-_PAIRS = [(a, b) for i, a in enumerate(CORR[:4]) for b in CORR[:4][i:]]
+_PAIRS = [(a, b) for i, a in enumerate(CORR) for b in CORR[i:]]
 
 
-@register("d10_correlation_matrix", W(O.PRODUCTS) + " SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT category, '{a}' col_a, '{b}' col_b, corr({a}, {b}) \"corr\" FROM products GROUP BY category"
-    for a, b in _PAIRS) + ")")
+@register("d10_correlation_matrix", _CORR_ROWS + """
+SELECT category, unnest([""" + ", ".join(f"{{'col_a': '{a}', 'col_b': '{b}', 'corr': {_corr(a, b)}}}" for a, b in _PAIRS) +
+          "], recursive := true) FROM num GROUP BY category")
 def d10_correlation_matrix(spark, d):
-    """Correlation matrix per category (pairs a <= b)."""
-    return D.correlation_matrix(P(spark, d), CORR[:4])
+    """Correlation matrix per category (pairs a <= b) of all raw and engineered columns of the training rows."""
+    return D.correlation_matrix(_train_features(spark, d), CORR)
 
 
-@register("d11_histogram", W(O.PRODUCTS) + """
-, r AS (SELECT category, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END lo,
-               CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END hi
-        FROM (SELECT category, ln(1 + discounted_price) v FROM products) GROUP BY category),
-b AS (SELECT category, lo, hi, least(floor((ln(1 + discounted_price) - lo) * 20 / (hi - lo)), 19)::INTEGER bin
-      FROM products JOIN r USING (category))
-SELECT category, bin, lo + bin * ((hi - lo) / 20) bin_lo, lo + (bin + 1) * ((hi - lo) / 20) bin_hi, count(*) "count"
-FROM b GROUP BY category, bin, lo, hi""")
+_HISTOGRAMS = [(c, log) for c in D.PRICE_COLS for log in (False, True)]
+
+
+@register("d11_histogram", W(O.PRODUCTS) + ", vs AS (" + " UNION ALL ".join(
+    f"SELECT category, '{c}' \"column\", {str(log).lower()} is_log, {f'ln(1 + {c})' if log else f'{c}::DOUBLE'} v FROM products" for c, log in _HISTOGRAMS) + """),
+r AS (SELECT category, "column", is_log, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END lo,
+             CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END hi FROM vs GROUP BY ALL),
+b AS (SELECT category, "column", is_log, lo, hi, least(floor((v - lo) * 20 / (hi - lo)), 19)::INTEGER bin FROM vs JOIN r USING (category, "column", is_log))
+SELECT category, "column", is_log, bin, lo + bin * ((hi - lo) / 20) bin_lo, lo + (bin + 1) * ((hi - lo) / 20) bin_hi, count(*) "count"
+FROM b GROUP BY ALL""")
 def d11_histogram(spark, d):
-    """20-bin histogram of log1p(price) per category."""
-    return D.histogram(P(spark, d), "discounted_price", "category", bins=20, log=True)
+    """20-bin histograms of the three price columns and their logarithms, per category."""
+    p, out = reuse(P(spark, d)), None
+    for c, log in _HISTOGRAMS:
+        h = D.histogram(p, c, "category", bins=20, log=log).withColumns({"column": F.lit(c), "is_log": F.lit(log)})
+        out = h if out is None else out.unionByName(h)
+    return out
 
 
 @register("d12_five_number", W(O.PRODUCTS) + f"""
@@ -433,6 +463,14 @@ def e01_benchmarks(spark, d):
     return E.benchmarks(SPL(spark, d).where("split = 'train'"))
 
 
+@register("e01_benchmarks_first", W(O.SPLIT, O.benchmarks_cte("split_t WHERE split = 'train'", floor=False)) +
+          " SELECT category, median_price, median_manufacturing_cost, mean_profit_margin, competitive_price_factor FROM bm")
+def e01_benchmarks_first(spark, d):
+    """E1, first version: the benchmarks that divide by the cost, over raw denominators."""
+    return E.benchmarks(SPL(spark, d).where("split = 'train'"), floor_denominators=False).select(
+        "category", "median_price", "median_manufacturing_cost", "mean_profit_margin", "competitive_price_factor")
+
+
 @register("e02_repair_benchmarks", W(O.PRODUCTS, """
 holes AS (SELECT * REPLACE (CASE WHEN category = 'Audio' THEN NULL ELSE discounted_price END AS discounted_price,
                             CASE WHEN category = 'Cameras' THEN NULL ELSE manufacturing_cost END AS manufacturing_cost)
@@ -466,6 +504,16 @@ def e03_price_features(spark, d):
     return E.price_features(x, bm).select("product_id", "category", "split", *E.FEATURE_COLS)
 
 
+@register("e07_attraction_first", W(O.FEATURES) + f"""
+SELECT product_id, category, s.split, value_score + brand_strength / 50e0 - {O.fd("discounted_price", "median_price")} * 0.5 customer_attraction_score
+FROM split_t s JOIN bm USING (category)""")
+def e07_attraction_first(spark, d):
+    """E7, first version: attraction score with brand strength over a fixed 50."""
+    s = SPL(spark, d)
+    x = E.price_features(s, E.benchmarks(s.where("split = 'train'")), brand_norm="fixed")
+    return x.select("product_id", "category", "split", "customer_attraction_score")
+
+
 @register("e21_price_ratios", W(O.PRODUCTS) + """
 SELECT product_id, discounted_price / NULLIF(manufacturing_cost, 0) price_to_cost_ratio,
        (discounted_price - manufacturing_cost) / NULLIF(discounted_price, 0) * 100 margin_percentage,
@@ -545,6 +593,29 @@ def e28_one_hot_aligned(spark, d):
     return tr.unionByName(te)
 
 
+WIDE = ["brand", "price_segment", "brand_tier", "category", "brand_level"]
+
+
+def _as_cte(name: str) -> str:
+    """An oracle's own CTEs aside from the products, and its rows under ``name``."""
+    return f"{name} AS ({ORACLES[name]})"
+
+
+@register("e27_encode_levels", W(O.SPLIT, _as_cte("e23_price_segments"), _as_cte("e26_brand_tier"), """
+w AS (SELECT s.product_id, s.split, s.brand, price_segment, brand_tier, s.category, s.brand_level
+      FROM split_t s JOIN e23_price_segments USING (product_id) JOIN e26_brand_tier USING (product_id)),
+l AS (""" + " UNION ALL ".join(f"SELECT product_id, split, {i} nth, {c}::VARCHAR \"level\" FROM w" for i, c in enumerate(WIDE)) + """),
+dict AS (SELECT nth, "level", row_number() OVER (ORDER BY nth, "level") - 1 place FROM (SELECT DISTINCT nth, "level" FROM l WHERE split = 'train' AND "level" IS NOT NULL))""") + """
+SELECT product_id, split, (SELECT count(*) FROM dict) size, string_agg(place::VARCHAR, ',' ORDER BY place) indices
+FROM l LEFT JOIN dict USING (nth, "level") GROUP BY product_id, split""")
+def e27_encode_levels(spark, d):
+    """Brand, segment, tier, category and brand level of train and test rows as sparse
+    vectors over one dictionary of the training rows' levels."""
+    x = reuse(E.brand_tier(E.price_segments(SPL(spark, d))))
+    got = E.encode_levels(x, E.level_dictionary(x.where("split = 'train'"), WIDE), WIDE)
+    return got.select("product_id", "split", F.col("features.size").alias("size"), F.array_join("features.indices", ",").alias("indices"))
+
+
 @register("e29_standardise", W(O.SPLIT) + """
 , s AS (SELECT category, avg(discounted_price) m1, stddev_pop(discounted_price) s1, avg(rating) m2, stddev_pop(rating) s2
         FROM split_t WHERE split = 'train' GROUP BY category)
@@ -603,7 +674,8 @@ from pricelens.operators import evaluation as EV  # noqa: E402
 
 def PRED(spark, d):
     """Split products with a stand-in prediction (train median x (0.5 + value_score)), clipped."""
-    s = SPL(spark, d)
+    # read for medians, ranges, baselines and rows: the few columns that are needed are kept, split and all
+    s = reuse(SPL(spark, d).select("product_id", "category", "split", "discounted_price", "value_score"))
     train = s.where("split = 'train'")
     med = agg_q(train, ["category"], {"_q": ("discounted_price", [0.5])}).select(
         "category", F.col("_q")[0].alias("_tmed"))
@@ -660,6 +732,14 @@ def f13_residuals(spark, d):
     return D.histogram(EV.residuals(PRED(spark, d)), "pct_error", "category", bins=20)
 
 
+@register("f13_residual_rows", W(O.PRED) + """
+SELECT product_id, category, split, discounted_price - prediction residual, (discounted_price - prediction) / NULLIF(discounted_price, 0) * 100 pct_error
+FROM pred""")
+def f13_residual_rows(spark, d):
+    """residual and percentage error of every row."""
+    return EV.residuals(PRED(spark, d)).select("product_id", "category", "split", "residual", "pct_error")
+
+
 @register("f14_performance_summary", W(O.PRED) + " SELECT * FROM summary")
 def f14_performance_summary(spark, d):
     """per-category performance summary with overfit / baseline / quality."""
@@ -731,13 +811,19 @@ def g17_effective_settings(spark, d):
 
 
 @register("g19_advice", REC + """
-SELECT product_id, CASE WHEN coalesce(viability_issue, false) THEN 'viability'
-                        WHEN coalesce(high_cost_warning, false) THEN 'high_cost'
-                        WHEN recommended_price > predicted_market_price THEN 'above_market' ELSE 'normal' END advice_class
-FROM rec""")
+, a AS (SELECT *, CASE WHEN coalesce(viability_issue, false) THEN 'viability'
+                       WHEN coalesce(high_cost_warning, false) THEN 'high_cost'
+                       WHEN recommended_price > predicted_market_price THEN 'above_market' ELSE 'normal' END advice_class FROM rec)
+SELECT product_id, advice_class, CASE advice_class
+  WHEN 'viability' THEN printf('Manufacturing cost is too high for this market; reduce it by %.2f to at most %.2f.', round(cost_reduction_needed, 2), round(recommended_max_cost, 2))
+  WHEN 'high_cost' THEN printf('High manufacturing cost: premium positioning at %.2f, %.1f%% above market.', round(recommended_price, 2), round(discount_from_market, 1))
+  WHEN 'above_market' THEN printf('Recommended price %.2f is %.1f%% above the market price %.2f because of the manufacturing cost.', round(recommended_price, 2),
+                                  round(abs(discount_from_market), 1), round(predicted_market_price, 2))
+  ELSE printf('Price at %.2f (%.1f%% below market) for a %.1f%% margin.', round(recommended_price, 2), round(discount_from_market, 1), round(profit_margin_percentage, 1)) END advice
+FROM a""")
 def g19_advice(spark, d):
-    """Advice class per recommendation (the text is formatted from the same fields)."""
-    return G.advice(REC_DF(spark, d)).select("product_id", "advice_class")
+    """Advice class and text per recommendation."""
+    return G.advice(REC_DF(spark, d)).select("product_id", "advice_class", "advice")
 
 
 @register("g20_price_ladder", REC + """
@@ -995,6 +1081,7 @@ def i16_flag_totals(spark, d):
 import uuid  # noqa: E402
 
 from pricelens.session import ensure_checkpoint_dir  # noqa: E402
+from pricelens.sources import history as HI  # noqa: E402
 from pricelens.sources import io as A  # noqa: E402
 
 
@@ -1045,13 +1132,62 @@ def a06_price_stats_json(spark, d):
     return A.read_price_stats_json(spark, path)
 
 
-@register("a08_history", REC + """
-SELECT product_id, category, recommended_price, strategy FROM rec""")
-def a08_history(spark, d):
-    """Recommendations appended as JSON, read back newest first."""
+# History files: one per category and 25 products, of three shapes, a minute apart; some hold what can't be read.
+_HIST = """
+, f AS (SELECT *, (product_id % 10) * 1000 + product_id // 250 k FROM rec),
+hf AS (SELECT *, CASE WHEN k % 3 = 2 AND product_id = min(product_id) OVER (PARTITION BY k) THEN k + 100000 ELSE k END file FROM f)"""
+
+
+def _history_files(spark, d):
+    """Recommendations as JSON lines, arrays over several lines, and single printed objects."""
+    rec = REC_DF(spark, d).select("product_id", "category", "recommended_price", "strategy")
+    k = (F.col("product_id") % 10) * 1000 + F.floor(F.col("product_id") / 250)
+    x = rec.withColumn("k", k).withColumn("j", F.to_json(F.struct("product_id", "category", "recommended_price", "strategy")))
+    first = x.groupBy("k").agg(F.min("product_id").alias("low"))
+    alone = (F.col("k") % 3 == 2) & (F.col("product_id") == F.col("low"))
+    files = (attach(x, first, "k").withColumn("file", F.when(alone, F.col("k") + 100000).otherwise(F.col("k")))
+             .groupBy("file").agg(F.sort_array(F.collect_list("j")).alias("rows")))  # at most 25 rows
+    lines, odd = F.array_join("rows", "\n"), F.col("file") % 1000 == 0
+    body = (F.when(F.col("file") >= 100000, F.regexp_replace(F.col("rows")[0], r'([{,])"', '$1\n  "'))
+            .when(F.col("file") % 3 == 1, F.concat(F.lit("[\n"), F.array_join("rows", ",\n"), F.when(odd, F.lit(",\n7")).otherwise(F.lit("")), F.lit("\n]")))
+            .otherwise(F.concat(lines, F.when(odd, F.lit("\n{broken")).otherwise(F.lit("")))))
     path = scratch(spark, "history")
-    A.write_recommendations(REC_DF(spark, d), path)
-    return H.history(A.read_history(spark, path)).select("product_id", "category", "recommended_price", "strategy")
+    broken = spark.range(1).select(F.lit(999999).cast("long").alias("file"), F.lit('{\n "category": "Audio",\n').alias("value"))
+    files.select("file", body.alias("value")).unionByName(broken).repartition("file").write.partitionBy("file").text(path)
+    HI.set_file_times(spark, path, lambda name: 1_700_000_000_000 + 60_000 * int(name.split("=")[1]))
+    return path
+
+
+@register("a08_history", REC + _HIST + """
+SELECT product_id, category, recommended_price, strategy, file, TIMESTAMP '2023-11-14 22:13:20' + INTERVAL 1 MINUTE * file recorded_at FROM hf""")
+def a08_history(spark, d):
+    """History files of three shapes read back with their time, newest first."""
+    h = H.history(HI.read_history(spark, _history_files(spark, d)))
+    return ntz(h.select("product_id", "category", "recommended_price", "strategy",
+                        F.regexp_extract("source_file", "file=([0-9]+)", 1).cast("long").alias("file"), "recorded_at"), "recorded_at")
+
+
+@register("a08_history_rejects", REC + _HIST + """
+SELECT file, 'not JSON' reason, '{broken' "text" FROM (SELECT DISTINCT file FROM hf WHERE file % 1000 = 0 AND file % 3 <> 1 AND file < 100000)
+UNION ALL SELECT file, 'not an object', '[' FROM (SELECT DISTINCT file FROM hf WHERE file % 1000 = 0 AND file % 3 = 1 AND file < 100000)
+UNION ALL SELECT 999999, 'not JSON', '{' """)
+def a08_history_rejects(spark, d):
+    """What of the history can't be read, with its file and the reason."""
+    r = HI.read_rejects(spark, _history_files(spark, d))
+    return r.select(F.regexp_extract("source_file", "file=([0-9]+)", 1).cast("long").alias("file"), "reason",
+                    F.regexp_extract("value", r"^\S*", 0).alias("text"))
+
+
+@register("a07_append_batches", REC + """
+SELECT product_id, category, recommended_price, strategy, CASE WHEN product_id % 2 = 0 THEN 'even' ELSE 'odd' END batch_id FROM rec""")
+def a07_append_batches(spark, d):
+    """Batches appended, one of them tried twice and one not committed; each committed row is read once."""
+    path = scratch(spark, "batches")
+    rec = REC_DF(spark, d)
+    for batch, half in (("even", 0), ("odd", 1), ("even", 0)):
+        HI.append_batch(rec.where(F.col("product_id") % 2 == half), path, batch)
+    rec.limit(5).withColumn("batch_id", F.lit("lost")).write.mode("append").partitionBy("batch_id").json(f"{path}/data")
+    return HI.read_batches(spark, path).select("product_id", "category", "recommended_price", "strategy", "batch_id")
 
 
 @register("a09_display", REC + """
@@ -1379,13 +1515,11 @@ def x05_change_alerts(spark, d):
     return ntz(X.change_alerts(X.window_prices(EVT(spark, d), "1 day"), threshold=0.5), "window_start")
 
 
-@register("h04_recent_categories", REC + " SELECT DISTINCT category FROM rec")
+@register("h04_recent_categories", REC + _HIST + """
+SELECT DISTINCT category FROM hf JOIN (SELECT DISTINCT file FROM hf ORDER BY file DESC LIMIT 20) USING (file)""")
 def h04_recent_categories(spark, d):
-    """H4: distinct categories of the 20 most recent history files (the history is written
-    hash-partitioned by category into at most 10 files)."""
-    path = scratch(spark, "history")
-    A.write_recommendations(REC_DF(spark, d).repartition(10, "category"), path)
-    return H.recent_categories(A.read_history(spark, path), files=20)
+    """H4: distinct categories of the 20 most recent history files."""
+    return H.recent_categories(HI.read_history(spark, _history_files(spark, d)), files=20)
 
 
 _MSCEN = O.SCEN[:O.SCEN.index("sreq AS (")]
@@ -1554,13 +1688,15 @@ def g06_confidence_band(spark, d):
                                                           "model_within_10pct")
 
 
-@register("b04_numeric_columns", W(O.PRODUCTS) + """
-SELECT column_name "column" FROM (DESCRIBE SELECT * FROM products) WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT')""")
+@register("b04_numeric_columns", W(O.PRODUCTS_DIRTY) + """
+SELECT name "column", n FROM (UNPIVOT (SELECT count(COLUMNS(* EXCLUDE (product_name, brand, product_type, category, market_saturation, brand_level))) FROM products_dirty)
+ON * INTO NAME name VALUE n)""")
 def b04_numeric_columns(spark, d):
-    """Names of the catalogue's numeric columns, each with at least one row behind it."""
-    p = P(spark, d)
-    names = F.array(*[F.lit(c) for c in B.numeric_columns(p)])
-    return p.limit(1).select(F.explode(names).alias("column"))
+    """The catalogue's numeric columns, with the number of values that each has."""
+    p = PD(spark, d)
+    names = B.numeric_columns(p)
+    counts = p.agg(*[F.count(c).alias(c) for c in names])
+    return counts.unpivot([], names, "column", "n")
 
 
 @register("a05_write_table", W(O.PRODUCTS, O.benchmarks_cte("products")) + " SELECT * FROM bm")
