@@ -93,13 +93,17 @@ class Scratch:
         self.names.append(full)
         return self.spark.table(full)
 
+    def drop(self, name: str = "") -> None:
+        """Delete a table that nothing reads any more; without a name, all of them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        path.getFileSystem(conf).delete(path, True)
+
     def close(self) -> None:
         """Drop the tables; what was made from them must be materialised."""
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(conf).delete(path, True)
+        self.drop()
 
 
 def release(spark: SparkSession) -> None:

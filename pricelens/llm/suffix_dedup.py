@@ -12,9 +12,11 @@ first ``LENGTH`` bytes only, and the parse makes that a job on phrases:
 * Dictionary: only triggers that two different texts have matter. Equal phrases
   are one entry, which knows its first document; phrases of later documents are
   duplicates as a whole. So the work on copies ends here, however many.
-* Order inside the dictionary: entries that share their trigger but differ are
-  split into their suffixes' first ``LENGTH`` bytes, which are grouped; in a group
-  the strings of later documents are duplicates.
+* Order of the dictionary's suffixes: entries that share their trigger but differ
+  are split into their suffixes' first ``LENGTH`` bytes, which are put in order -
+  by trigger, bytes (as a hash) and document - by a range partition and a sort.
+  In a sweep over that order, a string after an equal one of an earlier document
+  is a duplicate. Ranges cut anywhere, also inside a string of many documents.
 
 Hot triggers never meet in one task: a task's texts are reduced to one entry for
 every trigger first, and phrases and strings are aggregated before shuffles.
@@ -222,6 +224,66 @@ def _strings(text: Column, spans: Column) -> Column:
     return of(text, spans)
 
 
+_MET = "kind tinyint, text_hash long, at int, trigger long, string long, order long"
+_LATER, _FIRST, _LAST_KEY = 0, 1, 2  # kinds of the rows that a sweep gives
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of the dictionary's suffixes in order: which strings come after
+    an equal one of an earlier document.
+
+    A range's first key may have begun in the ranges before it. Its strings of
+    the least order here are given as ``_FIRST``, every range's last key as
+    ``_LAST_KEY``: what they are to each other is settled outside.
+    """
+    schema = pa.schema([("kind", pa.int8()), ("text_hash", pa.int64()), ("at", pa.int32()), ("trigger", pa.int64()), ("string", pa.int64()),
+                        ("order", pa.int64())])
+    key, own, leading = None, 0, True  # the open key, its least order, and whether it is the range's first one
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        text, at, trigger, string, order = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        new = np.ones(n, dtype=bool)
+        new[1:] = (trigger[1:] != trigger[:-1]) | (string[1:] != string[:-1])
+        new[0] = key != (trigger[0], string[0])
+        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        least = np.where(start >= 0, order[start], own)
+        first = np.zeros(n, dtype=bool)
+        if leading:
+            starts = np.flatnonzero(new)
+            ends = starts[1:] if key is None else starts  # the range's first key ends where the next begins
+            stop = int(ends[0]) if len(ends) else n
+            least[:stop] = order[0] if key is None else own
+            first[:stop] = order[:stop] == least[:stop]
+            leading = not len(ends)
+        for kind, mask in ((_LATER, order > least), (_FIRST, first)):
+            if mask.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mask.sum()), kind, dtype=np.int8)), pa.array(text[mask]), pa.array(at[mask]),
+                                                  pa.array(trigger[mask]), pa.array(string[mask]), pa.array(order[mask])], schema=schema)
+        key, own = (trigger[-1], string[-1]), int(least[-1])
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((_LAST_KEY, 0, 0, int(key[0]), int(key[1]), own), schema, strict=True)],
+                                         schema=schema)
+
+
+def _again(strings: DataFrame, scratch: Scratch) -> DataFrame:
+    """The intervals (text_hash, begin, end) of strings that also start in an earlier document.
+
+    The suffixes of the dictionary's entries are put in the order of trigger,
+    first bytes and document by a range partition and a sort, and each range is
+    swept once. A string of very many documents fills several ranges.
+    """
+    order = ["trigger", "string", "order"]
+    ranged = strings.select("text_hash", "at", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+    met = scratch.table(ranged.mapInArrow(_swept, _MET), "met")
+    first = met.filter(F.col("kind") == _FIRST)
+    least = (met.filter(F.col("kind") != _LATER).groupBy("trigger", "string").agg(F.min("order").alias("least")))  # a few rows a range
+    late = first.join(least, ["trigger", "string"]).filter("least < order").select("text_hash", "at")
+    found = met.filter(F.col("kind") == _LATER).select("text_hash", "at").unionByName(late)
+    return found.select("text_hash", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"))
+
+
 def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of intervals."""
     order = np.argsort(begin, kind="stable")
@@ -297,6 +359,7 @@ class _Found:
         known = scratch.table(known, "known")
         del entry, share, dictionary, found
         release(spark)
+        scratch.drop("phrases")
         later = known.filter("later").select("text_hash", F.col("first").alias("begin"), (F.col("first") + F.col("n") + LENGTH - 1).alias("end"))
         runs = known.filter(~F.col("later")).groupBy("text_hash").agg(F.collect_list(F.struct("first", "n", "trigger")).alias("runs"))
         strings = (texts.join(runs, "text_hash").select("text_hash", "order", F.explode(_strings(F.col("text"), F.col("runs"))).alias("s"))
@@ -304,10 +367,8 @@ class _Found:
         strings = scratch.table(strings, "strings")
         del runs
         release(spark)
-        group = (strings.groupBy("trigger", "string").agg(F.min("order").alias("owner"), F.max("order").alias("high"))
-                 .filter("owner < high").drop("high"))
-        again = (strings.join(group, ["trigger", "string"]).filter("owner < order")
-                 .select("text_hash", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")))
+        again = _again(strings, scratch)
+        scratch.drop("strings")
         self.spans = (later.unionByName(again).groupBy("text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
 

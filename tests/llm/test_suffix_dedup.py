@@ -80,3 +80,18 @@ def test_parse_covers_every_start_once():
 
 def test_empty_table(spark):
     assert suffix_dedup.removals(frame(spark, [])).collect() == []
+
+
+def test_a_string_of_many_documents_fills_several_ranges(spark):
+    """Ranges of a few rows each: keys begin, go on and end anywhere."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(12)
+        passage = " ".join(words(rng, 12))
+        rows = [(k // 2, f"{k % 7}{'xyz'[k % 3] * (k % 4)}{passage}{k % 5}" + passage[:k % 60], "en", "s", 0) for k in range(90)]
+        got = suffix_dedup.removals(frame(spark, rows)).collect()
+        assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == by_force(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
