@@ -36,7 +36,7 @@ from pyspark.sql.functions import arrow_udf
 from pricelens.llm.common import cut
 from pricelens.llm.prefix_tokens import byte_letters
 
-_CACHE = 600_000
+_CACHE = 1_200_000
 _LETTERS = regex.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ]+")  # letters that lower-case and normalise to one letter each
 
 
