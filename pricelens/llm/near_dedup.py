@@ -175,22 +175,15 @@ def sketched(text: Column, width: int, m: int) -> Column:
 
 
 def shingle_set(text: Column, width: int) -> Column:
-    """array<long> of the hashes of the text's distinct shingles."""
-    @arrow_udf("array<long>")
+    """struct(s array<long>, key): the hashes of the text's distinct shingles, and the set's key."""
+    @arrow_udf("struct<s: array<long>, key: binary>")
     def of(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py(), width).astype(np.int64) for t in texts]
+        sets = [shingles(t.as_py(), width) for t in texts]
         ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+        flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([set_key(s) for s in sets], pa.binary())], names=["s", "key"])
 
-    return of(text)
-
-
-def _key_of_set(hashes: Column) -> Column:
-    @arrow_udf("binary")
-    def of(sets: pa.Array) -> pa.Array:
-        return pa.array([set_key(np.asarray(s.values.to_numpy(), dtype=np.int64).view(np.uint64)) for s in sets], pa.binary())
-
-    return of(hashes)
+    return of.asNondeterministic()(text)  # worked out once, not again in the filter on its key
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,8 +242,8 @@ class _Verifier:
                   .unionByName(likely.select(F.col("b").alias("set_key"), F.col("t_b").alias("h"))).distinct())
         texts = (self.docs.select(F.xxhash64(column(self.text)).alias("h"), column(self.text).alias("__text"))
                  .join(needed, "h").dropDuplicates(["set_key"]))
-        sets = texts.select("set_key", shingle_set(F.col("__text"), self.width).alias("s"))
-        sets = cut(sets.filter(_key_of_set(F.col("s")) == F.col("set_key")))
+        sets = texts.select("set_key", shingle_set(F.col("__text"), self.width).alias("k"))
+        sets = cut(sets.filter(F.col("k.key") == F.col("set_key")).select("set_key", "k.s"))
         both = (likely.join(sets.select(F.col("set_key").alias("a"), F.col("s").alias("s_a")), "a")
                 .join(sets.select(F.col("set_key").alias("b"), F.col("s").alias("s_b")), "b"))
         common = F.size(F.array_intersect("s_a", "s_b"))
