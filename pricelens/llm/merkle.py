@@ -289,3 +289,55 @@ def digest(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"),
                       F.sha2(F.lower(F.hex(F.concat("siblings", "key_siblings"))).cast("binary"), 256).alias("proof_sha256"), back.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels of the trees of ``leaves`` (tree, idx, n, h), leaves first."""
+    return f"""{name} AS (
+  SELECT tree, 0 lvl, n, idx, h FROM {leaves}
+  UNION ALL
+  SELECT tree, lvl + 1, (n + 2) // 3, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, lvl, n, idx // 3)"""
+
+
+_LEAF_SQL = "sha256(" + " || ".join(_field_sql(c) for c in FIELDS) + ")"
+
+#: The rows of :func:`digest` in DuckDB: trees level by level, then every leaf's path.
+DIGEST_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT row_number() OVER () rid, doc_id, source tree, {_LEAF_SQL} h,
+         list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b: list_reduce(
+           range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295) crc,
+         {_LEAF_SQL.replace("text::VARCHAR", "replace(text, chr(10), '')::VARCHAR")} changed
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 idx, count(*) OVER (PARTITION BY tree) n FROM leaf),
+{_tree_sql("nodes", "placed")},
+subroot AS (SELECT tree source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 idx, count(*) OVER () n, 'top' tree FROM nodes WHERE n = 1),
+{_tree_sql("tops", "subroot")},
+steps AS (
+  SELECT rid, lvl, k.idx, k.h, p.idx // pow(3, lvl)::BIGINT own FROM placed p JOIN nodes k ON k.tree IS NOT DISTINCT FROM p.tree
+         AND k.n > 1 AND k.idx // 3 = p.idx // pow(3, lvl + 1)::BIGINT AND k.idx <> p.idx // pow(3, lvl)::BIGINT
+  UNION ALL
+  SELECT rid, lvl + 100, k.idx, k.h, s.idx // pow(3, lvl)::BIGINT FROM placed p JOIN subroot s ON s.source IS NOT DISTINCT FROM p.tree
+         JOIN tops k ON k.n > 1 AND k.idx // 3 = s.idx // pow(3, lvl + 1)::BIGINT AND k.idx <> s.idx // pow(3, lvl)::BIGINT),
+heights AS (
+  SELECT rid, unnest(range((SELECT max(lvl) FROM nodes k WHERE k.tree IS NOT DISTINCT FROM p.tree))) lvl FROM placed p
+  UNION ALL SELECT rid, 100 + unnest(range((SELECT max(lvl) FROM tops))) FROM placed),
+path AS (
+  SELECT h.rid, row_number() OVER (PARTITION BY h.rid ORDER BY h.lvl) - 1 step,
+         coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (WHERE s.idx < s.own), '') before,
+         coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (WHERE s.idx > s.own), '') after
+  FROM heights h LEFT JOIN steps s ON s.rid = h.rid AND s.lvl = h.lvl GROUP BY h.rid, h.lvl),
+fold AS (
+  SELECT rid, 0 step, CASE WHEN crc IS NOT NULL AND xor(crc, 4294967295) % 2 = 0 THEN changed ELSE h END h FROM placed
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(before || h || after) FROM fold f JOIN path p ON p.rid = f.rid AND p.step = f.step),
+folded AS (SELECT rid, arg_max(h, step) h FROM fold GROUP BY rid),
+proof AS (SELECT rid, sha256(string_agg(before || after, '' ORDER BY step)) h FROM path GROUP BY rid)
+SELECT doc_id, p.h leaf, s.h subroot, (SELECT h FROM tops WHERE n = 1) root, coalesce(f.h, sha256('')) proof_sha256, b.h folded_root,
+       b.h = (SELECT h FROM tops WHERE n = 1) verified
+FROM placed p JOIN subroot s ON s.source IS NOT DISTINCT FROM p.tree LEFT JOIN proof f USING (rid) JOIN folded b USING (rid)
+"""
