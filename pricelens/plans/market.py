@@ -67,4 +67,10 @@ def scenario_results_with_models(products: DataFrame, settings: DataFrame, model
         "price_to_cost_ratio": F.when(cost > 0, F.col("median_price") / cost).otherwise(F.lit(2.5)),
     })
     scored = score_requests(req, models, settings)
-    return I.run_priced_scenarios(scored, settings, stats=market.select("category", "q1", "q3"))
+    out = I.run_priced_scenarios(scored, settings, stats=market.select("category", "q1", "q3"))
+    known = F.col("predicted_market_price").isNotNull()
+    return out.withColumns({c: F.when(known, F.col(c)) for c in PRICED})
+
+
+#: Scenario results that need a market price.
+PRICED = ["recommended_price", "discount_from_market", "profit_margin_percentage", "strategy"]

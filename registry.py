@@ -1533,7 +1533,8 @@ sreq0 AS (
   FROM ngrid g LEFT JOIN scores USING (id) JOIN market m USING (category) LEFT JOIN settings s USING (category)),
 sreq AS (SELECT * EXCLUDE (rating, rating_count), CASE WHEN calibrated <= 0 THEN cost * ptc ELSE calibrated END market, coalesce(rating, 4e0) rating,
                 coalesce(rating_count, 100)::DOUBLE rating_count FROM sreq0)""",
-    O.SCEN[O.SCEN.index("r0 AS ("):]) + " SELECT * FROM results")
+    O.SCEN[O.SCEN.index("r0 AS ("):]) + " SELECT * REPLACE (" + ", ".join(
+        f"CASE WHEN predicted_market_price IS NOT NULL THEN {c} END AS {c}" for c in M.PRICED) + ") FROM results")
 def i02_scenario_results_model(spark, d):
     """I1-I6 as published: each scenario's market price predicted by its category model
     from the scenario's own inputs (rating, reviews, cost), then calibrated and priced."""
