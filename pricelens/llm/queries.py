@@ -94,5 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_license_scan, op11_merkle_manifest, op12_token_files, op13_embedding_whitening)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op8_near_duplicates": near_dedup.DIGEST_SQL, "op9_url_filters": url_rules.JUDGE_SQL,
+ORACLES: dict[str, str] = {"op8_near_duplicates": near_dedup.DIGEST_SQL, "op6_sharding": sharding.shard_sql(SHARDS), "op9_url_filters": url_rules.JUDGE_SQL,
                            "op11_merkle_manifest": merkle.DIGEST_SQL}

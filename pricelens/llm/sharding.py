@@ -128,3 +128,46 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 0) -> DataFr
     out = feistel_shards(size_and_checksum(docs), ["doc_id", "size", "text_crc32"], n_shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def _mix_sql(x: str) -> str:
+    """The 64-bit finaliser on a UHUGEINT column ``x``, as nested lets."""
+    a = f"xor({x}, {x} >> 30) * {int(_MIX1)}::UHUGEINT % 18446744073709551616::UHUGEINT"
+    let = lambda value, body: f"list_transform([{value}], lambda v: {body})[1]"
+    return let(a, let(f"xor(v, v >> 27) * {int(_MIX2)}::UHUGEINT % 18446744073709551616::UHUGEINT", "xor(v, v >> 31)"))
+
+
+def shard_sql(n_shards: int = 8, seed: int = 0, rounds: int = 6) -> str:
+    """The rows of :func:`shard_documents` in DuckDB: checksums byte by byte, the
+    network round by round, and the walk until all numbers are below n."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    utf8 = ("CASE WHEN o < 128 THEN [o] WHEN o < 2048 THEN [192 + (o >> 6), 128 + (o & 63)] "
+            "WHEN o < 65536 THEN [224 + (o >> 12), 128 + ((o >> 6) & 63), 128 + (o & 63)] "
+            "ELSE [240 + (o >> 18), 128 + ((o >> 12) & 63), 128 + ((o >> 6) & 63), 128 + (o & 63)] END")
+    keys = _round_keys(seed, rounds)
+    steps = "".join(f"""
+  r{k + 1} AS (SELECT * EXCLUDE (l, r), r l, xor(l, {_mix_sql(f"xor(r, {int(key)}::UHUGEINT)")} & mask) r FROM r{k}),""" for k, key in enumerate(keys))
+    return f"""
+WITH RECURSIVE bytes AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, flatten(list_transform(
+    list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)::BIGINT), lambda o: {utf8})) b, coalesce(text, '') = '' AS none FROM documents),
+sums AS (
+  SELECT doc_id, size, CASE WHEN none THEN 0 ELSE xor(list_reduce(b, lambda crc, x: xor(crc >> 8, list_extract({table}, (xor(crc, x) & 255) + 1)), 4294967295),
+         4294967295) END text_crc32 FROM bytes),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number, count(*) OVER () AS n FROM sums),
+net AS (SELECT n, half, (1::UHUGEINT << half::UHUGEINT) - 1 AS mask FROM (
+  SELECT n, greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS half FROM (SELECT max(n) n FROM numbered))),
+walk AS (
+  SELECT row_number, row_number::UHUGEINT AS x, 0 AS turn FROM numbered
+  UNION ALL
+  (WITH r0 AS (SELECT row_number, turn, n, half, mask, x >> half::UHUGEINT AS l, x & mask AS r FROM walk, net WHERE turn = 0 OR x >= n),{steps}
+  last AS (SELECT * FROM r{rounds})
+  SELECT row_number, (l << half::UHUGEINT) | r, turn + 1 FROM last)),
+placed AS (SELECT row_number, arg_max(x, turn)::BIGINT AS place FROM walk WHERE turn > 0 GROUP BY row_number)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {n_shards})::INTEGER AS shard, place // {n_shards} AS slot, NULL::INTEGER AS grown_shard, row_number
+FROM numbered JOIN placed USING (row_number)
+"""

@@ -62,7 +62,10 @@ def test_packing_is_whole_tight_and_gapless(spark):
 def test_two_fit_replaces_the_smallest():
     # greedy: 6 + 3 leaves 1; 2 + 2 fit the gap of 4 exactly
     plan, n = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
-    assert n == 2 and {p[0]: p[4] for p in plan} == {6: 0, 2: 0, 3: 1} or n == 2
+    assert n == 2 and {p[0]: p[4] for p in plan} == {6: 0, 2: 0, 3: 1}
+    # 30 goes out again for 25 + 14, which fill the gap of 40 to 39
+    plan, n = packing.best_two_fit({60: 1, 30: 1, 25: 1, 14: 1}, 100)
+    assert n == 2 and {p[0]: p[4] for p in plan} == {60: 0, 25: 0, 14: 0, 30: 1}
 
 
 def test_plan_covers_every_rank_once():
