@@ -25,7 +25,7 @@ MODEL_QUERIES = ["f04_training_rows", "f04_train_predict", "f08_model_metrics",
                  "g18_batch_counts", "i02_scenario_results_model", "x07_champion_challenger"]
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - {"x07_champion_challenger"}))  # that one fits twice, and runs below
 def test_query_matches_oracle(spark, entry, con, name):
     compare(spark, entry, con, name, SF_SMALL)
 
