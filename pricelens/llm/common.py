@@ -82,14 +82,14 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """``df`` written in buckets of ``key``: joins and groups on it don't shuffle it again."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         full = f"{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("path", f"{self.folder}/{name}").saveAsTable(full)
+        df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(full)
         self.names.append(full)
         return self.spark.table(full)
 

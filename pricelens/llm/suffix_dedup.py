@@ -259,8 +259,9 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leading = not len(ends)
         for kind, mask in ((_LATER, order > least), (_FIRST, first)):
             if mask.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mask.sum()), kind, dtype=np.int8)), pa.array(text[mask]), pa.array(at[mask]),
-                                                  pa.array(trigger[mask]), pa.array(string[mask]), pa.array(order[mask])], schema=schema)
+                rest = [pa.array(v[mask] * (kind == _FIRST)) for v in (trigger, string, order)]  # what is settled needs no key
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mask.sum()), kind, dtype=np.int8)), pa.array(text[mask]), pa.array(at[mask]), *rest],
+                                                 schema=schema)
         key, own = (trigger[-1], string[-1]), int(least[-1])
     if key is not None:
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((_LAST_KEY, 0, 0, int(key[0]), int(key[1]), own), schema, strict=True)],
