@@ -166,10 +166,13 @@ def window_prices(df: DataFrame, window: str = "1 day", watermark: str = "1 hour
 def change_alerts(windows: DataFrame, threshold: float = 0.10) -> DataFrame:
     """Windows whose mean price moved more than ``threshold`` against the
     product's previous window. The lag runs over pre-aggregated windows (at
-    most one row per product and window), so each product's series is small."""
+    most one row per product and window), so each product's series is small.
+    After a mean of 0 the change is that of floating-point division: infinite,
+    or NaN where both are 0; both are above any threshold."""
     w = Window.partitionBy("product_id").orderBy("window_start")
     x = windows.withColumn("prev_avg_price", F.lag("avg_price").over(w))
-    chg = F.col("avg_price") / F.col("prev_avg_price") - 1
+    now, before = F.col("avg_price"), F.col("prev_avg_price")
+    chg = F.when(before == 0, now * lit_d(float("inf"))).otherwise(now / F.when(before != 0, before)) - 1
     return (x.withColumn("change", chg)
             .where(F.col("prev_avg_price").isNotNull() & (F.abs(F.col("change")) > threshold)))
 
