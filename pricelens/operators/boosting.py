@@ -3,7 +3,8 @@
 Every group (a category) has its own ensemble, but no group has a job, a scan
 or a thread of its own: a level of the next tree of ALL groups is one grouped
 aggregate. Feature values are binned once; the binned rows are kept in packed
-blocks. For a level, every task adds up its blocks' residuals by (group, node,
+blocks, dealt evenly to the tasks. Before a tree the blocks take on the scores of
+the tree before it, once, and which rows the new tree sees. For a level, every task adds up its blocks' residuals by (group, node,
 feature, bin), the sums of a (group, node) meet after a shuffle, and the best
 split of each node comes back. A group that holds most rows is spread over as
 many tasks as its blocks; what is shuffled has the size of the histograms and
@@ -14,8 +15,8 @@ point), so sums don't depend on the order of tasks: the same table gives the
 same trees, bit for bit, however it is partitioned, and after any retry.
 
 The ensembles are small - groups x trees x nodes - and stay on the driver; they
-score rows as one foldable map literal that a JVM expression walks, so any
-number of models is one scan without a join.
+go to the tasks as arrays that an Arrow function walks for whole batches, so
+any number of models is one scan without a join.
 
 Formulas (squared error, ``T`` the sum of residuals shrunk by ``l1``, ``n`` rows)::
 
@@ -43,9 +44,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from pricelens.functions.core import lit_d, unpivot_cols
 from pricelens.session import ensure_checkpoint_dir
@@ -54,8 +56,10 @@ FRACTION_BITS, LEAST_GAIN = 24, 1e-6
 ONE = 1 << FRACTION_BITS
 #: Ensembles of one fit: more groups are one pooled fit's task.
 MAX_GROUPS = 10_000
-#: Rows of a block, and trees after which the rows' scores are written anew.
+#: Rows of a block, trees after which the rows' scores are written anew, and
+#: least and most rows of a task (fewer tasks than cores only below the least).
 BLOCK_ROWS, REFRESH = 8192, 25
+TASK_ROWS = (8 * BLOCK_ROWS, 128 * BLOCK_ROWS)
 
 
 @dataclass(frozen=True)
@@ -189,13 +193,20 @@ def histograms(forest: Forest, tree: int, level: int, codes: np.ndarray, bins: n
     codes, bins, residual, node = codes[inside], bins[inside], residual[inside], node[inside]
     width = bins.shape[1]
     slot = codes.astype(np.int64) << level | node
-    present, place = np.unique(slot, return_inverse=True)
-    key = ((place[:, None] * width + np.arange(width)) * n_bins + bins).ravel()
-    size = len(present) * width * n_bins
-    sums = np.bincount(key, np.repeat(residual, width), size).reshape(-1, width, n_bins)  # whole numbers below 2^53: exact
-    counts = np.bincount(key, minlength=size).reshape(-1, width, n_bins)
+    present = np.flatnonzero(np.bincount(slot))
+    if not len(present):
+        return
+    place = np.zeros(present[-1] + 1, dtype=np.int64)
+    place[present] = np.arange(len(present)) * n_bins
+    start, size = place[slot], len(present) * n_bins
+    sums, counts = np.empty((width, size), dtype=np.int64), np.empty((width, size), dtype=np.int64)
+    for f in range(width):
+        key = start + bins[:, f]
+        sums[f] = np.bincount(key, residual, size)  # whole numbers below 2^53: exact
+        counts[f] = np.bincount(key, minlength=size)
     for k, s in enumerate(present):
-        yield int(s) >> level, int(s) & (2 ** level - 1), sums[k].astype(np.int64), counts[k]
+        at = slice(k * n_bins, (k + 1) * n_bins)
+        yield int(s) >> level, int(s) & (2 ** level - 1), sums[:, at], counts[:, at]
 
 
 # --- distributed fit ----------------------------------------------------------------
@@ -238,35 +249,46 @@ class Ensembles:
     #: per group: trees of (feature, threshold, value, gain) arrays
     trees: list[list[dict]] = field(repr=False)
 
-    def _literal(self) -> Column:
-        """map<group, ensemble> as one foldable literal."""
-        kinds = "map<string, struct<base: double, trees: array<struct<f: array<int>, t: array<double>, v: array<double>>>>>"
-        whole = {g: {"base": b, "trees": [{k: tree[k] for k in "ftv"} for tree in trees]}
-                 for g, b, trees in zip(self.groups, self.base, self.trees, strict=True)}
-        return F.from_json(F.lit(json.dumps(whole)), kinds)
+    def _complete(self) -> dict:
+        """group -> (base, feature, used, threshold, value), arrays of trees x nodes. Where a branch
+        ends early the nodes below have its leaf's value, so every walk takes ``depth`` steps."""
+        out = {}
+        for g, base, trees in zip(self.groups, self.base, self.trees, strict=True):
+            f, t, v = (np.array([tree[k] for tree in trees]).reshape(len(trees), n)
+                       for k, n in (("f", 2 ** self.depth - 1), ("t", 2 ** self.depth - 1), ("v", 2 ** (self.depth + 1) - 1)))
+            ends = f < 0
+            for node in range(f.shape[1]):
+                for child in (2 * node + 1, 2 * node + 2):
+                    v[:, child] = np.where(ends[:, node], v[:, node], v[:, child])
+                    if child < f.shape[1]:
+                        ends[:, child] |= ends[:, node]
+            out[g] = (base, np.where(ends, 0, f), ~ends, t.astype(np.float64), v.astype(np.float64))
+        return out
 
     def score(self, df: DataFrame, group: str = "category", out: str = "score") -> DataFrame:
-        """``df`` with its group's ensemble's score; null for a group without one.
-
-        A row's trees are walked by ``aggregate``, level by level, in the JVM.
+        """``df`` with its group's ensemble's score; null for a group without one,
+        and where a tree asks for an input that is null. NaN is above any number.
         """
         if not self.groups:
             return df.withColumn(out, F.lit(None).cast("double"))
-        inputs = F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])
-        # generated rows keep the inputs' array from being made again for every node
-        x = df.withColumn("_x", F.explode(F.array(inputs)))
-        model = F.element_at(self._literal(), F.col(group))
-
-        def place(tree: Column) -> Column:
-            def down(node: Column, _: Column) -> Column:
-                f = F.element_at(tree["f"], node + 1)
-                right = (F.element_at(F.col("_x"), f + 1) > F.element_at(tree["t"], node + 1)).cast("int")
-                return F.when(f < 0, node).otherwise(2 * node + 1 + right)
-
-            return F.aggregate(F.array(*[F.lit(k) for k in range(self.depth)]), F.lit(0), down)
-
-        score = F.aggregate(model["trees"], model["base"], lambda acc, tree: acc + F.element_at(tree["v"], place(tree) + 1))
-        return x.withColumn(out, score).drop("_x")
+        models, depth = self._complete(), self.depth
+
+        @arrow_udf("double")
+        def walked(names: pa.Array, *inputs: pa.Array) -> pa.Array:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in inputs])
+            gone = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in inputs]) if any(c.null_count for c in inputs) else None
+            high = np.isnan(x) if np.isnan(x).any() else None
+            scores, unknown = np.zeros(len(x)), np.ones(len(x), dtype=bool)
+            coded = names.dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                if name in models:
+                    rows = np.flatnonzero(code == k)
+                    part = lambda a: None if a is None else a[rows]  # noqa: B023, E731
+                    scores[rows], unknown[rows] = _walk(models[name], depth, x[rows], part(gone), part(high))
+            return pa.array(scores, mask=unknown)
+
+        return df.withColumn(out, walked(F.col(group).cast("string"), *[F.col(f"`{f}`").cast("double") for f in self.features]))
 
     def importance(self) -> list[tuple[str, str, float]]:
         """(group, feature, share of the group's total gain)."""
@@ -300,6 +322,26 @@ class Ensembles:
         return Ensembles(self.features, [self.groups[k] for k in keep], self.depth, [self.base[k] for k in keep], [self.trees[k] for k in keep])
 
 
+def _walk(model: tuple, depth: int, x: np.ndarray, gone: np.ndarray | None, high: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of one group's rows, and which rows have none; ``gone`` and ``high``: where an input is null or NaN."""
+    base, feature, used, threshold, value = model
+    width = x.shape[1]
+    flat, first = x.ravel(), np.arange(len(x)) * width
+    scores, none = np.full(len(x), base), np.zeros(len(x), dtype=bool)
+    for f, u, t, v in zip(feature, used, threshold, value, strict=True):
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(depth):
+            at, edge = first + f[node], t[node]
+            right = flat[at] > edge
+            if high is not None:
+                right |= high.ravel()[at] & ~np.isnan(edge)
+            if gone is not None:
+                none |= gone.ravel()[at] & u[node]
+            node = 2 * node + 1 + right
+        scores += v[node]
+    return scores, none
+
+
 def ensembles(forest: Forest, groups: list[str], features: Sequence[str], cuts: dict) -> Ensembles:
     """The forest with its bins as thresholds on the inputs."""
     trees = []
@@ -344,21 +386,27 @@ class _Written:
     one replaces the last."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.number, self.last = spark, 0, None
+        self.spark, self.number, self.last, self.older = spark, 0, None, None
         self.folder = f"{ensure_checkpoint_dir(spark)}/boosting-{uuid.uuid4().hex}"
 
-    def put(self, blocks: DataFrame) -> DataFrame:
+    def put(self, blocks: DataFrame) -> RDD:
         self.number += 1
         path = f"{self.folder}/{self.number}"
         blocks.write.parquet(path)
-        held = self.spark.read.schema(_BLOCK).parquet(path).rdd.map(lambda r: r.asDict()).persist(StorageLevel.MEMORY_AND_DISK)
-        self.drop()
-        self.last = held
-        return held
+        return self.spark.read.schema(_BLOCK).parquet(path).rdd.map(lambda r: r.asDict())
+
+    def hold(self, blocks: RDD) -> RDD:
+        """Keeps the blocks of the next tree, which its first level makes from those of the last one."""
+        self.last, before = blocks.persist(StorageLevel.MEMORY_AND_DISK), self.last
+        self.older, older = before, self.older
+        if older is not None:
+            older.unpersist()
+        return blocks
 
     def drop(self) -> None:
-        if self.last is not None:
-            self.last.unpersist()
+        for blocks in (self.last, self.older):
+            if blocks is not None:
+                blocks.unpersist()
 
     def close(self) -> None:
         self.drop()
@@ -376,7 +424,14 @@ def fit(df: DataFrame, features: Sequence[str], label: Column, group: str = "cat
     p, spark = params, df.sparkSession
     rows = df.select(F.col(group).cast("string").alias("_g"), F.col(key).cast("long").alias("_id"), label.cast("double").alias("_y"),
                      *[F.col(f"`{f}`").cast("double").alias(f"_f{k}") for k, f in enumerate(features)])
-    rows = rows.where(F.col("_g").isNotNull() & F.col("_y").isNotNull())
+    rows = rows.where(F.col("_g").isNotNull() & F.col("_y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
+    try:
+        return _fit(rows, features, p, spark)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, features: Sequence[str], p: Boosting, spark: SparkSession) -> Ensembles:
     whole = F.floor(F.col("_y") * ONE + 0.5).cast("long")
     means = {r["_g"]: r for r in rows.groupBy("_g").agg(F.sum(whole.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"),
                                                         F.max(F.abs("_y")).alias("most")).limit(MAX_GROUPS + 1).collect()}
@@ -393,14 +448,16 @@ def fit(df: DataFrame, features: Sequence[str], label: Column, group: str = "cat
         return ensembles(forest, groups, features, {})
     written = _Written(spark)
     try:
-        held = written.put(_blocks(rows, names, cuts, groups, base))
-        since, width = 0, len(features)
+        n = sum(r["n"] for r in means.values())
+        tasks = max(min(-(-n // TASK_ROWS[0]), spark.sparkContext.defaultParallelism), -(-n // TASK_ROWS[1]))
+        held, since, width = written.put(_blocks(rows, names, cuts, groups, base).repartition(tasks)), 0, len(features)
         for tree in range(p.trees):
             if tree - since >= REFRESH:
                 held, since = written.put(_rescored(spark, written, forest.part(since, tree), tree - since, width)), tree
+            held = written.hold(_seeing(held, forest.part(tree - 1, tree) if tree > since else None, tree, p, width))
             usable = columns_sampled(width, tree, p.column_share, p.seed)
             for level in range(p.depth):
-                splits = _level(held, forest.part(since, tree + 1), tree, tree - since, level, width, usable)
+                splits = _level(held, forest.part(tree, tree + 1), level, width, usable)
                 if not splits:
                     break
                 for (g, node), split in splits:
@@ -424,17 +481,29 @@ def _rescored(spark: SparkSession, written: _Written, trees: Forest, n: int, wid
     return spark.read.schema(_BLOCK).parquet(f"{written.folder}/{written.number}").mapInArrow(add, _BLOCK)
 
 
-def _level(held, trees: Forest, tree: int, at: int, level: int, width: int, usable: np.ndarray) -> list:
+def _seeing(held: RDD, before: Forest | None, tree: int, p: Boosting, width: int) -> RDD:
+    """The blocks with the scores that the tree before adds, and the rows that the new one sees."""
+
+    def step(row: dict) -> dict:
+        codes, bins, _, ids, scores = _arrays(row, width)
+        if before is not None:
+            scores = before.add(scores, 0, 1, codes, bins)
+        return row | {"scores": scores.tobytes(), "seen": np.packbits(row_sampled(ids, tree, p.row_share, p.seed)).tobytes()}
+
+    return held.map(step)
+
+
+def _level(held: RDD, trees: Forest, level: int, width: int, usable: np.ndarray) -> list:
     """The best splits of a level's nodes: ((group, node), split) of all groups."""
     p = trees.p
 
     def partial(blocks):
         total: dict = {}
         for row in blocks:
-            codes, bins, labels, ids, scores = _arrays(row, width)
-            residual = integer(labels - trees.add(scores, 0, at, codes, bins))
-            seen = row_sampled(ids, tree, p.row_share, p.seed)
-            for g, node, sums, counts in histograms(trees, at, level, codes[seen], bins[seen], residual[seen], p.bins):
+            codes, bins, labels, _, scores = _arrays(row, width)
+            seen = np.unpackbits(np.frombuffer(row["seen"], dtype=np.uint8), count=len(codes)).astype(bool)
+            residual = integer(labels[seen] - scores[seen])
+            for g, node, sums, counts in histograms(trees, 0, level, codes[seen], bins[seen], residual, p.bins):
                 if (g, node) in total:
                     total[g, node] = (total[g, node][0] + sums, total[g, node][1] + counts)
                 else:

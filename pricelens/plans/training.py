@@ -2,8 +2,8 @@
 
 All categories' boosted trees are grown together (``operators.boosting``): a
 level of the next tree of every category is one grouped aggregate over binned
-rows, on ``log1p(price)``. The models are small tables; scoring walks them in
-the JVM, one scan for any number of models. Searches fit many candidates on a
+rows, on ``log1p(price)``. The models are small tables; scoring walks them by
+Arrow batches, one scan for any number of models. Searches fit many candidates on a
 bounded sample of each category, one task per category, candidate and fold.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens import settings as S
-from pricelens.functions.core import attach, lit_d
+from pricelens.functions.core import attach, lit_d, reuse
 from pricelens.operators import boosting as B
 from pricelens.operators.boosting import Boosting, Ensembles
 from pricelens.operators.cleaning import fill_median
@@ -76,6 +76,7 @@ def prepare_training(df: DataFrame, features: Sequence[str] = FEATURES, label: s
     the median of their category and split. ``drop_outliers`` (the improved fit)
     also leaves out training rows outside their category's IQR bounds, in
     categories of at least ``least_for_outliers`` training rows."""
+    df = reuse(df)  # read for the gate, the medians and the rows
     gate = training_gate(df, label).where(F.col("status") == "ok").select("category", "n_train")
     x = df.withColumns({c: F.col(c).cast("double") for c in [*features, label]}).join(gate, "category")
     x = fill_median(x, [*features, label], ["category", "split"])
