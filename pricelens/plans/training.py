@@ -145,6 +145,7 @@ def sample_grid(space: dict, n: int, seed: int = 42) -> list[dict]:
 def bounded_sample(df: DataFrame, rows: int, key: str = "product_id", by: str = "category", seed: int = 42) -> DataFrame:
     """At most ``rows`` rows of each group, chosen by a hash of their key: the
     expected share is cut out first, so the rows that are ranked are few."""
+    df = reuse(df)  # read for the sizes and for the rows
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     near = attach(df.withColumn("_u", u), sizes, by).where(F.col("_u") * F.col("_n") <= 1.5 * rows)
