@@ -12,11 +12,13 @@ A document's set is its distinct w-word shingles (ASCII letters lower-cased).
   with probability 1 - (1 - 0.8^5)^40 > 0.9999998 (default values).
 * Candidates: documents with equal sets are one class. In a band's bucket every
   class is paired with one hub only, the class that shares most bands with
-  others, as the middle of a group does. Once the confirmed links have joined
-  classes to components, classes of one bucket that are still in different
-  components are paired too, unless what they can have in common at most - by
-  their counts with the hub - is too little for a link. So no bucket is capped, and no pair inside a group that already
-  hangs together is made.
+  others, as the middle of a group does. Every class of a bucket of three or more
+  is held against its hub exactly; of the shingles that only one of the two has
+  a bit set is kept. Once the confirmed links have joined classes to components,
+  classes of one bucket that are still in different components are paired too,
+  unless what they can have in common at most - by their counts with the hub and
+  by both bit sets - is too little for a link. So no bucket is capped, and no
+  pair inside a group that already hangs together is made.
 * Estimate: both registers and both set sizes give the likelihood of every
   similarity; pairs whose most likely similarity is five standard deviations
   below the threshold go.
@@ -39,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from pricelens.llm.common import column, cut, free_name
+from pricelens.llm.common import column, cut as checkpointed, free_name, release
 
 BASE, TOP = 1.001, 65_535  # registers: base of the spacing, largest value
 BANDS, ROWS = 40, 5
 _SALTS = 8
-_RARE = 50  # a shingle that so many classes of a hub have is rare: their pairs are made by it
+_BIT_WORDS = 8  # 64-bit words of the bit set of a class's differences from its hub
 _WORDS_KEPT = 250_000
 
 
@@ -186,6 +188,32 @@ def shingle_set(text: Column, width: int) -> Column:
     return of.asNondeterministic()(text)  # worked out once, not again in the filter on its key
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised, and the shuffle files and checkpoints behind it let go."""
+    out = checkpointed(df)
+    release(df.sparkSession)
+    return out
+
+
+def _bits(hashes: str) -> Column:
+    """array<long>: a bit set of the hashes in a column."""
+    return F.array(*[F.expr(f"aggregate(filter({hashes}, x -> pmod(x, {_BIT_WORDS}) = {w}), 0L, "
+                            f"(r, x) -> r | shiftleft(1L, cast(pmod(shiftright(x, 8), 64) as int)))") for w in range(_BIT_WORDS)])
+
+
+def _most_common(x: str, y: str) -> Column:
+    """The most that two classes of a hub can have in common, by their counts
+    with the hub and the bit sets of what only one of class and hub has.
+
+    The intersection is exactly common(x) + common(y) - n(hub) + |d(x) & d(y)|
+    with these differences d; each shingle of d(x) & d(y) sets a bit of both, and
+    a class has no more shingles besides than are hidden behind its own bits.
+    """
+    both = sum((F.bit_count(F.col(f"{x}.bits")[w].bitwiseAND(F.col(f"{y}.bits")[w])) for w in range(_BIT_WORDS)), F.lit(0))
+    return (F.col(f"{x}.common") + F.col(f"{y}.common") - F.col(f"{x}.n_hub")
+            + F.least(both + F.least(f"{x}.hidden", f"{y}.hidden"), f"{x}.apart", f"{y}.apart"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node -> component (its smallest node) of the links a - b.
 
@@ -229,14 +257,16 @@ class _Verifier:
         side = lambda s: self.classes.select(F.col("set_key").alias(s), F.col("registers").alias(f"r_{s}"),
                                              F.col("text_hash").alias(f"t_{s}"))
         return (pairs.join(side("a"), "a").join(side("b"), "b")
-                .filter(estimate("n_a", "n_b", "r_a", "r_b") >= float(floor)).drop("r_a", "r_b"))
+                .filter(F.col("whole") | (estimate("n_a", "n_b", "r_a", "r_b") >= float(floor))).drop("r_a", "r_b"))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b), those that may be linked, with the exact
-        size ``common`` of their intersection, ``linked``: 100 * intersection >=
-        percent * union, and ``extra``: the shingles of b that a lacks."""
+        """Of pairs (a, b, n_a, n_b, whole), those that may be linked or are to be
+        compared whatever they have in common (``whole``), with the exact size
+        ``common`` of their intersection, ``linked``: 100 * intersection >=
+        percent * union, and for whole ones ``bits``: the bit set of the shingles
+        that one of them lacks."""
         p = F.lit(self.percent)
-        fits = pairs.filter(F.least("n_a", "n_b") * 100 >= p * F.greatest("n_a", "n_b"))
+        fits = pairs.filter(F.col("whole") | (F.least("n_a", "n_b") * 100 >= p * F.greatest("n_a", "n_b")))
         likely = cut(self._likely(fits))
         needed = (likely.select(F.col("a").alias("set_key"), F.col("t_a").alias("h"))
                   .unionByName(likely.select(F.col("b").alias("set_key"), F.col("t_b").alias("h"))).distinct())
@@ -248,8 +278,10 @@ class _Verifier:
                 .join(sets.select(F.col("set_key").alias("b"), F.col("s").alias("s_b")), "b"))
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.col("n_a") + F.col("n_b") - F.col("common")
-        return cut(both.withColumn("common", common).select("a", "b", "common", (F.col("common") * 100 >= p * union).alias("linked"),
-                                                            F.array_except("s_b", "s_a").alias("extra")))
+        apart = F.when(F.col("whole"), F.concat(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a")))
+        return cut(both.withColumn("common", common).withColumn("apart", apart)
+                   .select("a", "b", "n_a", "common", (F.col("common") * 100 >= p * union).alias("linked"),
+                           F.when(F.col("whole"), _bits("apart")).alias("bits"), F.size("apart").alias("apart")))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,  # noqa: A002
@@ -278,53 +310,38 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
            .agg(F.max_by(F.struct("set_key", "n"), F.struct("others", "set_key")).alias("hub")))
     hub = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     members = cut(members.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(_SALTS)).cast("int"))
-                  .join(hub, ["bucket", "salt"]).select("bucket", "set_key", "n", "hub"))
+                  .join(hub, ["bucket", "salt"]).select("bucket", "set_key", "n", "size", "hub"))
     verifier = _Verifier(docs, text, classes, width, m, percent)
+    # a bucket of three or more may have pairs beside its hub's: its classes are held against the hub whatever they share
     stars = cut(members.filter(F.col("set_key") != F.col("hub.set_key"))
-                .select(F.col("hub.set_key").alias("a"), F.col("set_key").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-                .distinct())
+                .groupBy(F.col("hub.set_key").alias("a"), F.col("set_key").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
+                .agg(F.max(F.col("size") > 2).alias("whole")))
     compared = verifier.compared(stars)
     links = compared.filter("linked").select("a", "b")
     parts = components(links)
 
     # classes that share a bucket but not yet a component
-    labelled = (members.join(parts, members.set_key == parts.node, "left")
-                .select("bucket", "set_key", "n", "hub", F.coalesce("component", "set_key").alias("component")))
+    labelled = (members.filter("size > 2").join(parts, F.col("set_key") == F.col("node"), "left")
+                .select("bucket", "set_key", "n", F.col("hub.set_key").alias("hub_key"), F.coalesce("component", "set_key").alias("component")))
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
-    open_ = cut(labelled.join(split.filter("n_parts > 1").select("bucket", "main"), "bucket").withColumn("hub_key", F.col("hub.set_key"))
-                .select("bucket", "set_key", "n", "component", "main", "hub_key"))
-    # What two classes of a hub can have in common: at most what either has in common with the hub, the frequent
-    # shingles that the hub lacks, and the rare ones that both have. Pairs that the first two may link are paired
-    # by bucket; all others need a rare shingle, and are paired by it.
-    asked = open_.select(F.col("hub_key").alias("a"), F.col("set_key").alias("b")).distinct()
-    known = compared.join(asked, ["a", "b"], "left_semi")
-    beyond = known.select("a", "b", F.explode("extra").alias("shingle"))
-    seen = beyond.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    besides = (beyond.join(seen.filter(F.col("k") > _RARE), ["a", "shingle"], "left_semi")
-               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("besides")))
-    rare = beyond.join(seen.filter(F.col("k") <= _RARE), ["a", "shingle"], "left_semi")
-    limits = (known.select("a", "b", "common").join(besides, ["a", "b"], "left")
-              .select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), F.col("common").cast("long").alias("common"),
-                      F.coalesce("besides", F.lit(0).cast("long")).alias("besides")))
-    open_ = cut(open_.filter(F.col("set_key") != F.col("hub_key")).join(limits, ["hub_key", "set_key"], "left"))
+    held = compared.filter(F.col("bits").isNotNull())
+    seen = sum((F.bit_count(F.col("bits")[w]) for w in range(_BIT_WORDS)), F.lit(0))
+    held = held.select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), F.col("n_a").alias("n_hub"), "common", "bits", "apart",
+                       (F.col("apart") - seen).alias("hidden"))
+    open_ = cut(labelled.filter(F.col("set_key") != F.col("hub_key")).join(split.filter("n_parts > 1").select("bucket", "main"), "bucket")
+                .join(held, ["hub_key", "set_key"]))
     one, two = open_.filter(F.col("component") != F.col("main")).alias("x"), open_.alias("y")
-    most = F.least("x.common", "y.common") + F.least("x.besides", "y.besides")  # least of a null and a number is the number
-    both_known = F.col("x.common").isNotNull() & F.col("y.common").isNotNull()
+    most = _most_common("x", "y")
     apart = ((F.col("x.component") != F.col("y.component"))
              & ((F.col("y.component") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key")))
              & (F.least("x.n", "y.n") * 100 >= F.lit(percent) * F.greatest("x.n", "y.n"))
-             & (~both_known | (most * 100 >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most))))
+             & (most * 100 >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most)))
     ordered = [F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"),
                F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
                F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("y.n")).otherwise(F.col("x.n")).alias("n_b")]
-    by_bucket = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & apart).select(*ordered)
-    holders = (rare.select(F.col("a").alias("hub_key"), F.col("b").alias("set_key"), "shingle")
-               .join(open_.select("hub_key", "set_key", "n", "component").distinct(), ["hub_key", "set_key"]))
-    by_shingle = (holders.alias("x").join(holders.alias("y"), (F.col("x.hub_key") == F.col("y.hub_key")) & (F.col("x.shingle") == F.col("y.shingle"))
-                                          & (F.col("x.component") != F.col("y.component")) & (F.col("x.set_key") < F.col("y.set_key")))
-                  .select(*ordered))
-    cross = by_bucket.unionByName(by_shingle).distinct()
+    cross = (one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & apart).select(*ordered).distinct()
+             .withColumn("whole", F.lit(False)))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut(cross.join(tested, ["a", "b"], "left_anti"))
     more = verifier.compared(cross).filter("linked").select("a", "b")

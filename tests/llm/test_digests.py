@@ -315,6 +315,32 @@ def test_near_duplicates_by_force(spark, width):
     assert Counter((g.doc_id, g.n_shingles, g.component_id, g.kept) for g in got) == near_by_force(rows, width)
 
 
+def test_copies_too_far_from_their_hub_are_not_paired_with_all(spark, monkeypatch):
+    """A group's middle, 60 texts near it, 60 that share half of it, and 12 near one of these: the last alone make links."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(ws, n):
+        ws = list(ws)
+        for i in rng.sample(range(len(ws)), n):
+            ws[i] = f"o{rng.randrange(10**9)}"
+        return ws
+
+    far = [changed(base, 20) for _ in range(60)]
+    texts = [base, *(changed(base, 5) for _ in range(60)), *far, *(changed(f, 2) for f in far[:12])]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    pairs, compared = [], near_dedup._Verifier.compared
+
+    def counted(self, p):
+        pairs.append(p.count())
+        return compared(self, p)
+
+    monkeypatch.setattr(near_dedup._Verifier, "compared", counted)
+    got = near_dedup.near_duplicates(frame(spark, rows), width=2).collect()
+    assert Counter((g.doc_id, g.n_shingles, g.component_id, g.kept) for g in got) == near_by_force(rows, 2)
+    assert pairs[1] < len(rows)  # not the pairs of a bucket's classes, whose number grows with the square of the group
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 2**63, size=n, dtype=np.uint64) for n in (30, 700))
