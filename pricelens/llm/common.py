@@ -85,7 +85,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
-    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+    def bucketed(self, df: DataFrame, key: str | list[str], name: str) -> DataFrame:
         """``df`` written in buckets of ``key``: joins and groups on it don't shuffle it again."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         full = f"{name}_{uuid.uuid4().hex}"

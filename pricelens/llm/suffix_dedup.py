@@ -345,14 +345,19 @@ class _Found:
         hot = shared.groupBy("text_hash").agg(F.collect_list("codes").alias("codes"))
         found = (texts.join(hot, "text_hash").select("text_hash", "order", F.explode(_found_phrases(F.col("text"), F.col("codes"), ranges)).alias("p"))
                  .select("text_hash", "order", "p.*"))
-        found = scratch.table(found, "phrases")
+        # moved once, in buckets of what is grouped and joined below
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = scratch.bucketed(found.repartition(buckets, "trigger", "phrase"), ["trigger", "phrase"], "phrases")
         del shared, hot, seen
         release(spark)
 
-        entry = found.groupBy("trigger", "phrase").agg(F.min("order").alias("owner"))
+        entry = found.groupBy("trigger", "phrase").agg(F.min("order").alias("owner"), F.max("order").alias("last"))
+        entry = entry.select("trigger", "phrase", "owner", (F.col("owner") < F.col("last")).alias("several"))
         share = (entry.groupBy("trigger").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high")
                  .select("trigger", F.lit(True).alias("shared")))
-        dictionary = entry.join(share, "trigger", "left")
+        # an entry of one document whose trigger no other entry shares is no duplicate of anything: it stays out of the join
+        dictionary = (entry.join(share, "trigger", "left").filter(F.col("several") | F.coalesce("shared", F.lit(False)))
+                      .select("trigger", "phrase", "owner", "shared"))
         known = (found.join(dictionary, ["trigger", "phrase"])
                  .filter((F.col("owner") < F.col("order")) | F.coalesce("shared", F.lit(False)))
                  .select("text_hash", "first", "n", (F.col("owner") < F.col("order")).alias("later"),

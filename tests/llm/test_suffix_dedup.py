@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,25 @@ def test_a_string_of_many_documents_fills_several_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_phrases_are_moved_once(spark, monkeypatch):
+    """The parse's phrases lie in buckets of what they are grouped and joined by: only the dictionary moves to them."""
+    rng = random.Random(3)
+    passage = " ".join(words(rng, 60))
+    rows = [(i, " ".join(words(rng, 30)) + passage[i:] + " ".join(words(rng, 30)), "en", "s", 0) for i in range(20)]
+    plans, table = {}, suffix_dedup.Scratch.table
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return table(self, df, name)
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "table", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = suffix_dedup.removals(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 20 and sum(g.n_removed > 0 for g in got) == 19
+    assert len(re.findall(r"Exchange hashpartitioning\(trigger#\d+L?, phrase#", plans["known"])) == 1
