@@ -415,23 +415,24 @@ class _Written:
 
 
 def fit(df: DataFrame, features: Sequence[str], label: Column, group: str = "category", key: str = "product_id",
-        params: Boosting = Boosting()) -> Ensembles:
+        params: Boosting = Boosting(), cuts: dict | None = None) -> Ensembles:
     """One ensemble per group of ``df`` on ``label``.
 
     ``key`` (integer) identifies a row for the trees' samples. To the driver
-    come per group its bins' borders and, per level, its nodes' best splits.
+    come per group its bins' borders (unless given as ``cuts``: group -> feature
+    -> borders) and, per level, its nodes' best splits.
     """
     p, spark = params, df.sparkSession
     rows = df.select(F.col(group).cast("string").alias("_g"), F.col(key).cast("long").alias("_id"), label.cast("double").alias("_y"),
                      *[F.col(f"`{f}`").cast("double").alias(f"_f{k}") for k, f in enumerate(features)])
     rows = rows.where(F.col("_g").isNotNull() & F.col("_y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
     try:
-        return _fit(rows, features, p, spark)
+        return _fit(rows, features, p, spark, cuts)
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, features: Sequence[str], p: Boosting, spark: SparkSession) -> Ensembles:
+def _fit(rows: DataFrame, features: Sequence[str], p: Boosting, spark: SparkSession, given: dict | None = None) -> Ensembles:
     whole = F.floor(F.col("_y") * ONE + 0.5).cast("long")
     means = {r["_g"]: r for r in rows.groupBy("_g").agg(F.sum(whole.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"),
                                                         F.max(F.abs("_y")).alias("most")).limit(MAX_GROUPS + 1).collect()}
@@ -443,7 +444,8 @@ def _fit(rows: DataFrame, features: Sequence[str], p: Boosting, spark: SparkSess
     base = np.array([0.0 if p.whole_first else int(means[g]["s"]) / means[g]["n"] / ONE for g in groups])
     forest = Forest(len(groups), p, base)
     names = [f"_f{k}" for k in range(len(features))]
-    cuts = thresholds(rows, "_g", names, p.bins)
+    cuts = thresholds(rows, "_g", names, p.bins) if given is None else {
+        g: {c: given[g][f] for c, f in zip(names, features, strict=True)} for g in groups}
     if not groups:
         return ensembles(forest, groups, features, {})
     written = _Written(spark)
